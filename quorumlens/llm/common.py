@@ -66,6 +66,16 @@ def drop_shared() -> None:
             return
 
 
+def text_id() -> Column:
+    """doc_id as text, for the way through pandas, where whole numbers beside nulls lose digits."""
+    return F.col("doc_id").cast("string").alias("doc_id")
+
+
+def typed_id(df: DataFrame, like: DataFrame) -> DataFrame:
+    """doc_id back in the type it has in ``like``."""
+    return df.withColumn("doc_id", F.col("doc_id").cast(like.schema["doc_id"].dataType))
+
+
 def bucket_of(column: str, modulus: int) -> Column:
     """crc32 of the column as text, modulo ``modulus``; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, sample_by_class
+from .common import bucket_of, sample_by_class, text_id, typed_id
 
 WINDOW = 128
 EMBED = 8
@@ -191,8 +191,7 @@ def identify(docs: DataFrame, languages: list[str], weights: dict | None) -> Dat
                     todo, size = [], 0
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": pred, "score": value})
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(score, f"doc_id {kind}, lang_pred string, score double")
+    return typed_id(docs.select(text_id(), "text").mapInPandas(score, "doc_id string, lang_pred string, score double"), docs)
 
 
 def held_out(modulus: int, remainder: int):

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import isotonic
+from .common import isotonic, text_id, typed_id
 from .langid import held_out
 
 FEATURES = 128
@@ -91,8 +91,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "stats": [statistics(t) for t in b["text"]]})
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, stats array<double>")
+    return typed_id(docs.select(text_id(), "text").mapInPandas(run, "doc_id string, stats array<double>"), docs)
 
 
 def fit(train: DataFrame) -> tuple[np.ndarray | None, list[float]]:
@@ -157,8 +156,7 @@ def score(stats: DataFrame, weights: np.ndarray | None, rates: list[float]) -> D
                 value = table[bins(lift(np.stack(b["stats"].to_numpy())) @ weights)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": np.clip(value, 0, 1)})
 
-    kind = dict(stats.dtypes)["doc_id"]
-    return stats.mapInPandas(run, f"doc_id {kind}, score double")
+    return typed_id(stats.select(text_id(), "stats").mapInPandas(run, "doc_id string, score double"), stats)
 
 
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:

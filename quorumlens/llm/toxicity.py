@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, isotonic, sample_by_class
+from .common import bucket_of, isotonic, sample_by_class, text_id, typed_id
 
 #: Bound of what is learned from: about so many labelled documents of each class.
 DOCS_PER_CLASS = 4000
@@ -200,8 +200,7 @@ def score(docs: DataFrame, model: tuple, rates: list[float]) -> DataFrame:
             frame = pd.DataFrame(out, columns=["score", "n_segments", "worst_start", "worst_end"]).astype({"worst_start": "Int64", "worst_end": "Int64"})
             yield frame.assign(doc_id=b["doc_id"].to_numpy())[["doc_id", "score", "n_segments", "worst_start", "worst_end"]]
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double, n_segments int, worst_start long, worst_end long")
+    return typed_id(docs.select(text_id(), "text").mapInPandas(run, "doc_id string, score double, n_segments int, worst_start long, worst_end long"), docs)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", docs_per_class: int = DOCS_PER_CLASS) -> DataFrame:
