@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, packing, passages, quality, toxicity, urls
+from . import hamming, langid, minhash, mixing, neighbours, packing, passages, quality, toxicity, urls
 from .common import table
 
 
@@ -23,6 +23,33 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op4_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.nearest_codes(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+#: Sign codes against sign codes, for every row whose id is divisible by 20.
+OP4_SQL = """
+WITH fine AS (
+  SELECT DISTINCT vec_id, embedding FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), codes AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS code FROM fine),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    len(list_filter(range(1, len(q.code) + 1), lambda i: q.code[i] <> c.code[i])) AS distance
+  FROM codes q JOIN codes c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, distance::INTEGER AS distance FROM ranked WHERE rank <= 10
+"""
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = passages.strip_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -52,6 +79,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_url_filter": op2_url_filter,
+        "op3_nearest_neighbours": op3_nearest_neighbours,
+        "op4_hamming_search": op4_hamming_search,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_near_duplicates": op6_near_duplicates,
         "op7_mixing": op7_mixing,
@@ -62,4 +91,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_hamming_search": OP4_SQL,
+    }
