@@ -164,8 +164,14 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> tupl
     return languages, ByteCnn.fit(np.stack(x)[order], np.array(y)[order], len(languages)).w
 
 
-def identify(docs: DataFrame, languages: list[str], weights: dict | None) -> DataFrame:
-    """(doc_id, lang_pred, score) for every row of ``docs`` (doc_id, text)."""
+def identify(docs: DataFrame, languages: list[str], weights: dict | None, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, lang_pred, score) for every row of ``docs`` (doc_id, text).
+
+    With ``keep``: those columns of ``docs``, and one struct ``__found`` of lang_pred and score.
+    """
+    whole = keep is not None
+    # Rows travel as they are, in one nested column that is not looked into.
+    rows = docs.select(text_id(), "text", *([F.to_json(F.struct(*[c for c in keep if c not in ("doc_id", "text")]), {"ignoreNullFields": "false"}).alias("rest")] if whole else []))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = ByteCnn(weights) if weights else None
@@ -189,9 +195,14 @@ def identify(docs: DataFrame, languages: list[str], weights: dict | None) -> Dat
                     for k, best, s in zip(todo, p.argmax(axis=1), p.max(axis=1), strict=True):
                         pred[k], value[k] = languages[best], s
                     todo, size = [], 0
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": pred, "score": value})
-
-    return typed_id(docs.select(text_id(), "text").mapInPandas(score, "doc_id string, lang_pred string, score double"), docs)
+            yield pd.DataFrame({**{c: batch[c] for c in (("doc_id", "text", "rest") if whole else ("doc_id",))}, "lang_pred": pred, "score": value})
+
+    found = typed_id(rows.mapInPandas(score, f"doc_id string, {'text string, rest string, ' if whole else ''}lang_pred string, score double"), docs)
+    if not whole:
+        return found
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep and f.name not in ("doc_id", "text"))
+    found = found.withColumn("rest", F.from_json("rest", fields)) if fields else found
+    return found.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in keep], F.struct("lang_pred", "score").alias("__found"))
 
 
 def held_out(modulus: int, remainder: int):

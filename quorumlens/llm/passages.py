@@ -255,12 +255,13 @@ def _locate(window: int, keep: Sequence[str]):
     return task
 
 
-def strip_repeats(docs: DataFrame, keep: Sequence[str] = (), window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """doc_id, the columns in ``keep``, text (what is left), n_words and n_removed of every row.
+def strip_repeats(docs: DataFrame, keep: Sequence[str] = (), window: int = WINDOW, run: int = RUN, counts: bool = True) -> DataFrame:
+    """doc_id, the columns in ``keep``, text (what is left), and with ``counts`` n_words and n_removed, of every row.
 
     ``doc_id`` must be a whole number; ``keep`` names further columns to carry along.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("doc_id").cast("string").alias("doc_id"), "text", *keep)
+    carried = [f"__k{i}" for i in range(len(keep))]  # by number, so that no name can clash with ours
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("doc_id").cast("string").alias("doc_id"), "text", *[F.col(c).alias(k) for c, k in zip(keep, carried, strict=True)])
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     shards = max(1, -(-size // SHARD))
     shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")
@@ -270,6 +271,7 @@ def strip_repeats(docs: DataFrame, keep: Sequence[str] = (), window: int = WINDO
     dealt = rows.withColumn("shard", F.coalesce(shard(F.col("doc")), shard(F.col("text")), F.lit(0)))
     text = dealt.groupBy("shard").cogroup(asked.withColumnRenamed("shard", "s").groupBy("s")).applyInPandas(_read(window), "to int, src_doc long, src_start int, words binary")
     kinds = dict(docs.dtypes)
-    schema = ", ".join(["doc_id string", *[f"`{c}` {kinds[c]}" for c in keep], "text string", "n_words long", "n_removed long"])
-    out = dealt.groupBy("shard").cogroup(text.groupBy("to")).applyInPandas(_locate(window, ["doc_id", *keep]), schema)
-    return out.withColumn("doc_id", F.col("doc_id").cast(kinds["doc_id"]))
+    schema = ", ".join(["doc_id string", *[f"{k} {kinds[c]}" for c, k in zip(keep, carried, strict=True)], "text string", "n_words long", "n_removed long"])
+    out = dealt.groupBy("shard").cogroup(text.groupBy("to")).applyInPandas(_locate(window, ["doc_id", *carried]), schema)
+    names = [F.col(k).alias(c) for c, k in zip(keep, carried, strict=True)]
+    return out.select(F.col("doc_id").cast(kinds["doc_id"]).alias("doc_id"), *names, "text", *(["n_words", "n_removed"] if counts else []))
