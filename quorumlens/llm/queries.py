@@ -50,6 +50,20 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, distance::INTEGER AS distance FR
 """
 
 
+#: Every window of 20 words, the first of equal ones, and what no later one covers.
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+s AS (SELECT doc_id, i, array_to_string(l[i:i + 19], ' ') AS k FROM w, unnest(range(1, len(l) - 18)) AS t(i)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM s) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM r, unnest(range(0, 20)) AS u(j)),
+u AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM u ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(l)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = passages.strip_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -93,4 +107,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_hamming_search": OP4_SQL,
+        "op5_substring_dedup": OP5_SQL,
     }

@@ -1,10 +1,10 @@
 """URL filter: host and path rules first, a character language-model ratio for the rest.
 
 Two smoothed variable-order Markov models, of accepted and of rejected URLs, are counted
-over all labelled URLs; a URL is judged by the difference of their log-likelihoods per
+over all labelled URLs; each character counts by its longest n-gram that was seen, and a URL is judged by the difference of their log-likelihoods per
 character, against a threshold calibrated on the labelled URLs. Everything is DataFrame
 functions. The alphabet is small and fixed, so the combined model is one array of
-``SYMBOLS ** ORDER`` numbers whatever the input's size: scoring reads it from a scalar
+``CELLS`` numbers whatever the input's size: scoring reads it from a scalar
 subquery, row by row, without a shuffle.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, matches no
@@ -30,8 +30,10 @@ OTHER, START = SYMBOLS - 2, SYMBOLS - 1
 ORDER = 4
 #: A context of fewer sightings is not used by itself; its shorter form is.
 LEAST = 4
-#: The model's array is held as rows of so many numbers.
+#: The model's array is held as rows of so many numbers; where the n-grams of each length start in it.
 ROW = SYMBOLS**2
+STARTS = {k: sum(SYMBOLS**j for j in range(k + 1, ORDER + 1)) for k in range(ORDER, 0, -1)}
+CELLS = sum(SYMBOLS**k for k in range(1, ORDER + 1))
 #: Grid on which the threshold is calibrated: scores from -REACH to REACH.
 BINS, REACH = 2000, 5.0
 #: One labelled URL in so many is kept out of the counts, for the calibration.
@@ -75,7 +77,7 @@ def grams(codes: Column) -> Column:
 
 
 def model(labelled: DataFrame) -> DataFrame:
-    """One row, ``ratio``: for each n-gram the log ratio of the two models' probabilities.
+    """One row, ``ratio``: for each n-gram that was seen the log ratio of the two models' probabilities.
 
     ``labelled``: (grams, rejected boolean). Counts are summed before the shuffle, and from the
     full n-grams down, so each level is at most ``SYMBOLS`` times smaller than the one before.
@@ -85,7 +87,7 @@ def model(labelled: DataFrame) -> DataFrame:
     """
     full = labelled.select(F.explode("grams").alias("g"), "rejected").groupBy("g").agg(
         F.count_if(~F.col("rejected")).alias("n0"), F.count_if(F.col("rejected")).alias("n1"))
-    level = None
+    level, seen = None, None
     for k in range(1, ORDER + 1):
         key = F.col("g") % SYMBOLS**k
         counts = full.groupBy(key.alias("g")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -100,21 +102,23 @@ def model(labelled: DataFrame) -> DataFrame:
             base = [F.col("b0"), F.col("b1")]
         smooth = lambda n, b: F.when(F.col("tn0") + F.col("tn1") < LEAST, b).otherwise((F.col(n) + F.greatest(F.col(f"d{n}"), F.lit(1)) * b) / (F.col(f"t{n}") + F.greatest(F.col(f"d{n}"), F.lit(1))))
         level = counts.select("g", smooth("n0", base[0]).alias("p0"), smooth("n1", base[1]).alias("p1"))
-    # An n-gram that was never seen says nothing: 0. The table's size is fixed by the alphabet.
-    seen = level.select("g", F.log(F.col("p0") / F.col("p1")).alias("r"))
-    blank = labelled.sparkSession.range(SYMBOLS**ORDER).select(F.col("id").alias("g"), F.lit(0.0).alias("r"))
-    cells = seen.unionByName(blank).groupBy("g").agg(F.sum("r").alias("r"))
+        found = level.select((F.col("g") + STARTS[k]).alias("cell"), F.log(F.col("p0") / F.col("p1")).alias("r"))
+        seen = found if seen is None else seen.unionByName(found)
+    # The table's size is fixed by the alphabet; cells of n-grams that were never seen stay null.
+    blank = labelled.sparkSession.range(CELLS).select(F.col("id").alias("cell"), F.lit(None).cast("double").alias("r"))
+    cells = seen.unionByName(blank).groupBy("cell").agg(F.max("r").alias("r"))
     packed = lambda key, item: F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), item.alias("v")))), lambda x: x["v"])
-    lines = cells.groupBy(F.floor(F.col("g") / ROW).alias("line")).agg(packed(F.col("g") % ROW, F.col("r")).alias("cells"))
+    lines = cells.groupBy(F.floor(F.col("cell") / ROW).alias("line")).agg(packed(F.col("cell") % ROW, F.col("r")).alias("cells"))
     return lines.agg(packed(F.col("line"), F.col("cells")).alias("ratio"))
 
 
 def with_score(rows: DataFrame, ratios: DataFrame) -> DataFrame:
     """Add ``score``: a URL's log-likelihood difference per character, accepted over rejected."""
-    cell = lambda g: F.get(F.get("ratio", F.floor(g / ROW).cast("int")), (g % ROW).cast("int"))
+    cell = lambda n: F.get(F.get("ratio", F.floor(n / ROW).cast("int")), (n % ROW).cast("int"))
+    longest = lambda g: F.coalesce(*[cell(g % SYMBOLS**k + STARTS[k]) for k in range(ORDER, 0, -1)], F.lit(0.0))
     # Each step is a column of its own: a lambda would compute what it refers to anew for every element.
     rows = rows.withColumn("codes", symbols(F.col("url"))).withColumn("found", grams(F.col("codes")))
-    total = F.aggregate("found", F.lit(0.0), lambda acc, g: acc + F.coalesce(cell(g), F.lit(0.0)))
+    total = F.aggregate("found", F.lit(0.0), lambda acc, g: acc + longest(g))
     # The table itself is used once, so Catalyst folds it into the expression and no row carries it.
     rows = rows.withColumn("ratio", ratios.select("ratio").scalar())
     return rows.withColumn("score", total / F.greatest(F.size("found"), F.lit(1))).drop("codes", "found", "ratio")
@@ -130,15 +134,13 @@ def threshold(scored: DataFrame) -> float | None:
     all1, all0 = sum(r["n1"] for r in rows), sum(r["n0"] for r in rows)
     if not all1 or not all0:
         return None
-    best, ends, below1, below0 = -1.0, [], 0, 0
+    best, cut, below1, below0, last = -1.0, 0.0, 0, 0, None
     for r in rows:
         gain = below1 / all1 + 1 - below0 / all0
-        if gain > best + 1e-12:
-            best, ends = gain, []
-        if gain >= best - 1e-12:
-            ends.append(r["bin"])
-        below1, below0 = below1 + r["n1"], below0 + r["n0"]
-    return ends[0] / BINS * 2 * REACH - REACH
+        if gain > best + 1e-12:  # half way through the empty bins before, so that neither kind is cut close
+            best, cut = gain, r["bin"] if last is None else (last + 1 + r["bin"]) / 2
+        below1, below0, last = below1 + r["n1"], below0 + r["n0"], r["bin"]
+    return cut / BINS * 2 * REACH - REACH
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame | None = None) -> DataFrame:
