@@ -28,6 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import checkpoint, write_shared
 from .graph import components
@@ -164,6 +165,11 @@ def _hubs(members: DataFrame, key) -> DataFrame:
     return members.join(least, "bucket").where("root != hub_root").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
 
 
+def _central():
+    """The order in which a bucket's members are taken as its hub."""
+    return F.struct((-F.col("central")).alias("c"), F.xxhash64("id").alias("x"))
+
+
 def _apart(members: DataFrame) -> DataFrame:
     """Members of buckets that hold more than one component."""
     split = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
@@ -176,20 +182,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = marks.where(F.col("copy").isNotNull()).groupBy("copy").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"))
     nodes = checkpoint(nodes)
     entries = nodes.select("id", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = write_shared(entries.join(shared, "bucket").select("bucket", "id"), "buckets")
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    # A document that shares its bands with most others makes the best hub: it is nearest to the group's original.
+    central = F.sum("n").over(Window.partitionBy("id"))
+    members = write_shared(entries.join(shared, "bucket").select("bucket", "id", central.alias("central")), "buckets")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     content = write_shared(contents(text).dropDuplicates(["id"]), "contents")
 
     alone = members.withColumn("root", F.col("id"))
-    links = checkpoint(verified(_hubs(alone, F.xxhash64("id")), content))
+    links = checkpoint(verified(_hubs(alone, _central()), content))
     roots = components(links)
     for step in ("hubs", "rest"):
-        rooted = members.join(roots.withColumnRenamed("root", "r"), "id", "left").select("bucket", "id", F.coalesce("r", "id").alias("root"))
+        rooted = members.join(roots.withColumnRenamed("root", "r"), "id", "left").select("bucket", "id", "central", F.coalesce("r", "id").alias("root"))
         left = checkpoint(_apart(rooted))
         if left.isEmpty():
             break
-        pairs = _hubs(left, F.xxhash64("id", "bucket")) if step == "hubs" else _rest(left)
+        pairs = _hubs(left, F.xxhash64("id", "bucket")) if step == "hubs" else _rest(left, content)
         more = checkpoint(verified(pairs, content))
         if more.isEmpty():
             continue
@@ -202,13 +210,61 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.unionByName(none)
 
 
-def _rest(left: DataFrame) -> DataFrame:
-    """All pairs of a bucket across its components, but for those inside the largest component.
+def _rest(left: DataFrame, content: DataFrame) -> DataFrame:
+    """All pairs of a bucket across its components that can be similar, each once.
 
-    A bucket's largest component needs no pair of its own members, so what is emitted is the
-    members outside of it times the bucket: after the hubs these are few.
+    A bucket's largest component needs no pair of its own members: what meets the bucket is
+    the members outside of it. Of them and theirs, pairs are left out whose similarity is
+    provably less than ``SIMILAR``. With n shingles of which u occur in no other member and
+    h in the bucket's hub, two members share at most h (of the lesser) + what else each may
+    share (n - h - u, of the lesser), and at most n - u. The bound holds for documents
+    without repeated shingles; the others are always compared.
     """
-    sizes = left.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("x")).select("bucket", F.col("x.root").alias("main"))
-    few = left.join(largest, "bucket").where("root != main").select("bucket", F.col("id").alias("b"), F.col("root").alias("other"))
-    return left.join(few, "bucket").where("root != other").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+    own = left.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("own"))
+    kinds = content.join(own.select("id"), "id", "left_semi")
+    counted = checkpoint(_alone(kinds))
+    hubs = left.groupBy("bucket").agg(F.min_by("id", _central()).alias("hub"))
+    rows = left.join(hubs, "bucket")
+    common = checkpoint(_common(rows.select("id", "hub").distinct(), kinds))
+    rows = rows.join(counted, "id").join(common, ["id", "hub"]).join(own, "id")
+    sizes = left.groupBy("bucket", "root").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("x")).select("bucket", F.col("x.root").alias("main"))
+    least = rows.groupBy("bucket").agg(F.min("n").alias("least_n"), F.bool_and("plain").alias("all_plain"))
+    few = rows.join(largest, "bucket").join(least, "bucket").where("root != main")
+    # Alone against the best partner that the bucket could hold.
+    best = F.col("n") - F.col("u")
+    few = few.where(~F.col("plain") | ~F.col("all_plain") | (best >= SIMILAR * (F.col("n") + F.greatest(best, "least_n") - best) - 1e-9))
+    few = few.select("bucket", *[F.col(c).alias(f"{c}_") for c in ("id", "root", "plain", "n", "u", "h", "own")])
+    rest = lambda m: F.greatest(F.col(f"n{m}") - F.col(f"h{m}") - F.col(f"u{m}"), F.lit(0))
+    both = F.least(F.least("h", "h_") + F.least(rest(""), rest("_")), F.col("n") - F.col("u"), F.col("n_") - F.col("u_"))
+    can = ~F.col("plain") | ~F.col("plain_") | (both >= SIMILAR * (F.col("n") + F.col("n_") - both) - 1e-9)
+    first = F.element_at(F.array_intersect("own", "own_"), 1) == F.col("right.bucket")
+    pairs = rows.alias("left").join(few.alias("right"), (F.col("left.bucket") == F.col("right.bucket")) & (F.col("root") != F.col("root_")) & can & first)
+    return pairs.select(F.greatest("id", "id_").alias("a"), F.least("id", "id_").alias("b")).distinct()
+
+
+def _alone(kinds: DataFrame) -> DataFrame:
+    """(id, plain, n, u): shingles of each document, and those that no other of these documents has."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, k in zip(b["id"], b["kinds"], strict=True):
+                k = np.frombuffer(k, np.uint32).astype(np.int64)
+                yield pd.DataFrame({"id": np.int64(i), "kind": k})
+
+    single = kinds.select("id", "kinds").mapInPandas(spread, "id long, kind long").groupBy("kind").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+    u = single.groupBy("id").agg(F.count("*").alias("u"))
+    n = kinds.select("id", F.col("counts").isNull().alias("plain"), (F.octet_length("kinds") / 4).cast("long").alias("n"))
+    return n.join(u, "id", "left").select("id", "plain", "n", F.coalesce("u", F.lit(0)).alias("u"))
+
+
+def _common(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(id, hub, h): how many shingles a document shares with its hub."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            h = [len(np.intersect1d(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), assume_unique=True)) for a, b in zip(p["ka"], p["kb"], strict=True)]
+            yield p[["id", "hub"]].assign(h=np.array(h, np.int64))
+
+    both = pairs.join(kinds.select("id", F.col("kinds").alias("ka")), "id").join(kinds.select(F.col("id").alias("hub"), F.col("kinds").alias("kb")), "hub")
+    return both.select("id", "hub", "ka", "kb").mapInPandas(run, "id long, hub long, h long")
