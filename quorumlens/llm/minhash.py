@@ -176,6 +176,11 @@ def _apart(members: DataFrame) -> DataFrame:
     return members.join(split, "bucket")
 
 
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members with the root of their component."""
+    return members.join(roots.withColumnRenamed("root", "r"), "id", "left").withColumn("root", F.coalesce("r", "id")).drop("r")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id): class_id is the least doc_id of the document's class."""
     marks = write_shared(signatures(docs), "signatures")
@@ -192,9 +197,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alone = members.withColumn("root", F.col("id"))
     links = checkpoint(verified(_hubs(alone, _central()), content))
     roots = components(links)
+    left = None
     for step in ("hubs", "rest"):
-        rooted = members.join(roots.withColumnRenamed("root", "r"), "id", "left").select("bucket", "id", "central", F.coalesce("r", "id").alias("root"))
-        left = checkpoint(_apart(rooted))
+        left = checkpoint(_apart(_rooted(members if left is None else left.select("bucket", "id", "central", *MASS), roots)))
+        if step == "hubs":
+            left = checkpoint(_apart(_open(left, content)))
         if left.isEmpty():
             break
         pairs = _hubs(left, F.xxhash64("id", "bucket")) if step == "hubs" else _rest(left, content)
@@ -215,18 +222,18 @@ def _rest(left: DataFrame, content: DataFrame) -> DataFrame:
 
     A bucket's largest component needs no pair of its own members: what meets the bucket is
     the members outside of it. Of them and theirs, pairs are left out whose similarity is
-    provably less than ``SIMILAR``. With n shingles of which u occur in no other member and
-    h in the bucket's hub, two members share at most h (of the lesser) + what else each may
-    share (n - h - u, of the lesser), and at most n - u. The bound holds for documents
-    without repeated shingles; the others are always compared.
+    provably less than ``SIMILAR``. With n the weight of a document's shingles, u of those that
+    no other component has and h of those in the bucket's hub, two members share at most
+    h (of the lesser) + what else each may share (n - h - u, of the lesser), and at most n - u.
+    Without repeated shingles that bounds the overlap of two sets; with them, taken as shares
+    of n, it bounds the probability Jaccard similarity, whose terms are at most
+    min(x_i / sum x, y_i / sum y).
     """
     own = left.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("own"))
-    kinds = content.join(own.select("id"), "id", "left_semi")
-    counted = checkpoint(_alone(kinds))
     hubs = left.groupBy("bucket").agg(F.min_by("id", _central()).alias("hub"))
     rows = left.join(hubs, "bucket")
-    common = checkpoint(_common(rows.select("id", "hub").distinct(), kinds))
-    rows = rows.join(counted, "id").join(common, ["id", "hub"]).join(own, "id")
+    common = checkpoint(_common(rows.select("id", "hub").distinct(), content.join(own.select("id"), "id", "left_semi")))
+    rows = rows.join(common, ["id", "hub"]).join(own, "id")
     sizes = left.groupBy("bucket", "root").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("x")).select("bucket", F.col("x.root").alias("main"))
     least = rows.groupBy("bucket").agg(F.min("n").alias("least_n"), F.bool_and("plain").alias("all_plain"))
@@ -235,36 +242,58 @@ def _rest(left: DataFrame, content: DataFrame) -> DataFrame:
     best = F.col("n") - F.col("u")
     few = few.where(~F.col("plain") | ~F.col("all_plain") | (best >= SIMILAR * (F.col("n") + F.greatest(best, "least_n") - best) - 1e-9))
     few = few.select("bucket", *[F.col(c).alias(f"{c}_") for c in ("id", "root", "plain", "n", "u", "h", "own")])
-    rest = lambda m: F.greatest(F.col(f"n{m}") - F.col(f"h{m}") - F.col(f"u{m}"), F.lit(0))
-    both = F.least(F.least("h", "h_") + F.least(rest(""), rest("_")), F.col("n") - F.col("u"), F.col("n_") - F.col("u_"))
-    can = ~F.col("plain") | ~F.col("plain_") | (both >= SIMILAR * (F.col("n") + F.col("n_") - both) - 1e-9)
+
+    def shared(whole, whole_):
+        rest, rest_ = (F.greatest(F.col(f"n{m}") - F.col(f"h{m}") - F.col(f"u{m}"), F.lit(0)) / w for m, w in (("", whole), ("_", whole_)))
+        return F.least(
+            F.least(F.col("h") / whole, F.col("h_") / whole_) + F.least(rest, rest_),
+            (F.col("n") - F.col("u")) / whole, (F.col("n_") - F.col("u_")) / whole_,
+        )
+
+    sets = shared(F.lit(1), F.lit(1))
+    can = F.when(F.col("plain") & F.col("plain_"), sets >= SIMILAR * (F.col("n") + F.col("n_") - sets) - 1e-9)
+    can = can.otherwise(shared(F.col("n"), F.col("n_")) >= SIMILAR - 1e-9)
     first = F.element_at(F.array_intersect("own", "own_"), 1) == F.col("right.bucket")
     pairs = rows.alias("left").join(few.alias("right"), (F.col("left.bucket") == F.col("right.bucket")) & (F.col("root") != F.col("root_")) & can & first)
     return pairs.select(F.greatest("id", "id_").alias("a"), F.least("id", "id_").alias("b")).distinct()
 
 
-def _alone(kinds: DataFrame) -> DataFrame:
-    """(id, plain, n, u): shingles of each document, and those that no other of these documents has."""
+#: What ``_open`` finds out of a document: no repeated shingle, weight of its shingles, and of those in no other component.
+MASS = ("plain", "n", "u")
+
+
+def _open(left: DataFrame, content: DataFrame) -> DataFrame:
+    """Members that can be similar to a document of another component, with the columns ``MASS``.
+
+    What two documents share is at most the weight of the shingles that other components
+    have too; where that is less than ``SIMILAR`` of the whole, no further link is possible.
+    """
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i, k in zip(b["id"], b["kinds"], strict=True):
-                k = np.frombuffer(k, np.uint32).astype(np.int64)
-                yield pd.DataFrame({"id": np.int64(i), "kind": k})
+            for i, root, k, c in zip(b["id"], b["root"], b["kinds"], b["counts"], strict=True):
+                kinds = np.frombuffer(k, np.uint32).astype(np.int64)
+                weight = np.ones(len(kinds), np.int64) if c is None else np.frombuffer(c, np.uint32).astype(np.int64)
+                yield pd.DataFrame({"id": np.int64(i), "root": np.int64(root), "kind": kinds, "w": weight})
 
-    single = kinds.select("id", "kinds").mapInPandas(spread, "id long, kind long").groupBy("kind").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
-    u = single.groupBy("id").agg(F.count("*").alias("u"))
-    n = kinds.select("id", F.col("counts").isNull().alias("plain"), (F.octet_length("kinds") / 4).cast("long").alias("n"))
-    return n.join(u, "id", "left").select("id", "plain", "n", F.coalesce("u", F.lit(0)).alias("u"))
+    ids = left.select("id", "root").distinct()
+    rows = write_shared(content.join(ids, "id").select("id", "root", "kinds", "counts").mapInPandas(spread, "id long, root long, kind long, w long"), "shingles")
+    single = rows.groupBy("kind").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low = high").select("kind", F.lit(1).alias("own"))
+    mass = rows.join(single, "kind", "left").groupBy("id").agg((F.max("w") == 1).alias("plain"), F.sum("w").alias("n"), F.coalesce(F.sum(F.col("w") * F.col("own")), F.lit(0)).alias("u"))
+    return left.join(mass.where(F.col("n") - F.col("u") >= SIMILAR * F.col("n") - 1e-9), "id")
 
 
 def _common(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
-    """(id, hub, h): how many shingles a document shares with its hub."""
+    """(id, hub, h): the weight of a document's shingles that its hub has too."""
+
+    def weight(a: bytes, c: bytes | None, b: bytes) -> int:
+        _, at, _ = np.intersect1d(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), assume_unique=True, return_indices=True)
+        return len(at) if c is None else int(np.frombuffer(c, np.uint32)[at].astype(np.int64).sum())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            h = [len(np.intersect1d(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), assume_unique=True)) for a, b in zip(p["ka"], p["kb"], strict=True)]
+            h = [weight(*x) for x in zip(p["ka"], p["ca"], p["kb"], strict=True)]
             yield p[["id", "hub"]].assign(h=np.array(h, np.int64))
 
-    both = pairs.join(kinds.select("id", F.col("kinds").alias("ka")), "id").join(kinds.select(F.col("id").alias("hub"), F.col("kinds").alias("kb")), "hub")
-    return both.select("id", "hub", "ka", "kb").mapInPandas(run, "id long, hub long, h long")
+    both = pairs.join(kinds.select("id", F.col("kinds").alias("ka"), F.col("counts").alias("ca")), "id").join(kinds.select(F.col("id").alias("hub"), F.col("kinds").alias("kb")), "hub")
+    return both.select("id", "hub", "ka", "ca", "kb").mapInPandas(run, "id long, hub long, h long")
