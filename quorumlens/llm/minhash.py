@@ -39,6 +39,8 @@ SIMILAR = 0.8
 #: A pair of similarity 0.8 shares no band with a chance of 1 in 13,000; one of 0.4 does with 1 in 5.
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
+#: Bits of the filter that finds the texts to compare.
+BITS = 1 << 25
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -176,6 +178,21 @@ def _apart(members: DataFrame) -> DataFrame:
     return members.join(split, "bucket")
 
 
+def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id hashes to a bit that one of ``ids`` sets: all rows of ``ids`` and few others.
+
+    Keeps whole texts out of the shuffle of the exact join that follows. The bits are broadcast
+    in ``BITS / 32768`` rows of 4 KB, 4 MB at most whatever the input; where there are so many
+    ids that most bits are set, fewer texts are held back.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    block, bit = F.floor(place / 32768).cast("int").alias("block"), (place % 32768).cast("int").alias("bit")
+    bits = ids.select(block, bit).distinct().groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    found = docs.withColumns({"block": block, "bit": bit}).join(F.broadcast(bits), "block")
+    set_ = F.expr("getbit(cast(conv(hex(substring(bits, bit div 8 + 1, 1)), 16, 10) as int), bit % 8) = 1")
+    return found.where(set_).select(*docs.columns)
+
+
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members with the root of their component."""
     return members.join(roots.withColumnRenamed("root", "r"), "id", "left").withColumn("root", F.coalesce("r", "id")).drop("r")
@@ -191,7 +208,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # A document that shares its bands with most others makes the best hub: it is nearest to the group's original.
     central = F.sum("n").over(Window.partitionBy("id"))
     members = write_shared(entries.join(shared, "bucket").select("bucket", "id", central.alias("central")), "buckets")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    ids = members.select(F.col("id").alias("doc_id")).distinct()
+    text = _likely(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids).join(ids, "doc_id", "left_semi")
     content = write_shared(contents(text).dropDuplicates(["id"]), "contents")
 
     alone = members.withColumn("root", F.col("id"))
