@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     central = F.sum("n").over(Window.partitionBy("id"))
     members = write_shared(entries.join(shared, "bucket").select("bucket", "id", central.alias("central")), "buckets")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
-    text = _likely(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids).join(ids, "doc_id", "left_semi")
+    text = _likely(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids).join(ids, "doc_id")  # a semi join would be moved below the filter
     content = write_shared(contents(text).dropDuplicates(["id"]), "contents")
 
     alone = members.withColumn("root", F.col("id"))
@@ -290,12 +290,12 @@ def _open(left: DataFrame, content: DataFrame) -> DataFrame:
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i, root, k, c in zip(b["id"], b["root"], b["kinds"], b["counts"], strict=True):
-                kinds = np.frombuffer(k, np.uint32).astype(np.int64)
+                kinds = np.frombuffer(k, np.int32)
                 weight = np.ones(len(kinds), np.int64) if c is None else np.frombuffer(c, np.uint32).astype(np.int64)
                 yield pd.DataFrame({"id": np.int64(i), "root": np.int64(root), "kind": kinds, "w": weight})
 
     ids = left.select("id", "root").distinct()
-    rows = write_shared(content.join(ids, "id").select("id", "root", "kinds", "counts").mapInPandas(spread, "id long, root long, kind long, w long"), "shingles")
+    rows = write_shared(content.join(ids, "id").select("id", "root", "kinds", "counts").mapInPandas(spread, "id long, root long, kind int, w long"), "shingles")
     single = rows.groupBy("kind").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low = high").select("kind", F.lit(1).alias("own"))
     mass = rows.join(single, "kind", "left").groupBy("id").agg((F.max("w") == 1).alias("plain"), F.sum("w").alias("n"), F.coalesce(F.sum(F.col("w") * F.col("own")), F.lit(0)).alias("u"))
     return left.join(mass.where(F.col("n") - F.col("u") >= SIMILAR * F.col("n") - 1e-9), "id")
