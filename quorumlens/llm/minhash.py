@@ -255,11 +255,11 @@ def _rest(left: DataFrame, content: DataFrame) -> DataFrame:
     sizes = left.groupBy("bucket", "root").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("x")).select("bucket", F.col("x.root").alias("main"))
     least = rows.groupBy("bucket").agg(F.min("n").alias("least_n"), F.bool_and("plain").alias("all_plain"))
-    few = rows.join(largest, "bucket").join(least, "bucket").where("root != main")
     # Alone against the best partner that the bucket could hold.
     best = F.col("n") - F.col("u")
-    few = few.where(~F.col("plain") | ~F.col("all_plain") | (best >= SIMILAR * (F.col("n") + F.greatest(best, "least_n") - best) - 1e-9))
-    few = few.select("bucket", *[F.col(c).alias(f"{c}_") for c in ("id", "root", "plain", "n", "u", "h", "own")])
+    rows = rows.join(least, "bucket").where(~F.col("plain") | ~F.col("all_plain") | (best >= SIMILAR * (F.col("n") + F.greatest(best, "least_n") - best) - 1e-9))
+    rows = rows.join(largest, "bucket").withColumn("in_main", F.expr("root = main"))
+    few = rows.where("NOT in_main").select("bucket", *[F.col(c).alias(f"{c}_") for c in ("id", "root", "plain", "n", "u", "h", "own")])
 
     def shared(whole, whole_):
         rest, rest_ = (F.greatest(F.col(f"n{m}") - F.col(f"h{m}") - F.col(f"u{m}"), F.lit(0)) / w for m, w in (("", whole), ("_", whole_)))
@@ -272,7 +272,7 @@ def _rest(left: DataFrame, content: DataFrame) -> DataFrame:
     can = F.when(F.col("plain") & F.col("plain_"), sets >= SIMILAR * (F.col("n") + F.col("n_") - sets) - 1e-9)
     can = can.otherwise(shared(F.col("n"), F.col("n_")) >= SIMILAR - 1e-9)
     first = F.element_at(F.array_intersect("own", "own_"), 1) == F.col("right.bucket")
-    pairs = rows.alias("left").join(few.alias("right"), (F.col("left.bucket") == F.col("right.bucket")) & (F.col("root") != F.col("root_")) & can & first)
+    pairs = rows.alias("left").join(few.alias("right"), (F.col("left.bucket") == F.col("right.bucket")) & (F.col("root") != F.col("root_")) & (F.col("in_main") | (F.col("id") < F.col("id_"))) & can & first)
     return pairs.select(F.greatest("id", "id_").alias("a"), F.least("id", "id_").alias("b")).distinct()
 
 
