@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(links)
     left = None
     for step in ("hubs", "rest"):
-        left = checkpoint(_apart(_rooted(members if left is None else left.select("bucket", "id", "central", *MASS), roots)))
+        left = checkpoint(_apart(_rooted(members if left is None else left.select("bucket", "id", "central"), roots)))
         if step == "hubs":
             left = checkpoint(_apart(_open(left, content)))
         if left.isEmpty():
@@ -241,8 +241,9 @@ def _rest(left: DataFrame, content: DataFrame) -> DataFrame:
     A bucket's largest component needs no pair of its own members: what meets the bucket is
     the members outside of it. Of them and theirs, pairs are left out whose similarity is
     provably less than ``SIMILAR``. With n the weight of a document's shingles, u of those that
-    no other component has and h of those in the bucket's hub, two members share at most
-    h (of the lesser) + what else each may share (n - h - u, of the lesser), and at most n - u.
+    no other component has, and h and o of those others that the bucket's hub has and has not
+    (n = u + h + o), two members share at most h (of the lesser) + o (of the lesser). What
+    is both in the hub and in no other component is in u alone.
     Without repeated shingles that bounds the overlap of two sets; with them, taken as shares
     of n, it bounds the probability Jaccard similarity, whose terms are at most
     min(x_i / sum x, y_i / sum y).
@@ -250,7 +251,9 @@ def _rest(left: DataFrame, content: DataFrame) -> DataFrame:
     own = left.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("own"))
     hubs = left.groupBy("bucket").agg(F.min_by("id", _central()).alias("hub"))
     rows = left.join(hubs, "bucket")
-    common = checkpoint(_common(rows.select("id", "hub").distinct(), content.join(own.select("id"), "id", "left_semi")))
+    shingles_ = _spread(left, content)
+    kinds = content.join(_mass(shingles_), "id").join(_alone(shingles_), "id", "left")
+    common = checkpoint(_common(rows.select("id", "hub").distinct(), kinds))
     rows = rows.join(common, ["id", "hub"]).join(own, "id")
     sizes = left.groupBy("bucket", "root").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("x")).select("bucket", F.col("x.root").alias("main"))
@@ -259,14 +262,10 @@ def _rest(left: DataFrame, content: DataFrame) -> DataFrame:
     best = F.col("n") - F.col("u")
     rows = rows.join(least, "bucket").where(~F.col("plain") | ~F.col("all_plain") | (best >= SIMILAR * (F.col("n") + F.greatest(best, "least_n") - best) - 1e-9))
     rows = rows.join(largest, "bucket").withColumn("in_main", F.expr("root = main"))
-    few = rows.where("NOT in_main").select("bucket", *[F.col(c).alias(f"{c}_") for c in ("id", "root", "plain", "n", "u", "h", "own")])
+    few = rows.where("NOT in_main").select("bucket", *[F.col(c).alias(f"{c}_") for c in ("id", "root", "plain", "n", "h", "o", "own")])
 
     def shared(whole, whole_):
-        rest, rest_ = (F.greatest(F.col(f"n{m}") - F.col(f"h{m}") - F.col(f"u{m}"), F.lit(0)) / w for m, w in (("", whole), ("_", whole_)))
-        return F.least(
-            F.least(F.col("h") / whole, F.col("h_") / whole_) + F.least(rest, rest_),
-            (F.col("n") - F.col("u")) / whole, (F.col("n_") - F.col("u_")) / whole_,
-        )
+        return F.least(F.col("h") / whole, F.col("h_") / whole_) + F.least(F.col("o") / whole, F.col("o_") / whole_)
 
     sets = shared(F.lit(1), F.lit(1))
     can = F.when(F.col("plain") & F.col("plain_"), sets >= SIMILAR * (F.col("n") + F.col("n_") - sets) - 1e-9)
@@ -276,16 +275,8 @@ def _rest(left: DataFrame, content: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("id", "id_").alias("a"), F.least("id", "id_").alias("b")).distinct()
 
 
-#: What ``_open`` finds out of a document: no repeated shingle, weight of its shingles, and of those in no other component.
-MASS = ("plain", "n", "u")
-
-
-def _open(left: DataFrame, content: DataFrame) -> DataFrame:
-    """Members that can be similar to a document of another component, with the columns ``MASS``.
-
-    What two documents share is at most the weight of the shingles that other components
-    have too; where that is less than ``SIMILAR`` of the whole, no further link is possible.
-    """
+def _spread(left: DataFrame, content: DataFrame) -> DataFrame:
+    """(id, root, kind, w): the shingles of the documents in ``left`` and their weights."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -295,23 +286,50 @@ def _open(left: DataFrame, content: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"id": np.int64(i), "root": np.int64(root), "kind": kinds, "w": weight})
 
     ids = left.select("id", "root").distinct()
-    rows = write_shared(content.join(ids, "id").select("id", "root", "kinds", "counts").mapInPandas(spread, "id long, root long, kind int, w long"), "shingles")
-    single = rows.groupBy("kind").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low = high").select("kind", F.lit(1).alias("own"))
-    mass = rows.join(single, "kind", "left").groupBy("id").agg((F.max("w") == 1).alias("plain"), F.sum("w").alias("n"), F.coalesce(F.sum(F.col("w") * F.col("own")), F.lit(0)).alias("u"))
-    return left.join(mass.where(F.col("n") - F.col("u") >= SIMILAR * F.col("n") - 1e-9), "id")
+    return write_shared(content.join(ids, "id").select("id", "root", "kinds", "counts").mapInPandas(spread, "id long, root long, kind int, w long"), "shingles")
+
+
+def _single(rows: DataFrame) -> DataFrame:
+    """(kind, own): shingles of only one component."""
+    return rows.groupBy("kind").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low = high").select("kind", F.lit(1).alias("own"))
+
+
+def _mass(rows: DataFrame) -> DataFrame:
+    """(id, plain, n, u): no repeated shingle, weight of its shingles, and of those in no other component."""
+    own = F.coalesce(F.sum(F.col("w") * F.col("own")), F.lit(0))
+    return rows.join(_single(rows), "kind", "left").groupBy("id").agg((F.max("w") == 1).alias("plain"), F.sum("w").alias("n"), own.alias("u"))
+
+
+def _alone(rows: DataFrame) -> DataFrame:
+    """(id, alone): a document's shingles that are in no other component."""
+    return rows.join(_single(rows), "kind").groupBy("id").agg(F.collect_list("kind").alias("alone"))
+
+
+def _open(left: DataFrame, content: DataFrame) -> DataFrame:
+    """Members that can be similar to a document of another component.
+
+    What two documents share is at most the weight of the shingles that other components
+    have too; where that is less than ``SIMILAR`` of the whole, no further link is possible.
+    """
+    mass = _mass(_spread(left, content))
+    return left.join(mass.where(F.col("n") - F.col("u") >= SIMILAR * F.col("n") - 1e-9).select("id"), "id")
 
 
 def _common(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
-    """(id, hub, h): the weight of a document's shingles that its hub has too."""
+    """(id, hub, plain, n, u, h, o): of a document's shingles that other components have, the weight its hub has too, and has not."""
 
-    def weight(a: bytes, c: bytes | None, b: bytes) -> int:
-        _, at, _ = np.intersect1d(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), assume_unique=True, return_indices=True)
-        return len(at) if c is None else int(np.frombuffer(c, np.uint32)[at].astype(np.int64).sum())
+    def weight(a: bytes, c: bytes | None, alone: np.ndarray | None, b: bytes) -> tuple[int, int]:
+        own = np.frombuffer(a, np.uint32)
+        mass = np.ones(len(own), np.int64) if c is None else np.frombuffer(c, np.uint32).astype(np.int64)
+        both = np.ones(len(own), bool) if alone is None else ~np.isin(own, np.asarray(alone, np.int32).view(np.uint32))
+        hub = np.isin(own, np.frombuffer(b, np.uint32))
+        return int(mass[both & hub].sum()), int(mass[both & ~hub].sum())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            h = [weight(*x) for x in zip(p["ka"], p["ca"], p["kb"], strict=True)]
-            yield p[["id", "hub"]].assign(h=np.array(h, np.int64))
+            found = np.array([weight(*x) for x in zip(p["ka"], p["ca"], p["alone"], p["kb"], strict=True)], np.int64).reshape(-1, 2)
+            yield p[["id", "hub", "plain", "n", "u"]].assign(h=found[:, 0], o=found[:, 1])
 
-    both = pairs.join(kinds.select("id", F.col("kinds").alias("ka"), F.col("counts").alias("ca")), "id").join(kinds.select(F.col("id").alias("hub"), F.col("kinds").alias("kb")), "hub")
-    return both.select("id", "hub", "ka", "ca", "kb").mapInPandas(run, "id long, hub long, h long")
+    side = kinds.select("id", "plain", "n", "u", "alone", F.col("kinds").alias("ka"), F.col("counts").alias("ca"))
+    both = pairs.join(side, "id").join(kinds.select(F.col("id").alias("hub"), F.col("kinds").alias("kb")), "hub")
+    return both.select("id", "hub", "plain", "n", "u", "ka", "ca", "alone", "kb").mapInPandas(run, "id long, hub long, plain boolean, n long, u long, h long, o long")

@@ -210,6 +210,36 @@ def test_pairs_that_the_bound_leaves_out_are_not_similar(spark):
     assert similar <= pairs and len(pairs) < 60 * 59 / 2
 
 
+def contents_of(spark, sets):
+    """What ``minhash.contents`` gives, of sets of whole numbers."""
+    rows = [(i, np.array(sorted(x), np.uint32).tobytes(), None) for i, x in sets.items()]
+    return spark.createDataFrame(rows, "id long, kinds binary, counts binary")
+
+
+def jaccard(x, y):
+    return len(x & y) / len(x | y)
+
+
+def test_bound_of_a_document_in_its_hubs_component(spark):
+    hub = set(range(1, 101))
+    a = set(range(1, 96)) | set(range(101, 106))
+    b = (a - set(range(86, 96))) | set(range(201, 211))
+    assert jaccard(hub, a) >= minhash.SIMILAR and jaccard(a, b) >= minhash.SIMILAR > jaccard(hub, b)
+    left = spark.createDataFrame([(1, 0, 9, 0), (1, 1, 5, 0), (1, 2, 4, 2)], "bucket long, id long, central long, root long")
+    assert (2, 1) in {tuple(r) for r in minhash._rest(left, contents_of(spark, {0: hub, 1: a, 2: b})).collect()}
+
+
+def test_bound_with_components_of_several_documents(spark):
+    rng = random.Random(8)
+    base = list(range(100))
+    sets = {i: set(rng.sample(base, 91)) | {1000 * i + j for j in range(rng.randint(0, 4))} | {10**6 + (i % 6) * 10 + j for j in range(rng.randint(0, 5))} for i in range(48)}
+    root = {i: i % 6 for i in sets}
+    left = spark.createDataFrame([(1, i, 100 - i, root[i]) for i in sets], "bucket long, id long, central long, root long")
+    pairs = {tuple(r) for r in minhash._rest(left, contents_of(spark, sets)).collect()}
+    similar = {(a, b) for a in sets for b in sets if b < a and root[a] != root[b] and jaccard(sets[a], sets[b]) >= minhash.SIMILAR}
+    assert similar and similar <= pairs
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     kinds = np.unique(rng.integers(0, 2**62, 400).astype(np.uint64))
