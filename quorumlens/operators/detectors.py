@@ -113,14 +113,19 @@ def renamed_steps(missing: DataFrame, loose: DataFrame, least: float = RENAMED_S
     """(family, url, key, title, renamed_key, renamed_title, ratio): greedy pairing within a page.
 
     For each missing step in norm order: the most similar loose step of the page not yet
-    taken, if similar enough, or else the loose step at the same place.
+    taken, if similar enough, or else the loose step at the same place. Only pairs that can be
+    taken reach a page's group: the similar ones and those of one place.
     """
     pairs = missing.select("family", "url", "key", "title", "place").join(loose.select("family", "url", F.col("key").alias("loose"), F.col("title").alias("loose_title"), "pos"), ["family", "url"])
-    scored = pairs.withColumn("ratio", similarity(F.col("key"), F.col("loose")))
+    # What matches is at most the shorter of two texts.
+    size, other = F.length("key"), F.length("loose")
+    near = 2 * F.least(size, other) >= least * (size + other) - 1e-9
+    pairs = pairs.where(near | (F.col("pos") == F.col("place")))
+    scored = pairs.withColumn("ratio", similarity(F.col("key"), F.col("loose"))).where((F.col("ratio") >= least) | (F.col("pos") == F.col("place")))
 
     def assign(page: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []
-        for place, group in page.sort_values(["place", "pos"]).groupby("place", sort=True):
+        for (place, _), group in page.sort_values(["place", "key", "pos", "loose"]).groupby(["place", "key"], sort=True):
             free = group[~group["loose"].isin(taken)]
             if free.empty:
                 continue

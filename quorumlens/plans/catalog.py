@@ -303,10 +303,12 @@ def step_order(spark, sf_dir):
 
 @query()
 def step_rename(spark, sf_dir):
-    """Part names as steps of their brand: names that stand in for a missing one."""
-    p = _table(spark, sf_dir, "part").select(F.lit("parts").alias("family"), F.col("p_brand").alias("url"), "p_name", "p_size", "p_partkey")
-    missing = p.where("p_partkey % 7 = 0").select("family", "url", F.lower("p_name").alias("key"), F.col("p_name").alias("title"), F.col("p_size").alias("place"))
-    loose = p.where("p_partkey % 7 = 1").select("family", "url", F.lower("p_name").alias("key"), F.col("p_name").alias("title"), F.col("p_size").alias("pos"))
+    """Part names as steps of a page (brand, type, container): those of the smaller sizes are missing, the others loose."""
+    page = F.to_json(F.struct("p_brand", "p_type", "p_container"))
+    small = F.coalesce(F.col("p_size"), F.lit(0)) <= 25
+    p = _table(spark, sf_dir, "part").select(F.lit("parts").alias("family"), page.alias("url"), F.lower("p_name").alias("key"), F.col("p_name").alias("title"), F.col("p_size").alias("place"), (F.col("p_size") - 25).alias("pos"), small.alias("small"))
+    missing = p.where("small").drop("pos", "small")
+    loose = p.where("NOT small").drop("place", "small")
     return D.renamed_steps(missing, loose)
 
 

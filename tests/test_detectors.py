@@ -155,3 +155,19 @@ def test_urls(spark):
     assert urls.systematic_sample(pages.limit(0), "page_id").isEmpty()
     maps = spark.createDataFrame([("s", "<sitemapindex><loc>a</loc><loc> b </loc><loc>s</loc></sitemapindex>"), ("a", "<urlset><loc>p1</loc></urlset>"), ("b", "<urlset><loc>p1</loc><LOC>p2</LOC></urlset>")], "sitemap_url string, xml string")
     assert sorted(r[0] for r in urls.expand_sitemaps(maps, ["s"]).collect()) == ["p1", "p2"]
+
+
+def test_every_part_takes_part_in_step_rename(spark, tmp_path):
+    from quorumlens.plans import catalog
+
+    rows = [(5, "red apple", "B", "T", "C", 3), (12, "red apples", "B", "T", "C", 40), (19, "blue plum", "B", "T", "C", 3), (26, "blue plums", "B", "T", "C", 41), (33, "red apple", "B", "T", "D", 50)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_container string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.queries()["step_rename"](spark, str(tmp_path)).collect()
+    assert {(r["key"], r["renamed_key"]) for r in got} == {("red apple", "red apples"), ("blue plum", "blue plums")}
+
+
+def test_only_pairs_that_can_be_taken_are_grouped(spark):
+    missing = spark.createDataFrame([("f", "u", "abcdefgh", "A", 0), ("f", "u", "qqqq", "Q", 1), ("f", "u", "wwww", "W", 2)], "family string, url string, key string, title string, place int")
+    loose = spark.createDataFrame([("f", "u", "abcdefgx", "A2", 5), ("f", "u", "zzzzzzzzzzzzzzzzzzzz", "Z", 1), ("f", "u", "y", "Y", 7)], "family string, url string, key string, title string, pos int")
+    got = D.renamed_steps(missing, loose).collect()
+    assert {(r["key"], r["renamed_key"]) for r in got} == {("abcdefgh", "abcdefgx"), ("qqqq", "zzzzzzzzzzzzzzzzzzzz")}
