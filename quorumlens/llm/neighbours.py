@@ -13,6 +13,8 @@ without a usable row the result is empty; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -129,30 +131,52 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float =
 
 
 def _search(k: int, degree: int, beam: int, alpha: float):
-    def task(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        names = ["query", "vec_id", "score"]
-        if not len(points) or not len(queries):
-            return pd.DataFrame(columns=names)
-        points = points.sort_values("id", kind="stable")
-        exact = np.stack(points["v"].to_numpy()).astype(np.float64)
-        asked = np.stack(queries["v"].to_numpy()).astype(np.float64)
+    names = ["query", "vec_id", "score"]
+
+    def ready(points: list[tuple[int, list[int], np.ndarray]]):
+        exact = np.stack([v for _, _, v in points]).astype(np.float64)
         # The graph works on single precision around the centre; what is returned is measured anew.
         centre = exact.mean(axis=0)
         scale = float(np.abs(exact - centre).max()) or 1.0
-        x, q = ((exact - centre) / scale).astype(np.float32), ((asked - centre) / scale).astype(np.float32)
+
+        def fit(v: np.ndarray) -> np.ndarray:
+            return ((v - centre) / scale).astype(np.float32)
+
+        x = fit(exact)
         graph, entry = build(x, degree, beam, alpha)
-        ids = points["ids"].tolist()
+        return exact, [ids for _, ids, _ in points], fit, x, graph, entry
+
+    def search(shard, ids_of: list[int], asked: np.ndarray) -> pd.DataFrame:
+        exact, ids, fit, x, graph, entry = shard
+        found, _ = beam_search(x, graph, entry, fit(asked), max(beam, k))
         out = []
-        for at in range(0, len(q), BATCH):
-            found, _ = beam_search(x, graph, entry, q[at : at + BATCH], max(beam, k))
-            for query, vector, nodes in zip(queries["id"][at : at + BATCH].tolist(), asked[at : at + BATCH], found, strict=True):
-                nodes = nodes[nodes >= 0]
-                d = np.sqrt(((exact[nodes] - vector) ** 2).sum(axis=1))
-                near = sorted((float(s), int(i)) for s, node in zip(d.tolist(), nodes.tolist(), strict=True) for i in ids[node])[:k]
-                out += [(query, i, s) for s, i in near]
+        for query, vector, nodes in zip(ids_of, asked, found, strict=True):
+            nodes = nodes[nodes >= 0]
+            d = np.sqrt(((exact[nodes] - vector) ** 2).sum(axis=1))
+            near = sorted((float(s), int(i)) for s, node in zip(d.tolist(), nodes.tolist(), strict=True) for i in ids[node])[:k]
+            out += [(query, i, s) for s, i in near]
         return pd.DataFrame(out, columns=names)
 
-    return task
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """From rows sorted by (shard, points before queries, id): one shard's points and one batch of queries at a time."""
+        at, points, shard = None, [], None
+        for b in batches:
+            for key, group in b.groupby("shard", sort=True):
+                if key != at:
+                    at, points, shard = key, [], None
+                asks = group["ids"].isna().to_numpy()
+                new = group[~asks]
+                points += zip(new["id"].tolist(), new["ids"].tolist(), new["v"].tolist(), strict=True)
+                group = group[asks]
+                if len(group) and points and shard is None:
+                    shard, points = ready(points), []
+                if shard is None:
+                    continue
+                for i in range(0, len(group), BATCH):
+                    part = group.iloc[i : i + BATCH]
+                    yield search(shard, part["id"].tolist(), np.stack(part["v"].to_numpy()).astype(np.float64))
+
+    return run
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 10, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, shard: tuple[int, int] = SHARD) -> DataFrame:
@@ -167,7 +191,10 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, degree: int = DEGREE
     asking = rows.where(is_query).distinct()
     queries = asking.groupBy("v").agg(F.min("vec_id").alias("id"))
     everywhere = queries.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"))
-    found = points.groupBy("shard").cogroup(everywhere.groupBy("s")).applyInPandas(_search(k + 1, degree, beam, alpha), "query long, vec_id long, score double")
+    # A shard's points come first, then its queries pass by in Arrow batches: no task holds all queries or results.
+    asks = everywhere.select(F.col("s").alias("shard"), F.lit(None).cast("array<bigint>").alias("ids"), "id", "v")
+    dealt = points.select("shard", "ids", "id", "v").unionByName(asks).repartition("shard").sortWithinPartitions("shard", F.col("ids").isNull(), "id")
+    found = dealt.mapInPandas(_search(k + 1, degree, beam, alpha), "query long, vec_id long, score double")
     best = Window.partitionBy("query").orderBy("score", "vec_id")
     found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
     own = asking.join(queries, "v").select(F.col("vec_id").alias("query_id"), F.col("id").alias("query"))

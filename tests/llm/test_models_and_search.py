@@ -130,6 +130,28 @@ def test_nearest_neighbours(spark):
     assert neighbours.nearest(frame.limit(0), F.col("vec_id") == 0).isEmpty()
 
 
+def test_queries_pass_a_shard_in_batches():
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 8))
+    rows = pd.DataFrame({"shard": 0, "ids": [[i] for i in range(300)] + [None] * 400, "id": [*range(300), *range(1000, 1400)], "v": list(x)})
+    reads = []
+
+    def batches():
+        for at in range(0, 700, 100):
+            reads.append(at)
+            yield rows.iloc[at : at + 100]
+
+    out = neighbours._search(5, neighbours.DEGREE, neighbours.BEAM, neighbours.ALPHA)(batches())
+    first = next(out)
+    assert len(first) == 500 and reads[-1] == 300  # the later queries are not read yet
+    got = pd.concat([first, *out])
+    assert got["query"].nunique() == 400
+    hits = sum(len(set(g["vec_id"]) & set(np.argsort(((x[:300] - x[300 + q - 1000]) ** 2).sum(axis=1))[:5])) for q, g in got.groupby("query"))
+    assert hits / 2000 >= 0.95
+
+
 def test_hamming_search(spark):
     x, rows = vectors(2)
     frame = spark.createDataFrame(rows, SCHEMA)
