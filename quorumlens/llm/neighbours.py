@@ -32,13 +32,15 @@ SHARDS = 64
 #: Nodes that are opened at a time, and searches that are run side by side.
 OPEN = 4
 BATCH = 256
+#: Beyond so many times the median distance from the centre a shard is searched in double precision.
+FAR = 1000
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``beam`` nearest nodes (ids, squared distances) that each query's search comes by; -1 fills up."""
     n = len(queries)
     ids = np.full((n, beam), -1, np.int64)
-    dist = np.full((n, beam), np.inf, np.float32)
+    dist = np.full((n, beam), np.inf, x.dtype)
     opened = np.zeros((n, beam), bool)
     seen = np.zeros((n, len(x)), bool)
     ids[:, 0] = entry
@@ -64,7 +66,7 @@ def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarra
         r, c = np.nonzero(fresh)
         node = near[r, c]
         seen[live[r], node] = True
-        d = np.full(near.shape, np.inf, np.float32)
+        d = np.full(near.shape, np.inf, x.dtype)
         d[r, c] = ((x[node] - queries[live[r]]) ** 2).sum(axis=1)
         all_d = np.concatenate([dist[live], d], axis=1)
         all_i = np.concatenate([ids[live], np.where(fresh, near, -1)], axis=1)
@@ -135,12 +137,15 @@ def _search(k: int, degree: int, beam: int, alpha: float):
 
     def ready(points: list[tuple[int, list[int], np.ndarray]]):
         exact = np.stack([v for _, _, v in points]).astype(np.float64)
-        # The graph works on single precision around the centre; what is returned is measured anew.
-        centre = exact.mean(axis=0)
-        scale = float(np.abs(exact - centre).max()) or 1.0
+        # The graph works around the centre, in single precision unless some vectors lie so far out
+        # that the others would become equal in it; what is returned is measured anew.
+        centre = np.median(exact, axis=0)
+        size = np.abs(exact - centre).max(axis=1)
+        scale = float(np.median(size)) or float(size.max()) or 1.0
+        kind = np.float64 if size.max() > FAR * scale else np.float32
 
-        def fit(v: np.ndarray) -> np.ndarray:
-            return ((v - centre) / scale).astype(np.float32)
+        def fit(v: np.ndarray, kind: type = kind) -> np.ndarray:
+            return ((v - centre) / scale).astype(kind)
 
         x = fit(exact)
         graph, entry = build(x, degree, beam, alpha)
@@ -148,7 +153,10 @@ def _search(k: int, degree: int, beam: int, alpha: float):
 
     def search(shard, ids_of: list[int], asked: np.ndarray) -> pd.DataFrame:
         exact, ids, fit, x, graph, entry = shard
-        found, _ = beam_search(x, graph, entry, fit(asked), max(beam, k))
+        q = fit(asked, np.float64)
+        # A query far outside has no finite square in single precision.
+        space = x if np.abs(q).max() <= FAR else x.astype(np.float64)
+        found, _ = beam_search(space, graph, entry, q.astype(space.dtype), max(beam, k))
         out = []
         for query, vector, nodes in zip(ids_of, asked, found, strict=True):
             nodes = nodes[nodes >= 0]

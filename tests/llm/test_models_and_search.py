@@ -152,6 +152,21 @@ def test_queries_pass_a_shard_in_batches():
     assert hits / 2000 >= 0.95
 
 
+def test_one_huge_vector_does_not_blind_its_shard():
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 8))
+    x[17, 2] = 1e20
+    points = pd.DataFrame({"shard": 0, "ids": [[i] for i in range(600)], "id": range(600), "v": list(x)})
+    asks = points[points["id"] % 10 == 0].assign(ids=None)
+    got = pd.concat(neighbours._search(6, neighbours.DEGREE, neighbours.BEAM, neighbours.ALPHA)(iter([points, asks])))
+    hits = sum(len(set(g["vec_id"]) & set(np.argsort(((x - x[q]) ** 2).sum(axis=1))[:6])) for q, g in got.groupby("query"))
+    assert hits / 360 >= 0.9
+    others = points.iloc[100:]  # a shard without it must answer it too
+    assert len(pd.concat(neighbours._search(6, neighbours.DEGREE, neighbours.BEAM, neighbours.ALPHA)(iter([others, points[points["id"] == 17].assign(ids=None)])))) == 6
+
+
 def test_hamming_search(spark):
     x, rows = vectors(2)
     frame = spark.createDataFrame(rows, SCHEMA)
