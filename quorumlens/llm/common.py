@@ -22,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests on one machine) a folder of our own is set.
+    Only where the session names none and runs on one machine (tests) a folder of our own is set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quorumlens-"))
         base = spark.sparkContext.getCheckpointDir()
     return base
@@ -54,18 +56,42 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_shared() -> None:
     """Remove what ``write_shared`` has left; frames read from it must no longer be in use."""
     for path, spark in list(_folders.items()):
         _folders.pop(path)
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            remove(spark, path)
         except Exception:  # noqa: BLE001 - the JVM has ended: the cluster's own clean-up removes the folder
             return
 
 
+class Scratch:
+    """Intermediate tables of one operator in the shared folder, removed by ``close`` once its result is written."""
+
+    def __init__(self, name: str):
+        self.name = name
+        self.kept: list[tuple[SparkSession, str]] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        before = set(_folders)
+        out = write_shared(df, f"{self.name}-{name}")
+        self.kept += [(df.sparkSession, path) for path in set(_folders) - before]
+        return out
+
+    def close(self) -> None:
+        for spark, path in self.kept:
+            _folders.pop(path, None)
+            remove(spark, path)
+        self.kept.clear()
+
+
 def text_id() -> Column:
     """doc_id as text, for the way through pandas, where whole numbers beside nulls lose digits."""
     return F.col("doc_id").cast("string").alias("doc_id")
@@ -86,12 +112,12 @@ def sample_by_class(labelled: DataFrame, label: str, bound: int, counts: dict) -
 
     ``counts`` are the classes' row counts over all data. A row is taken if the hash of its
     doc_id falls below its class's share, so one scan serves all classes, nothing is
-    shuffled, and a hot class costs no more than another. The frame never holds more than
-    twice ``bound`` rows a class in all.
+    shuffled, and a hot class costs no more than another. Rows that share a doc_id are taken
+    together: the first rows by label and doc_id, twice ``bound`` a class in all, are kept.
     """
     share = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, min(1.0, bound / max(n, 1)))])
     draw = F.xxhash64(F.col("doc_id"), F.lit(17)).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
-    return labelled.where(draw < share[F.col(label)]).limit(2 * bound * len(counts))
+    return labelled.where(draw < share[F.col(label)]).orderBy(label, "doc_id").limit(2 * bound * len(counts))
 
 
 def isotonic(positives: list[float], totals: list[float]) -> list[float]:

@@ -18,7 +18,7 @@ def _centred(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 50) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, root) for every id in ``links``: root is the least id it is linked with, however far.
 
     Each round hangs larger neighbours on the least one, then smaller ones too, until
@@ -27,7 +27,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 50) ->
     """
     edges = checkpoint(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     before = None
-    for _ in range(most):
+    while True:  # ends: a round that changes nothing is the last
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _centred(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         tied = _centred(large)

@@ -18,18 +18,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, sample_by_class, text_id, typed_id
+from .common import bucket_of, sample_by_class
 
 WINDOW = 128
 EMBED = 8
 FILTERS = 16
 WIDTHS = (2, 3, 4)
-#: Bounds of what is learned from: documents of a language, windows of a document, languages.
+#: Bounds of what is learned from: documents of a language, windows of a document.
 DOCS_PER_LANGUAGE = 1500
 WINDOWS_PER_DOC = 2
-MAX_LANGUAGES = 200
-#: Bytes of text that are turned into windows at a time.
-CHUNK = 4 << 20
+#: Characters of text that are turned into windows at a time.
+CHUNK = 1 << 20
 UNDETERMINED = "und"
 
 
@@ -138,11 +137,12 @@ class ByteCnn:
 def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> tuple[list[str], dict | None]:
     """Train on (doc_id, text, lang); returns the languages and the network's weights.
 
-    At most ``docs_per_language`` documents of each of the ``MAX_LANGUAGES`` most frequent
-    languages reach the driver, and ``WINDOWS_PER_DOC`` windows, spread over the text, of each.
+    At most about ``docs_per_language`` documents of each language reach the driver, and
+    ``WINDOWS_PER_DOC`` windows, spread over the text, of each. Every value of ``lang`` is a class,
+    so their number, that of the languages, is the bound of what is held.
     """
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    found = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    found = labelled.groupBy("lang").count().collect()
     counts = {r["lang"]: r["count"] for r in found}
     languages = sorted(counts)
     if not languages:
@@ -164,20 +164,14 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> tupl
     return languages, ByteCnn.fit(np.stack(x)[order], np.array(y)[order], len(languages)).w
 
 
-def identify(docs: DataFrame, languages: list[str], weights: dict | None, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, lang_pred, score) for every row of ``docs`` (doc_id, text).
+def identified(languages: list[str], weights: dict | None):
+    """A column function from a text to a struct of lang_pred and score; nothing else passes through Python."""
 
-    With ``keep``: those columns of ``docs``, and one struct ``__found`` of lang_pred and score.
-    """
-    whole = keep is not None
-    # Rows travel as they are, in one nested column that is not looked into.
-    rows = docs.select(text_id(), "text", *([F.to_json(F.struct(*[c for c in keep if c not in ("doc_id", "text")]), {"ignoreNullFields": "false"}).alias("rest")] if whole else []))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         net = ByteCnn(weights) if weights else None
         tables = net.tables() if net else None
-        for batch in batches:
-            texts = batch["text"].tolist()
+        for texts in batches:
             pred, value = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             todo, size = [], 0
             for i, text in enumerate([*texts, None]):
@@ -185,7 +179,7 @@ def identify(docs: DataFrame, languages: list[str], weights: dict | None, keep:
                     todo.append(i)
                     size += len(text)
                 if todo and (size >= CHUNK or i == len(texts)):
-                    x, counts = windows([texts[k] for k in todo])
+                    x, counts = windows([texts.iat[k] for k in todo])
                     weight = (x != 0).sum(axis=1)
                     logs = net.log_probabilities(x, tables) * weight[:, None]
                     at = np.concatenate([[0], np.cumsum(counts)[:-1]])
@@ -195,14 +189,15 @@ def identify(docs: DataFrame, languages: list[str], weights: dict | None, keep:
                     for k, best, s in zip(todo, p.argmax(axis=1), p.max(axis=1), strict=True):
                         pred[k], value[k] = languages[best], s
                     todo, size = [], 0
-            yield pd.DataFrame({**{c: batch[c] for c in (("doc_id", "text", "rest") if whole else ("doc_id",))}, "lang_pred": pred, "score": value})
-
-    found = typed_id(rows.mapInPandas(score, f"doc_id string, {'text string, rest string, ' if whole else ''}lang_pred string, score double"), docs)
-    if not whole:
-        return found
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep and f.name not in ("doc_id", "text"))
-    found = found.withColumn("rest", F.from_json("rest", fields)) if fields else found
-    return found.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in keep], F.struct("lang_pred", "score").alias("__found"))
+            yield pd.DataFrame({"lang_pred": pred, "score": value})
+
+    return found
+
+
+def identify(docs: DataFrame, languages: list[str], weights: dict | None) -> DataFrame:
+    """(doc_id, lang_pred, score) for every row of ``docs`` (doc_id, text)."""
+    found = identified(languages, weights)
+    return docs.select("doc_id", found("text").alias("f")).select("doc_id", "f.lang_pred", "f.score")
 
 
 def held_out(modulus: int, remainder: int):

@@ -9,14 +9,16 @@ bands; documents with an equal band are candidates, and only pairs whose exact s
 ``SIMILAR`` or more are linked. The result is the class (connected component) of each document.
 
 Copies (equal lower-cased words) are one node of the graph. A band's bucket is never paired
-off: its members are compared with one hub; then those that are still apart from others of
-their bucket with further hubs; and whoever is left with every member of another component,
-so every bucket is decided exactly: two members of one bucket are compared, or already
-connected, whatever the bucket's size.
+off: its members are compared with one hub, the member that shares its bands with most others.
+Members of buckets that are then still split over several components are joined on shared
+shingles, rarest first, and only on as many of each document's shingles as a similarity of
+``SIMILAR`` leaves no way around. So every bucket is decided exactly: two of its members are
+compared, connected already, or provably less similar, whatever the bucket's size.
 
 Defined results: texts without a word (null, empty) are classes of their own; texts of fewer
 than five words have one shingle of all their words; rows with a null doc_id get a null
-class; rows that share a doc_id are one document; other columns are ignored.
+class; rows that share a doc_id are one document, similar to whatever one of its texts is
+similar to; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, write_shared
+from .common import Scratch, checkpoint, write_shared
 from .graph import components
 from .wordhash import mix, run_hashes, word_hashes
 
@@ -41,6 +43,8 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Bits of the filter that finds the texts to compare.
 BITS = 1 << 25
+#: What rounding may add to or take from a bound.
+SLACK = 1e-9
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,27 +108,34 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, copy, bands) of every row: copy is equal for equal words, both are null without words."""
+    """(doc_id, copy, n, plain, bands) of every row: copy is equal for equal words, all are null without words.
+
+    ``n`` is the number of shingles, repeated ones included; ``plain`` tells that none repeats.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         turn = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * _GOLD).reshape(BANDS, ROWS)
         for b in batches:
-            copies, bands = [], []
-            for text in b["text"]:
+            out = []
+            for i, text in zip(b["doc_id"], b["text"], strict=True):
                 found = shingles(text)
-                copies.append(found and found[2])
-                if found:
-                    owner = signature(found[0], found[1]).reshape(BANDS, ROWS)
-                    bands.append(mix((owner * turn).sum(axis=1, dtype=np.uint64)).view(np.int64))
-                else:
-                    bands.append(None)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "copy": copies, "bands": bands})
+                if found is None:
+                    out.append((i, None, None, None, None))
+                    continue
+                kinds, counts, copy = found
+                owner = signature(kinds, counts).reshape(BANDS, ROWS)
+                out.append((i, copy, counts.sum(), counts.max() == 1, mix((owner * turn).sum(axis=1, dtype=np.uint64)).view(np.int64)))
+            yield pd.DataFrame(out, columns=["doc_id", "copy", "n", "plain", "bands"]).astype({"n": "Int64"})
 
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, copy binary, bands array<bigint>")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
+    return rows.mapInPandas(run, "doc_id long, copy binary, n long, plain boolean, bands array<bigint>")
 
 
 def contents(docs: DataFrame) -> DataFrame:
-    """(id, kinds, counts) of every row with words: sorted 32-bit shingle hashes and their counts."""
+    """(id, node, n, kinds, counts) of every row with words: shingle hashes, and their counts where any repeats.
+
+    ``node`` tells the texts of one doc_id apart.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -132,50 +143,48 @@ def contents(docs: DataFrame) -> DataFrame:
             for i, text in zip(b["doc_id"], b["text"], strict=True):
                 found = shingles(text)
                 if found:
-                    kinds, at = np.unique((found[0] >> np.uint64(32)).astype(np.uint32), return_inverse=True)
-                    counts = np.bincount(at, found[1])
-                    plain = counts.max() == 1
-                    out.append((i, kinds.tobytes(), None if plain else np.minimum(counts, 2**32 - 1).astype(np.uint32).tobytes()))
-            yield pd.DataFrame(out, columns=["id", "kinds", "counts"])
+                    kinds, counts, copy = found
+                    out.append((i, int.from_bytes(copy[:8], "little", signed=True), counts.sum(), kinds.view(np.int64), None if counts.max() == 1 else counts))
+            yield pd.DataFrame(out, columns=["id", "node", "n", "kinds", "counts"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "id long, kinds binary, counts binary")
+    return docs.select("doc_id", "text").mapInPandas(run, "id long, node long, n long, kinds array<bigint>, counts array<bigint>")
 
 
 def verified(pairs: DataFrame, content: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose exact similarity is ``SIMILAR`` or more."""
+    """The pairs (a, b) of (a, b, plain) whose exact similarity is ``SIMILAR`` or more.
 
-    def load(kinds: bytes, counts: bytes | None):
-        k = np.frombuffer(kinds, np.uint32)
-        return k, np.ones(len(k)) if counts is None else np.frombuffer(counts, np.uint32)
+    Sets (``plain``: no repeated shingle on either side) are compared by Spark's own functions;
+    only pairs with repeated shingles pass through Python.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        side = lambda k, c: (k.view(np.uint64), np.ones(len(k)) if c is None else c)
         for p in batches:
-            keep = [similarity(load(ka, ca), load(kb, cb)) >= SIMILAR for ka, ca, kb, cb in zip(p["ka"], p["ca"], p["kb"], p["cb"], strict=True)]
+            keep = [similarity(side(ka, ca), side(kb, cb)) >= SIMILAR for ka, ca, kb, cb in zip(p["ka"], p["ca"], p["kb"], p["cb"], strict=True)]
             yield p.loc[keep, ["a", "b"]]
 
-    side = lambda x: content.select(F.col("id").alias(x), F.col("kinds").alias(f"k{x}"), F.col("counts").alias(f"c{x}"))
-    # Equal lengths are a bound on similarity: sets whose sizes differ too much need no comparison.
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    alike = F.least(F.octet_length("ka"), F.octet_length("kb")) >= SIMILAR * F.greatest(F.octet_length("ka"), F.octet_length("kb"))
-    both = both.where(alike | F.col("ca").isNotNull() | F.col("cb").isNotNull())
-    return both.select("a", "b", "ka", "ca", "kb", "cb").mapInPandas(run, "a long, b long")
-
+    def both(which: DataFrame) -> DataFrame:
+        side = lambda x: content.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("kinds").alias(f"k{x}"), F.col("counts").alias(f"c{x}"))
+        return which.select("a", "b").join(side("a"), "a").join(side("b"), "b")
 
-def _hubs(members: DataFrame, key) -> DataFrame:
-    """(a, b): each member of a bucket with its bucket's hub, the one of the least key, where they are apart."""
-    least = members.groupBy("bucket").agg(F.min(F.struct(key.alias("k"), F.col("id").alias("b"), F.col("root").alias("hub_root"))).alias("x")).select("bucket", "x.b", "x.hub_root")
-    return members.join(least, "bucket").where("root != hub_root").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+    sets = both(pairs.where("plain")).where("ca IS NULL AND cb IS NULL").where(F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb"))
+    shared = F.size(F.array_intersect("ka", "kb"))
+    sets = sets.where(shared / (F.col("na") + F.col("nb") - shared) >= SIMILAR).select("a", "b")
+    weighted = both(pairs.where("NOT plain")).where("ca IS NOT NULL OR cb IS NOT NULL")
+    return sets.unionByName(weighted.select("a", "b", "ka", "ca", "kb", "cb").mapInPandas(run, "a long, b long"))
 
 
-def _central():
-    """The order in which a bucket's members are taken as its hub."""
-    return F.struct((-F.col("central")).alias("c"), F.xxhash64("id").alias("x"))
+def _pair(a: Column, b: Column, *more: Column) -> list[Column]:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), *more]
 
 
-def _apart(members: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component."""
-    split = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-    return members.join(split, "bucket")
+def _hubs(members: DataFrame) -> DataFrame:
+    """(a, b, plain): each member of a bucket with its bucket's hub, where their sizes allow it."""
+    order = F.struct((-F.col("central")).alias("c"), F.xxhash64("id").alias("x"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("plain").alias("hub_plain"))
+    hubs = members.groupBy("bucket").agg(F.min(order).alias("x")).select("bucket", "x.hub", "x.hub_n", "x.hub_plain")
+    pairs = members.join(hubs, "bucket").where("id != hub").withColumn("both", F.col("plain") & F.col("hub_plain"))
+    near = F.least("n", "hub_n") >= SIMILAR * F.greatest("n", "hub_n")  # a bound for sets only
+    return pairs.where(near | ~F.col("both")).select(*_pair(F.col("id"), F.col("hub"), F.col("both").alias("plain"))).distinct()
 
 
 def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -193,143 +202,82 @@ def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return found.where(set_).select(*docs.columns)
 
 
-def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members with the root of their component."""
-    return members.join(roots.withColumnRenamed("root", "r"), "id", "left").withColumn("root", F.coalesce("r", "id")).drop("r")
+def _split(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, root) of the members of buckets that hold more than one component."""
+    rows = members.select("bucket", "id").join(roots.withColumnRenamed("root", "r"), "id", "left").select("bucket", "id", F.coalesce("r", "id").alias("root"))
+    several = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+    return rows.join(several, "bucket", "left_semi").select("id", "root").distinct()
+
+
+def _rest(left: DataFrame, content: DataFrame) -> DataFrame:
+    """(a, b, plain): pairs of (id, root) across components that can be similar, each once.
+
+    Let x and y share the parts p and q of their shingles' weight. Their similarity is at most
+    pq / (p + q - pq): for sets it is the Jaccard similarity itself, and with weights the terms of
+    the sum are concave in both weights, so bounding each by what is not shared gives the same.
+    Both lists of shingles are sorted by the number of components that have a shingle, then by
+    hash. The first shingle that x and y share then has at most 1 - p of x's weight and 1 - q of
+    y's before it, so they meet in a join on it that takes rows only up to the share 1 - ``SIMILAR``
+    of their document's weight, and on one side only up to half of what may be lost in all;
+    most of these rows are shingles that no other component has and need no join.
+    """
+    one = F.transform("kinds", lambda k: F.struct(k.alias("kind"), F.lit(1).cast("long").alias("w")))
+    several = F.zip_with("kinds", "counts", lambda k, c: F.struct(k.alias("kind"), c.alias("w")))
+    rows = content.join(left.select("id", "root"), "id").select("id", "node", "root", "n", F.col("counts").isNull().alias("plain"), F.explode(F.when(F.col("counts").isNull(), one).otherwise(several)).alias("s"))
+    scratch = Scratch("shingles")
+    rows = scratch.write(rows.select("id", "node", "root", "n", "plain", "s.kind", "s.w"), "rows")
+    spread = rows.select("kind", "root").distinct().groupBy("kind").agg(F.count("*").alias("spread"))
+    before = F.sum("w").over(Window.partitionBy("id", "node").orderBy("spread", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w")
+    placed = rows.join(spread, "kind").withColumn("part", 1 - before / F.col("n"))
+    placed = scratch.write(placed.where((F.col("spread") > 1) & (F.col("part") >= SIMILAR - SLACK)).select("kind", "id", "root", "n", "plain", "part"), "placed")
+    most = 1 + 1 / SIMILAR  # 1/p + 1/q is at most this for a similar pair
+    close = F.col("part") >= 2 / most - SLACK
+    other = placed.select("kind", *[F.col(c).alias(f"{c}_") for c in ("id", "root", "n", "plain", "part")])
+    pairs = placed.where(close).join(other, "kind").where((F.col("root") != F.col("root_")) & (1 / F.col("part") + 1 / F.col("part_") <= most + SLACK))
+    sets = F.least(F.col("n") * F.col("part"), F.col("n_") * F.col("part_"))
+    sized = sets >= SIMILAR * (F.col("n") + F.col("n_") - sets) - SLACK
+    both = F.col("plain") & F.col("plain_")
+    out = checkpoint(pairs.where(~both | sized).select(*_pair(F.col("id"), F.col("id_"), both.alias("plain"))).distinct())
+    scratch.close()
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id): class_id is the least doc_id of the document's class."""
-    marks = write_shared(signatures(docs), "signatures")
-    nodes = marks.where(F.col("copy").isNotNull()).groupBy("copy").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"))
-    nodes = checkpoint(nodes)
-    entries = nodes.select("id", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    scratch = Scratch("near")
+    marks = scratch.write(signatures(docs), "signatures")
+    nodes = marks.where(F.col("copy").isNotNull()).groupBy("copy").agg(F.min("doc_id").alias("id"), F.any_value(F.struct("bands", "n", "plain")).alias("x"))
+    nodes = scratch.write(nodes.select("copy", "id", "x.*"), "nodes")
+    entries = nodes.select("id", "n", "plain", F.explode("bands").alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     # A document that shares its bands with most others makes the best hub: it is nearest to the group's original.
-    central = F.sum("n").over(Window.partitionBy("id"))
-    members = write_shared(entries.join(shared, "bucket").select("bucket", "id", central.alias("central")), "buckets")
+    central = F.sum("size").over(Window.partitionBy("id"))
+    members = scratch.write(entries.join(shared, "bucket").select("bucket", "id", "n", "plain", central.alias("central")), "buckets")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     text = _likely(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids).join(ids, "doc_id")  # a semi join would be moved below the filter
-    content = write_shared(contents(text).dropDuplicates(["id"]), "contents")
+    content = scratch.write(contents(text).dropDuplicates(["id", "node"]), "contents")
 
-    alone = members.withColumn("root", F.col("id"))
-    links = checkpoint(verified(_hubs(alone, _central()), content))
+    links = checkpoint(verified(_hubs(members), content).unionByName(_repeated(marks, nodes)))
     roots = components(links)
-    left = None
-    for step in ("hubs", "rest"):
-        left = checkpoint(_apart(_rooted(members if left is None else left.select("bucket", "id", "central"), roots)))
-        if step == "hubs":
-            left = checkpoint(_apart(_open(left, content)))
-        if left.isEmpty():
-            break
-        pairs = _hubs(left, F.xxhash64("id", "bucket")) if step == "hubs" else _rest(left, content)
-        more = checkpoint(verified(pairs, content))
-        if more.isEmpty():
-            continue
-        links = links.unionByName(more)
-        roots = components(links)
-
-    found = nodes.select("copy", "id").join(roots.withColumnRenamed("root", "r"), "id", "left").select("copy", F.coalesce("r", "id").alias("class_id"))
-    out = marks.select("doc_id", "copy").join(found, "copy", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    left = checkpoint(_split(members, roots))
+    if not left.isEmpty():
+        more = checkpoint(verified(_rest(left, content), content))
+        if not more.isEmpty():
+            roots = components(links.unionByName(more))
+
+    least = roots.select("id", F.col("root").alias("r"))
+    found = nodes.select("copy", "id").join(least, "id", "left").select("copy", F.coalesce("r", "id").alias("class_id"))
+    worded = marks.where(F.col("copy").isNotNull()).select("doc_id", "copy").join(found, "copy").select("doc_id", "class_id")
+    empty = marks.where(F.col("copy").isNull()).select("doc_id").join(least, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("r", "doc_id").alias("class_id"))
     none = docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
-    return out.unionByName(none)
-
-
-def _rest(left: DataFrame, content: DataFrame) -> DataFrame:
-    """All pairs of a bucket across its components that can be similar, each once.
-
-    A bucket's largest component needs no pair of its own members: what meets the bucket is
-    the members outside of it. Of them and theirs, pairs are left out whose similarity is
-    provably less than ``SIMILAR``. With n the weight of a document's shingles, u of those that
-    no other component has, and h and o of those others that the bucket's hub has and has not
-    (n = u + h + o), two members share at most h (of the lesser) + o (of the lesser). What
-    is both in the hub and in no other component is in u alone.
-    Without repeated shingles that bounds the overlap of two sets; with them, taken as shares
-    of n, it bounds the probability Jaccard similarity, whose terms are at most
-    min(x_i / sum x, y_i / sum y).
-    """
-    own = left.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("own"))
-    hubs = left.groupBy("bucket").agg(F.min_by("id", _central()).alias("hub"))
-    rows = left.join(hubs, "bucket")
-    shingles_ = _spread(left, content)
-    kinds = content.join(_mass(shingles_), "id").join(_alone(shingles_), "id", "left")
-    common = checkpoint(_common(rows.select("id", "hub").distinct(), kinds))
-    rows = rows.join(common, ["id", "hub"]).join(own, "id")
-    sizes = left.groupBy("bucket", "root").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("x")).select("bucket", F.col("x.root").alias("main"))
-    least = rows.groupBy("bucket").agg(F.min("n").alias("least_n"), F.bool_and("plain").alias("all_plain"))
-    # Alone against the best partner that the bucket could hold.
-    best = F.col("n") - F.col("u")
-    rows = rows.join(least, "bucket").where(~F.col("plain") | ~F.col("all_plain") | (best >= SIMILAR * (F.col("n") + F.greatest(best, "least_n") - best) - 1e-9))
-    rows = rows.join(largest, "bucket").withColumn("in_main", F.expr("root = main"))
-    few = rows.where("NOT in_main").select("bucket", *[F.col(c).alias(f"{c}_") for c in ("id", "root", "plain", "n", "h", "o", "own")])
-
-    def shared(whole, whole_):
-        return F.least(F.col("h") / whole, F.col("h_") / whole_) + F.least(F.col("o") / whole, F.col("o_") / whole_)
-
-    sets = shared(F.lit(1), F.lit(1))
-    can = F.when(F.col("plain") & F.col("plain_"), sets >= SIMILAR * (F.col("n") + F.col("n_") - sets) - 1e-9)
-    can = can.otherwise(shared(F.col("n"), F.col("n_")) >= SIMILAR - 1e-9)
-    first = F.element_at(F.array_intersect("own", "own_"), 1) == F.col("right.bucket")
-    pairs = rows.alias("left").join(few.alias("right"), (F.col("left.bucket") == F.col("right.bucket")) & (F.col("root") != F.col("root_")) & (F.col("in_main") | (F.col("id") < F.col("id_"))) & can & first)
-    return pairs.select(F.greatest("id", "id_").alias("a"), F.least("id", "id_").alias("b")).distinct()
-
-
-def _spread(left: DataFrame, content: DataFrame) -> DataFrame:
-    """(id, root, kind, w): the shingles of the documents in ``left`` and their weights."""
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i, root, k, c in zip(b["id"], b["root"], b["kinds"], b["counts"], strict=True):
-                kinds = np.frombuffer(k, np.int32)
-                weight = np.ones(len(kinds), np.int64) if c is None else np.frombuffer(c, np.uint32).astype(np.int64)
-                yield pd.DataFrame({"id": np.int64(i), "root": np.int64(root), "kind": kinds, "w": weight})
-
-    ids = left.select("id", "root").distinct()
-    return write_shared(content.join(ids, "id").select("id", "root", "kinds", "counts").mapInPandas(spread, "id long, root long, kind int, w long"), "shingles")
-
-
-def _single(rows: DataFrame) -> DataFrame:
-    """(kind, own): shingles of only one component."""
-    return rows.groupBy("kind").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low = high").select("kind", F.lit(1).alias("own"))
-
-
-def _mass(rows: DataFrame) -> DataFrame:
-    """(id, plain, n, u): no repeated shingle, weight of its shingles, and of those in no other component."""
-    own = F.coalesce(F.sum(F.col("w") * F.col("own")), F.lit(0))
-    return rows.join(_single(rows), "kind", "left").groupBy("id").agg((F.max("w") == 1).alias("plain"), F.sum("w").alias("n"), own.alias("u"))
-
-
-def _alone(rows: DataFrame) -> DataFrame:
-    """(id, alone): a document's shingles that are in no other component."""
-    return rows.join(_single(rows), "kind").groupBy("id").agg(F.collect_list("kind").alias("alone"))
-
+    out = write_shared(worded.unionByName(empty).unionByName(none), "classes")
+    scratch.close()
+    return out
 
-def _open(left: DataFrame, content: DataFrame) -> DataFrame:
-    """Members that can be similar to a document of another component.
-
-    What two documents share is at most the weight of the shingles that other components
-    have too; where that is less than ``SIMILAR`` of the whole, no further link is possible.
-    """
-    mass = _mass(_spread(left, content))
-    return left.join(mass.where(F.col("n") - F.col("u") >= SIMILAR * F.col("n") - 1e-9).select("id"), "id")
-
-
-def _common(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
-    """(id, hub, plain, n, u, h, o): of a document's shingles that other components have, the weight its hub has too, and has not."""
-
-    def weight(a: bytes, c: bytes | None, alone: np.ndarray | None, b: bytes) -> tuple[int, int]:
-        own = np.frombuffer(a, np.uint32)
-        mass = np.ones(len(own), np.int64) if c is None else np.frombuffer(c, np.uint32).astype(np.int64)
-        both = np.ones(len(own), bool) if alone is None else ~np.isin(own, np.asarray(alone, np.int32).view(np.uint32))
-        hub = np.isin(own, np.frombuffer(b, np.uint32))
-        return int(mass[both & hub].sum()), int(mass[both & ~hub].sum())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            found = np.array([weight(*x) for x in zip(p["ka"], p["ca"], p["alone"], p["kb"], strict=True)], np.int64).reshape(-1, 2)
-            yield p[["id", "hub", "plain", "n", "u"]].assign(h=found[:, 0], o=found[:, 1])
 
-    side = kinds.select("id", "plain", "n", "u", "alone", F.col("kinds").alias("ka"), F.col("counts").alias("ca"))
-    both = pairs.join(side, "id").join(kinds.select(F.col("id").alias("hub"), F.col("kinds").alias("kb")), "hub")
-    return both.select("id", "hub", "plain", "n", "u", "ka", "ca", "alone", "kb").mapInPandas(run, "id long, hub long, plain boolean, n long, u long, h long, o long")
+def _repeated(marks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): a doc_id that has several texts, linked with the node of each of them."""
+    text = F.coalesce("copy", F.lit(b""))
+    several = marks.groupBy("doc_id").agg(F.min(text).alias("low"), F.max(text).alias("high")).where("low != high").select("doc_id")
+    texts = marks.select("doc_id", "copy").join(several, "doc_id").distinct().join(nodes.select("copy", "id"), "copy")
+    return texts.select(*_pair(F.col("doc_id"), F.col("id")))

@@ -1,19 +1,24 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Token weights are log-odds between toxic and other labelled documents under an informative
-Dirichlet prior (the counts of all labelled documents). A linear-time scan over each whole
-text finds every maximal segment whose summed weight is positive (all of them, not only the
+Dirichlet prior (the counts of both together). Tokens whose log-odds are not significant in
+either direction share one small negative weight. A linear-time scan over each whole text
+finds every maximal segment whose summed weight is positive (all of them, not only the
 best); segment scores are put on the scale of the extreme-value distribution that such
 maxima follow in unremarkable text, and the document's value is mapped to a probability by
-isotonic regression on the labelled rows.
+isotonic regression. For that, each half of the labelled rows is scored with the weights that
+the other half gives.
 
 A token's weight is that of the token or of one of its stems, whichever is greater; the
 evidence of each is the number of different contexts (the neighbours of its first place in
 a document) it was seen in, so that a passage copied into a thousand documents counts once.
+All that is learned (weights, prior, distribution, calibration) comes from about
+``docs_per_class`` labelled documents of each class, by default ``DOCS_PER_CLASS``.
 
 Defined results: null and empty texts have no segment and get the rate of label 1 among
-labelled documents without one; null labels are ignored; with no label every score is 0;
-null doc_ids are scored but never learned from; repeated rows are each scored.
+labelled documents without one; very long texts are scanned whole; null labels are ignored;
+with no label every score is 0; null doc_ids are scored but never learned from; repeated rows
+are each scored; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +28,14 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, isotonic, sample_by_class, text_id, typed_id
+from .common import bucket_of, isotonic, sample_by_class
 
 #: Bound of what is learned from: about so many labelled documents of each class.
 DOCS_PER_CLASS = 4000
@@ -38,10 +44,13 @@ PRIOR = 2000.0
 SIGNIFICANT = 2.6
 LEAST_ODDS = 2.0
 LEAST_CONTEXTS = 3
-MAX_FEATURES = 20000
+#: Number of chance segments of its score in a text from which a segment is no longer significant.
+CHANCE = 0.05
 #: Lengths of the stems that share evidence; tokens whose weight a task remembers.
 STEM = (3, 7)
 MEMO = 1_000_000
+#: Rows that a task hands over at a time.
+ROWS = 100_000
 #: Grid of the calibrated value, from no segment (0) upwards.
 BINS = 60
 
@@ -58,7 +67,7 @@ def features(token: str) -> list[str]:
 
 
 class Weights(dict):
-    """Token to weight (0.0: none), found once per token from the weights of its features."""
+    """Token to weight (0.0: none of its own), found once per token from the weights of its features."""
 
     def __init__(self, model: dict[str, float]):
         super().__init__()
@@ -68,7 +77,8 @@ class Weights(dict):
     def __missing__(self, token: str) -> float:
         w = 0.0
         if token[: STEM[0]] in self.starts:
-            w = max((self.model.get(f, 0.0) for f in features(token)), default=0.0)
+            own = [self.model[f] for f in features(token) if f in self.model]
+            w = max(own, default=0.0)
         self[token] = w
         return w
 
@@ -77,42 +87,54 @@ class Weights(dict):
             self.clear()
 
 
-def token_weights(sample: DataFrame) -> dict[str, float]:
-    """Weights of significant features. ``sample`` is (text, y) with y 0 or 1, bounded by the caller."""
+def token_weights(sample: DataFrame) -> list[dict[str, float]]:
+    """Weights of significant features by all rows of (text, y, half), by half 0 and by half 1."""
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for text, y in zip(b["text"], b["y"], strict=True):
+            out = []
+            for text, y, half in zip(b["text"], b["y"], b["half"], strict=True):
                 w = _token.findall((text or "").lower())
                 first: dict[str, int] = {}
                 for i, t in enumerate(w):
                     if f"={t}" not in first:
                         for f in features(t):
                             first.setdefault(f, i)
-                if first:
-                    near = [zlib.crc32(" ".join(w[max(0, i - 1) : i + 2]).encode("utf-8", "replace")) for i in first.values()]
-                    yield pd.DataFrame({"feature": list(first), "context": near, "y": int(y)})
-
-    once = sample.mapInPandas(contexts, "feature string, context long, y int").groupBy("feature", "context").agg(F.max("y").alias("y"), F.min("y").alias("least"))
+                out += [(f, zlib.crc32(" ".join(w[max(0, i - 1) : i + 2]).encode("utf-8", "replace")), y, half) for f, i in first.items()]
+                if len(out) > ROWS:
+                    yield pd.DataFrame(out, columns=["feature", "context", "y", "half"])
+                    out = []
+            yield pd.DataFrame(out, columns=["feature", "context", "y", "half"])
+
+    rows = sample.mapInPandas(contexts, "feature string, context long, y int, half int")
+    of = lambda h: F.when(F.col("half") == h, F.col("y")) if h is not None else F.col("y")
     # A context seen in both classes says nothing about either and counts for both.
-    seen = once.groupBy("feature").agg(F.sum("y").alias("c1"), F.sum(1 - F.col("least")).alias("c0")).persist()
-    total = seen.where(F.col("feature").startswith("=")).agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")).collect()[0]
-    n1, n0 = float(total["c1"] or 0), float(total["c0"] or 0)
-    if not n1 or not n0:
+    once = rows.groupBy("feature", "context").agg(*[x for i, h in enumerate((None, 0, 1)) for x in (F.max(of(h)).alias(f"y{i}"), F.min(of(h)).alias(f"l{i}"))])
+    sums = [x for i in range(3) for x in (F.coalesce(F.sum(f"y{i}"), F.lit(0)).alias(f"a{i}"), F.coalesce(F.sum(1 - F.col(f"l{i}")), F.lit(0)).alias(f"b{i}"))]
+    seen = once.groupBy("feature").agg(*sums).persist()
+    try:
+        total = seen.where(F.col("feature").startswith("=")).agg(*[F.sum(c).alias(c) for c in seen.columns[1:]]).collect()[0]
+        return [_significant(seen.select("feature", F.col(f"a{i}").alias("c1"), F.col(f"b{i}").alias("c0")), float(total[f"a{i}"] or 0), float(total[f"b{i}"] or 0)) for i in range(3)]
+    finally:
         seen.unpersist()
+
+
+def _significant(seen: DataFrame, n1: float, n0: float) -> dict[str, float]:
+    """Log-odds of the features of (feature, c1, c0) that tell toxic or other texts significantly."""
+    if not n1 or not n0:
         return {}
     share = PRIOR / (n1 + n0)
     prior = share * (F.col("c1") + F.col("c0"))
     a, b = F.col("c1") + prior, F.col("c0") + prior
     odds = F.log(a / (n1 + PRIOR - a)) - F.log(b / (n0 + PRIOR - b))
-    picked = seen.where(F.col("c1") >= LEAST_CONTEXTS).withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / a + 1 / b))
-    rows = picked.where((F.col("z") >= SIGNIFICANT) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()
-    seen.unpersist()
-    return {r["feature"]: r["odds"] for r in rows}
+    marked = seen.where(F.col("c1") + F.col("c0") >= LEAST_CONTEXTS).withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / a + 1 / b))
+    toxic = (F.col("z") >= SIGNIFICANT) & (F.col("odds") >= LEAST_ODDS) & (F.col("c1") >= LEAST_CONTEXTS)
+    other = (F.col("z") <= -SIGNIFICANT) & F.col("feature").startswith("=")
+    return {r["feature"]: r["odds"] for r in marked.where(toxic | other).select("feature", "odds").collect()}
 
 
 def extreme_value(sample: DataFrame, model: dict[str, float]) -> tuple[float, float, float]:
-    """The weight of all other tokens, and lambda and K of the extreme-value distribution."""
+    """The weight of tokens without their own, and lambda and K of the extreme-value distribution."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo, total = Weights(model), Counter()
@@ -123,16 +145,18 @@ def extreme_value(sample: DataFrame, model: dict[str, float]) -> tuple[float, fl
         if total:
             yield pd.DataFrame([(y, w, n) for (y, w), n in total.items()], columns=["y", "w", "n"])
 
-    if not model:
+    if not any(w > 0 for w in model.values()):
         return -1e-4, 1.0, 1e-12
     rows = sample.mapInPandas(spread, "y int, w double, n long").groupBy("y", "w").agg(F.sum("n").alias("n")).collect()
     tokens = [sum(r["n"] for r in rows if r["y"] == y) for y in (0, 1)]
     hits = [sum(r["n"] for r in rows if r["y"] == y and r["w"] > 0) for y in (0, 1)]
     rate0, rate1 = ((hits[y] + 0.5) / (tokens[y] + 1) for y in (0, 1))
     drift = min(math.log((1 - rate1) / (1 - rate0)), -1e-4)
-    null = [(r["w"], r["n"] / (tokens[0] + 1)) for r in rows if r["y"] == 0 and r["w"] > 0] or [(max(model.values()), rate0)]
+    null = [(r["w"] or drift, r["n"] / (tokens[0] + 1)) for r in rows if r["y"] == 0]
+    if not any(w > 0 for w, _ in null):
+        null.append((max(model.values()), rate0))
     # lambda: the positive root of E[exp(lambda * weight)] = 1 in unremarkable text.
-    mean = lambda x: sum(p * math.exp(min(x * w, 700)) for w, p in null) + (1 - rate0) * math.exp(x * drift) - 1
+    mean = lambda x: sum(p * math.exp(min(x * w, 700)) for w, p in null) - sum(p for _, p in null)
     low, high = 1e-6, 1.0
     while mean(high) < 0 and high < 64:
         high *= 2
@@ -145,27 +169,32 @@ def extreme_value(sample: DataFrame, model: dict[str, float]) -> tuple[float, fl
 def segments(text: str | None, weights: Weights, drift: float) -> tuple[list[tuple[int, int, float]], int]:
     """All maximal-scoring segments (first token, end token, score) of a text, and its tokens.
 
-    One pass over the tokens; only those with a weight open or close a candidate, since all
-    between them share one negative weight.
+    One pass: each candidate keeps a link to the last one before it whose sum on the left is
+    smaller, so that the search for it skips all in between.
     """
     tokens = _token.findall(text.lower()) if text else []
-    stack: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum through
-    total, last = 0.0, 0
-    for i, w in [(i, w) for i, w in enumerate(map(weights.__getitem__, tokens)) if w]:
-        total += drift * (i - last)
-        left, right = total, total + w
-        total, last = right, i + 1
-        start = i
+    own = list(map(weights.__getitem__, tokens))
+    sums = list(accumulate((w or drift for w in own), initial=0.0))
+    start: list[int] = []
+    end: list[int] = []
+    link: list[int] = []
+    for i in [i for i, w in enumerate(own) if w > 0]:
+        first, right = i, sums[i + 1]
+        k = len(start) - 1
         while True:
-            k = len(stack) - 1
-            while k >= 0 and stack[k][2] >= left:
-                k -= 1
-            if k < 0 or stack[k][3] >= right:
-                stack.append((start, i + 1, left, right))
+            left = sums[first]
+            while k >= 0 and sums[start[k]] >= left:
+                k = link[k]
+            if k < 0 or sums[end[k]] >= right:
                 break
-            start, left = stack[k][0], stack[k][2]
-            del stack[k:]
-    return [(s, e, r - le) for s, e, le, r in stack], len(tokens)
+            first = start[k]
+            before = link[k]
+            del start[k:], end[k:], link[k:]
+            k = before
+        start.append(first)
+        end.append(i + 1)
+        link.append(k)
+    return [(s, e, sums[e] - sums[s]) for s, e in zip(start, end, strict=True)], len(tokens)
 
 
 def value(found: list[tuple[int, int, float]], tokens: int, scale: float, k: float) -> float:
@@ -185,22 +214,26 @@ def grade(x: float, any_segment: bool) -> int:
 
 
 def score(docs: DataFrame, model: tuple, rates: list[float]) -> DataFrame:
-    """(doc_id, score, n_segments, worst_start, worst_end) of every row of (doc_id, text)."""
+    """(doc_id, score, n_segments, worst_start, worst_end, passages) of every row of (doc_id, text).
+
+    ``passages`` are the significant segments (start, end in tokens, score), in order.
+    """
     weights, drift, scale, k = model
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("score double, n_segments int, worst_start long, worst_end long, passages array<struct<start: long, `end`: long, score: double>>")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         memo = Weights(weights)
-        for b in batches:
+        for texts in batches:
             out = []
             memo.bound()
-            for text in b["text"]:
+            for text in texts:
                 found, n = segments(text, memo, drift)
                 worst = max(found, key=lambda s: (s[2], -s[0]), default=(None, None, 0))
-                out.append((rates[grade(value(found, n, scale, k), bool(found))], len(found), worst[0], worst[1]))
-            frame = pd.DataFrame(out, columns=["score", "n_segments", "worst_start", "worst_end"]).astype({"worst_start": "Int64", "worst_end": "Int64"})
-            yield frame.assign(doc_id=b["doc_id"].to_numpy())[["doc_id", "score", "n_segments", "worst_start", "worst_end"]]
+                clear = [{"start": s, "end": e, "score": x} for s, e, x in found if k * n * math.exp(-min(scale * x, 600)) <= CHANCE]
+                out.append((rates[grade(value(found, n, scale, k), bool(found))], len(found), worst[0], worst[1], clear))
+            yield pd.DataFrame(out, columns=["score", "n_segments", "worst_start", "worst_end", "passages"]).astype({"worst_start": "Int64", "worst_end": "Int64"})
 
-    return typed_id(docs.select(text_id(), "text").mapInPandas(run, "doc_id string, score double, n_segments int, worst_start long, worst_end long"), docs)
+    return docs.select("doc_id", judge("text").alias("x")).select("doc_id", "x.*")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", docs_per_class: int = DOCS_PER_CLASS) -> DataFrame:
@@ -211,27 +244,32 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", docs_per_
     if counts:
         # The sample's bound is proven, so it may be broadcast: documents are not shuffled to find it.
         picked = sample_by_class(marks, "y", docs_per_class, counts)
-        sample = docs.where(~held_out()).join(F.broadcast(picked), "doc_id").select("text", "y").persist()
+        half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")
+        sample = docs.where(~held_out()).join(F.broadcast(picked), "doc_id").select("text", "y", half).persist()
         try:
             weights = token_weights(sample)
-            model = weights, *extreme_value(sample, weights)
-            rates = calibrate(sample, model, counts)
+            models = [(w, *extreme_value(rows, w)) for w, rows in zip(weights, (sample, sample.where("half = 0"), sample.where("half = 1")), strict=True)]
+            model, rates = models[0], calibrate(sample, models[1:], counts)
         finally:
             sample.unpersist()
-    return score(docs, model, rates).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_segments", "worst_start", "worst_end")
+    return score(docs, model, rates).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_segments", "worst_start", "worst_end", "passages")
 
 
-def calibrate(sample: DataFrame, model: tuple, counts: dict[int, int]) -> list[float]:
-    """The rate of label 1 for each grade, non-decreasing; classes are weighed back to their shares."""
-    weights, drift, scale, k = model
+def calibrate(sample: DataFrame, models: list[tuple], counts: dict[int, int]) -> list[float]:
+    """The rate of label 1 for each grade, non-decreasing; classes are weighed back to their shares.
+
+    Each row of (text, y, half) is graded by the model of the other half.
+    """
 
     def grades(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, memo = np.zeros((2, BINS)), Weights(weights)
+        total, memos = np.zeros((2, BINS)), [Weights(m[0]) for m in models]
         for b in batches:
-            memo.bound()
-            for text, y in zip(b["text"], b["y"], strict=True):
-                found, n = segments(text, memo, drift)
+            for text, y, half in zip(b["text"], b["y"], b["half"], strict=True):
+                _, drift, scale, k = models[1 - half]
+                found, n = segments(text, memos[1 - half], drift)
                 total[int(y), grade(value(found, n, scale, k), bool(found))] += 1
+            for memo in memos:
+                memo.bound()
         yield pd.DataFrame({"g": np.arange(BINS), "n0": total[0], "n1": total[1]})
 
     rows = sample.mapInPandas(grades, "g int, n0 double, n1 double").groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas().sort_values("g")

@@ -240,6 +240,40 @@ def test_quality(spark, odd):
     assert quality.quality(odd.limit(0), labels).isEmpty()
 
 
+def test_normal_equations_and_calibration_equal_plain_ones(spark):
+    rng = np.random.default_rng(5)
+    x = rng.uniform(0, 1, (300, quality.STATISTICS))
+    y = (x[:, 0] + 0.3 * rng.normal(size=300) > 0.5).astype(float)
+    fold = rng.integers(0, quality.FOLDS, 300)
+    train = spark.createDataFrame([(a.tolist(), float(b), int(c)) for a, b, c in zip(x, y, fold)], "stats array<double>, y double, fold int").repartition(5)
+    z = quality.lift(x)
+    for k, (gram, right) in enumerate(quality.normal_equations(train)):
+        assert np.allclose(gram, z[fold == k].T @ z[fold == k]) and np.allclose(right, z[fold == k].T @ y[fold == k])
+
+    def ridge(rows):
+        d = z.shape[1]
+        penalty = np.eye(d) * (quality.RIDGE * rows.sum() / d + 1e-9)
+        penalty[-1, -1] = 1e-9 * (quality.RIDGE * rows.sum() / d + 1)
+        return np.linalg.inv(z[rows].T @ z[rows] + penalty) @ z[rows].T @ y[rows]
+
+    weights, rates = quality.fit(train)
+    assert np.allclose(z @ weights, z @ ridge(np.ones(300, bool)), atol=1e-6)
+    at = np.empty(300, int)
+    for k in range(quality.FOLDS):
+        at[fold == k] = quality.bins(z[fold == k] @ ridge(fold != k))
+    prior = np.clip((np.arange(quality.BINS) + 0.5) / quality.BINS * 1.5 - 0.25, 0.001, 0.999)
+    n = np.bincount(at, minlength=quality.BINS) + 0.5
+    r = (np.bincount(at, y, quality.BINS) + 0.5 * prior) / n
+    # Isotonic regression by its min-max formula.
+    total, weight = np.concatenate([[0], np.cumsum(r * n)]), np.concatenate([[0], np.cumsum(n)])
+    mean = (total[None, 1:] - total[:-1, None]) / (weight[None, 1:] - weight[:-1, None] + 1e-300)
+    want = [max(min(mean[i, j] for j in range(k, quality.BINS)) for i in range(k + 1)) for k in range(0, quality.BINS, 7)]
+    assert np.allclose(rates[::7], want, atol=1e-6)
+    # The features' inner products approximate the kernel.
+    kernel = np.exp(-((x[:40, None] - x[None, :40]) ** 2).sum(-1) / 2 / quality.WIDTH**2)
+    assert np.abs(z[:40, :-1] @ z[:40, :-1].T - kernel).mean() < 0.1
+
+
 def test_toxicity(spark, odd):
     assert held_out_accuracy(spark, queries.op9_toxicity(spark, LARGER), "toxic") >= 0.92
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
@@ -249,6 +283,59 @@ def test_toxicity(spark, odd):
     assert toxicity.toxicity(odd.limit(0), labels).isEmpty()
 
 
+def test_passages_are_returned(spark):
+    docs = spark.createDataFrame([(1, "fine " * 50 + "awful awful awful " + "fine " * 300 + "awful awful awful awful"), (2, "fine"), (3, None)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in toxicity.score(docs, ({"=awful": 6.0}, -0.5, 1.0, 0.01), [0.0] * toxicity.BINS).collect()}
+    assert [(p["start"], p["end"]) for p in rows[1]["passages"]] == [(50, 53), (353, 357)]
+    assert rows[2]["passages"] == rows[3]["passages"] == [] and (rows[1]["worst_start"], rows[1]["n_segments"]) == (353, 2)
+
+
+def test_scan_is_linear_in_its_hits():
+    import time
+
+    weights = toxicity.Weights({"=bad": 2.0, "=worse": 2.5})
+
+    def seconds(n):
+        text = " ".join(("bad" if i % 3 else "worse") + " fine fine fine fine fine" for i in range(n))
+        best = 9.0
+        for _ in range(3):
+            began = time.perf_counter()
+            assert len(toxicity.segments(text, weights, -0.6)[0]) == n
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    seconds(2000)
+    assert seconds(80000) < 12 * seconds(20000)  # four times the hits; a quadratic scan takes sixteen times
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(9)
+    x = rng.integers(1, 256, (12, langid.WINDOW)).astype(np.uint8)
+    y, weight = rng.integers(0, 3, 12), rng.uniform(0.5, 2, 12)
+    w = {k: v.astype(np.float64) for k, v in langid.ByteCnn.fit(x, y, 3, epochs=1).w.items()}
+
+    def loss():
+        emb = w["embed"][x]
+        pooled = []
+        for k in langid.WIDTHS:
+            view = np.stack([emb[:, i : i + k].reshape(12, -1) for i in range(langid.WINDOW - k + 1)], axis=1)
+            pooled.append(np.maximum((view @ w[f"conv{k}"] + w[f"bias{k}"]).max(axis=1), 0))
+        z = np.concatenate(pooled, axis=1) @ w["dense"] + w["out"]
+        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return -(weight * z[np.arange(12), y]).sum() / 12
+
+    grads = langid.ByteCnn._gradients(w, x, y, weight)
+    for name, g in grads.items():
+        for at in {np.unravel_index(np.abs(g).argmax(), g.shape), tuple(rng.integers(0, n) for n in g.shape)}:
+            keep, step = w[name][at], 1e-6
+            w[name][at] = keep + step
+            up = loss()
+            w[name][at] = keep - step
+            down = loss()
+            w[name][at] = keep
+            assert g[at] == pytest.approx((up - down) / 2 / step, abs=1e-5), (name, at)
+
+
 def brute_segments(scores):
     """All maximal scoring segments, by their definition: take the best, then look left and right of it."""
     best, out = (0.0, 0, 0), []
@@ -266,9 +353,9 @@ def brute_segments(scores):
 
 def test_segments_are_the_maximal_ones():
     rng = random.Random(7)
-    weights = toxicity.Weights({"=bad": 2.03, "=awful": 3.57})
+    weights = toxicity.Weights({"=bad": 2.03, "=awful": 3.57, "=kind": -1.71})
     for _ in range(150):
-        words = [rng.choice(["bad", "awful", *["fine"] * 4]) for _ in range(rng.randint(0, 30))]
+        words = [rng.choice(["bad", "awful", "kind", *["fine"] * 4]) for _ in range(rng.randint(0, 30))]
         found, n = toxicity.segments(" ".join(words), weights, -0.613)
         scores = [weights[w] or -0.613 for w in words]
         assert n == len(words)

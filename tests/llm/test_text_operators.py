@@ -203,17 +203,38 @@ def test_pairs_that_the_bound_leaves_out_are_not_similar(spark):
         texts.append((i, " ".join(words)))
     docs = docs_of(spark, [(*t, "s") for t in texts])
     content = minhash.contents(docs)
-    left = spark.createDataFrame([(b, i, 60 - i, i) for i, _ in texts for b in (1, 2)], "bucket long, id long, central long, root long")
-    pairs = {(r["a"], r["b"]) for r in minhash._rest(left, content).collect()}
+    left = spark.createDataFrame([(i, i) for i, _ in texts], "id long, root long")
+    pairs = pairs_of(minhash._rest(left, content))
     found = {i: minhash.shingles(t)[:2] for i, t in texts}
     similar = {(a, b) for a in found for b in found if b < a and minhash.similarity(found[a], found[b]) >= minhash.SIMILAR}
     assert similar <= pairs and len(pairs) < 60 * 59 / 2
 
 
+def test_pairs_that_the_bound_leaves_out_are_not_similar_with_weights(spark):
+    """Shingles that repeat, with counts far apart: the bound holds for probability Jaccard too."""
+    rng = random.Random(14)
+    base = {j: rng.choice((1, 1, 1, 2, 9, 60)) for j in range(70)}
+    bags = {}
+    for i in range(70):
+        bag = {j: max(1, w + rng.choice((0, 0, 0, 1, -1))) for j, w in base.items() if rng.random() > 0.06}
+        bags[i] = bag | {1000 * (i % 20) + j + 500: rng.choice((1, 1, 8)) for j in range(rng.randint(0, 6))}
+    rows = [(i, i, sum(b.values()), sorted(b), [b[k] for k in sorted(b)] if max(b.values()) > 1 else None) for i, b in bags.items()]
+    content = spark.createDataFrame(rows, "id long, node long, n long, kinds array<bigint>, counts array<bigint>")
+    left = spark.createDataFrame([(i, i % 35) for i in bags], "id long, root long")
+    pairs = pairs_of(minhash._rest(left, content))
+    arrays = {i: (np.array(sorted(b), np.uint64), np.array([b[k] for k in sorted(b)])) for i, b in bags.items()}
+    similar = {(a, b) for a in bags for b in bags if b < a and a % 35 != b % 35 and minhash.similarity(arrays[a], arrays[b]) >= minhash.SIMILAR}
+    assert similar and similar <= pairs and len(pairs) < 70 * 69 / 2
+
+
+def pairs_of(frame):
+    return {(r["a"], r["b"]) for r in frame.collect()}
+
+
 def contents_of(spark, sets):
     """What ``minhash.contents`` gives, of sets of whole numbers."""
-    rows = [(i, np.array(sorted(x), np.uint32).tobytes(), None) for i, x in sets.items()]
-    return spark.createDataFrame(rows, "id long, kinds binary, counts binary")
+    rows = [(i, i, len(x), sorted(x), None) for i, x in sets.items()]
+    return spark.createDataFrame(rows, "id long, node long, n long, kinds array<bigint>, counts array<bigint>")
 
 
 def jaccard(x, y):
@@ -225,8 +246,8 @@ def test_bound_of_a_document_in_its_hubs_component(spark):
     a = set(range(1, 96)) | set(range(101, 106))
     b = (a - set(range(86, 96))) | set(range(201, 211))
     assert jaccard(hub, a) >= minhash.SIMILAR and jaccard(a, b) >= minhash.SIMILAR > jaccard(hub, b)
-    left = spark.createDataFrame([(1, 0, 9, 0), (1, 1, 5, 0), (1, 2, 4, 2)], "bucket long, id long, central long, root long")
-    assert (2, 1) in {tuple(r) for r in minhash._rest(left, contents_of(spark, {0: hub, 1: a, 2: b})).collect()}
+    left = spark.createDataFrame([(0, 0), (1, 0), (2, 2)], "id long, root long")
+    assert (2, 1) in pairs_of(minhash._rest(left, contents_of(spark, {0: hub, 1: a, 2: b})))
 
 
 def test_bound_with_components_of_several_documents(spark):
@@ -234,8 +255,8 @@ def test_bound_with_components_of_several_documents(spark):
     base = list(range(100))
     sets = {i: set(rng.sample(base, 91)) | {1000 * i + j for j in range(rng.randint(0, 4))} | {10**6 + (i % 6) * 10 + j for j in range(rng.randint(0, 5))} for i in range(48)}
     root = {i: i % 6 for i in sets}
-    left = spark.createDataFrame([(1, i, 100 - i, root[i]) for i in sets], "bucket long, id long, central long, root long")
-    pairs = {tuple(r) for r in minhash._rest(left, contents_of(spark, sets)).collect()}
+    left = spark.createDataFrame([(i, root[i]) for i in sets], "id long, root long")
+    pairs = pairs_of(minhash._rest(left, contents_of(spark, sets)))
     similar = {(a, b) for a in sets for b in sets if b < a and root[a] != root[b] and jaccard(sets[a], sets[b]) >= minhash.SIMILAR}
     assert similar and similar <= pairs
 
@@ -264,6 +285,30 @@ def test_near_duplicates_odd_rows(spark, odd):
     assert minhash.near_duplicates(odd.limit(0)).isEmpty()
 
 
+def test_rows_that_share_a_doc_id_are_one_document(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(0, a), (1, a), (1, b), (2, b), (3, c), (4, c.upper()), (4, None), (5, None), (5, " "), (6, b + " more"), (7, ""), (7, a)]
+    got = minhash.near_duplicates(docs_of(spark, [(*r, "s") for r in rows])).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in got) == [(0, 0), (1, 0), (1, 0), (2, 0), (3, 3), (4, 3), (4, 3), (5, 5), (5, 5), (6, 0), (7, 0), (7, 0)]
+
+
+def test_pairs_of_high_similarity_are_found(spark):
+    """Recall of banding and verification over pairs of similarity 0.8 to 0.9, words and whole runs replaced."""
+    rng = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(20000)]
+    rows, wanted = [], []
+    for k in range(400):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(60, 300))]
+        other = list(words)
+        at = rng.randrange(len(words) - 12)
+        other[at : at + len(words) // 12 - 3] = [rng.choice(vocabulary) for _ in range(len(words) // 12 - 3)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        if 0.8 <= minhash.similarity(minhash.shingles(rows[-2][1])[:2], minhash.shingles(rows[-1][1])[:2]) < 0.9:
+            wanted.append(k)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs_of(spark, [(*r, "s") for r in rows])).collect()}
+    assert len(wanted) > 100 and sum(got[2 * k] == got[2 * k + 1] for k in wanted) >= 0.99 * len(wanted)
+
+
 def test_near_duplicates_of_the_small_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
     got = queries.op6_near_duplicates(spark, DATA).collect()
