@@ -14,17 +14,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quorumlens.llm import langid, minhash, mixing, packing, passages
-from quorumlens.llm.common import shared_dir, table
+from quorumlens.llm.common import remove, shared_dir, table
 
 #: Documents whose language is found with less certainty are rejected, as are those without a letter.
 LEAST_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is recognised; their ``lang`` stays as it is."""
-    languages, weights = langid.fit(docs.select("doc_id", "text", "lang").where(~langid.held_out(3, 1)))
-    found = langid.identify(docs, languages, weights, list(docs.columns))
-    return found.where((F.col("__found.lang_pred") != langid.UNDETERMINED) & (F.col("__found.score") >= LEAST_SCORE)).select(*docs.columns)
+    """Keep documents whose language is recognised; their ``lang`` stays as it is.
+
+    Rows without a text, or whose text has no letter, are rejected; a null doc_id is no reason.
+    """
+    found = langid.identified(*langid.fit(docs.select("doc_id", "text", "lang").where(~langid.held_out(3, 1))))
+    judged = docs.withColumn("__found", found("text"))
+    return judged.where((F.col("__found.lang_pred") != langid.UNDETERMINED) & (F.col("__found.score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove repeated passages from the texts; every document stays."""
+    """Remove repeated passages from the texts; every document stays, a null text as an empty one."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     left = passages.strip_repeats(docs, others, counts=False)
     if "n_chars" in docs.columns:
@@ -68,11 +71,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the stages' tables stay in the shared folder."""
+    """All stages over ``documents``; a stage's table in the shared folder goes once the next one's is written."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{base}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
