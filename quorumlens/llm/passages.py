@@ -6,9 +6,13 @@ whose words also start earlier (smaller doc_id, or earlier in the same document)
 1. Find: each window is keyed by the least hash among its runs of ``RUN`` words, which equal
    windows share. Windows seen twice in one block of a task are settled there; of the rest
    only first sightings are shuffled, packed by key (about one row for eight windows), so a
-   passage that very many documents hold moves one row a block.
+   passage that very many documents hold moves one row a block. Where a phrase stands among
+   ever different words, many windows share its key: a block that has more than ``BUSY`` of them
+   hands these over one by one and leaves a mark at the key, which makes its other windows
+   follow; they are matched in a second step, dealt out by the windows themselves.
 2. Confirm: neighbouring repeated windows with the same distance to an earlier sighting are
-   one passage; its words are read from that earlier document.
+   one passage; its words are read once from that earlier document and joined to the shards
+   that need them.
 3. Locate: documents are dealt into shards; the confirmed passages that a shard needs are
    compiled into one Aho-Corasick automaton over words, and all of the shard's documents are
    streamed through it. What it finds is removed, so hash collisions cannot remove a word.
@@ -16,6 +20,9 @@ whose words also start earlier (smaller doc_id, or earlier in the same document)
 Nothing of the corpus reaches the driver but its size; an automaton never holds more than
 the passages of one shard.
 
+Two different windows of one key that agree in 48 bits would hide a repeat (they remove
+nothing); a key that is not busy has few windows, so the chance is about 1 in 10**10 a key.
+
 Defined results: null text has no words and comes back as an empty text; rows with a null
 doc_id neither remove nor lose words; rows that share a doc_id are one document, so equal
 starts in them do not remove each other; words are left unchanged and joined by one space;
@@ -31,16 +38,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordhash import run_hashes, word_hashes
+from .wordhash import mix, run_hashes, word_hashes
 
 WINDOW = 20
 RUN = 5
 #: Bytes kept of a window's hash; its key adds eight.
 PACKED = 6
+#: Different windows of one key in a block, beyond which they are handed over one by one.
+BUSY = 128
+#: Sizes that tell such a window, and the mark left at its key, from packed rows.
+ONE, MARK = -2, -1
 #: Characters of text that are settled together in a task, and bytes of text in a shard.
 BLOCK = 6 << 20
 SHARD = 4 << 20
 
+_FOUND_NAMES = ["doc", "start", "size", "src_doc", "src_start"]
 _FOUND = "key long, doc long, start int, size int, hashes binary, src_doc long, src_start int"
 
 
@@ -60,6 +72,11 @@ def _keys(words: np.ndarray, window: int, run: int) -> tuple[np.ndarray, np.ndar
     return hashes, np.minimum(low[:n], low[span - width : span - width + n])
 
 
+def _single(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each window, from its key and the bytes of its hash that are kept."""
+    return mix(keys * np.uint64(0x9E3779B97F4A7C15) + (hashes & np.uint64((1 << 8 * PACKED) - 1)))
+
+
 def _bounds(*changes: np.ndarray) -> np.ndarray:
     """Starts of stretches: the first place, and each place where any of ``changes`` holds."""
     any_of = np.logical_or.reduce(changes)
@@ -84,12 +101,19 @@ def _settle(block: list[tuple[int, str]], window: int, run: int) -> pd.DataFrame
     new = source == np.arange(len(h))
     frames = []
     at = np.flatnonzero(new)
+    kinds, of, counts = np.unique(k[at], return_inverse=True, return_counts=True)
+    busy = counts > BUSY
+    if busy.any():
+        ones, at = at[busy[of]], at[~busy[of]]
+        frames.append(pd.DataFrame({"key": _single(k[ones], h[ones]).view(np.int64), "doc": d[ones], "start": s[ones], "size": np.int32(ONE), "hashes": b"", "src_doc": np.int64(0), "src_start": np.int32(0)}))
+        frames.append(pd.DataFrame({"key": kinds[busy].view(np.int64), "doc": np.iinfo(np.int64).min, "start": np.int32(-1), "size": np.int32(MARK), "hashes": b"", "src_doc": np.int64(0), "src_start": np.int32(0)}))
     begin = _bounds(np.diff(at) != 1, np.diff(d[at]) != 0, np.diff(k[at].view(np.int64)) != 0)
     end = np.append(begin[1:], len(at))
     raw = h[at].view(np.uint8).reshape(-1, 8)[:, :PACKED].tobytes()
-    frames.append(pd.DataFrame({
-        "key": k[at][begin].view(np.int64), "doc": d[at][begin], "start": s[at][begin], "size": (end - begin).astype(np.int32),
-        "hashes": [raw[PACKED * a : PACKED * b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], "src_doc": np.int64(0), "src_start": np.int32(0)}))
+    if len(at):
+        frames.append(pd.DataFrame({
+            "key": k[at][begin].view(np.int64), "doc": d[at][begin], "start": s[at][begin], "size": (end - begin).astype(np.int32),
+            "hashes": [raw[PACKED * a : PACKED * b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], "src_doc": np.int64(0), "src_start": np.int32(0)}))
     at = np.flatnonzero(~new)
     if len(at):
         src = source[at]
@@ -129,47 +153,81 @@ def _runs(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, i
 
 
 def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From rows sorted by (key, doc, start): which windows were sighted before, and where."""
-    names = ["doc", "start", "size", "src_doc", "src_start"]
+    """From rows sorted by (key, doc, start): which windows were sighted before, and where.
+
+    Windows of marked keys come out one by one (size ``ONE``), with the number ``w`` they are
+    matched by in the next step.
+    """
     seen: dict[int, tuple[int, int]] = {}
     last: int | None = None
+    marked = False
     for b in batches:
         settled = b[b["hashes"].isna()]
         if len(settled):
-            yield settled[names]
-        b = b[b["hashes"].notna()]
+            yield settled[_FOUND_NAMES].assign(w=0)
+        ones = b[b["size"] == ONE]
+        if len(ones):
+            yield ones[_FOUND_NAMES].assign(w=ones["key"])
+        b = b[b["hashes"].notna() & (b["size"] != ONE)]
         if b.empty:
             continue
         key = b["key"].to_numpy()
         same = np.concatenate([[key[0] == last], key[1:] == key[:-1]])
         follows = np.append(same[1:], True)  # the last row's key may go on in the next batch
         busy = np.flatnonzero(same | follows)
-        key, doc, start, raw = key[busy].tolist(), b["doc"].to_numpy()[busy].tolist(), b["start"].to_numpy()[busy].tolist(), b["hashes"].to_numpy()[busy]
+        key, doc, start, size, raw = key[busy].tolist(), b["doc"].to_numpy()[busy].tolist(), b["start"].to_numpy()[busy].tolist(), b["size"].to_numpy()[busy].tolist(), b["hashes"].to_numpy()[busy]
         out: list[tuple[int, int, int, int]] = []
-        for k, d, s, r in zip(key, doc, start, raw, strict=True):
+        later: list[pd.DataFrame] = []
+        for k, d, s, n, r in zip(key, doc, start, size, raw, strict=True):
             if k != last:
-                seen, last = {}, k
+                seen, last, marked = {}, k, False
+            if n == MARK:
+                marked = True
+                continue
+            if marked:
+                part = np.zeros((n, 8), np.uint8)
+                part[:, :PACKED] = np.frombuffer(r, np.uint8).reshape(n, PACKED)
+                w = _single(np.full(n, k, np.int64).view(np.uint64), part.view(np.uint64).ravel())
+                later.append(pd.DataFrame({"doc": d, "start": np.arange(s, s + n), "size": ONE, "src_doc": 0, "src_start": 0, "w": w.view(np.int64)}))
+                continue
             for i in range(0, len(r), PACKED):
                 here = d, s
                 before = seen.setdefault(r[i : i + PACKED], here)
                 if before != here:
                     out.append((d, s, *before))
                 s += 1
-        if len(b):
-            k = int(b["key"].iloc[-1])
-            if k != last:
-                seen, last = {}, k
+        k = int(b["key"].iloc[-1])
+        if k != last:
+            seen, last, marked = {}, k, False
         if out:
-            yield pd.DataFrame(_runs(out), columns=names)
+            yield pd.DataFrame(_runs(out), columns=_FOUND_NAMES).assign(w=0)
+        if later:
+            yield pd.concat(later)
+
+
+def _match_singles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From rows sorted by (w, doc, start): windows sighted before; what is matched already passes through."""
+    last, source = None, (0, 0)
+    for b in batches:
+        yield b.loc[b["size"] != ONE, _FOUND_NAMES]
+        b = b[b["size"] == ONE]
+        if b.empty:
+            continue
+        w, doc, start = (b[c].to_numpy(np.int64) for c in ("w", "doc", "start"))
+        first = np.concatenate([[w[0] != last], w[1:] != w[:-1]])
+        at = np.maximum.accumulate(np.where(first, np.arange(len(w)), -1))
+        src_doc, src_start = (np.where(at >= 0, x[at], y) for x, y in zip((doc, start), source, strict=True))
+        last, source = w[-1], (src_doc[-1], src_start[-1])
+        again = (src_doc != doc) | (src_start != start)
+        yield pd.DataFrame({"doc": doc, "start": start, "size": 1, "src_doc": src_doc, "src_start": src_start})[again]
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Join touching stretches of a document, from rows sorted by (doc, start)."""
-    names = ["doc", "start", "size", "src_doc", "src_start"]
     x: list[int] | None = None
     for b in batches:
         out = []
-        for row in b[names].itertuples(index=False):
+        for row in b[_FOUND_NAMES].itertuples(index=False):
             doc, start, size, src, at = map(int, row)
             if x and x[0] == doc and x[3] == src and start - x[1] == at - x[4] and start <= x[1] + x[2]:
                 x[2] = max(x[2], start + size - x[1])
@@ -177,54 +235,63 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if x:
                     out.append(x)
                 x = [doc, start, size, src, at]
-        yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(out, columns=_FOUND_NAMES)
     if x:
-        yield pd.DataFrame([x], columns=names)
+        yield pd.DataFrame([x], columns=_FOUND_NAMES)
 
 
 def passages(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """(doc, start, size, src_doc, src_start): ``size`` windows from ``start`` on are those from ``src_start`` on in ``src_doc``."""
     found = docs.where("doc is not null and text is not null").select("doc", "text").mapInPandas(_find(window, run), _FOUND)
     schema = "doc long, start int, size int, src_doc long, src_start int"
-    matched = found.repartition("key").sortWithinPartitions("key", "doc", "start").mapInPandas(_match, schema)
+    matched = found.repartition("key").sortWithinPartitions("key", "doc", "start").mapInPandas(_match, f"{schema}, w long")
+    matched = matched.repartition(F.when(F.col("size") == ONE, F.col("w")).otherwise(F.xxhash64("doc", "start"))).sortWithinPartitions("w", "doc", "start").mapInPandas(_match_singles, schema)
     return matched.repartition("doc").sortWithinPartitions("doc", "start").mapInPandas(_merge, schema)
 
 
 def _read(window: int):
     def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """The words of the passages asked for, from their earlier documents."""
+        """The words of the passages asked for, once each, from their earlier documents."""
         out = []
         if len(right):
             wanted = {int(d): g for d, g in right.groupby("src_doc")}
             for doc, text in zip(left["doc"], left["text"], strict=True):
                 if isinstance(text, str) and not pd.isna(doc) and (g := wanted.get(int(doc))) is not None:
                     words = text.encode("utf-8", "surrogatepass").split()
-                    for start, size, to in zip(g["src_start"], g["size"], g["to"], strict=True):
-                        out.append((to, int(doc), start, b" ".join(words[start : start + size + window - 1])))
-        return pd.DataFrame(out, columns=["to", "src_doc", "src_start", "words"])
+                    for start, size in zip(g["src_start"], g["size"], strict=True):
+                        out.append((int(doc), start, size, b" ".join(words[start : start + size + window - 1])))
+        return pd.DataFrame(out, columns=["src_doc", "src_start", "size", "words"])
 
     return task
 
 
 class _Codes(dict):
-    """One character for each word of the passages; all other words share one."""
+    """One character for each word of the passages, or two where there are too many words; all other words share one code.
+
+    First and second characters come from different halves, so that a match starts at a word.
+    """
+
+    HALF = 0x6000
+
+    def __init__(self, words: set[bytes]):
+        self.width = 1 if len(words) < 2 * self.HALF else 2
+        for n, w in enumerate(sorted(words), 1):
+            self[w] = chr(n) if self.width == 1 else chr(n // self.HALF) + chr(self.HALF + n % self.HALF)
+        self.other = "\0" * self.width
 
     def __missing__(self, word):
-        return "\0"
+        return self.other
 
 
 def _locate(window: int, keep: Sequence[str]):
     def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         import ahocorasick
 
-        codes, automaton = _Codes(), ahocorasick.Automaton()
+        automaton = ahocorasick.Automaton()
         # Of equal passages the earliest source counts.
-        for src, at, text in sorted(zip(right["src_doc"], right["src_start"], right["words"], strict=True), key=lambda x: (x[0], x[1])):
-            words = text.split()
-            for w in words:
-                if w not in codes:
-                    n = len(codes) + 1
-                    codes[w] = chr(n if n < 0xD800 else n + 0x800)
+        wanted = [(src, at, text.split()) for src, at, text in sorted(zip(right["src_doc"], right["src_start"], right["words"], strict=True), key=lambda x: (x[0], x[1]))]
+        codes = _Codes({w for _, _, words in wanted for w in words})
+        for src, at, words in wanted:
             coded = "".join(map(codes.__getitem__, words))
             if coded not in automaton:
                 automaton.add_word(coded, (int(src), int(at), len(words)))
@@ -239,6 +306,7 @@ def _locate(window: int, keep: Sequence[str]):
             if ready and n >= window and not pd.isna(doc):
                 doc = int(doc)
                 for end, (src, at, size) in automaton.iter("".join(map(codes.__getitem__, words))):
+                    end //= codes.width
                     start = end - size + 1
                     if (src, at) < (doc, start):
                         cover[start] += 1
@@ -268,8 +336,12 @@ def strip_repeats(docs: DataFrame, keep: Sequence[str] = (), window: int = WINDO
     found = passages(rows, window, run)
     asked = found.select(shard(F.col("src_doc")).alias("shard"), "src_doc", "src_start", "size", shard(F.col("doc")).alias("to")).distinct()
     # Both passes below deal documents out in the same way, so Spark shuffles the texts once.
-    dealt = rows.withColumn("shard", F.coalesce(shard(F.col("doc")), shard(F.col("text")), F.lit(0)))
-    text = dealt.groupBy("shard").cogroup(asked.withColumnRenamed("shard", "s").groupBy("s")).applyInPandas(_read(window), "to int, src_doc long, src_start int, words binary")
+    loose = F.pmod(F.xxhash64("text", *carried), F.lit(shards)).cast("int")
+    dealt = rows.withColumn("shard", F.when(F.col("doc").isNull(), loose).otherwise(shard(F.col("doc"))))
+    source = ["src_doc", "src_start", "size"]
+    once = asked.select(F.col("shard").alias("s"), *source).distinct()
+    read = dealt.groupBy("shard").cogroup(once.groupBy("s")).applyInPandas(_read(window), "src_doc long, src_start int, size int, words binary")
+    text = asked.select("to", *source).join(read, source).select("to", "src_doc", "src_start", "words")
     kinds = dict(docs.dtypes)
     schema = ", ".join(["doc_id string", *[f"{k} {kinds[c]}" for c, k in zip(keep, carried, strict=True)], "text string", "n_words long", "n_removed long"])
     out = dealt.groupBy("shard").cogroup(text.groupBy("to")).applyInPandas(_locate(window, ["doc_id", *carried]), schema)

@@ -146,6 +146,47 @@ def test_substring_dedup_over_several_blocks(spark, monkeypatch):
     assert got == {i: v[:2] for i, v in brute_passages([(r["doc_id"], r["text"]) for r in rows]).items()}
 
 
+def test_a_phrase_among_ever_different_words(spark, monkeypatch):
+    """Many different windows share a key: they are handed over one by one, in some blocks or in all."""
+    rng = random.Random(11)
+    phrase = [f"p{i}" for i in range(19)]
+    rows = []
+    for i in range(150):
+        words = [f"x{rng.randrange(3)}y{i // (1 if i % 3 else 4)}z{j}" for j in range(6)] + phrase + [f"e{i if i % 5 else 0}w{j}" for j in range(30)]
+        rows.append((i, " ".join(words), "s"))
+    rows += [(200 + i, rows[i][1] + " tail", "s") for i in range(0, 150, 7)]
+    want = brute_passages([(i, t) for i, t, _ in rows])
+    for block, busy in ((600, 20), (5000, 8), (6 << 20, 128), (6 << 20, 0)):
+        size = {"BLOCK": block, "BUSY": busy}
+        for k, v in size.items():
+            monkeypatch.setattr(passages, k, v)
+        found = passages._find(passages.WINDOW, passages.RUN)
+
+        def task(batches, found=found, size=size):
+            for k, v in size.items():
+                setattr(passages, k, v)
+            yield from found(batches)
+
+        monkeypatch.setattr(passages, "_find", lambda window, run, task=task: task)
+        got = passages.strip_repeats(docs_of(spark, rows).repartition(3)).collect()
+        monkeypatch.undo()
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in got} == want
+
+
+def test_word_codes_of_very_many_words():
+    few, many = passages._Codes({b"a", b"b"}), passages._Codes({str(i).encode() for i in range(1_300_000)})
+    assert (few.width, many.width) == (1, 2) and few[b"zz"] == "\0" and many[b"zz"] == "\0\0"
+    assert len(set(many.values())) == 1_300_000
+    firsts, seconds = {v[0] for v in many.values()}, {v[1] for v in many.values()}
+    assert not firsts & seconds
+
+
+def test_rows_without_a_doc_id_are_spread(spark):
+    rows = [(None, f"text number {i} " * 30, "s") for i in range(40)]
+    got = passages.strip_repeats(docs_of(spark, rows)).collect()
+    assert len(got) == 40 and all(r["n_removed"] == 0 and r["doc_id"] is None for r in got)
+
+
 def test_substring_dedup_odd_rows(spark, odd):
     got = passages.strip_repeats(odd).collect()
     assert len(got) == odd.count()
