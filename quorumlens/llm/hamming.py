@@ -12,16 +12,16 @@ Spark shuffles (and splits where skewed); the rounds, at most a segment's bits a
 kept by checkpoints.
 
 Defined results: as for ``vectors.usable``; repeated rows are one; with fewer other rows than
-asked for all are returned; ties go to the smaller vec_id; other columns are ignored.
+asked for all are returned; ties go to the smaller vec_id; an empty table gives an empty one;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from functools import reduce
-from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -65,11 +65,13 @@ def nearest_codes(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     asking = checkpoint(asking)
     active = asking.select("query").distinct().join(entries.select(F.col("id").alias("query"), *[F.col(f"s{j}").alias(f"q{j}") for j in range(m)]), "query")
     active, state = checkpoint(active), None
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     best = Window.partitionBy("query").orderBy("distance", "id")
     finished: list[DataFrame] = []
     for r in range(max(n for _, n in cut) + 1):
-        probes = active.select("*", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), _masks(n, r).alias("masks"), F.col(f"q{j}").alias("v")) for j, (_, n) in enumerate(cut) if r <= n])).alias("x"))
-        probes = probes.select("query", *[f"q{j}" for j in range(m)], "x.j", F.explode(F.transform("x.masks", lambda mask: F.col("x.v").bitwiseXOR(mask))).alias("value"))
+        # Few queries make many probes: they are dealt out anew, so that each task makes its share.
+        probes = active.repartition(tasks, "query").select("*", F.posexplode(F.array(*[f"q{j}" for j in range(m)])).alias("j", "v"))
+        probes = probes.join(F.broadcast(_masks(rows.sparkSession, [n for _, n in cut], r)), "j").withColumn("value", F.col("v").bitwiseXOR(F.col("mask"))).drop("v", "mask")
         apart = [F.bit_count(F.col(f"q{j}").bitwiseXOR(F.col(f"s{j}"))) for j in range(m)]
         first = reduce(lambda rest, j: F.when(apart[j] <= r, j).otherwise(rest), reversed(range(m)), F.lit(-1))
         nearer = reduce(lambda a, b: a & b, [d >= r for d in apart])
@@ -97,6 +99,11 @@ def nearest_codes(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("distance").cast("int").alias("distance"))
 
 
-def _masks(bits: int, radius: int) -> Column:
-    """All numbers of so many bits of which exactly ``radius`` are set."""
-    return F.array(*[F.lit(sum(1 << b for b in c)) for c in combinations(range(bits), radius)])
+def _masks(spark: SparkSession, lengths: list[int], radius: int) -> DataFrame:
+    """(j, mask): for each segment all numbers of its length in bits of which exactly ``radius`` are set.
+
+    At most C(``MOST_BITS``, radius) a segment, 12,870, whatever the input.
+    """
+    fits = F.array_compact(F.array(*[F.when(F.col("id") < 1 << n, j) for j, n in enumerate(lengths)]))
+    numbers = spark.range(1 << max(lengths)).where(F.bit_count("id") == radius)
+    return numbers.select(F.explode(fits).alias("j"), F.col("id").cast("int").alias("mask"))
