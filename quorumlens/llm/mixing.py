@@ -7,7 +7,9 @@ first, then the documents before the cut, then the part of the document at the c
 
 The key ranges of a source are in proportion to its share of all words, so a source that
 holds a third of the rows is spread over a third of all ranges. What is planned on the
-driver is one number per source and one per range: ``RANGES`` and the number of sources.
+driver is one number per source, as shares are settled between all sources; the table of
+ranges has ``RANGES`` rows and one more for each source. Both grow with the number of
+sources, so Spark chooses how they are joined by their size.
 
 Defined results: null text has size 0; a null source is a source of its own and comes last;
 documents of size 0 and sources without a word take 0; rows are told apart by doc_id and
@@ -71,16 +73,15 @@ def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ranges: int = RA
     goal = targets(sizes, weights)
     parts = {s: max(1, math.ceil(ranges * n / total)) for s, n in sizes.items()}
     plan = spark.createDataFrame([(s, int(n), float(goal[s]), parts[s]) for s, n in sizes.items()], "source string, source_size long, target double, parts int")
-    # A row per source and at most RANGES + sources rows below: both are safe to broadcast.
     half = F.shiftrightunsigned("key", 1) / float(1 << 63)
-    sized = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
+    sized = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     sized = sized.withColumn("part", F.least(F.floor(half * F.col("parts")).cast("int"), F.col("parts") - 1))
     sums = sized.groupBy("source", "part").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("source", "part").orderBy(F.shiftrightunsigned("key", 1), "key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     ranked = sized.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    ranked = ranked.join(F.broadcast(starts), ranked["source"].eqNullSafe(starts["s"]) & (ranked["part"] == starts["p"])).drop("s", "p")
+    ranked = ranked.join(starts, ranked["source"].eqNullSafe(starts["s"]) & (ranked["part"] == starts["p"])).drop("s", "p")
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size")
@@ -95,11 +96,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     space; rows that are not used go.
     """
     used = take(docs.select("doc_id", "text", "source"), weights).where("taken > 0")
-    # Identical rows may be cut at different places: number them, so that each use is joined to one row.
+    # Rows of equal text may be cut at different places: number them, by all their columns, so that each use is joined to one row.
     same = Window.partitionBy("doc_id", "key").orderBy(F.desc("taken"))
     used = used.select("doc_id", "key", "taken", "size", F.row_number().over(same).alias("copy"))
     keyed = docs.withColumn("__key", F.xxhash64(F.lit(23), "doc_id", F.xxhash64("text")))
-    keyed = keyed.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy(F.lit(0))))
+    keyed = keyed.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy(F.xxhash64(*docs.columns))))
     used = used.select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), F.col("taken").alias("__taken"), F.col("size").alias("__size"), F.col("copy").alias("__c"))
     joined = keyed.join(used, keyed["doc_id"].eqNullSafe(used["__id"]) & (keyed["__key"] == used["__k"]) & (keyed["__copy"] == used["__c"]))
     uses = F.sequence(F.lit(1).cast("long"), F.ceil(F.col("__taken") / F.col("__size")))
