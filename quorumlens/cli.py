@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import detectors, findings, terms, urls
-from .sources import html, io, report, rules, web
+from .sources import collect, html, io, report, rules, web
 
 
 def session() -> SparkSession:
@@ -22,96 +22,132 @@ def session() -> SparkSession:
 
 
 def check(spark: SparkSession, family: rules.Family, tables: dict[str, DataFrame], claims: Sequence = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(findings, finding pages, warnings) of one family: its detectors, capped each."""
-    names = [n for n in family.detectors if n != "claims"]
-    found = findings.registry.run(names, tables, min_members=family.min_members, min_share=family.min_share)
-    if "claims" in family.detectors:
-        found["claims"] = detectors.claims(tables, list(claims), family.min_members, family.min_share)
+    """(findings, finding pages, warnings) of one family: its detectors in their order, capped each."""
+    named = [n for n in family.detectors if n != "claims"]
+    found = findings.registry.run(named, tables, min_members=family.min_members, min_share=family.min_share)
     parts = []
-    for name, rows in found.items():
-        kind = {"notation": findings.KIND_STYLE, "table_values": findings.KIND_CONTENT, "claims": findings.KIND_CONTENT}.get(name, findings.KIND_STRUCTURE)
-        parts.append(findings.assemble(rows.withColumn("value", F.coalesce("value", F.lit(""))), name, kind, ["family", "detector", "place"]))
-    all_ = parts[0][0]
-    pages = parts[0][1]
+    for place, name in enumerate(family.detectors):
+        rows = detectors.claims(tables, list(claims), family.min_members, family.min_share) if name == "claims" else found[name]
+        some, pages = findings.assemble(rows.withColumn("value", F.coalesce("value", F.lit(""))), name, None, ["family", "detector", "place"])
+        parts.append((some.withColumn("place", F.lit(place)), pages))
+    all_, pages = parts[0]
     for f, p in parts[1:]:
         all_, pages = all_.unionByName(f), pages.unionByName(p)
-    kept, warnings = findings.cap(all_)
+    kept, warnings = findings.cap(all_, order=["location", "finding_id"])
     return kept, pages.join(kept.select("finding_id"), "finding_id", "left_semi"), warnings
 
 
-def _controleer(spark: SparkSession, a: argparse.Namespace) -> int:
-    family = next((f for f in rules.load_families(a.rules) if f.id == a.familie), None)
+def _controleer(spark: SparkSession, a: argparse.Namespace, transport: web.Transport = web.over_http) -> int:
+    listed = rules.load_families(a.rules)
+    family = next((f for f in listed if f.id == a.familie), None)
     if family is None:
         print(f"unknown family: {a.familie}", file=sys.stderr)
         return 1
-    pages = io.read_snapshot(spark, a.snapshot).where(F.col("familie") == family.id)
-    if a.limiet:
-        pages = pages.orderBy("url").limit(a.limiet)
-    if pages.isEmpty():
+    problems: list[str] = []
+    if a.snapshot:
+        pages = io.read_snapshot(spark, a.snapshot).where(F.col("familie") == family.id)
+        if a.limiet:
+            pages = pages.orderBy("url").limit(a.limiet)
+    else:
+        pages, errors = collect.snapshot(spark, family, f"{a.naar}/cache", a.date, a.limiet, transport)
+        io.write_snapshot(pages, f"{a.naar}/snapshots", a.date)
+        pages = io.read_snapshot(spark, f"{a.naar}/snapshots/dt={a.date}/family={family.id}")
+        failed = errors.orderBy("url").limit(findings.CAP).collect()
+        problems = [f"{r['url']}: {r['error']}" for r in failed]
+        if len(failed) == findings.CAP:
+            problems.append(f"{errors.count()} pages could not be read in all")
+    seen = pages.agg(F.count("*").alias("n"), F.max("opgehaald_op").alias("at")).collect()[0]
+    if not seen["n"]:
         print("the snapshot has no pages", file=sys.stderr)
         return 1
-    kept, _, warnings = check(spark, family, io.snapshot_tables(pages), rules.load_claims(a.claims) if a.claims else ())
-    io.write_findings(kept.withColumn("family", F.lit(family.id)), a.naar, a.date)
-    for w in warnings.collect():
-        print(f"{w['rule']}: {w['found']} findings, {findings.CAP} kept")
-    return 0
+    kept, of, warnings = check(spark, family, io.snapshot_tables(pages), rules.load_claims(a.claims) if a.claims else ())
+    io.write_findings(kept.withColumn("family", F.lit(family.id)), f"{a.naar}/findings", a.date)
+    io.write_findings(of.withColumn("family", F.lit(family.id)), f"{a.naar}/pages", a.date)
+    told = [f"{w['rule']}: {w['found']} findings, {findings.CAP} kept" for w in warnings.orderBy("rule").collect()]
+    io.write_run(spark, f"{a.naar}/runs", family.id, a.date, seen["n"], seen["at"], told + problems)
+    print("\n".join(told + problems))
+    return _write_report(spark, listed, a.naar, f"{a.naar}/report.html")
+
+
+def _panels(spark: SparkSession, families: Sequence[rules.Family], folder: str) -> list[tuple[rules.Family, str, int, str]]:
+    """(family, date, number of findings, panel) of the families that have a run, in the order of the rules."""
+    runs = {r["family"]: r.asDict() for r in io.latest(spark, f"{folder}/runs").collect()}
+    rows, pages = spark.read.parquet(f"{folder}/findings"), spark.read.parquet(f"{folder}/pages")
+    out = []
+    for f in families:
+        if f.id in runs:
+            mine, of = (x.where((F.col("family") == f.id) & (F.col("dt").cast("string") == runs[f.id]["dt"])) for x in (rows, pages))
+            out.append((f, runs[f.id]["dt"], mine.count(), report.panel(mine, f.id, runs[f.id]["dt"], f.name, of.drop("family", "dt"), None, runs[f.id])))
+    return out
+
+
+def _write_report(spark: SparkSession, families: Sequence[rules.Family], folder: str, path: str) -> int:
+    panels = _panels(spark, families, folder)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(report.families_report([(x.id, x.name, html_) for x, _, _, html_ in panels]))
+    return 0 if panels else 1
 
 
 def _rapport(spark: SparkSession, a: argparse.Namespace) -> int:
-    rows = io.latest(spark, a.findings)
-    names = [r["family"] for r in rows.select("family").distinct().orderBy("family").limit(1000).collect()]
-    if not names:
+    if not io.exists(spark, f"{a.van}/runs"):
+        print("no family has been checked yet", file=sys.stderr)
         return 1
-    panels = [(n, n, report.panel(rows.where(F.col("family") == n), n, a.date)) for n in names]
-    with open(a.naar, "w", encoding="utf-8") as f:
-        f.write(report.families_report(panels))
-    return 0
+    return _write_report(spark, rules.load_families(a.rules), a.van, a.naar)
 
 
 def _publiceer(spark: SparkSession, a: argparse.Namespace) -> int:
-    rows = io.latest(spark, a.findings)
-    counts = rows.groupBy("family", "dt").agg(F.count("*").alias("findings")).limit(1000).collect()
-    if not counts:
+    panels = _panels(spark, rules.load_families(a.rules), a.van) if io.exists(spark, f"{a.van}/runs") else []
+    if not panels:
+        print("no family has been checked yet", file=sys.stderr)
         return 1
-    panels = [(r["family"], r["dt"], int(r["findings"]), report.panel(rows.where(F.col("family") == r["family"]), r["family"], r["dt"])) for r in counts]
-    io.publish_panels(spark.createDataFrame(panels, "family string, dt string, findings int, html string"), None, a.naar)
+    rows = [(f.id, f.name, dt, i, n, html_) for i, (f, dt, n, html_) in enumerate(panels)]
+    io.publish_panels(spark.createDataFrame(rows, io.PANELS), a.naar)
     return 0
 
 
-def _invarianten(spark: SparkSession, a: argparse.Namespace) -> int:
-    limits = {"urls": a.urls, "pages": a.pages}
-    row = urls.invariants(spark.read.parquet(a.html), limits).collect()[0]
-    failed = [k for k in limits if not row[f"{k}_ok"]]
-    print("\n".join(f"{k}: {row[k]}" + (" too few" if k in failed else "") for k in limits))
-    return 1 if failed else 0
+def _invarianten(spark: SparkSession, a: argparse.Namespace, transport: web.Transport = web.over_http) -> int:
+    family = next((f for f in rules.load_families(a.rules) if f.id == a.familie), None)
+    if family is None:
+        print(f"unknown family: {a.familie}", file=sys.stderr)
+        return 1
+    read = lambda rows: urls.strict_locations(web.fetch(rows, transport, 0).where("html is not null").select(F.col("url").alias("sitemap_url"), F.col("html").alias("xml")))
+    index = read(spark.createDataFrame([(a.index,)], "url string")).where("is_index").select(F.col("loc").alias("url"))
+    pages = read(spark.createDataFrame([(family.sitemap,)], "url string")).where("NOT is_index").select(F.col("loc").alias("url"))
+    members = urls.family(pages, family.prefix, family.strip)
+    sample = web.fetch(urls.systematic_sample(members, "url", urls.SAMPLE), transport, 0)
+    parsed = html.parse(sample.where("html is not null").withColumn("family", F.lit(family.id)))
+    tables = F.size(F.array_distinct(F.concat(F.transform("rows", lambda r: r["table_idx"]), F.transform("columns", lambda c: c["table_idx"]))))
+    bad = [r["url"] for r in parsed.where("error is not null").collect()] + [r["url"] for r in sample.where("html is null").collect()]
+    rows = urls.health(index, pages, members, parsed.where("error is null").select("url", tables.alias("tables"), F.size("rows").alias("rows"))).collect()
+    for r in rows:
+        print(f"{r['figure']}: {r['value']:g}" + ("" if r["ok"] else f", at least {r['floor']:g} expected"))
+    print("\n".join(f"{u}: cannot be read" for u in bad))
+    return 0 if all(r["ok"] for r in rows) and not bad else 1
 
 
-def _verken(spark: SparkSession, a: argparse.Namespace) -> int:
-    pages = urls.expand_sitemaps(spark.read.parquet(a.sitemaps), a.start)
-    if pages.isEmpty():
-        return 1
-    for r in urls.path_stats(pages, a.diepte).orderBy(F.desc("n"), "prefix").limit(a.top).collect():
-        print(f"{r['n']:>8} {r['prefix']}")
-    return 0
+def _verken(spark: SparkSession, a: argparse.Namespace, transport: web.Transport = web.over_http) -> int:
+    sites, _ = rules.load_sites(a.sites)
+    pages = collect.site_urls(spark, [s.base_url for s in sites], transport).persist()
+    some = False
+    for s in sites:
+        for r in urls.path_stats(pages.where(F.col("base_url") == s.base_url), a.diepte).orderBy(F.desc("n"), "prefix").limit(a.top).collect():
+            some = True
+            print(f"{s.id} {r['n']:>8} {r['prefix']}")
+    pages.unpersist()
+    return 0 if some else 1
 
 
-def _crawl(spark: SparkSession, a: argparse.Namespace) -> int:
+def _crawl(spark: SparkSession, a: argparse.Namespace, transport: web.Transport = web.over_http) -> int:
     sites, most = rules.load_sites(a.sites)
-    wanted = [(s, s.paths) for s in sites]
-    if not a.hele_site and any(not p for _, p in wanted):
+    if not a.hele_site and any(not s.paths for s in sites):
         print("a site has no paths; use --hele-site to take all of it", file=sys.stderr)
         return 2
-    found = spark.read.parquet(a.urls)
-    parts = []
-    for s, paths in wanted:
-        mine = urls.scoped(found.where(F.col("url").startswith(s.base_url)), [] if a.hele_site else paths)
-        part = html.plain_pages(web.fetch(mine.orderBy("url").limit(a.max_paginas or most)).where("error is null"))
-        parts.append(part.select("url", F.lit(s.language).alias("taal"), F.lit(s.id).alias("site"), F.col("title").alias("titel"), F.col("text").alias("tekst"), F.lit(a.date).alias("opgehaald_op"), "content_hash"))
+    parts = [collect.corpus(spark, s, a.cache, a.date, a.max_paginas or most, a.hele_site, transport) for s in sites]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     io.write_corpus(out, a.uit)
-    return 1 if spark.read.schema(io.CORPUS).json(a.uit).isEmpty() else 0
+    return 1 if io.read_corpus(spark, a.uit).isEmpty() else 0
 
 
 def _check(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -119,13 +155,15 @@ def _check(spark: SparkSession, a: argparse.Namespace) -> int:
     pages = io.read_corpus(spark, a.corpus)
     if pages.isEmpty():
         return 1
+    scope = "; ".join(f"{s.id}: {', '.join(s.paths) or 'all'}" for s in rules.load_sites(a.sites)[0]) if a.sites else ""
     found = terms.hits(pages, listed, text="tekst", language="taal").persist()
     io.export_json(found, f"{a.uit}/findings", "rule_id", "url", "position")
     with open(f"{a.uit}/report.html", "w", encoding="utf-8") as f:
-        f.write(report.terms_report(found, pages))
-    rows = terms.summary(found).limit(1000).collect()
+        f.write(report.terms_report(found, pages, scope))
+    rows = terms.summary(found).collect()  # a row for each rule at most
     for r in rows:
         print(f"{r['rule_id']}: {r['hits']} hits on {r['pages']} pages")
+    found.unpersist()
     return 1 if rows and a.strict else 0
 
 
@@ -143,13 +181,13 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--date", default=today)
         s.set_defaults(run=run)
 
-    add("controleer", _controleer, "--familie", "--rules", "--snapshot", "--naar", claims={}, limiet={"type": int})
-    add("rapport", _rapport, "--findings", "--naar")
-    add("publiceer", _publiceer, "--findings", "--naar")
-    add("invarianten", _invarianten, "--html", urls={"type": int, "default": 4000}, pages={"type": int, "default": 200})
-    add("verken", _verken, "--sitemaps", start={"nargs": "+", "required": True}, diepte={"type": int, "default": 2}, top={"type": int, "default": 25})
-    add("crawl", _crawl, "--sites", "--urls", "--uit", max_paginas={"type": int}, hele_site={"action": "store_true"})
-    add("check", _check, "--corpus", "--regels", "--uit", strict={"action": "store_true"})
+    add("controleer", _controleer, "--familie", "--rules", "--naar", snapshot={}, claims={}, limiet={"type": int})
+    add("rapport", _rapport, "--rules", "--van", "--naar")
+    add("publiceer", _publiceer, "--rules", "--van", "--naar")
+    add("invarianten", _invarianten, "--rules", "--familie", "--index")
+    add("verken", _verken, "--sites", diepte={"type": int, "default": 2}, top={"type": int, "default": 25})
+    add("crawl", _crawl, "--sites", "--uit", "--cache", max_paginas={"type": int}, hele_site={"action": "store_true"})
+    add("check", _check, "--corpus", "--regels", "--uit", sites={}, strict={"action": "store_true"})
     return p
 
 

@@ -15,9 +15,14 @@ def joined_hash(*parts: Column) -> Column:
 
 def json_string(c: Column) -> Column:
     """A JSON string literal; characters beyond ASCII stay as they are."""
+    named = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
     out = c
-    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"')):
         out = F.replace(out, F.lit(plain), F.lit(escaped))
+    control = out
+    for code in range(0x20):
+        control = F.replace(control, F.lit(chr(code)), F.lit(named.get(chr(code), f"\\u{code:04x}")))
+    out = F.when(out.rlike(r"[\x00-\x1F]"), control).otherwise(out)
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 

@@ -107,12 +107,22 @@ def sentences(text: Column, name: Column) -> Column:
     return F.transform(kept, lambda s: F.struct(title_key(s, name).alias("key"), mask_country(s, name).alias("text")))
 
 
-def fragment(text: Column, start: Column, length: Column) -> Column:
-    """The sentence around a hit; ``start`` counts from 0."""
-    before = F.regexp_extract(F.substring(text, F.lit(1), start), r"([^.!?\n]*)\z", 1)
-    hit = F.substring(text, start + 1, length)
-    after = F.regexp_extract(F.substring(text, start + length + 1, F.length(text)), r"^([^.!?\n]*[.!?\n]?)", 1)
-    return collapse(F.concat(before, hit, after))
+def sentence_ends(text: Column) -> Column:
+    """The text with every mark that ends a sentence as a full stop; lengths stay."""
+    return F.translate(text, "!?\n", "...")
+
+
+def fragment(text: Column, start: Column, length: Column, ends: Column | None = None) -> Column:
+    """The sentence around a hit; ``start`` counts from 0, ``ends`` is ``sentence_ends`` of the text if known.
+
+    Looks for the nearest full stop on each side, without a pattern over all that stands before.
+    """
+    flat = sentence_ends(text) if ends is None else ends
+    before = F.length(F.substring_index(F.substring(flat, F.lit(1), start), ".", -1))
+    past = start + length
+    rest = F.instr(F.substring(flat, past + 1, F.length(flat)), ".")
+    last = F.when(rest > 0, past + rest).otherwise(F.length(flat))
+    return collapse(F.substring(text, start - before + 1, last - start + before))
 
 
 def escape_html(text: Column) -> Column:

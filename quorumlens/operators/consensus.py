@@ -62,9 +62,15 @@ def first_k(rows: DataFrame, group: Sequence[str], order: Sequence[str | Column]
     return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("__rn") <= k).withColumnRenamed("__rn", "rank")
 
 
-def evidence(rows: DataFrame, norms: DataFrame, group: Sequence[str], value: str, member: str, k: int = EVIDENCE) -> DataFrame:
-    """(group, siblings): up to ``k`` members that agree, in member order."""
+def first_siblings(rows: DataFrame, group: Sequence[str], member: str, value: str, k: int = EVIDENCE) -> DataFrame:
+    """(group, siblings): the first ``k`` members of each group by member and value, as url and value."""
+    once = rows.select(*group, member, value).distinct()
+    top = first_k(once, group, [member, value], k)
+    pair = F.transform(F.array_sort(F.collect_list(F.struct("rank", member, value))), lambda x: F.struct(x[member].cast("string").alias("url"), x[value].cast("string").alias("value")))
+    return top.groupBy(*group).agg(pair.alias("siblings"))
+
+
+def evidence(rows: DataFrame, norms: DataFrame, group: Sequence[str], value: str, member: str, k: int = EVIDENCE, shown: str | None = None) -> DataFrame:
+    """(group, siblings): up to ``k`` members that agree, in member order, each with its value or what it shows."""
     agreeing = rows.join(norms.select(*group, "norm"), list(group)).where(F.col(value) == F.col("norm"))
-    once = agreeing.select(*group, member, value).distinct()
-    top = first_k(once, group, [member], k)
-    return top.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", member, value))), lambda x: F.struct(x[member].alias("url"), x[value].alias("value"))).alias("siblings"))
+    return first_siblings(agreeing, group, member, shown or value, k)

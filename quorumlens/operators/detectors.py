@@ -3,7 +3,8 @@
 Tables (all keyed by family and url): ``table_row`` (label, value_raw, ord), ``section``
 (ord, step, title, level, text), ``heading`` (ord, level, text), ``section_heading`` (sec_ord,
 ord, level, text, is_toggle), ``page`` (title, variant). Every detector returns deviations:
-family, detector, place (what the norm is about), url, value (observed), norm, n, agree.
+family, detector, kind, place (what the norm is about), url, value (observed), norm, n, agree,
+siblings (the first pages that agree, with their values).
 Norms are small aggregates; pages meet them by equi-joins on family and step.
 """
 
@@ -16,24 +17,43 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.similar import similarity
-from .consensus import MIN_MEMBERS, MIN_SHARE, consensus, deviators, last_votes, member_consensus, mode, thresholds
-from .findings import registry
+from ..sources.shared import checkpoint
+from .consensus import MIN_MEMBERS, MIN_SHARE, consensus, deviators, evidence, first_siblings, last_votes, member_consensus, mode, thresholds
+from .findings import KIND_CONTENT, KIND_STRUCTURE, KIND_STYLE, registry
 from .terms import ClaimRule
 
 RENAMED_STEP = 0.75
 RENAMED_TOGGLE = 0.8
 CLOSE_SENTENCE = 0.6
-OUT = ["family", "detector", "place", "url", "value", "norm", "n", "agree"]
+#: Sentences that a finding shows of each page; examples of a page's amounts.
+SHOWN = 3
+OUT = ["family", "detector", "kind", "place", "url", "value", "norm", "n", "agree", "siblings"]
+SIBLINGS = "array<struct<url: string, value: string>>"
 
 
-def _out(rows: DataFrame, detector: str, place: Column, value: Column, norm: Column, n: Column, agree: Column) -> DataFrame:
-    return rows.select("family", F.lit(detector).alias("detector"), place.alias("place"), "url", value.alias("value"), norm.alias("norm"), n.cast("long").alias("n"), agree.cast("long").alias("agree"))
+def _out(rows: DataFrame, detector: str | Column, kind: str | Column, place: Column, value: Column, norm: Column, n: Column, agree: Column, siblings: Column | None = None) -> DataFrame:
+    col = lambda x: F.lit(x) if isinstance(x, str) else x
+    none = F.array().cast(SIBLINGS)
+    proof = none if siblings is None else F.coalesce(siblings.cast(SIBLINGS), none)
+    return rows.select("family", col(detector).alias("detector"), col(kind).alias("kind"), place.alias("place"), "url", value.alias("value"), norm.alias("norm"), n.cast("long").alias("n"), agree.cast("long").alias("agree"), proof.alias("siblings"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _pages(rows: DataFrame) -> DataFrame:
     return rows.groupBy("family").agg(F.countDistinct("url").alias("pages"))
 
 
+def _joined(rows: DataFrame, by: list[str], order: list[str], text: Column, mark: str = "; ") -> DataFrame:
+    """One row for each ``by``: all its texts in order, as one."""
+    return rows.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, text.alias("__t")))), lambda x: x["__t"]), mark).alias("value"))
+
+
 # -- tables ---------------------------------------------------------------------------------
 
 
@@ -43,31 +63,50 @@ def table_values(tables: dict[str, DataFrame], min_members: int = MIN_MEMBERS, m
     rows = tables["table_row"].select("family", "url", "ord", "value_raw", T.label_key(F.col("label")).alias("key"), T.value_key(F.col("value_raw")).alias("vote")).where("key <> ''")
     votes = last_votes(rows, ["family", "key"], "url", "vote", ["ord"], "value_raw")
     norms = member_consensus(votes, ["family", "key"], "vote", ["url", "ord"], min_members, min_share)
-    shown = votes.join(norms, ["family", "key"]).where("vote = norm").groupBy("family", "key").agg(F.min_by("value_raw", F.struct("url", "ord")).alias("shown"))
+    agreeing = votes.join(norms.select("family", "key", "norm"), ["family", "key"]).where("vote = norm")
+    shown = first_siblings(agreeing, ["family", "key"], "url", "value_raw")
     away = deviators(votes, norms, ["family", "key"], "vote").join(shown, ["family", "key"])
-    return _out(away, "table_values", F.col("key"), F.col("value_raw"), F.col("shown"), F.col("n"), F.col("agree"))
+    return _out(away, "table_values", KIND_CONTENT, F.col("key"), F.col("value_raw"), F.col("siblings")[0]["value"], F.col("n"), F.col("agree"), F.col("siblings"))
 
 
 @registry.register("notation")
 def notation(tables: dict[str, DataFrame], min_members: int = MIN_MEMBERS, min_share: float = MIN_SHARE, **_) -> DataFrame:
-    """Pages that write amounts in another notation than most pages do; n and agree count their amounts."""
-    rows = tables["table_row"].withColumn("notation", T.notation(F.col("value_raw"))).where("notation is not null")
-    pages = mode(rows, ["family", "url"], "notation", ["ord"]).select("family", "url", "n", F.col("norm").alias("own"), "agree")
+    """Pages that write amounts in another notation than most pages do; n and agree count their amounts.
+
+    One scan counts each page's notations; all else works on that small table.
+    """
+    rows = tables["table_row"].select("family", "url", "ord", "value_raw", T.notation(F.col("value_raw")).alias("notation")).where("notation is not null")
+    first = F.min(F.struct("ord", "value_raw"))
+    each = checkpoint(rows.groupBy("family", "url", "notation").agg(F.count("*").alias("c"), first.alias("first")))
+    best = F.min_by("notation", F.struct((-F.col("c")).alias("c"), F.col("first.ord").alias("ord")))
+    pages = each.groupBy("family", "url").agg(F.sum("c").alias("n"), best.alias("own"))
     norms = thresholds(mode(pages, ["family"], "own", ["url"]), min_members, min_share, unanimous=True).select("family", "norm")
-    each = rows.join(norms, "family").groupBy("family", "url", "norm").agg(
-        F.count("*").alias("n"), F.count_if(F.col("notation") == F.col("norm")).alias("agree"), F.min_by("value_raw", F.when(F.col("notation") != F.col("norm"), F.col("ord"))).alias("example"))
-    return _out(each.where("agree < n"), "notation", F.col("url"), F.col("example"), F.col("norm"), F.col("n"), F.col("agree"))
+    both = each.join(norms, "family")
+    proof = first_siblings(both.where("notation = norm").withColumn("example", F.col("first.value_raw")), ["family"], "url", "example")
+    other = F.col("notation") != F.col("norm")
+    away = both.groupBy("family", "url", "norm").agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(~other, F.col("c"))), F.lit(0)).alias("agree"), F.min(F.when(other, F.col("first"))).alias("first")).where("agree < n")
+    shown = first_siblings(rows.join(away.select("family", "url", "norm"), ["family", "url"]).where("notation <> norm"), ["family", "url"], "ord", "value_raw", SHOWN)
+    away = away.join(proof, "family", "left").join(shown.select("family", "url", F.transform("siblings", lambda x: x["value"]).alias("examples")), ["family", "url"])
+    return _out(away, "notation", KIND_STYLE, F.col("url").cast("string"), F.array_join("examples", "; "), F.col("norm"), F.col("n"), F.col("agree"), F.col("siblings"))
 
 
 # -- steps ----------------------------------------------------------------------------------
 
 
+def names(tables: dict[str, DataFrame]) -> DataFrame:
+    """(family, url, name): the country of each page, which titles are compared without."""
+    page = tables.get("page")
+    if page is not None and {"title", "variant"} <= set(page.columns):
+        return page.select("family", "url", T.country(F.col("title"), F.col("variant")).alias("name"))
+    return next(tables[t] for t in ("page", "section", "heading") if t in tables).select("family", "url", F.lit("").alias("name")).distinct()
+
+
 def steps(section: DataFrame, page: DataFrame | None = None) -> DataFrame:
     """(family, url, key, title, pos): each page's distinct steps, numbered in order from 0."""
     name = F.lit("")
     if page is not None:
-        section = section.join(page.select("family", "url", T.country(F.col("title"), F.col("variant")).alias("__name")), ["family", "url"])
-        name = F.col("__name")
+        section = section.join(names({"page": page}), ["family", "url"])
+        name = F.col("name")
     rows = section.where(F.trim("step") != "").withColumn("key", T.title_key(F.col("step"), name)).where("key <> ''")
     first = rows.groupBy("family", "url", "key").agg(F.min("ord").alias("ord"), F.min_by("step", "ord").alias("title"))
     return first.withColumn("pos", F.row_number().over(Window.partitionBy("family", "url").orderBy("ord")) - 1).drop("ord")
@@ -86,6 +125,15 @@ def with_plan(found: DataFrame, norm: DataFrame) -> DataFrame:
     return found.join(norm.select("family", "key"), ["family", "key"], "left_semi").select("family", "url").distinct()
 
 
+def planned_names(tables: dict[str, DataFrame], min_share: float = MIN_SHARE) -> DataFrame:
+    """``names`` of the pages with a plan (all, if sections are not known); the other detectors of steps leave the rest out."""
+    if "section" not in tables:
+        return names(tables)
+    found = steps(tables["section"], tables.get("page"))
+    pages = _pages(tables["page"] if "page" in tables else tables["section"])
+    return checkpoint(names(tables).join(with_plan(found, step_norm(found, pages, 1, min_share)), ["family", "url"], "left_semi"))
+
+
 def missing_steps(found: DataFrame, norm: DataFrame, planned: DataFrame) -> DataFrame:
     """(family, url, key, title, place, on_pages, pages): norm steps that a page with a plan lacks."""
     due = planned.join(norm, "family")
@@ -121,7 +169,7 @@ def renamed_steps(missing: DataFrame, loose: DataFrame, least: float = RENAMED_S
     size, other = F.length("key"), F.length("loose")
     near = 2 * F.least(size, other) >= least * (size + other) - 1e-9
     pairs = pairs.where(near | (F.col("pos") == F.col("place")))
-    scored = pairs.withColumn("ratio", similarity(F.col("key"), F.col("loose"))).where((F.col("ratio") >= least) | (F.col("pos") == F.col("place")))
+    scored = pairs.withColumn("ratio", similarity(F.col("loose"), F.col("key"))).where((F.col("ratio") >= least) | (F.col("pos") == F.col("place")))
 
     def assign(page: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []
@@ -145,38 +193,55 @@ def renamed_steps(missing: DataFrame, loose: DataFrame, least: float = RENAMED_S
 @registry.register("steps")
 def step_plan(tables: dict[str, DataFrame], min_members: int = MIN_MEMBERS, min_share: float = MIN_SHARE, **_) -> DataFrame:
     """Pages without a plan, and missing, renamed, extra and swapped steps of the others."""
-    found = steps(tables["section"], tables.get("page")).persist()
-    pages = _pages(tables["page"] if "page" in tables else tables["section"])
-    norm = step_norm(found, pages, min_members, min_share)
-    planned = with_plan(found, norm)
+    found = checkpoint(steps(tables["section"], tables.get("page")))
     everyone = (tables["page"] if "page" in tables else tables["section"]).select("family", "url").distinct()
-    none = everyone.join(planned, ["family", "url"], "left_anti").join(norm.groupBy("family").agg(F.max("pages").alias("pages"), F.max("on_pages").alias("on_pages")), "family")
-    missing = missing_steps(found, norm, planned)
-    extra = extra_steps(found, norm, planned, min_share)
-    renamed = renamed_steps(missing, found.join(norm.select("family", "key"), ["family", "key"], "left_anti"))
-    gone = missing.join(renamed.select("family", "url", "key"), ["family", "url", "key"], "left_anti")
-    more = extra.join(renamed.select("family", "url", F.col("renamed_key").alias("key")), ["family", "url", "key"], "left_anti")
-    sizes = norm.select("family", "key", "on_pages", "pages")
-    parts = [
-        _out(none, "steps_none", F.lit(""), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("pages"), F.col("on_pages")),
-        _out(gone, "steps_missing", F.col("key"), F.lit(None).cast("string"), F.col("title"), F.col("pages"), F.col("on_pages")),
-        _out(renamed.join(sizes, ["family", "key"]), "steps_renamed", F.col("key"), F.col("renamed_title"), F.col("title"), F.col("pages"), F.col("on_pages")),
-        _out(more, "steps_extra", F.col("key"), F.col("title"), F.lit(None).cast("string"), F.col("planned"), F.col("planned") - F.col("on_pages")),
-        _out(swapped_steps(found, norm).join(sizes.groupBy("family").agg(F.max("pages").alias("pages")), "family"), "steps_order", F.lit(""), F.col("order"), F.lit(None).cast("string"), F.col("pages"), F.lit(None)),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    pages = everyone.groupBy("family").agg(F.count("*").alias("pages"))
+    norm = checkpoint(step_norm(found, pages, min_members, min_share))
+    planned = checkpoint(with_plan(found, norm))
+    size = planned.groupBy("family").agg(F.count("*").alias("planned"))
+    missing = missing_steps(found, norm, planned).drop("pages")
+    loose = found.join(norm.select("family", "key"), ["family", "key"], "left_anti").join(planned, ["family", "url"], "left_semi")
+    renamed = checkpoint(renamed_steps(missing, loose))
+    having = first_siblings(found.join(norm.select("family", "key"), ["family", "key"]), ["family", "key"], "url", "title")
+    sizes = norm.select("family", "key", "on_pages").join(size, "family").join(having, ["family", "key"])
+    key, none = ["family", "url", "key"], F.lit(None).cast("string")
+
+    without = everyone.join(planned, ["family", "url"], "left_anti").join(pages, "family").join(size, "family").where(F.col("pages") >= min_members)
+    only = _joined(found, ["family", "url"], ["pos"], F.col("title"), " · ")
+    without = without.join(only, ["family", "url"], "left")
+    gone = missing.select(*key, "title").join(renamed.select(*key), key, "left_anti").join(sizes, ["family", "key"])
+    near = similarity(F.col("key"), F.col("renamed_key")) >= RENAMED_STEP
+    other = renamed.join(sizes, ["family", "key"]).withColumn("kind", F.when(near, KIND_STYLE).otherwise(KIND_STRUCTURE))
+    more = checkpoint(extra_steps(found, norm, planned, min_share).drop("planned").join(renamed.select("family", "url", F.col("renamed_key").alias("key")), key, "left_anti"))
+    more = more.join(more.groupBy("family", "key").agg(F.count("*").alias("c")), ["family", "key"]).join(size, "family")
+    swapped = swapped_steps(found, norm).join(planned, ["family", "url"], "left_semi")
+    swapped = swapped.join(swapped.groupBy("family").agg(F.count("*").alias("c")), "family").join(size, "family")
+    return _union([
+        _out(without, "steps_none", KIND_STRUCTURE, F.lit(""), F.col("value"), none, F.col("pages"), F.col("planned")),
+        _out(gone, "steps_missing", KIND_STRUCTURE, F.col("key"), none, F.col("title"), F.col("planned"), F.col("on_pages"), F.col("siblings")),
+        _out(other, "steps_renamed", F.col("kind"), F.concat_ws(" / ", "key", "renamed_key"), F.col("renamed_title"), F.col("title"), F.col("planned"), F.col("on_pages"), F.col("siblings")),
+        _out(more, "steps_extra", KIND_STRUCTURE, F.col("key"), F.col("title"), none, F.col("planned"), F.col("planned") - F.col("c")),
+        _out(swapped, "steps_order", KIND_STRUCTURE, F.lit(""), F.col("order"), none, F.col("planned"), F.col("planned") - F.col("c")),
+    ])
 
 
 # -- accordions -----------------------------------------------------------------------------
 
 
-def toggles(section: DataFrame) -> DataFrame:
-    """(family, url, step_key, title_key, title, level): accordions; the last section of a title counts."""
-    rows = section.where("title <> ''").select("family", "url", T.title_key(F.col("step"), F.lit("")).alias("step_key"), T.title_key(F.col("title"), F.lit("")).alias("title_key"), "title", "level", "text", "ord")
-    return rows.groupBy("family", "url", "step_key", "title_key").agg(F.max_by(F.struct("title", "level", "text"), "ord").alias("x"), F.min("ord").alias("ord")).select("family", "url", "step_key", "title_key", "x.*", "ord")
+def _keyed(section: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """Sections with step_key and title_key, of the pages in ``named`` (of all, without a country, if there is none)."""
+    if named is None:
+        name = F.lit("")
+    else:
+        section, name = section.join(named, ["family", "url"]), F.col("name")
+    return section.withColumns({"step_key": T.title_key(F.col("step"), name), "title_key": T.title_key(F.col("title"), name)})
+
+
+def toggles(section: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """(family, url, step_key, title_key, title, step, level, text, ord): accordions; the last section of a title counts."""
+    rows = _keyed(section.where("title <> ''"), named)
+    last = F.max_by(F.struct("title", "step", "level", "text"), "ord")
+    return rows.groupBy("family", "url", "step_key", "title_key").agg(last.alias("x"), F.min("ord").alias("ord")).select("family", "url", "step_key", "title_key", "x.*", "ord")
 
 
 def missing_toggles(found: DataFrame, on_step: DataFrame, min_members: int = MIN_MEMBERS, min_share: float = MIN_SHARE) -> DataFrame:
@@ -190,21 +255,28 @@ def missing_toggles(found: DataFrame, on_step: DataFrame, min_members: int = MIN
 
 @registry.register("toggles")
 def toggle_titles(tables: dict[str, DataFrame], min_members: int = MIN_MEMBERS, min_share: float = MIN_SHARE, **_) -> DataFrame:
-    """Accordions that a page lacks: renamed within the step, moved to another step, or missing."""
-    found = toggles(tables["section"]).persist()
-    on_step = tables["section"].where("step <> ''").select("family", "url", T.title_key(F.col("step"), F.lit("")).alias("step_key")).distinct()
-    gone = missing_toggles(found, on_step, min_members, min_share)
-    if "heading" in tables:  # an ordinary heading of that title is no deviation
-        plain = tables["heading"].select("family", "url", T.title_key(F.col("text"), F.lit("")).alias("title_key")).distinct()
-        other = found.select("family", "url", "title_key").distinct()
-        gone = gone.join(plain.join(other, ["family", "url", "title_key"], "left_anti"), ["family", "url", "title_key"], "left_anti")
+    """Accordions that a page lacks: renamed within the step, moved to another step, or missing.
+
+    One that stands there as an ordinary heading is the heading detector's matter.
+    """
+    named = planned_names(tables, min_share)
+    found = checkpoint(toggles(tables["section"], named))
+    on_step = _keyed(tables["section"].where("step <> ''"), named).select("family", "url", "step_key").distinct()
+    gone = checkpoint(missing_toggles(found, on_step, min_members, min_share))
     near = gone.join(found.select("family", "url", "step_key", F.col("title_key").alias("other"), F.col("title").alias("other_title"), F.col("ord").alias("other_ord")), ["family", "url", "step_key"])
-    near = near.withColumn("ratio", similarity(F.col("title_key"), F.col("other"))).where(F.col("ratio") >= RENAMED_TOGGLE)
+    near = near.withColumn("ratio", similarity(F.col("other"), F.col("title_key"))).where(F.col("ratio") >= RENAMED_TOGGLE)
     renamed = near.groupBy("family", "url", "step_key", "title_key").agg(F.max_by("other_title", F.struct("ratio", (-F.col("other_ord")).alias("o"))).alias("renamed"))
-    moved = found.groupBy("family", "url", "title_key").agg(F.min("step_key").alias("moved_to"))
-    all_ = gone.join(renamed, ["family", "url", "step_key", "title_key"], "left").join(moved, ["family", "url", "title_key"], "left")
-    value = F.when(F.col("renamed").isNotNull(), F.col("renamed")).when(F.col("moved_to").isNotNull(), F.concat(F.lit("@"), "moved_to"))
-    return _out(all_, "toggles", F.concat_ws(" / ", "step_key", "title_key"), value, F.col("title"), F.col("pages"), F.col("has"))
+    moved = found.groupBy("family", "url", "title_key").agg(F.min_by("step", "ord").alias("moved"))
+    rows = gone.join(renamed, ["family", "url", "step_key", "title_key"], "left").join(moved, ["family", "url", "title_key"], "left")
+    rows = rows.withColumn("how", F.when(F.col("renamed").isNotNull(), "renamed").when(F.col("moved").isNotNull(), "moved").otherwise("missing"))
+    if "heading" in tables:
+        plain = tables["heading"].join(named, ["family", "url"]).select("family", "url", T.title_key(F.col("text"), F.col("name")).alias("title_key"), F.lit("missing").alias("how")).distinct()
+        rows = rows.join(plain, ["family", "url", "title_key", "how"], "left_anti")
+    proof = first_siblings(found, ["family", "step_key", "title_key"], "url", "title")
+    rows = rows.join(proof, ["family", "step_key", "title_key"])
+    kind = F.when(F.col("how") == "renamed", KIND_STYLE).otherwise(KIND_STRUCTURE)
+    value = F.coalesce("renamed", T.shorten(F.col("moved"), 50))
+    return _out(rows, F.concat(F.lit("toggles_"), "how"), kind, F.concat_ws(" / ", "step_key", "title_key"), value, F.col("title"), F.col("pages"), F.col("has"), F.col("siblings"))
 
 
 # -- headings -------------------------------------------------------------------------------
@@ -217,45 +289,72 @@ def level_jumps(heading: DataFrame) -> DataFrame:
 
 
 def heading_levels(heading: DataFrame, min_members: int = MIN_MEMBERS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(family, key, n, norm, agree, url, level): headings whose level differs from most of the same text."""
-    rows = heading.withColumn("key", T.title_key(F.col("text"), F.lit(""))).where("key <> ''")
+    """(family, key, n, norm, agree, url, level): headings whose level differs from most of the same text.
+
+    ``heading`` may bring its ``key``; without one the country is not known.
+    """
+    rows = heading if "key" in heading.columns else heading.withColumn("key", T.title_key(F.col("text"), F.lit("")))
     norms = consensus(rows, ["family", "key"], "level", ["url", "ord"], min_members, min_share)
     return deviators(rows, norms, ["family", "key"], "level")
 
 
+def _wrong_levels(rows: DataFrame, label: str, none: str, min_share: float) -> tuple[DataFrame, DataFrame]:
+    """Deviations of (family, url, at, level, text, key) from the family's commonest level, unless that is 0.
+
+    Returns (family, url, place, value, norm), a row for each page and level, and the (family, url, key) reported.
+    """
+    norms = consensus(rows, ["family"], "level", ["url", "at"], 1, min_share).where("norm > 0")
+    away = deviators(rows, norms, ["family"], "level").withColumn("place", F.concat(F.lit(f"{label}:h"), "level"))
+    shown = F.concat(F.when(F.col("level") == 0, none).otherwise(F.concat(F.lit("h"), "level")), F.lit(" “"), T.shorten(F.col("text"), 40), F.lit("”"))
+    pages = _joined(away, ["family", "url", "place", "norm"], ["at"], shown).withColumn("norm", F.concat(F.lit("h"), "norm"))
+    proof = evidence(rows.withColumn("shown", T.shorten(F.col("text"), 40)), norms, ["family"], "level", "url", shown="shown")
+    return pages.join(proof, "family", "left"), away.select("family", "url", "key")
+
+
 @registry.register("headings")
 def heading_structure(tables: dict[str, DataFrame], min_members: int = MIN_MEMBERS, min_share: float = MIN_SHARE, **_) -> DataFrame:
-    """Levels of headings inside accordions and of accordion titles, jumps, several h1, levels of equal texts."""
-    heading = tables["heading"]
-    text = lambda c: F.col(c).cast("string")
-    parts = []
-    if "section_heading" in tables:
-        inner = tables["section_heading"].withColumn("key", T.title_key(F.col("text"), F.lit("")))
-        real = inner.where("level > 0").groupBy("family", "key").agg(F.count("*").alias("c")).where(F.col("c") >= min_members).select("family", "key")
-        counted = inner.where("level > 0").unionByName(inner.where("level = 0").join(real, ["family", "key"], "left_semi"))
-        order = F.col("sec_ord") * 100000 + F.col("ord")
-        rows = counted.withColumn("at", order)
-        for name, part in (("headings_inside", rows.where("not is_toggle")), ("headings_toggle_inside", rows.where("is_toggle"))):
-            norms = consensus(part, ["family"], "level", ["url", "at"], 1, min_share).where("norm <> 0")
-            parts.append(_out(deviators(part, norms, ["family"], "level"), name, F.col("key"), text("level"), text("norm"), F.col("n"), F.col("agree")))
-    if "section" in tables:
-        titles = toggles(tables["section"])
-        norms = consensus(titles, ["family"], "level", ["url", "ord"], 1, min_share).where("norm <> 0")
-        parts.append(_out(deviators(titles, norms, ["family"], "level"), "headings_toggle", F.col("title_key"), text("level"), text("norm"), F.col("n"), F.col("agree")))
-    pages = _pages(heading)
-    jumps = level_jumps(heading).join(pages, "family").where(F.col("pages") >= min_members)
-    parts.append(_out(jumps, "headings_jump", F.col("text"), F.concat(F.lit("h"), text("before"), F.lit(" > h"), text("level")), F.lit(None).cast("string"), F.col("pages"), F.lit(None)))
-    h1 = heading.where("level = 1").groupBy("family", "url").agg(F.count("*").alias("c")).where("c > 1").join(pages, "family")
-    parts.append(_out(h1, "headings_h1", F.lit("h1"), text("c"), F.lit("1"), F.col("pages"), F.lit(None)))
+    """Levels of headings inside accordions and of accordion titles, jumps, several h1, levels of equal texts.
+
+    n is the number of pages with a plan (none is reported below ``min_members``), agree those of
+    them that do not deviate.
+    """
+    named = planned_names(tables, min_share)
+    size = named.groupBy("family").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_members)
+    named = named.join(size.select("family"), "family", "left_semi")
+    keyed = lambda rows: rows.join(named, ["family", "url"]).withColumn("key", T.title_key(F.col("text"), F.col("name"))).drop("name")
+    heading = checkpoint(keyed(tables["heading"]))
+    parts, told = [], []
+    titled = tables["section"].where("title <> ''") if "section" in tables else None
+    if titled is not None and "section_heading" in tables:
+        inner = keyed(tables["section_heading"].where("NOT is_toggle").join(titled.select("family", "url", F.col("ord").alias("sec_ord")), ["family", "url", "sec_ord"], "left_semi"))
+        # A bold paragraph is a heading only if the same text is a real one often enough.
+        real = heading.groupBy("family", "key").agg(F.count("*").alias("c")).where(F.col("c") >= min_members).select("family", "key")
+        rows = inner.where("level > 0").unionByName(inner.where("level = 0").join(real, ["family", "key"], "left_semi"))
+        pages, seen = _wrong_levels(rows.withColumn("at", F.struct("sec_ord", "ord")), "inside", "bold", min_share)
+        parts.append(pages.withColumn("detector", F.lit("headings_inside")))
+        told.append(seen)
+    if titled is not None:
+        rows = keyed(titled.select("family", "url", F.col("ord").alias("at"), "level", F.col("title").alias("text")))
+        pages, seen = _wrong_levels(rows, "toggle", "no heading", min_share)
+        parts.append(pages.withColumn("detector", F.lit("headings_toggle")))
+        told.append(seen)
+    plain = lambda rows, detector, place, norm: rows.select("family", "url", place.alias("place"), "value", F.lit(norm).cast("string").alias("norm"), F.lit(None).cast(SIBLINGS).alias("siblings"), F.lit(detector).alias("detector"))
+    jump = F.concat(F.lit("h"), F.col("before"), F.lit(" > h"), F.col("level"), F.lit(" “"), T.shorten(F.col("text"), 40), F.lit("”"))
+    parts.append(plain(_joined(level_jumps(heading), ["family", "url"], ["ord"], jump), "headings_jump", F.lit("jump"), None))
+    h1 = heading.where("level = 1").groupBy("family", "url").agg(F.count("*").alias("c")).where("c > 1").withColumn("value", F.concat(F.col("c").cast("string"), F.lit(" h1")))
+    parts.append(plain(h1, "headings_h1", F.lit("h1"), "1"))
     same = heading_levels(heading, min_members, min_share)
-    if parts:  # what is reported already is not reported again
-        for p in parts[:-2]:
-            same = same.join(p.select("family", "url", F.col("place").alias("key")), ["family", "url", "key"], "left_anti")
-    parts.append(_out(same, "headings_level", F.col("key"), text("level"), text("norm"), F.col("n"), F.col("agree")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    for seen in told:  # what is reported already is not reported again
+        same = same.join(seen.distinct(), ["family", "url", "key"], "left_anti")
+    away = _joined(same, ["family", "url", "key", "norm"], ["ord"], F.concat(F.lit("h"), "level"))
+    norms = same.select("family", "key", "norm").distinct()
+    proof = evidence(heading, norms, ["family", "key"], "level", "url")
+    away = away.join(proof.withColumn("siblings", F.col("siblings").cast(SIBLINGS)), ["family", "key"], "left")
+    parts.append(away.select("family", "url", F.col("key").alias("place"), "value", F.concat(F.lit("h"), "norm").alias("norm"), "siblings", F.lit("headings_level").alias("detector")))
+    rows = checkpoint(_union([p.select("family", "url", "place", "value", "norm", F.col("siblings").cast(SIBLINGS).alias("siblings"), "detector") for p in parts]))
+    count = rows.groupBy("family", "detector", "place").agg(F.countDistinct("url").alias("c"))
+    rows = rows.join(count, ["family", "detector", "place"]).join(size, "family")
+    return _out(rows, F.col("detector"), KIND_STYLE, F.col("place"), F.col("value"), F.col("norm"), F.col("pages"), F.col("pages") - F.col("c"), F.col("siblings"))
 
 
 # -- sentences and claims -------------------------------------------------------------------
@@ -277,48 +376,73 @@ def lacking(lines: DataFrame, everyone: DataFrame, standard: DataFrame) -> DataF
 
 @registry.register("sentences")
 def standard_sentences(tables: dict[str, DataFrame], min_members: int = MIN_MEMBERS, min_share: float = MIN_SHARE, **_) -> DataFrame:
-    """Accordions that lack a standard sentence of that accordion, with the closest sentence they have instead."""
-    found = toggles(tables["section"])
-    on_step = tables["section"].select("family", "url", T.title_key(F.col("step"), F.lit("")).alias("step_key")).groupBy("family", "step_key").agg(F.countDistinct("url").alias("on_step"))
-    group = F.concat_ws(" / ", "step_key", "title_key")
-    size = found.groupBy("family", "step_key", "title_key").agg(F.count("*").alias("members")).join(on_step, ["family", "step_key"])
-    size = size.where(F.col("members").cast("double") / F.greatest(F.col("on_step"), F.lit(1)) >= F.lit(float(min_share)))
-    named = lambda df: df.withColumn("group", F.concat_ws("\x1f", "family", group))
-    members = named(size).select("group", "members")
-    rows = named(found.join(size.select("family", "step_key", "title_key"), ["family", "step_key", "title_key"]))
-    everyone = rows.select("group", F.col("url").alias("member"), "family", F.concat_ws(" / ", "step_key", "title_key").alias("place"))
-    lines = rows.select("group", F.col("url").alias("member"), F.posexplode(T.sentences(F.col("text"), F.lit(""))).alias("ord", "s")).select("group", "member", "ord", "s.key", "s.text")
-    standard = standard_set(lines, members, min_members, min_share)
-    gone = lacking(lines, everyone, standard)
-    own = lines.join(standard.select("group", "key"), ["group", "key"], "left_anti").select("group", "member", F.col("key").alias("other"), F.col("text").alias("other_text"))
-    near = gone.join(own, ["group", "member"]).withColumn("ratio", similarity(F.col("key"), F.col("other"))).where(F.col("ratio") >= CLOSE_SENTENCE)
-    best = near.groupBy("group", "member", "key").agg(F.max_by("other_text", F.struct("ratio", "other")).alias("instead"))
-    out = gone.join(best, ["group", "member", "key"], "left").withColumn("url", F.col("member"))
-    return _out(out, "sentences", F.concat_ws(" / ", "place", "key"), F.col("instead"), F.col("shown"), F.col("members"), F.col("with_key"))
-
-
-def scope_text(section: DataFrame, page: DataFrame, scope: str) -> DataFrame:
-    """(family, url, text): the text a claim is sought in; pages without such a part are left out."""
-    kind, _, wanted = scope.partition(":")
-    if kind == "pagina":
-        return page.select("family", "url", "text")
-    key = {"stap": "step", "uitklap": "title"}.get(kind)
-    if key is None:
-        return page.select("family", "url", "text").limit(0)
-    part = section.where(T.title_key(F.col(key), F.lit("")).contains(wanted) & (F.col(key) != ""))
-    return part.groupBy("family", "url").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    """Accordions that lack standard sentences of that accordion, with the closest sentences they have instead.
 
-
-def claim_answers(texts: DataFrame, rule: ClaimRule) -> DataFrame:
-    return texts.withColumn("answer", T.answer(F.col("text"), rule.variants, rule.other))
+    A member is one section; a page's row tells how many sentences it lacks and shows the most
+    frequent ``SHOWN`` of them (ties by key).
+    """
+    named = planned_names(tables, min_share)
+    on_step = _keyed(tables["section"].where("step <> ''"), named).groupBy("family", "step_key").agg(F.countDistinct("url").alias("on_step"))
+    found = _keyed(tables["section"].where("title <> ''"), named).withColumn("member", F.struct("url", "ord"))
+    place = ["family", "step_key", "title_key"]
+    size = found.groupBy(*place).agg(F.count("*").alias("members")).join(on_step, ["family", "step_key"], "left")
+    size = size.where((F.col("members") >= min_members) & (F.col("members").cast("double") / F.greatest(F.coalesce("on_step", F.lit(0)), F.lit(1)) >= F.lit(float(min_share))))
+    group = F.struct(*place).alias("group")
+    rows = found.join(size.select(*place), place)
+    lines = checkpoint(rows.select(group, "member", F.posexplode(T.sentences(F.col("text"), F.col("name"))).alias("ord", "s")).select("group", "member", "ord", "s.key", "s.text"))
+    standard = checkpoint(standard_set(lines, size.select(group, "members"), min_members, min_share))
+    gone = checkpoint(lacking(lines, rows.select(group, "member"), standard))
+    own = lines.join(standard.select("group", "key"), ["group", "key"], "left_anti").join(gone.select("group", "member").distinct(), ["group", "member"], "left_semi")
+    own = own.groupBy("group", "member", F.col("key").alias("other")).agg(F.min_by("text", "ord").alias("other_text"))
+    near = gone.join(own, ["group", "member"]).withColumn("ratio", similarity(F.col("other"), F.col("key"))).where(F.col("ratio") >= CLOSE_SENTENCE)
+    best = near.groupBy("group", "member", "key").agg(F.max_by("other_text", F.struct("ratio", "other")).alias("instead"))
+    text = F.concat(F.when(F.col("instead").isNull(), "missing: “").otherwise(F.concat(F.lit("“"), T.shorten(F.col("instead"), 90), F.lit("” for “"))), T.shorten(F.col("shown"), 90), F.lit("”"))
+    each = gone.join(best, ["group", "member", "key"], "left").select("group", "member", "members", F.struct((-F.col("with_key")).alias("c"), "key", text.alias("t")).alias("x"))
+    pages = each.groupBy("group", "member", "members").agg(F.array_sort(F.collect_list("x")).alias("x"), F.count("*").alias("k"))
+    standards = standard.groupBy("group").agg(F.count("*").alias("standards"), F.min_by("shown", F.struct((-F.col("with_key")).alias("c"), "key")).alias("first"))
+    away = pages.groupBy("group").agg(F.count("*").alias("away"))
+    fine = rows.select(group, "member").join(pages.select("group", "member"), ["group", "member"], "left_anti").join(standards, "group").select("group", F.col("member.url").alias("url"), T.shorten(F.col("first"), 80).alias("first"))
+    out = pages.join(standards, "group").join(away, "group").join(first_siblings(fine, ["group"], "url", "first"), "group", "left")
+    more = F.when(F.col("k") > SHOWN, F.concat(F.lit(" (+"), (F.col("k") - SHOWN).cast("string"), F.lit(" more)"))).otherwise("")
+    value = F.concat(F.col("k").cast("string"), F.lit(" of "), F.col("standards").cast("string"), F.lit(": "), F.array_join(F.transform(F.slice("x", 1, SHOWN), lambda x: x["t"]), "; "), more)
+    out = out.withColumn("url", F.col("member.url")).withColumn("family", F.col("group.family"))
+    return _out(out, "sentences", KIND_STRUCTURE, F.concat_ws(" / ", "group.step_key", "group.title_key"), value, F.lit(None).cast("string"), F.col("members"), F.col("members") - F.col("away"), F.col("siblings"))
+
+
+def scope_texts(section: DataFrame, page: DataFrame, rules: list[ClaimRule]) -> DataFrame:
+    """(family, url, t0, t1, ...): for each rule the text it is sought in, null where a page has no such part.
+
+    ``section`` has step_key and title_key. All sections are read once, whatever the number of rules.
+    """
+    columns, parts = [], {}
+    for i, rule in enumerate(rules):
+        kind, _, wanted = rule.scope.partition(":")
+        key = {"stap": "step", "uitklap": "title"}.get(kind)
+        if key:
+            here = F.contains(F.col(f"{key}_key"), T.casefold(F.lit(wanted)))
+            here = here & (F.col("step") != "") if key == "step" else here
+            found = F.array_sort(F.collect_list(F.when(here, F.struct("ord", "text"))))
+            parts[f"t{i}"] = F.when(F.size(found) > 0, F.array_join(F.transform(found, lambda x: x["text"]), "\n"))
+        columns.append(F.col("text") if kind == "pagina" else F.col(f"t{i}") if key else F.lit(None).cast("string"))
+    rows = page
+    if parts:
+        rows = page.join(section.groupBy("family", "url").agg(*[c.alias(n) for n, c in parts.items()]), ["family", "url"], "left")
+    return rows.select("family", "url", *[c.alias(f"t{i}") for i, c in enumerate(columns)])
+
+
+def claim_answers(texts: DataFrame, rules: list[ClaimRule]) -> DataFrame:
+    """(family, url, rule, answer) of (family, url, t0, t1, ...), without the parts that a page lacks."""
+    said = [F.struct(F.lit(r.id).alias("rule"), T.answer(F.col(f"t{i}"), r.variants, r.other).alias("answer")) for i, r in enumerate(rules)]
+    return texts.select("family", "url", F.explode(F.array(*said)).alias("x")).select("family", "url", "x.*").where("answer is not null")
 
 
 def claims(tables: dict[str, DataFrame], rules: list[ClaimRule], min_members: int = MIN_MEMBERS, min_share: float = MIN_SHARE) -> DataFrame:
-    """Pages whose answer to a claim differs from most of their siblings'."""
-    out = None
-    for rule in rules:
-        said = claim_answers(scope_text(tables["section"], tables["page"], rule.scope), rule).where("answer is not null").select("family", "url", "answer")
-        norms = consensus(said, ["family"], "answer", ["url"], min_members, min_share)
-        part = _out(deviators(said, norms, ["family"], "answer"), f"claim_{rule.id}", F.lit(rule.title), F.col("answer"), F.col("norm"), F.col("n"), F.col("agree"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Pages with a plan whose answer to a claim differs from most of their siblings'."""
+    named = planned_names(tables, min_share)
+    page = tables["page"].select("family", "url", "text").join(named.select("family", "url"), ["family", "url"], "left_semi")
+    said = checkpoint(claim_answers(scope_texts(_keyed(tables["section"], named), page, rules), rules))
+    norms = consensus(said, ["family", "rule"], "answer", ["url"], min_members, min_share)
+    proof = evidence(said, norms, ["family", "rule"], "answer", "url")
+    titles = F.create_map(*[F.lit(x) for r in rules for x in (r.id, r.title)])
+    away = deviators(said, norms, ["family", "rule"], "answer").join(proof.withColumn("siblings", F.col("siblings").cast(SIBLINGS)), ["family", "rule"], "left")
+    return _out(away, F.concat(F.lit("claim_"), "rule"), KIND_CONTENT, titles[F.col("rule")], F.col("answer"), F.col("norm"), F.col("n"), F.col("agree"), F.col("siblings"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import casefold, search_key
+
 # Stored states, and the states a page is shown in.
 IN_PROGRESS, FIXED, IGNORED, OPEN = "in_behandeling", "gefixt", "negeren", "open"
 SHOWN_IGNORED, SHOWN_BACK, SHOWN_PRESENT = "genegeerd", "teruggekomen", "aanwezig"
@@ -48,6 +50,16 @@ def filtered(findings: DataFrame, states: DataFrame, show: str = "todo") -> Data
     return {"todo": rows.where(~F.col("__h")), "handled": rows.where("__h"), "all": rows}[show].drop("__h")
 
 
+def searched(findings: DataFrame, words: str, *parts: str) -> DataFrame:
+    """Findings whose ``parts`` (title, variants, URLs) hold ``words`` somewhere, in any case."""
+    return findings.where(F.contains(search_key(*[F.col(p) for p in parts]), casefold(F.trim(F.lit(words)))))
+
+
+def stamped(updates: DataFrame, user: str) -> DataFrame:
+    """Updates with who wrote them and when, whatever they say themselves."""
+    return updates.withColumn("written_by", F.lit(user)).withColumn("written_at", F.current_timestamp())
+
+
 def merge(current: DataFrame, updates: DataFrame, *keys: str) -> DataFrame:
     """Upsert: rows of ``updates`` replace those of equal keys, nothing is deleted."""
     return current.join(updates.select(*keys).distinct(), list(keys), "left_anti").unionByName(updates)

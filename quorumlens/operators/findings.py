@@ -23,6 +23,17 @@ OWNERS = {"schrijfrichtlijn": "webredactie", "structuur": "beoordelen"}
 OWNER_ELSE = "kenniseigenaar"
 OWNER_ORDER = ["kenniseigenaar", "webredactie", "beoordelen"]
 CERTAIN, LIKELY = "hoog", "middel"
+# The categories of a report by detector, and their order in it.
+CATEGORIES = {
+    "table_values": "Bedragen die afwijken van andere landen",
+    "notation": "Bedragen in een afwijkende notatie",
+    "steps": "Opbouw van het stappenplan",
+    "toggles": "Ontbrekende of afwijkende uitklapparagrafen",
+    "headings": "Koppenstructuur",
+    "sentences": "Afwijkingen van standaardteksten",
+    "claims": "Inhoudelijk mogelijk tegenstrijdig",
+}
+CATEGORY_ORDER = [CATEGORIES[d] for d in ("steps", "toggles", "headings", "sentences", "claims")]
 
 
 def owner(kind: Column) -> Column:
@@ -36,21 +47,33 @@ def certainty(deviating: Column) -> Column:
     return F.when(deviating == 1, CERTAIN).otherwise(LIKELY)
 
 
-def assemble(pages: DataFrame, rule: str, kind: str, location: Sequence[str], category: str | None = None) -> tuple[DataFrame, DataFrame]:
+def assemble(pages: DataFrame, rule: str, kind: str | None, location: Sequence[str], category: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Findings and their pages from deviations (location..., url, value, norm, n, agree).
 
-    The fingerprint covers rule and location only, the evidence hash what was observed.
+    The fingerprint covers rule and location only, the evidence hash what was observed. With no
+    ``kind`` each row's own is taken. ``siblings`` of the rows are kept as proof; several
+    deviations of a page are one text.
     """
+    none = F.array().cast("array<struct<url: string, value: string>>")
+    pages = pages.withColumn("kind", F.col("kind") if kind is None else F.lit(kind)).withColumn("siblings", F.col("siblings") if "siblings" in pages.columns else none)
     place = canonical_location(**{c: F.col(c).cast("string") for c in location})
     pages = pages.withColumn("finding_id", joined_hash(F.lit(rule), place))
     first = F.array_sort(F.collect_list(F.struct("url", "value")))
     top = pages.select("finding_id", "url", "value").distinct().withColumn("__rank", F.row_number().over(Window.partitionBy("finding_id").orderBy("url", "value"))).where(F.col("__rank") <= EXAMPLES)
     top = top.groupBy("finding_id").agg(first.alias("examples"))
-    counts = pages.groupBy("finding_id", *location).agg(F.first("norm").alias("norm"), F.max("n").alias("n"), F.max("agree").alias("agree"), F.countDistinct("url").alias("deviating"))
+    counts = pages.groupBy("finding_id", *location).agg(
+        F.min("kind").alias("kind"), F.min("norm").alias("norm"), F.max("n").alias("n"), F.max("agree").alias("agree"), F.countDistinct("url").alias("deviating"), F.max("siblings").alias("siblings"))
     findings = counts.join(top, "finding_id").select(
-        "finding_id", F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), owner(F.lit(kind)).alias("owner"), F.lit(category or rule).alias("category"),
-        place.alias("location"), "examples", "norm", "n", "agree", "deviating", certainty(F.col("deviating")).alias("certainty"))
-    return findings, pages.select("finding_id", "url", "value", evidence_hash(F.col("url"), F.col("value")).alias("evidence_hash"))
+        "finding_id", F.lit(rule).alias("rule"), "kind", owner(F.col("kind")).alias("owner"), F.lit(category or CATEGORIES.get(rule, rule)).alias("category"),
+        place.alias("location"), "examples", "siblings", "norm", "n", "agree", "deviating", (F.lit(CERTAIN) if rule == "notation" else certainty(F.col("deviating"))).alias("certainty"))
+    texts = pages.groupBy("finding_id", "url").agg(F.array_join(F.array_sort(F.collect_set("value")), "; ").alias("value"))
+    return findings, texts.select("finding_id", "url", "value", evidence_hash(F.col("url"), F.col("value")).alias("evidence_hash"))
+
+
+def paired(urls: Column, variants: Column) -> Column:
+    """array<struct<url, values>>: each URL with its variant where there are as many, or else with all of them."""
+    alone = F.zip_with(urls, variants, lambda u, v: F.struct(u.alias("url"), F.array(v).alias("values")))
+    return F.when(F.size(urls) == F.size(variants), alone).otherwise(F.transform(urls, lambda u: F.struct(u.alias("url"), variants.alias("values"))))
 
 
 def cap(findings: DataFrame, detector: str = "rule", order: Sequence[str] = ("finding_id",), most: int = CAP) -> tuple[DataFrame, DataFrame]:
@@ -84,7 +107,7 @@ class Registry:
 registry = Registry()
 
 
-def report_groups(findings: DataFrame, categories: Sequence[str] = ()) -> DataFrame:
+def report_groups(findings: DataFrame, categories: Sequence[str] = tuple(CATEGORY_ORDER)) -> DataFrame:
     """(owner, category, findings, owner_rank, category_rank) in report order; unlisted categories come last, by name."""
     rank = lambda c, names: F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(n) for n in names]), c), F.lit(0)), F.lit(99)) if names else F.lit(99)
     return findings.groupBy("owner", "category").agg(F.count("*").alias("findings")).select(

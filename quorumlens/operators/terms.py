@@ -1,8 +1,8 @@
 """Discouraged terms: every hit is counted, the first few of a page and rule are reported.
 
-Pages meet rules by an equi-join on the language against the rule list (a parameter of
-bounded size). Hits and their offsets come from one regular expression per rule, in Spark's
-own functions: no Python worker runs.
+The rule list is a parameter, so its patterns are part of the plan: pages are scanned once, each
+page is searched with the patterns of its language only, and hits and their offsets come from
+Spark's own functions: no Python worker runs.
 """
 
 from __future__ import annotations
@@ -11,10 +11,10 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fragment
+from ..functions.text import fragment, sentence_ends
 
 LANGUAGES = ("nl", "en")
 #: Hits of a page and rule that are reported.
@@ -40,24 +40,29 @@ class TermRule:
 
 def hits(pages: DataFrame, rules: Sequence[TermRule], reported: int | None = REPORTED, text: str = "text", url: str = "url", language: str = "lang") -> DataFrame:
     """(rule_id, term, preferred, url, lang, fragment, position, hits_on_page, note, owner); positions count from 0."""
-    out = None
-    for rule in rules:
-        rows = pages.where(F.col(language).isin(*rule.languages) & F.col(text).rlike(rule.pattern))
-        rows = rows.select(F.col(url).alias("url"), F.col(language).alias("lang"), F.col(text).alias("__text"))
-        rows = rows.withColumn("__hits", F.regexp_extract_all("__text", F.lit(rule.pattern), F.lit(0))).withColumn("__gaps", F.split("__text", rule.pattern, -1))
-        n = F.size("__hits")
-        kept = n if reported is None else F.least(n, F.lit(reported))
-        size = lambda a, i: F.aggregate(F.slice(a, F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x))
-        found = F.transform(F.sequence(F.lit(0), kept - 1), lambda i: F.struct(
-            F.element_at("__hits", i + 1).alias("term"), (size(F.col("__gaps"), i + 1) + size(F.col("__hits"), i)).alias("position")))
-        rows = rows.select("url", "lang", "__text", n.alias("hits_on_page"), F.explode(found).alias("__x"))
-        part = rows.select(
-            F.lit(rule.id).alias("rule_id"), "__x.term", F.lit(rule.preferred).alias("preferred"), "url", "lang",
-            fragment(F.col("__text"), F.col("__x.position"), F.length("__x.term")).alias("fragment"), "__x.position", "hits_on_page", F.lit(rule.note).alias("note"), F.lit(rule.owner).alias("owner"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    if not rules:
         raise ValueError("no rules")
-    return out
+    body = F.col("__text")
+
+    def found(rule: TermRule) -> Column:
+        """Hits and the pieces of text between them; null where the rule does not apply."""
+        pieces = F.struct(
+            F.lit(rule.id).alias("rule_id"), F.lit(rule.preferred).alias("preferred"), F.lit(rule.note).alias("note"), F.lit(rule.owner).alias("owner"),
+            F.regexp_extract_all(body, F.lit(rule.pattern), F.lit(0)).alias("hits"), F.split(body, rule.pattern, -1).alias("gaps"))
+        return F.when(F.col("lang").isin(*rule.languages) & body.rlike(rule.pattern), pieces)
+
+    rows = pages.select(F.col(url).alias("url"), F.col(language).alias("lang"), F.col(text).alias("__text"))
+    rows = rows.select("*", sentence_ends(body).alias("__ends"), F.explode(F.array(*[found(r) for r in rules])).alias("r")).where("r is not null")
+    n = F.size("r.hits")
+    kept = n if reported is None else F.least(n, F.lit(reported))
+    # An offset is the length of the gaps and hits before; both lists are cut to what is reported first.
+    sizes = lambda a, last: F.transform(F.slice(a, F.lit(1), last), F.length)
+    rows = rows.select("*", n.alias("hits_on_page"), F.posexplode(F.slice("r.hits", F.lit(1), kept)).alias("i", "term"), sizes(F.col("r.gaps"), kept).alias("__g"), sizes(F.col("r.hits"), kept).alias("__h"))
+    total = lambda a, last: F.aggregate(F.slice(a, F.lit(1), last), F.lit(0), lambda s, x: s + x)
+    rows = rows.withColumn("position", total(F.col("__g"), F.col("i") + 1) + total(F.col("__h"), F.col("i")))
+    return rows.select(
+        "r.rule_id", "term", "r.preferred", "url", "lang", fragment(body, F.col("position"), F.length("term"), F.col("__ends")).alias("fragment"),
+        "position", "hits_on_page", "r.note", "r.owner")
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators import disposition as X
 from ..operators import findings as G
 from ..operators import terms, urls
 from ..operators.terms import ClaimRule, TermRule
-from ..sources import html
+from ..sources import html, io, report
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
@@ -86,7 +86,7 @@ def sibling_evidence(spark, sf_dir):
     votes = C.last_votes(rows, ["label_key"], "url", "vote", ["ord"])
     norms = C.member_consensus(votes, ["label_key"], "vote", ["url", "ord"])
     top = C.evidence(votes, norms, ["label_key"], "vote", "url")
-    return top.select("label_key", F.posexplode("siblings").alias("p", "s")).select("label_key", (F.col("p") + 1).alias("rank"), "s.url", F.col("s.value").alias("vote"))
+    return top.select("label_key", F.posexplode("siblings").alias("p", "s")).select("label_key", (F.col("p") + 1).alias("rank"), F.col("s.url").cast("long").alias("url"), F.col("s.value").alias("vote"))
 
 
 def _amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,8 +157,8 @@ top_ AS (SELECT lang AS family, sum(c)::BIGINT AS n, arg_min(answer, (-c, first)
 SELECT *, n - agree AS deviating FROM top_ WHERE n >= 5 AND agree::DOUBLE / n >= 0.3::DOUBLE AND agree < n""")
 def claims(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select(F.col("lang").alias("family"), F.col("doc_id").alias("url"), "text")
-    empty = docs.select("family", "url", F.lit("").alias("step"), F.lit("").alias("title"), F.lit(0).alias("ord"), "text").limit(0)
-    away = D.claims({"page": docs, "section": empty}, [CLAIM], min_share=0.3)
+    whole = docs.select("family", "url", F.lit("text").alias("step"), F.lit("").alias("title"), F.lit(0).alias("ord"), F.lit("").alias("text"))
+    away = D.claims({"page": docs, "section": whole}, [CLAIM], min_share=0.3)
     return away.groupBy("family", "n", "norm", "agree").agg(F.count("*").alias("deviating")).select("family", "n", "norm", "agree", "deviating")
 
 
@@ -205,7 +205,14 @@ def term_fragments(spark, sf_dir):
     return _hits(spark, sf_dir).select("rule_id", F.col("url").alias("doc_id"), "position", "fragment")
 
 
-@query()
+@query("""
+WITH lists AS (SELECT doc_id, lang, regexp_extract_all(text, '[\\pL\\pN_]+|[^\\pL\\pN_]+') AS l FROM documents),
+cut AS (SELECT doc_id, lang, lower(unnest(l)) AS piece, generate_subscripts(l, 1) AS i FROM lists),
+near AS (SELECT *, lag(piece, 1) OVER w AS gap, lag(piece, 2) OVER w AS before FROM cut WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+said AS (SELECT CASE WHEN lang = 'en' AND piece = 'the' THEN 'article' WHEN lang IN ('fr', 'es') AND piece IN ('la', 'le') THEN 'pronoun'
+  WHEN lang IN ('en', 'fr') AND piece IN ('idiot', 'moron', 'clown') THEN 'insult' END AS rule_id,
+  CASE WHEN gap = ' ' AND ((piece = 'the' AND before = 'of') OR (piece = 'la' AND before = 'de')) THEN before || ' ' || piece ELSE piece END AS term FROM near)
+SELECT rule_id, term, count(*) AS hits FROM said WHERE rule_id IS NOT NULL GROUP BY ALL""")
 def term_phrases(spark, sf_dir):
     """Variants of several words, longest first: every hit."""
     return _hits(spark, sf_dir, TERMS, None).groupBy("rule_id", F.lower("term").alias("term")).agg(F.count("*").alias("hits"))
@@ -303,8 +310,8 @@ def step_order(spark, sf_dir):
 
 @query()
 def step_rename(spark, sf_dir):
-    """Part names as steps of a page (brand, type, container): those of the smaller sizes are missing, the others loose."""
-    page = F.to_json(F.struct("p_brand", "p_type", "p_container"))
+    """Part names as steps of a page (brand, type, a thousand keys): those of the smaller sizes are missing, the others loose."""
+    page = F.to_json(F.struct("p_brand", "p_type", F.floor(F.col("p_partkey") / 1000).alias("block")))
     small = F.coalesce(F.col("p_size"), F.lit(0)) <= 25
     p = _table(spark, sf_dir, "part").select(F.lit("parts").alias("family"), page.alias("url"), F.lower("p_name").alias("key"), F.col("p_name").alias("title"), F.col("p_size").alias("place"), (F.col("p_size") - 25).alias("pos"), small.alias("small"))
     missing = p.where("small").drop("pos", "small")
@@ -373,6 +380,251 @@ def moved_items(spark, sf_dir):
     return D.missing_toggles(D.toggles(rows), on_step, 5, 0.5).select("step_key", "title_key", "url", "has", "pages")
 
 
+# -- whole detectors ------------------------------------------------------------------------
+
+_WORDS = ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot", "golf", "hotel"]
+_SHOWN = ["detector", "kind", "place", "url", "value", "norm", "n", "agree"]
+
+
+def _word(i):
+    return F.element_at(F.array(*[F.lit(w) for w in _WORDS]), (i % len(_WORDS) + 1).cast("int"))
+
+
+def _chats(spark, sf_dir):
+    """Conversations as pages: roles are steps, turns are accordions with a word for a title."""
+    c = _table(spark, sf_dir, "conversations")
+    return c.select(F.lit("chats").alias("family"), F.col("conv_id").alias("url"), F.col("turn").alias("ord"), F.col("role").alias("step"), _word(F.col("turn")).alias("title"), F.lit(3).alias("level"), "text")
+
+
+_PLAN = "CASE WHEN conv_id % 17 = 0 THEN 'alone' WHEN conv_id % 13 = 0 AND role = 'assistant' THEN 'helper desk' WHEN conv_id % 7 = 0 AND role = 'system' THEN 'extra' ELSE role END"
+
+
+@query(f"""
+WITH s AS (SELECT conv_id AS url, {_PLAN} AS step, turn AS ord FROM conversations),
+f AS (SELECT url, step, min(ord) AS t FROM s GROUP BY ALL),
+st AS (SELECT url, step, row_number() OVER (PARTITION BY url ORDER BY t) - 1 AS pos FROM f),
+p AS (SELECT count(DISTINCT url) AS pages FROM s),
+freq AS (SELECT step, count(*) AS c, avg(pos) AS mean, min((url, pos)) AS first FROM st GROUP BY step),
+norm AS (SELECT step, c, row_number() OVER (ORDER BY mean, first) - 1 AS place FROM freq, p WHERE pages >= 5 AND c::DOUBLE / pages >= 0.7::DOUBLE),
+planned AS (SELECT DISTINCT url FROM st JOIN norm USING (step)), size AS (SELECT count(*) AS n FROM planned),
+missing AS (SELECT url, norm.step, place, c FROM planned, norm WHERE (url, norm.step) NOT IN (SELECT (url, step) FROM st)),
+loose AS (SELECT url, step, pos FROM st WHERE step NOT IN (SELECT step FROM norm) AND url IN (SELECT url FROM planned)),
+renamed AS (SELECT url, m.step, l.step AS other, c FROM missing m JOIN loose l USING (url) WHERE pos = place),
+extra AS (SELECT url, l.step FROM loose l JOIN freq USING (step), size WHERE freq.c::DOUBLE / n <= 1 - 0.7::DOUBLE AND (url, l.step) NOT IN (SELECT (url, other) FROM renamed)),
+o AS (SELECT url, step, pos, place, lag(place) OVER (PARTITION BY url ORDER BY pos) AS before FROM st JOIN norm USING (step) JOIN planned USING (url)),
+swapped AS (SELECT url, string_agg(step, ' > ' ORDER BY pos) AS value FROM o GROUP BY url HAVING bool_or(coalesce(before > place, false)))
+SELECT 'steps_none' AS detector, 'structuur' AS kind, '' AS place, url, string_agg(step, ' · ' ORDER BY pos) AS value, NULL::VARCHAR AS norm, max(pages) AS n, max(size.n) AS agree FROM st, p, size WHERE url NOT IN (SELECT url FROM planned) GROUP BY url
+UNION ALL SELECT 'steps_missing', 'structuur', step, url, NULL, step, n, c FROM missing, size WHERE (url, step) NOT IN (SELECT (url, step) FROM renamed)
+UNION ALL SELECT 'steps_renamed', 'structuur', step || ' / ' || other, url, other, step, n, c FROM renamed, size
+UNION ALL SELECT 'steps_extra', 'structuur', step, url, step, NULL, n, n - count(*) OVER (PARTITION BY step) FROM extra, size
+UNION ALL SELECT 'steps_order', 'structuur', '', url, value, NULL, n, n - count(*) OVER () FROM swapped, size""")
+def step_plans(spark, sf_dir):
+    """The whole detector of steps: none, missing, in another wording at the same place, extra, in another order."""
+    c = _table(spark, sf_dir, "conversations")
+    rows = c.select(F.lit("chats").alias("family"), F.col("conv_id").alias("url"), F.expr(_PLAN).alias("step"), F.col("turn").alias("ord"))
+    return D.step_plan({"section": rows}, 5, 0.7).select(*_SHOWN)
+
+
+_TOGGLES = f"""
+s AS (SELECT conv_id AS url, role AS step, ({_WORDS})[turn % 8 + 1] AS title, turn AS ord FROM conversations),
+tog AS (SELECT url, step, title, min(ord) AS ord FROM s GROUP BY ALL),
+size AS (SELECT step, count(DISTINCT url) AS n FROM s GROUP BY step)
+"""
+
+
+@query("WITH " + _TOGGLES + """,
+freq AS (SELECT step, title, count(*) AS c, n FROM tog JOIN size USING (step) GROUP BY ALL HAVING n >= 5 AND count(*)::DOUBLE / n >= 0.5::DOUBLE AND count(*) < n),
+gone AS (SELECT DISTINCT url, freq.* FROM s JOIN freq USING (step) WHERE (url, step, freq.title) NOT IN (SELECT (url, step, title) FROM tog)),
+moved AS (SELECT url, title, arg_min(step, ord) AS other FROM tog GROUP BY ALL),
+how AS (SELECT gone.*, other, CASE WHEN other IS NULL THEN 'missing' ELSE 'moved' END AS how FROM gone LEFT JOIN moved USING (url, title))
+SELECT 'toggles_' || how AS detector, 'structuur' AS kind, step || ' / ' || title AS place, url, other AS value, title AS norm, n, c AS agree FROM how
+WHERE NOT (how = 'missing' AND url % 3 = 0 AND title IN ('bravo', 'charlie'))""")
+def toggle_titles(spark, sf_dir):
+    """The whole detector of accordions; some pages have two of the titles as ordinary headings."""
+    rows = _chats(spark, sf_dir)
+    heading = rows.select("family", "url").distinct().where("url % 3 = 0").select("family", "url", F.posexplode(F.array(F.lit("Bravo!"), F.lit("Charlie"))).alias("ord", "text"), F.lit(2).alias("level"))
+    return D.toggle_titles({"section": rows, "heading": heading}, 5, 0.5).select(*_SHOWN)
+
+
+_LEVELS = """
+li AS (SELECT l_orderkey AS url, l_partkey * 1000000 + l_suppkey * 10 + l_linenumber AS ord, 'Deel ' || l_returnflag AS title, CASE WHEN l_suppkey % 23 = 0 THEN 4 ELSE 3 END AS toggle,
+  CASE WHEN l_partkey % 29 = 0 THEN 5 WHEN l_partkey % 31 = 0 THEN 0 ELSE 4 END AS inside, 'Kop ' || l_linestatus AS text, CASE WHEN l_partkey % 37 = 0 THEN 4 WHEN l_partkey % 41 = 0 THEN 1 ELSE 2 END AS level FROM lineitem)
+"""
+
+
+def _levels(spark, sf_dir):
+    """Lines as headings, accordions and headings inside them, most of one level."""
+    li = _table(spark, sf_dir, "lineitem")
+    pick = lambda column, other, *odd: F.coalesce(*[F.when(F.col(column) % m == 0, v) for m, v in odd], F.lit(other))
+    rows = li.select(
+        F.lit("lines").alias("family"), F.col("l_orderkey").alias("url"), (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("ord"), F.concat(F.lit("Deel "), "l_returnflag").alias("title"),
+        pick("l_suppkey", 3, (23, 4)).alias("toggle"), pick("l_partkey", 4, (29, 5), (31, 0)).alias("inside"), F.concat(F.lit("Kop "), "l_linestatus").alias("text"), pick("l_partkey", 2, (37, 4), (41, 1)).alias("level"))
+    return {
+        "section": rows.select("family", "url", "ord", F.lit("Start").alias("step"), "title", F.col("toggle").alias("level"), F.lit("").alias("text")),
+        "section_heading": rows.select("family", "url", F.col("ord").alias("sec_ord"), F.lit(0).alias("ord"), F.col("inside").alias("level"), "text", F.lit(False).alias("is_toggle")),
+        "heading": rows.select("family", "url", "ord", "level", "text"),
+    }
+
+
+@query("WITH " + _LEVELS + """,
+p AS (SELECT count(DISTINCT url) AS n FROM li),
+inside_ AS (SELECT url, 'inside:h' || inside AS place, string_agg(CASE WHEN inside = 0 THEN 'bold' ELSE 'h' || inside END || ' “' || text || '”', '; ' ORDER BY ord) AS value FROM li WHERE inside <> 4 GROUP BY ALL),
+toggle_ AS (SELECT url, 'toggle:h' || toggle AS place, string_agg('h' || toggle || ' “' || title || '”', '; ' ORDER BY ord) AS value FROM li WHERE toggle <> 3 GROUP BY ALL),
+lagged AS (SELECT *, lag(level, 1, 0) OVER (PARTITION BY url ORDER BY ord) AS before FROM li),
+jump_ AS (SELECT url, string_agg('h' || before || ' > h' || level || ' “' || text || '”', '; ' ORDER BY ord) AS value FROM lagged WHERE before > 0 AND level - before > 1 GROUP BY url),
+h1_ AS (SELECT url, count(*) || ' h1' AS value FROM li WHERE level = 1 GROUP BY url HAVING count(*) > 1),
+level_ AS (SELECT url, lower(text) AS place, string_agg('h' || level, '; ' ORDER BY ord) AS value FROM li WHERE level <> 2 AND (url, text) NOT IN (SELECT (url, text) FROM li WHERE inside <> 4) GROUP BY ALL),
+rows_ AS (SELECT 'headings_inside' AS detector, place, url, value, 'h4' AS norm FROM inside_ UNION ALL SELECT 'headings_toggle', place, url, value, 'h3' FROM toggle_
+  UNION ALL SELECT 'headings_jump', 'jump', url, value, NULL FROM jump_ UNION ALL SELECT 'headings_h1', 'h1', url, value, '1' FROM h1_ UNION ALL SELECT 'headings_level', place, url, value, 'h2' FROM level_)
+SELECT detector, 'schrijfrichtlijn' AS kind, place, url, value, norm, n, n - count(*) OVER (PARTITION BY detector, place) AS agree FROM rows_, p""")
+def heading_structure(spark, sf_dir):
+    """The whole detector of headings: inside accordions, their titles, jumps, several h1, levels of equal texts."""
+    return D.heading_structure(_levels(spark, sf_dir), 5, 0.8).select(*_SHOWN)
+
+
+_SENTENCES = [("The quick brown fox jumps over it.", 11), ("Bring two recent photographs along.", 13), ("Payment happens at our front desk.", 17), ("Wait until somebody calls your name.", 19), ("Children need both parents with them.", 23), ("Keep every receipt for seven years.", 29)]
+_OWN = "Zzzz 0123 xkcd 4567 vvvv 89."
+
+
+@query(f"""
+WITH st(text, p) AS (VALUES {", ".join(str(x) for x in _SENTENCES)}),
+c AS (SELECT c_custkey AS url FROM customer), size AS (SELECT count(*) AS n FROM c),
+freq AS (SELECT text, p, count(*) AS with_key FROM c, st WHERE url % p <> 0 GROUP BY ALL),
+gone AS (SELECT url, text, with_key, row_number() OVER (PARTITION BY url ORDER BY with_key DESC, lower(text)) AS rn FROM c, freq WHERE url % p = 0),
+pages AS (SELECT url, count(*) AS k, string_agg('missing: “' || text || '”', '; ' ORDER BY rn) FILTER (rn <= 3) AS shown FROM gone GROUP BY url)
+SELECT 'sentences' AS detector, 'structuur' AS kind, 'start / text' AS place, url, k || ' of 6: ' || shown || CASE WHEN k > 3 THEN ' (+' || (k - 3) || ' more)' ELSE '' END AS value, NULL::VARCHAR AS norm,
+  n, n - count(*) OVER () AS agree FROM pages, size WHERE n >= 5""")
+def standard_sentences(spark, sf_dir):
+    """The whole detector of standard sentences: customers' texts lack some of six; some have a sentence of their own."""
+    c = _table(spark, sf_dir, "customer")
+    said = F.array_compact(F.array(*[F.when(F.col("c_custkey") % p != 0, text) for text, p in _SENTENCES], F.when(F.col("c_custkey") % 7 == 0, _OWN)))
+    rows = c.select(F.lit("customers").alias("family"), F.col("c_custkey").alias("url"), F.lit(0).alias("ord"), F.lit("Start").alias("step"), F.lit("Text").alias("title"), F.lit(3).alias("level"), F.array_join(said, " ").alias("text"))
+    return D.standard_sentences({"section": rows}, 5, 0.8).select(*_SHOWN)
+
+
+CLAIMS = [
+    ClaimRule("asks", "whether the user asks", "stap:user", {"question": r"[?]", "number": r"([0-9])"}, "neither"),
+    ClaimRule("first", "how it opens", "uitklap:ALPHA", {"the": " the ", "de": " de "}, "neither"),
+    ClaimRule("whole", "what is written somewhere", "pagina", {"long": "[a-z]{12}"}, "short"),
+    ClaimRule("nowhere", "a part that no page has", "uitklap:zulu", {"x": "x"}, "y"),
+]
+
+
+@query("WITH " + _TOGGLES.replace("turn AS ord", "turn AS ord, text") + """,
+one AS (SELECT url, string_agg(text, chr(10) ORDER BY ord, text) FILTER (step = 'user') AS user_, string_agg(text, chr(10) ORDER BY ord, text) FILTER (title = 'alpha') AS alpha, string_agg(text, ' ' ORDER BY ord, text) AS whole FROM s GROUP BY url),
+said AS (SELECT 'asks' AS rule, url, coalesce(nullif(concat_ws(' + ', CASE WHEN regexp_matches(user_, '[?]') THEN 'question' END, CASE WHEN regexp_matches(user_, '[0-9]') THEN 'number ' || regexp_extract(user_, '([0-9])', 1) END), ''), 'neither') AS answer FROM one WHERE user_ IS NOT NULL
+  UNION ALL SELECT 'first', url, coalesce(nullif(concat_ws(' + ', CASE WHEN regexp_matches(alpha, '(?i) the ') THEN 'the' END, CASE WHEN regexp_matches(alpha, '(?i) de ') THEN 'de' END), ''), 'neither') FROM one WHERE alpha IS NOT NULL
+  UNION ALL SELECT 'whole', url, CASE WHEN regexp_matches(whole, '(?i)[a-z]{12}') THEN 'long' ELSE 'short' END FROM one),
+c_ AS (SELECT rule, answer, count(*) AS c, min(url) AS first FROM said GROUP BY ALL),
+top_ AS (SELECT rule, sum(c)::BIGINT AS n, arg_min(answer, (-c, first)) AS norm, max(c) AS agree FROM c_ GROUP BY rule)
+SELECT 'claim_' || rule AS detector, 'inhoudelijk' AS kind, CASE rule WHEN 'asks' THEN 'whether the user asks' WHEN 'first' THEN 'how it opens' ELSE 'what is written somewhere' END AS place, url, answer AS value, norm, n, agree
+FROM said JOIN top_ USING (rule) WHERE answer <> norm AND n >= 5 AND agree::DOUBLE / n >= 0.3::DOUBLE""")
+def scoped_claims(spark, sf_dir):
+    """The whole detector of claims, over a step, an accordion, a page, and a part that no page has."""
+    rows = _chats(spark, sf_dir)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ")
+    return D.claims({"section": rows, "page": rows.groupBy("family", "url").agg(text.alias("text"))}, CLAIMS, 5, 0.3).select(*_SHOWN)
+
+
+# -- functions ------------------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT c_custkey, n_name, CASE c_custkey % 3 WHEN 0 THEN 'Paspoort aanvragen als u in ' || n_name || ' woont' WHEN 1 THEN 'Visum: in ' || n_name || ' woont u' ELSE 'Contact' END AS title FROM customer JOIN nation ON c_nationkey = n_nationkey),
+k AS (SELECT *, CASE WHEN c_custkey % 3 = 2 THEN 'key' ELSE n_name END AS country FROM t)
+SELECT c_custkey, title, country, trim(regexp_replace(regexp_replace(lower(replace('Afspraak maken in: ' || n_name, country, '<land>')), '[^a-z0-9_ <>]', ' ', 'g'), ' +', ' ', 'g')) AS title_key FROM k""")
+def country_titles(spark, sf_dir):
+    """Countries from page titles, or else the page's key, and step titles compared without them."""
+    rows = _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    title = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Paspoort aanvragen als u in "), "n_name", F.lit(" woont"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("Visum: in "), "n_name", F.lit(" woont u"))).otherwise("Contact")
+    rows = rows.select("c_custkey", title.alias("title"), F.concat(F.lit("Stap 2: Afspraak maken in: "), "n_name").alias("step"))
+    rows = rows.withColumn("country", T.country(F.col("title"), F.lit("key")))
+    return rows.select("c_custkey", "title", "country", T.title_key(F.col("step"), F.col("country")).alias("title_key"))
+
+
+@query("""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, text FROM documents)
+SELECT doc_id, CASE WHEN length(t) > 110 THEN rtrim(substr(t, 1, 109)) || '…' ELSE t END AS short, contains(text, '€') AS euro, CASE WHEN length(t) = 1 THEN '1 character' ELSE length(t) || ' characters' END AS size,
+CASE WHEN strpos(lower(substr(t, 1, 60)), 'the') > 0 THEN replace(replace(replace(replace(replace(substr(t, 1, strpos(lower(substr(t, 1, 60)), 'the') - 1), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;')
+  || '<mark>' || substr(t, strpos(lower(substr(t, 1, 60)), 'the'), 3) || '</mark>' || replace(replace(replace(replace(replace(substr(substr(t, 1, 60), strpos(lower(substr(t, 1, 60)), 'the') + 3), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;')
+  ELSE replace(replace(replace(replace(replace(substr(t, 1, 60), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') END AS marked FROM d""")
+def shown_texts(spark, sf_dir):
+    """What reports show of a text: shortened, counted, with a term marked; and whether it names an amount in euros."""
+    d = _table(spark, sf_dir, "documents").withColumn("t", T.collapse(F.col("text")))
+    return d.select("doc_id", T.shorten(F.col("text")).alias("short"), T.has_euro(F.col("text")).alias("euro"), T.counted(F.length("t"), "character", "characters").alias("size"), T.marked(F.substring("t", 1, 60), F.lit("THE")).alias("marked"))
+
+
+@query("""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+cut AS (SELECT doc_id, i, string_split(regexp_replace(line, '([.!?])\\s+([A-Z0-9"“‘(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS l FROM lines),
+s AS (SELECT doc_id, i, unnest(l) AS x, generate_subscripts(l, 1) AS j FROM cut)
+SELECT doc_id, count(*) AS sentences, md5(string_agg(trim(x), '|' ORDER BY i, j)) AS digest FROM s WHERE length(trim(x)) >= 15 GROUP BY doc_id""")
+def sentence_lists(spark, sf_dir):
+    """Each document's sentences of 15 characters or more, in order."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", T.sentences(F.col("text"), F.lit("")).alias("s")).where(F.size("s") > 0)
+    return d.select("doc_id", F.size("s").cast("long").alias("sentences"), F.md5(F.array_join(F.transform("s", lambda x: x["text"]), "|")).alias("digest"))
+
+
+@query("""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS domain, '/' || trim(regexp_extract(regexp_replace(url, '^[a-z]+://[^/]*', ''), '^([^?#]*)', 1), '/') AS path,
+lower('Page ' || page_id || ' ' || url) AS search_key FROM pages""")
+def url_parts(spark, sf_dir):
+    from ..functions import urls as U
+
+    p = _table(spark, sf_dir, "pages")
+    return p.select("page_id", U.domain_of(F.col("url")).alias("domain"), U.clean_path(F.regexp_extract(U.path_of(F.col("url")), "^([^?#]*)", 1)).alias("path"), T.search_key(F.concat(F.lit("Page "), "page_id"), F.col("url")).alias("search_key"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN [{'url': 'a', 'values': ['x']}, {'url': 'b', 'values': ['y']}] ELSE [{'url': 'a', 'values': ['x', 'y', 'z']}, {'url': 'b', 'values': ['x', 'y', 'z']}] END::VARCHAR AS pairs FROM orders""")
+def paired_pages(spark, sf_dir):
+    """URLs with their variants: one each, or all where the counts differ."""
+    o = _table(spark, sf_dir, "orders")
+    variants = F.when(F.col("o_orderkey") % 4 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.lit("x"), F.lit("y"), F.lit("z")))
+    pairs = G.paired(F.array(F.lit("a"), F.lit("b")), variants)
+    one = lambda p: F.concat(F.lit("{'url': "), p["url"], F.lit(", 'values': ["), F.array_join(p["values"], ", "), F.lit("]}"))
+    return o.select("o_orderkey", F.concat(F.lit("["), F.array_join(F.transform(pairs, one), ", "), F.lit("]")).alias("pairs"))
+
+
+# -- sitemaps and health --------------------------------------------------------------------
+
+_HOST = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
+
+
+def _sitemaps(spark, sf_dir):
+    """An index, a sitemap for each host that it names, and one that nothing names."""
+    p = _table(spark, sf_dir, "pages").withColumn("host", F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1))
+    loc = lambda x: F.concat(F.lit("<url><loc>\n "), F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
+    maps = p.groupBy("host").agg(F.concat(F.lit("<urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'>"), F.array_join(F.collect_list(loc(F.col("url"))), ""), F.lit("</urlset>")).alias("xml"))
+    maps = maps.select(F.concat("host", F.lit("/map.xml")).alias("sitemap_url"), "xml")
+    index = maps.where("length(sitemap_url) % 2 = 0").agg(F.array_join(F.collect_list(F.concat(F.lit("<sitemap><loc>"), "sitemap_url", F.lit("</loc></sitemap>"))), "").alias("x"))
+    return maps.unionByName(index.select(F.lit("index.xml").alias("sitemap_url"), F.concat(F.lit("<sitemapindex xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'>"), "x", F.lit("</sitemapindex>")).alias("xml")))
+
+
+@query(f"SELECT DISTINCT replace(url, '&', '&amp;') AS url FROM pages WHERE length({_HOST} || '/map.xml') % 2 = 0")
+def sitemap_urls(spark, sf_dir):
+    """Pages reached from an index, by the lenient pattern; character references stay as written."""
+    return urls.expand_sitemaps(_sitemaps(spark, sf_dir), ["index.xml"])
+
+
+@query(f"SELECT {_HOST} || '/map.xml' AS sitemap_url, false AS is_index, url AS loc FROM pages UNION ALL SELECT DISTINCT 'index.xml', true, {_HOST} || '/map.xml' FROM pages WHERE length({_HOST} || '/map.xml') % 2 = 0")
+def sitemap_strict(spark, sf_dir):
+    """Every location by the XML parser."""
+    return urls.strict_locations(_sitemaps(spark, sf_dir))
+
+
+@query("""WITH c(base_url, rank, n) AS (SELECT o_custkey, o_orderkey % 5, o_orderkey FROM orders), b AS (SELECT base_url, min(rank) AS rank FROM c GROUP BY base_url)
+SELECT DISTINCT base_url, n AS url FROM c JOIN b USING (base_url, rank)""")
+def first_candidates(spark, sf_dir):
+    """Of ranked candidates the first that gives anything, for each site."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("base_url"), (F.col("o_orderkey") % 5).alias("rank"), F.col("o_orderkey").alias("url"))
+    return urls.first_candidate(o, "base_url")
+
+
+@query(f"""WITH f AS (SELECT 'sub_sitemaps' AS figure, count(DISTINCT {_HOST})::DOUBLE AS value, 3.0::DOUBLE AS floor FROM pages UNION ALL SELECT 'urls', count(*), 40 FROM pages
+UNION ALL SELECT 'family_urls', count(DISTINCT url), 200 FROM pages WHERE starts_with({_PATH}, '/en/')
+UNION ALL SELECT 'with_tables', avg((length(html) % 3 > 0)::INTEGER), 0.3 FROM pages UNION ALL SELECT 'rows', sum(length(html) % 3), 60 FROM pages) SELECT *, value >= floor AS ok FROM f""")
+def source_health(spark, sf_dir):
+    p = _table(spark, sf_dir, "pages")
+    tables = F.length("html") % 3
+    return urls.health(p.select(F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)).distinct(), p.select("url"), urls.family(p, "/en/"), p.select("url", tables.alias("tables"), tables.alias("rows")), {"urls": 40})
+
+
 # -- findings -------------------------------------------------------------------------------
 
 _DEVIATIONS = "WITH " + _ORDER_ROWS.format(url="o_orderkey", share="0.8") + """,
@@ -472,6 +724,63 @@ def latest_snapshot(spark, sf_dir):
     return e.join(newest, ["event_type", "dt"]).groupBy("event_type", "dt").agg(F.count("*").alias("n"))
 
 
+@query("WITH " + _DISPOSITIONS.format(date=CHECK_DATE) + """, f AS (SELECT finding_id, bool_and(state IN ('genegeerd', 'gefixt')) AS handled FROM st GROUP BY finding_id)
+SELECT finding_id::BIGINT % 3 AS category, count(*) FILTER (NOT handled) AS todo, count(*) FILTER (handled) AS handled FROM f GROUP BY ALL""")
+def todo_counters(spark, sf_dir):
+    states = X.finding_states(_states(spark, sf_dir))
+    rows = states.select("finding_id", (F.col("finding_id").cast("long") % 3).alias("category"))
+    return X.counters(rows, states, "category")
+
+
+@query("WITH " + _DISPOSITIONS.format(date=CHECK_DATE) + """, f AS (SELECT finding_id, bool_and(state IN ('genegeerd', 'gefixt')) AS handled FROM st GROUP BY finding_id)
+SELECT finding_id, 'todo' AS shown FROM f WHERE NOT handled UNION ALL SELECT finding_id, 'handled' FROM f WHERE handled UNION ALL SELECT finding_id, 'all' FROM f""")
+def shown_findings(spark, sf_dir):
+    """Findings by what a reader wants to see."""
+    states = X.finding_states(_states(spark, sf_dir))
+    parts = [X.filtered(states.select("finding_id"), states, k).withColumn("shown", F.lit(k)) for k in ("todo", "handled", "all")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_brand), 'brand#1')")
+def searched_parts(spark, sf_dir):
+    return X.searched(_table(spark, sf_dir, "part"), " Brand#1 ", "p_name", "p_brand").select("p_partkey")
+
+
+@query("""WITH u AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY ALL), c AS (SELECT user_id, event_type, -count(*) AS n FROM events GROUP BY ALL)
+SELECT user_id, event_type, n, 'me' AS written_by, true AS stamped FROM u UNION ALL SELECT user_id, event_type, n, NULL, false FROM c WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM u)""")
+def merged_rows(spark, sf_dir):
+    """An upsert by key: new rows, stamped, replace old ones; the rest stays."""
+    e = _table(spark, sf_dir, "events")
+    new = X.stamped(e.where("event_id % 2 = 0").groupBy("user_id", "event_type").agg(F.count("*").alias("n")), "me")
+    old = e.groupBy("user_id", "event_type").agg((-F.count("*")).alias("n")).withColumns({"written_by": F.lit(None).cast("string"), "written_at": F.lit(None).cast("timestamp")})
+    return X.merge(old, new, "user_id", "event_type").select("user_id", "event_type", "n", "written_by", F.col("written_at").isNotNull().alias("stamped"))
+
+
+@query("""WITH p AS (SELECT DISTINCT user_id::VARCHAR AS finding_id, event_type AS url, CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS evidence_hash FROM events)
+SELECT * FROM p WHERE NOT (finding_id::BIGINT % 5 = 0 AND (finding_id::BIGINT % 10 = 5 OR evidence_hash = 'a') AND finding_id::BIGINT % 3 > 0)""")
+def suppressed_pages(spark, sf_dir):
+    """Pages without those that a live suppression covers; some pin the evidence, some have expired."""
+    e = _table(spark, sf_dir, "events")
+    pages = e.select(F.col("user_id").cast("string").alias("finding_id"), F.col("event_type").alias("url"), F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("evidence_hash")).distinct()
+    rules = e.where("user_id % 5 = 0").select(F.col("user_id").cast("string").alias("fingerprint"), F.when(F.col("user_id") % 10 == 0, "a").alias("evidence_hash"), F.when(F.col("user_id") % 3 == 0, "2020-01-01").alias("expires")).distinct()
+    return X.suppressed(pages, rules, "2024-01-01")
+
+
+@query("""WITH f AS (SELECT r_name AS family FROM region UNION ALL SELECT DISTINCT event_type FROM events), l AS (SELECT event_type AS family, max(strftime(ts, '%Y-%m-%d')) AS dt FROM events GROUP BY ALL)
+SELECT family, dt FROM f JOIN l USING (family)""")
+def checked_families(spark, sf_dir):
+    """Families with the date of their newest run; those without a run are left out."""
+    e = _table(spark, sf_dir, "events")
+    families = _table(spark, sf_dir, "region").select(F.col("r_name").alias("family")).unionByName(e.select(F.col("event_type").alias("family")).distinct())
+    return io.checked_families(families, e.select(F.col("event_type").alias("family"), F.date_format("ts", "yyyy-MM-dd").alias("dt")))
+
+
+@query("WITH " + _PIECES + """SELECT (SELECT count(DISTINCT doc_id) FROM documents) AS pages, (SELECT max(source) FROM documents) AS fetched, count(*) AS hits, count(DISTINCT doc_id) AS with_hits FROM found WHERE rn <= 3""")
+def report_totals(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "url")
+    return report.totals(docs, _hits(spark, sf_dir), "source")
+
+
 # -- html -----------------------------------------------------------------------------------
 
 
@@ -482,13 +791,25 @@ def html_title(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace(raw, "<[^>]*>", " "), r"\s+", " ")).alias("title"))
 
 
-@query()
+_PLAIN = """
+cut AS (SELECT *, regexp_extract(regexp_replace(html, '(?is)<(script|style|nav|footer)[^>]*>.*?</(script|style|nav|footer)>', '', 'g'), '(?is)<article[^>]*>(.*)</article>', 1) AS body FROM pages),
+lines AS (SELECT page_id, url, body, list_transform(list_filter(string_split(regexp_replace(body, '<[^>]*>', chr(10), 'g'), chr(10)), lambda x: trim(x) <> ''),
+  lambda x: trim(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'))) AS l FROM cut)
+"""
+
+
+@query("WITH " + _PLAIN + """SELECT page_id, url, replace(replace(replace(trim(regexp_extract(body, '(?is)<h1[^>]*>(.*?)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title,
+length(array_to_string(l, chr(10)))::INTEGER AS n_chars, substr(sha256(array_to_string(l, chr(10))), 1, 16) AS content_hash FROM lines""")
 def html_text(spark, sf_dir):
     """Titles and main texts by the parser, navigation and other noise removed."""
-    return html.plain_pages(_table(spark, sf_dir, "pages")).select("url", "title", F.length("text").alias("n_chars"), hashing.content_hash(F.col("text")).alias("content_hash"))
+    pages = _table(spark, sf_dir, "pages")
+    plain = html.plain_pages(pages.select(F.col("page_id").cast("string").alias("url"), "html")).withColumnRenamed("url", "id")
+    return pages.select("page_id", "url").join(plain, F.col("page_id").cast("string") == F.col("id")).select("page_id", "url", "title", F.length("text").alias("n_chars"), "content_hash")
 
 
-@query()
+@query("""WITH h AS (SELECT url, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') AS l FROM (SELECT url, regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g') AS html FROM pages)),
+x AS (SELECT url, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS ord FROM h)
+SELECT url, ord::INTEGER AS ord, raw[3]::INTEGER AS level, replace(replace(replace(trim(regexp_replace(regexp_replace(raw, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM x""")
 def html_headings(spark, sf_dir):
     pages = html.parse(_table(spark, sf_dir, "pages").withColumn("family", F.lit("pages")), strict=False)
     return html.headings(pages).select("url", "ord", "level", "text")

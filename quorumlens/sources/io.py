@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.disposition import merge
+
 # The fields of stored pages and corpora.
 SNAPSHOT = (
     "url string, bron_id string, taal string, familie string, familie_sleutel string, titel string, opgehaald_op string, http_status int, "
@@ -43,8 +45,8 @@ def write_snapshot(pages: DataFrame, path: str, date: str) -> None:
 
 
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """All pages of a folder's ``*.jsonl``; missing fields are empty, missing hashes are computed."""
-    rows = spark.read.schema(CORPUS).option("pathGlobFilter", "*.jsonl").json(folder).where(F.col("url").isNotNull()).na.fill("")
+    """All pages of a folder's ``*.jsonl`` (or what ``write_corpus`` has written); missing fields are empty, missing hashes are computed."""
+    rows = spark.read.schema(CORPUS).option("pathGlobFilter", "*.json*").json(folder).where(F.col("url").isNotNull()).na.fill("")
     return rows.withColumn("content_hash", F.coalesce(F.nullif("content_hash", F.lit("")), F.substring(F.sha2("tekst", 256), 1, 16)))
 
 
@@ -73,7 +75,61 @@ def export_json(rows: DataFrame, path: str, *order: str) -> None:
     rows.orderBy(*order).select(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
-def publish_panels(panels: DataFrame, current: DataFrame | None, path: str) -> None:
-    """Upsert panels by family: families not in ``panels`` stay as they are."""
-    rows = panels if current is None else current.join(panels.select("family"), "family", "left_anti").unionByName(panels)
-    rows.write.mode("overwrite").parquet(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    where = type_path(spark, path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the versions of a table under ``folder``, ascending."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(where)]
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version=") and files.exists(type_path(spark, f"{folder}/{n}/_SUCCESS")))
+
+
+def type_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def read_version(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The newest version of a table under ``folder``; without one an empty table."""
+    found = versions(spark, folder)
+    return spark.read.schema(schema).parquet(f"{folder}/version={found[-1]}") if found else spark.createDataFrame([], schema)
+
+
+def write_version(rows: DataFrame, folder: str, number: int | None = None, keep: int = 2) -> None:
+    """A new version of a table, which may be made from the one before; the last ``keep`` versions stay."""
+    spark = rows.sparkSession
+    found = versions(spark, folder)
+    number = (found[-1] + 1 if found else 0) if number is None else number
+    rows.write.mode("overwrite").parquet(f"{folder}/version={number}")
+    for old in [v for v in versions(spark, folder) if v <= number - keep]:
+        where = type_path(spark, f"{folder}/version={old}")
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+# Fixed shape of published panels.
+PANELS = "family string, name string, dt string, place int, findings long, html string"
+
+
+def publish_panels(panels: DataFrame, folder: str) -> None:
+    """Upsert panels by family as a new version: families not in ``panels`` stay as they are."""
+    current = read_version(panels.sparkSession, folder, PANELS)
+    write_version(merge(current, panels.select(*current.columns), "family"), folder)
+
+
+RUNS = "family string, dt string, pages long, fetched string, warnings array<string>"
+
+
+def write_run(spark: SparkSession, path: str, family: str, date: str, pages: int, fetched: str | None, warnings: list[str]) -> None:
+    """What a run looked at, beside its findings: number of pages, newest fetch, warnings."""
+    row = spark.createDataFrame([(family, date, pages, fetched, warnings)], RUNS)
+    row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "family").parquet(path)
+
+
+def checked_families(families: DataFrame, findings: DataFrame) -> DataFrame:
+    """Families (family, ...) that have a run, with its date; those never run are left out."""
+    return families.join(findings.groupBy("family").agg(F.max("dt").alias("dt")), "family")

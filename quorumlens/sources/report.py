@@ -1,11 +1,13 @@
 """Self-contained HTML reports from small, already counted tables.
 
-The driver sees at most ``SHOWN`` findings a family, each with its examples; all counting,
-grouping and ordering is done by Spark before.
+Detectors keep at most ``findings.CAP`` findings each, so a family's panel has a bound; where a
+report shows fewer rows than there are it says how many are left out. All counting, grouping
+and ordering is done by Spark before.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from html import escape
 
 from pyspark.sql import DataFrame
@@ -13,10 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import counted, marked
-from ..operators.findings import OWNER_ORDER
+from ..operators.disposition import page_states
+from ..operators.findings import CATEGORY_ORDER, OWNER_ORDER
 from ..operators.terms import summary
 
-SHOWN = 500
+#: Pages of a finding, and fragments of a term report, that are shown.
+PAGES, FRAGMENTS = 200, 500
 STYLE = "body{font:16px/1.5 sans-serif;max-width:60rem;margin:2rem auto}mark{background:#fe8}table{border-collapse:collapse}td,th{padding:.2rem .6rem;text-align:left}"
 
 
@@ -24,21 +28,50 @@ def _page(title: str, body: str) -> str:
     return f'<!doctype html><html><head><meta charset="utf-8"><title>{escape(title)}</title><style>{STYLE}</style></head><body><h1>{escape(title)}</h1>{body}</body></html>'
 
 
-def panel(findings: DataFrame, family: str, date: str) -> str:
-    """One family's part: findings by owner and category, each carrying its id, evidence and date."""
-    rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(o) for o in OWNER_ORDER]), F.col("owner")), F.lit(0)), F.lit(99))
-    w = Window.partitionBy("owner").orderBy("category", "location")
-    rows = findings.withColumn("__o", rank).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= SHOWN).orderBy("__o", "category", "location").limit(SHOWN * len(OWNER_ORDER)).collect()
+def _items(rows: Sequence, left: int) -> str:
+    shown = "".join(
+        f'<li data-url="{escape(str(x["url"]))}"' + (f' data-evidence="{x["evidence_hash"]}" data-state="{escape(x["state"])}"' if "evidence_hash" in x else "") + f'>{escape(str(x["url"]))}: {escape(str(x["value"]))}</li>'
+        for x in rows)
+    return f"<ul>{shown}</ul>" + (f"<p>and {left} more pages</p>" if left > 0 else "")
+
+
+def panel(findings: DataFrame, family: str, date: str, name: str | None = None, pages: DataFrame | None = None, dispositions: DataFrame | None = None, run: dict | None = None) -> str:
+    """One family's part: findings by owner and category, each carrying its id, evidence, states and date.
+
+    ``pages`` (finding_id, url, value, evidence_hash) are the findings' pages, ``dispositions`` what was
+    decided about them, ``run`` the number of pages looked at and the warnings.
+    """
+    run = run or {}
+    head = f"<h2>{escape(name or family)}</h2><p>{escape(date)}" + (f", {run['pages']} pages" if run.get("pages") is not None else "") + "</p>"
+    head += "".join(f"<p>{escape(w)}</p>" for w in run.get("warnings") or ())
+    rank = lambda c, order: F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(o) for o in order]), F.col(c)), F.lit(0)), F.lit(99))
+    rows = findings.orderBy(rank("owner", OWNER_ORDER), rank("category", CATEGORY_ORDER), "category", "location").collect()
     if not rows:
-        return f'<section data-family="{escape(family)}"><p>Nothing deviates.</p></section>'
-    out, last = [], None
+        return f'<section data-family="{escape(family)}" data-date="{escape(date)}">{head}<p>Nothing deviates. That does not prove the pages right: this check found nothing.</p></section>'
+    of: dict[str, list] = {}
+    if pages is not None:
+        states = pages
+        if dispositions is not None:
+            states = pages.join(page_states(pages, dispositions, date), ["finding_id", "url"])
+        else:
+            states = pages.withColumns({"state": F.lit("open"), "handled": F.lit(False)})
+        w = Window.partitionBy("finding_id").orderBy("url")
+        kept = states.join(findings.select("finding_id"), "finding_id", "left_semi").withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= PAGES)
+        for r in kept.orderBy("finding_id", "url").collect():
+            of.setdefault(r["finding_id"], []).append(r.asDict())
+    out, last, handled = [], None, 0
     for r in rows:
         if (r["owner"], r["category"]) != last:
             last = r["owner"], r["category"]
-            out.append(f"<h2>{escape(r['owner'])}: {escape(r['category'])}</h2>")
-        shown = "".join(f"<li>{escape(str(x['url']))}: {escape(str(x['value']))}</li>" for x in r["examples"])
-        out.append(f'<article data-id="{r["finding_id"]}" data-date="{escape(date)}"><h3>{escape(r["location"])}</h3><p>{r["agree"]} of {r["n"]} have {escape(str(r["norm"]))}; {r["deviating"]} deviate.</p><ul>{shown}</ul></article>')
-    return f'<section data-family="{escape(family)}">{"".join(out)}</section>'
+            out.append(f"<h3>{escape(r['owner'])}: {escape(r['category'])}</h3>")
+        mine = of.get(r["finding_id"]) or [x.asDict() for x in r["examples"]]
+        done = bool(of) and len(mine) == r["deviating"] and all(x["handled"] for x in mine)
+        handled += done
+        shown = _items(mine, r["deviating"] - len({x["url"] for x in mine}))
+        proof = "".join(f"<li>{escape(str(x['url']))}: {escape(str(x['value']))}</li>" for x in r["siblings"] or ()) if "siblings" in findings.columns else ""
+        agree = f"<p>{r['agree']} of {r['n']} agree" + (f" on {escape(r['norm'])}" if r["norm"] else "") + f"; {r['deviating']} deviate.</p>"
+        out.append(f'<article data-id="{r["finding_id"]}" data-date="{escape(date)}" data-handled="{str(done).lower()}"><h4>{escape(r["location"])}</h4>{agree}{shown}' + (f"<p>Elsewhere:</p><ul>{proof}</ul>" if proof else "") + "</article>")
+    return f'<section data-family="{escape(family)}" data-date="{escape(date)}" data-todo="{len(rows) - handled}" data-handled="{handled}">{head}{"".join(out)}</section>'
 
 
 def families_report(panels: list[tuple[str, str, str]]) -> str:
@@ -49,11 +82,20 @@ def families_report(panels: list[tuple[str, str, str]]) -> str:
     return _page("Consistency", bar + "".join(f'<div id="{escape(i)}">{html}</div>' for i, _, html in panels))
 
 
-def terms_report(found: DataFrame, pages: DataFrame) -> str:
+def totals(pages: DataFrame, found: DataFrame, fetched: str = "opgehaald_op") -> DataFrame:
+    """One row: pages looked at, newest fetch, reported hits, pages with a hit."""
+    seen = pages.agg(F.countDistinct("url").alias("pages"), F.max(fetched).alias("fetched") if fetched in pages.columns else F.lit(None).cast("string").alias("fetched"))
+    return seen.crossJoin(found.agg(F.count("*").alias("hits"), F.countDistinct("url").alias("with_hits")))  # one row each
+
+
+def terms_report(found: DataFrame, pages: DataFrame, scope: str = "") -> str:
     """Totals, a row for each rule, and the reported fragments with the term marked."""
-    totals = pages.agg(F.countDistinct("url").alias("pages")).collect()[0]
-    rules = summary(found).select("rule_id", "hits", counted(F.col("pages"), "page", "pages").alias("where")).limit(SHOWN).collect()
-    shown = found.orderBy("rule_id", "url", "position").select("rule_id", "url", marked(F.col("fragment"), F.col("term")).alias("html")).limit(SHOWN).collect()
+    sums = totals(pages, found).collect()[0]
+    rules = summary(found).select("rule_id", "hits", counted(F.col("pages"), "page", "pages").alias("where")).collect()
+    shown = found.orderBy("rule_id", "url", "position").select("rule_id", "url", marked(F.col("fragment"), F.col("term")).alias("html")).limit(FRAGMENTS).collect()
     table = "".join(f"<tr><td>{escape(r['rule_id'])}</td><td>{r['hits']}</td><td>{escape(r['where'])}</td></tr>" for r in rules)
     parts = "".join(f"<p><b>{escape(r['rule_id'])}</b> {escape(str(r['url']))}<br>{r['html']}</p>" for r in shown)
-    return _page("Terms", f"<p>{totals['pages']} pages.</p><table><tr><th>rule</th><th>hits</th><th>where</th></tr>{table}</table>{parts or '<p>No discouraged term occurs.</p>'}")
+    left = f"<p>{sums['hits'] - len(shown)} more are in the findings file.</p>" if sums["hits"] > len(shown) else ""
+    when = f" Fetched up to {escape(sums['fetched'])}." if sums["fetched"] else ""
+    head = f"<p>{sums['pages']} pages, {sums['with_hits']} with a discouraged term.{when} {escape(scope)}</p>"
+    return _page("Terms", f"{head}<table><tr><th>rule</th><th>hits</th><th>where</th></tr>{table}</table>{parts or '<p>No discouraged term occurs.</p>'}{left}")

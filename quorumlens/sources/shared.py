@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut a frame's lineage; the session's ``spark.checkpoint.dir`` is used, our own only where it is unset."""
+    """Cut a frame's lineage; the session's ``spark.checkpoint.dir`` is used, our own only where a local session has none."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quorumlens-"))
     return df.checkpoint(eager=True)

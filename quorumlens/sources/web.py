@@ -17,6 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.disposition import merge
+from .io import read_version, write_version
+from .shared import checkpoint
+
 AGENT = "quorumlens"
 PAUSE = 1.0
 TRIES = 4
@@ -91,15 +95,39 @@ def fetch(urls: DataFrame, transport: Transport = over_http, pause: float = PAUS
     return by_host.mapInPandas(run, "url string, status int, html string, etag string, modified string, error string")
 
 
+CACHE = "url string, html string, etag string, modified string"
+
+
+def fetch_cached(urls: DataFrame, folder: str, transport: Transport = over_http, pause: float = PAUSE, revalidate: bool = True) -> DataFrame:
+    """(url, status, html, error) of distinct URLs through a table of earlier answers under ``folder``.
+
+    With ``revalidate`` known pages are asked for again with their tags, and an answer of 304 or a
+    failure gives what is known; without it known pages are not asked for at all.
+    """
+    known = read_version(urls.sparkSession, folder, CACHE)
+    rows = urls.select("url").distinct().join(known, "url", "left")
+    asked = rows if revalidate else rows.where("html is null")
+    got = checkpoint(fetch(asked.select("url", "etag", "modified"), transport, pause))
+    old = rows.select("url", F.col("html").alias("old"))
+    out = old.join(got, "url", "left").select("url", "status", F.coalesce("html", "old").alias("html"), "etag", "modified", F.when(F.coalesce("html", "old").isNull(), F.coalesce("error", F.lit("no body"))).alias("error"))
+    write_version(checkpoint(merge(known, got.where("html is not null").select("url", "html", "etag", "modified"), "url")), folder)
+    return checkpoint(out.select("url", "status", "html", "error"))
+
+
 def permitted(urls: DataFrame, rules: dict[str, str]) -> DataFrame:
     """URLs that their host's robots.txt (host to text; hosts without one forbid nothing) lets us fetch."""
 
     @F.pandas_udf("boolean")
-    def allowed(url: pd.Series) -> pd.Series:
-        known = {}
-        for host, text in rules.items():
-            known[host] = RobotFileParser()
-            known[host].parse(text.splitlines())
-        return pd.Series([(k := known.get(urlsplit(u).netloc)) is None or k.can_fetch(AGENT, u) for u in url])
+    def allowed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, RobotFileParser] = {}
+        for url in batches:
+            out = []
+            for u in url:
+                host = urlsplit(u).netloc
+                if host not in known and host in rules:
+                    known[host] = RobotFileParser()
+                    known[host].parse(rules[host].splitlines())
+                out.append(host not in known or known[host].can_fetch(AGENT, u))
+            yield pd.Series(out, dtype=bool)
 
     return urls.where(allowed("url"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.disposition import merge
+from ..sources.io import write_version
 
 KEYS = ("finding_id", "url")
 
@@ -20,7 +21,7 @@ def upsert(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Keep the last write of each key under ``folder``; a restart repeats a batch without harm.
 
     Every batch writes a new version named by its number, so readers of the version before
-    are not disturbed, and a batch that is run again gives the same version.
+    are not disturbed, and a batch that is run again gives the same version; older ones are removed.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -32,7 +33,7 @@ def upsert(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
             stamp = F.struct("ts", "seq")
             late = new.join(old.select(*KEYS, stamp.alias("__old")), list(KEYS), "left").where(F.col("__old").isNull() | (stamp >= F.col("__old"))).select(*new.columns)
             new = merge(old, late, *KEYS)
-        new.write.mode("overwrite").parquet(f"{folder}/version={number}")
+        write_version(new, folder, number)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -73,7 +73,76 @@ def test_toggles_and_sentences(spark):
     got = D.toggle_titles(tables).collect()
     assert [(r["url"], r["value"], r["n"], r["agree"]) for r in got] == [("u0", "Wat neem je mee", 10, 9)]
     lines = D.standard_sentences(tables).collect()
-    assert [(r["url"], r["value"]) for r in lines] == [("u2", "Neem altijd je oude paspoort mee naar de balie.")]
+    assert [(r["url"], r["n"], r["agree"]) for r in lines] == [("u2", 9, 8)]  # u0's accordion is another one
+    assert lines[0]["value"] == f"1 of 1: “Neem altijd je oude paspoort mee naar de balie.” for “{said}”"
+    assert [x["url"] for x in lines[0]["siblings"]] == ["u1", "u3", "u4"] and [x["url"] for x in got[0]["siblings"]] == ["u1", "u2", "u3"]
+
+
+def family(spark, change=None, n=10):
+    """Sibling pages of one country each: a step with two accordions, each with a heading inside."""
+    section, inner, heading, page = [], [], [], []
+    for i in range(n):
+        land = f"Land{chr(65 + i)}"
+        c = (change or {}).get(i, {})
+        page.append(("f", f"u{i}", f"Paspoort als u in {land} woont", f"k{i}", f"Het duurt {c.get('weeks', 6)} weken"))
+        heading += [("f", f"u{i}", 0, 1, f"Paspoort als u in {land} woont"), ("f", f"u{i}", 1, 2, f"Afspraak in {land}"), *[("f", f"u{i}", 9 + j, level, t) for j, (level, t) in enumerate(c.get("headings", []))]]
+        section.append(("f", f"u{i}", 0, c.get("step", f"Afspraak in {land}"), "", 0, ""))
+        for j, t in enumerate(c.get("toggles", [f"Wat neemt u mee naar {land}", "Kosten"])):
+            section.append(("f", f"u{i}", 1 + j, c.get("step", f"Afspraak in {land}"), t, c.get("level", 3), c.get("text", f"Neem in {land} altijd uw paspoort mee.\nBetaal daarna contant of met de pas.")))
+            inner.append(("f", f"u{i}", 1 + j, 0, c.get("inner", 4), "Let op", False))
+    return {
+        "page": spark.createDataFrame(page, "family string, url string, title string, variant string, text string"),
+        "section": spark.createDataFrame(section, "family string, url string, ord int, step string, title string, level int, text string"),
+        "section_heading": spark.createDataFrame(inner, "family string, url string, sec_ord int, ord int, level int, text string, is_toggle boolean"),
+        "heading": spark.createDataFrame(heading, "family string, url string, ord int, level int, text string"),
+    }
+
+
+def test_siblings_of_several_countries_are_silent(spark):
+    tables = family(spark)
+    for detector in (D.step_plan, D.toggle_titles, D.heading_structure, D.standard_sentences):
+        assert detector(tables).isEmpty()
+
+
+def test_pages_without_a_plan_take_no_part(spark):
+    odd = {3: {"step": "Gesloten", "toggles": ["Anders"], "level": 5, "inner": 6, "text": "Deze ambassade is helaas gesloten.", "weeks": 9}}
+    tables = family(spark, odd)
+    for detector in (D.toggle_titles, D.heading_structure, D.standard_sentences):
+        assert detector(tables).isEmpty()
+    assert [(r["detector"], r["value"], r["n"], r["agree"]) for r in D.step_plan(tables).collect()] == [("steps_none", "Gesloten", 10, 9)]
+    rule = ClaimRule("duur", "Hoe lang", "pagina", {"weken": r"(\d+) weken"})
+    assert D.claims(tables, [rule]).isEmpty()
+    assert D.claims(family(spark, {3: {"weeks": 9}}), [rule]).count() == 1
+
+
+def test_accordions_of_a_page(spark):
+    def found(**change):
+        return [(r["detector"], r["kind"], r["url"], r["value"]) for r in D.toggle_titles(family(spark, {2: change})).collect()]
+
+    assert found(toggles=["Wat neemt u mee naar LandC"]) == [("toggles_missing", "structuur", "u2", None)]
+    assert found(toggles=["Wat neem je mee naar LandC", "Kosten"]) == [("toggles_renamed", "schrijfrichtlijn", "u2", "Wat neem je mee naar LandC")]
+    assert found(toggles=["Wat neemt u mee naar LandC"], headings=[(3, "Kosten")]) == []
+
+
+def test_heading_levels_inside_and_of_titles(spark):
+    def found(n=10, **change):
+        return sorted((r["detector"], r["kind"], r["place"], r["value"], r["norm"], r["n"], r["agree"]) for r in D.heading_structure(family(spark, {2: change}, n)).collect())
+
+    style = "schrijfrichtlijn"
+    assert found(inner=5) == [("headings_inside", style, "inside:h5", "h5 “Let op”; h5 “Let op”", "h4", 10, 9)]
+    assert found(inner=0) == []  # bold text that is nowhere a heading
+    assert found(level=4) == [("headings_toggle", style, "toggle:h4", "h4 “Wat neemt u mee naar LandC”; h4 “Kosten”", "h3", 10, 9)]
+    assert found(headings=[(4, "Los")]) == [("headings_jump", style, "jump", "h2 > h4 “Los”", None, 10, 9)]
+    assert found(n=4, inner=5, level=4) == []
+
+
+def test_similarity_compares_the_other_title_with_the_norm(spark):
+    """The measure is not symmetric: what stands on the page comes first."""
+    from difflib import SequenceMatcher
+
+    missing = spark.createDataFrame([("f", "u", "tide", "T", 0)], "family string, url string, key string, title string, place int")
+    loose = spark.createDataFrame([("f", "u", "diet", "D", 0)], "family string, url string, key string, title string, pos int")
+    assert D.renamed_steps(missing, loose).collect()[0]["ratio"] == SequenceMatcher(None, "diet", "tide").ratio() != SequenceMatcher(None, "tide", "diet").ratio()
 
 
 def test_headings(spark):
@@ -90,7 +159,7 @@ def test_claims(spark):
         got = D.claims({"section": section, "page": section.select("family", "url", "text")}, [rule]).collect()
         assert len(got) == found
         assert not found or (got[0]["value"], got[0]["norm"]) == ("weken 8", "weken 6")
-    assert D.scope_text(section, section, "elders:x").isEmpty()
+    assert D.claims({"section": section, "page": section.select("family", "url", "text")}, [ClaimRule("x", "X", "elders:x", {"a": "a"})]).isEmpty()
 
 
 def test_terms(spark):
@@ -119,6 +188,8 @@ def test_findings_identity_and_cap(spark):
     many = spark.range(120).select(F.lit("d").alias("rule"), F.col("id").cast("string").alias("finding_id"))
     kept, warned = G.cap(many)
     assert (kept.count(), warned.collect()[0]["found"]) == (50, 120)
+    proof = ids(["1"] * 8 + ["2"])[0].collect()[0]["siblings"]
+    assert [(x["url"], x["value"]) for x in proof] == [("u0", "1"), ("u1", "1"), ("u2", "1")]
     with pytest.raises(KeyError):
         G.registry.run(["nothing"], {})
 
@@ -145,6 +216,18 @@ def test_disposition_stream(spark, tmp_path):
         spark.createDataFrame([("f", "u", status, "h", "d", ts, ts)], schema).coalesce(1).write.mode("append").parquet(src)
         S.upsert(S.read_updates(spark, src, schema), out, mark).awaitTermination()
     assert [(r["status"], r["ts"]) for r in spark.read.parquet(f"{out}/version=2").collect()] == [("negeren", 3)]
+    assert not (tmp_path / "out" / "version=0").exists()  # only the newest versions stay
+
+
+def test_activity_stream(spark, tmp_path):
+    from quorumlens.streaming import dispositions as S
+
+    rows = spark.sql("SELECT timestamp'2024-01-01 10:00:00' AS ts, 'gefixt' AS status UNION ALL SELECT timestamp'2024-01-01 11:00:00', 'gefixt' UNION ALL SELECT timestamp'2024-01-05 00:00:00', 'negeren'")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    query = S.activity(stream).writeStream.format("memory").queryName("activity").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted((r["status"], r["n"]) for r in spark.table("activity").collect()) == [("gefixt", 2), ("negeren", 1)]
 
 
 def test_urls(spark):
@@ -160,7 +243,7 @@ def test_urls(spark):
 def test_every_part_takes_part_in_step_rename(spark, tmp_path):
     from quorumlens.plans import catalog
 
-    rows = [(5, "red apple", "B", "T", "C", 3), (12, "red apples", "B", "T", "C", 40), (19, "blue plum", "B", "T", "C", 3), (26, "blue plums", "B", "T", "C", 41), (33, "red apple", "B", "T", "D", 50)]
+    rows = [(5, "red apple", "B", "T", "C", 3), (12, "red apples", "B", "T", "C", 40), (19, "blue plum", "B", "T", "C", 3), (26, "blue plums", "B", "T", "C", 41), (33, "red apple", "B", "U", "C", 50)]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_container string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     got = catalog.queries()["step_rename"](spark, str(tmp_path)).collect()
     assert {(r["key"], r["renamed_key"]) for r in got} == {("red apple", "red apples"), ("blue plum", "blue plums")}
