@@ -1,16 +1,21 @@
 """URL filter: host and path rules first, a character language-model ratio for the rest.
 
 Two smoothed variable-order Markov models, of accepted and of rejected URLs, are counted
-over all labelled URLs; each character counts by its longest n-gram that was seen, and a URL is judged by the difference of their log-likelihoods per
-character, against a threshold calibrated on the labelled URLs. Everything is DataFrame
-functions. The alphabet is small and fixed, so the combined model is one array of
-``CELLS`` numbers whatever the input's size: scoring reads it from a scalar
-subquery, row by row, without a shuffle.
+over all labelled URLs. What is counted is a table of the n-grams of real characters, up to
+``ORDER`` of them, that grows with the URLs; each character counts by its longest n-gram that
+was seen. A URL is judged by the difference of its log-likelihoods per character, against a
+threshold: one fold of the labelled URLs is scored with counts that leave it out, and the
+value that parts its two classes best is taken. Everything is DataFrame functions.
+
+Equal URLs are counted and scored once, with their number as weight. Scoring joins the n-grams
+of all distinct URLs to the model on the n-gram and sums by URL; n-grams that start most URLs
+are hot keys of that join, whose other side has one row for each, so Spark splits them.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, matches no
-rule, and is scored as the text it is (null: as empty); an empty URL scores 0; with no
-labelled URL of both classes every URL that no rule decides is allowed; repeated rows are
-each judged; other columns are ignored.
+rule, and is scored as the text it is; null and empty URLs score 0; very long URLs are scored
+whole; with no labelled URL of both classes every URL that no rule decides is allowed, and
+where the fold lacks a class all labelled URLs set the threshold; repeated rows are each
+judged; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,24 +24,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint
+from .common import checkpoint, write_shared
 
-#: Letters, one symbol for all digits, the commonest marks, one for everything else, one for the start.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
-MARKS = "0./-"
-SYMBOLS = len(LETTERS) + len(MARKS) + 2
-OTHER, START = SYMBOLS - 2, SYMBOLS - 1
-#: Characters of an n-gram at most: a context of up to three and the character after it.
-ORDER = 4
+#: Characters of an n-gram at most: a context of up to five and the character after it.
+ORDER = 6
 #: A context of fewer sightings is not used by itself; its shorter form is.
 LEAST = 4
-#: The model's array is held as rows of so many numbers; where the n-grams of each length start in it.
-ROW = SYMBOLS**2
-STARTS = {k: sum(SYMBOLS**j for j in range(k + 1, ORDER + 1)) for k in range(ORDER, 0, -1)}
-CELLS = sum(SYMBOLS**k for k in range(1, ORDER + 1))
+#: Stands before a URL's first character; characters that were never seen have a share of one in ``SYMBOLS``.
+START, SYMBOLS = "\x01", 256
+#: Characters of a URL that are cut into n-grams at a time.
+CHUNK = 1000
 #: Grid on which the threshold is calibrated: scores from -REACH to REACH.
 BINS, REACH = 2000, 5.0
-#: One labelled URL in so many is kept out of the counts, for the calibration.
+#: One labelled URL in so many is the fold that the threshold is set on.
 HOLD = 4
 
 
@@ -63,74 +64,69 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, action
 
 
-def symbols(url: Column) -> Column:
-    """The URL's characters as numbers below ``SYMBOLS``, after ``ORDER`` - 1 start symbols."""
-    plain = F.translate(F.lower(F.coalesce(url, F.lit(""))), "123456789", "000000000")
-    codes = F.transform(F.split(plain, ""), lambda c: F.when(F.length(c) == 0, F.lit(None)).otherwise(F.coalesce(F.nullif(F.instr(F.lit(LETTERS + MARKS), c), F.lit(0)) - 1, F.lit(OTHER))))
-    return F.concat(F.array_repeat(F.lit(START), ORDER - 1), F.filter(codes, lambda c: c.isNotNull()))
+def grams(rows: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., g): for each character of ``url`` the n-gram that ends at it.
+
+    A URL is cut into chunks first: finding a place in a string takes a walk from its start.
+    """
+    size = F.length("url")
+    rows = rows.where(size > 0).select(*keep, F.concat(F.lit(START * (ORDER - 1)), "url").alias("__u"), size.alias("__n"), F.explode(F.sequence(F.lit(0), F.floor((size - 1) / CHUNK).cast("int"))).alias("__c"))
+    rows = rows.select(*keep, F.substring("__u", F.col("__c") * CHUNK + 1, F.lit(CHUNK + ORDER - 1)).alias("__u"), F.least(F.lit(CHUNK), F.col("__n") - F.col("__c") * CHUNK).alias("__n"))
+    rows = rows.select(*keep, "__u", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__i"))
+    return rows.select(*keep, F.substring("__u", F.col("__i"), F.lit(ORDER)).alias("g"))
 
 
-def grams(codes: Column) -> Column:
-    """The full n-gram that ends at each character, as one number."""
-    number = lambda i: sum((F.element_at(codes, (i + j + 1).cast("int")).cast("long") * SYMBOLS ** (ORDER - 1 - j) for j in range(ORDER)), F.lit(0))
-    return F.when(F.size(codes) < ORDER, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(codes) - ORDER), number))
+def counts(known: DataFrame) -> DataFrame:
+    """(g, n0, n1, h0, h1): sightings in accepted and rejected URLs of (url, n0, n1, fold), and those outside fold 0."""
+    outside = lambda n: F.sum(F.when(F.col("fold") > 0, F.col(n)).otherwise(0))
+    return grams(known, "n0", "n1", "fold").groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), outside("n0").alias("h0"), outside("n1").alias("h1"))
 
 
-def model(labelled: DataFrame) -> DataFrame:
-    """One row, ``ratio``: for each n-gram that was seen the log ratio of the two models' probabilities.
+def model(full: DataFrame) -> list[DataFrame]:
+    """For each length (g, r, h): the log ratio of the two models' probabilities of an n-gram's last character.
 
-    ``labelled``: (grams, rejected boolean). Counts are summed before the shuffle, and from the
-    full n-grams down, so each level is at most ``SYMBOLS`` times smaller than the one before.
-    Each level is smoothed towards the shorter context in proportion to the number of
-    different characters seen after it; contexts seen fewer than ``LEAST`` times give way
-    to the shorter one, which makes the order vary.
+    ``r`` is by all URLs, ``h`` by those outside fold 0 (null where it was not seen there). Each
+    length is smoothed towards the shorter context in proportion to the number of different
+    characters seen after it; contexts seen fewer than ``LEAST`` times give way to the shorter
+    one, which makes the order vary. Counts are summed from the longest down.
     """
-    full = labelled.select(F.explode("grams").alias("g"), "rejected").groupBy("g").agg(
-        F.count_if(~F.col("rejected")).alias("n0"), F.count_if(F.col("rejected")).alias("n1"))
-    level, seen = None, None
-    for k in range(1, ORDER + 1):
-        key = F.col("g") % SYMBOLS**k
-        counts = full.groupBy(key.alias("g")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        context = F.floor(F.col("g") / SYMBOLS)
-        w = Window.partitionBy("c")
-        counts = counts.withColumn("c", context).select(
-            "*", *[F.sum(n).over(w).alias(f"t{n}") for n in ("n0", "n1")], *[F.count_if(F.col(n) > 0).over(w).alias(f"d{n}") for n in ("n0", "n1")])
-        if level is None:
-            base = [F.lit(1.0 / SYMBOLS), F.lit(1.0 / SYMBOLS)]
+    levels = [full]
+    for k in range(ORDER - 1, 0, -1):
+        levels.append(levels[-1].groupBy(F.substring("g", 2, k).alias("g")).agg(*[F.sum(n).alias(n) for n in ("n0", "n1", "h0", "h1")]))
+    out: list[DataFrame] = []
+    below = None
+    for k, level in enumerate(reversed(levels), 1):
+        w = Window.partitionBy(F.substring("g", 1, k - 1))
+        names = ("n0", "n1", "h0", "h1")
+        rows = level.select("*", *[F.sum(n).over(w).alias(f"t{n}") for n in names], *[F.greatest(F.count_if(F.col(n) > 0).over(w), F.lit(1)).alias(f"d{n}") for n in names])
+        if below is None:
+            rows = rows.withColumns({f"b{n}": F.lit(1.0 / SYMBOLS) for n in names})
         else:
-            counts = counts.withColumn("s", F.col("g") % SYMBOLS ** (k - 1)).join(level.select(F.col("g").alias("s"), F.col("p0").alias("b0"), F.col("p1").alias("b1")), "s")
-            base = [F.col("b0"), F.col("b1")]
-        smooth = lambda n, b: F.when(F.col("tn0") + F.col("tn1") < LEAST, b).otherwise((F.col(n) + F.greatest(F.col(f"d{n}"), F.lit(1)) * b) / (F.col(f"t{n}") + F.greatest(F.col(f"d{n}"), F.lit(1))))
-        level = counts.select("g", smooth("n0", base[0]).alias("p0"), smooth("n1", base[1]).alias("p1"))
-        found = level.select((F.col("g") + STARTS[k]).alias("cell"), F.log(F.col("p0") / F.col("p1")).alias("r"))
-        seen = found if seen is None else seen.unionByName(found)
-    # The table's size is fixed by the alphabet; cells of n-grams that were never seen stay null.
-    blank = labelled.sparkSession.range(CELLS).select(F.col("id").alias("cell"), F.lit(None).cast("double").alias("r"))
-    cells = seen.unionByName(blank).groupBy("cell").agg(F.max("r").alias("r"))
-    packed = lambda key, item: F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), item.alias("v")))), lambda x: x["v"])
-    lines = cells.groupBy(F.floor(F.col("cell") / ROW).alias("line")).agg(packed(F.col("cell") % ROW, F.col("r")).alias("cells"))
-    return lines.agg(packed(F.col("line"), F.col("cells")).alias("ratio"))
-
-
-def with_score(rows: DataFrame, ratios: DataFrame) -> DataFrame:
-    """Add ``score``: a URL's log-likelihood difference per character, accepted over rejected."""
-    cell = lambda n: F.get(F.get("ratio", F.floor(n / ROW).cast("int")), (n % ROW).cast("int"))
-    longest = lambda g: F.coalesce(*[cell(g % SYMBOLS**k + STARTS[k]) for k in range(ORDER, 0, -1)], F.lit(0.0))
-    # Each step is a column of its own: a lambda would compute what it refers to anew for every element.
-    rows = rows.withColumn("codes", symbols(F.col("url"))).withColumn("found", grams(F.col("codes")))
-    total = F.aggregate("found", F.lit(0.0), lambda acc, g: acc + longest(g))
-    # The table itself is used once, so Catalyst folds it into the expression and no row carries it.
-    rows = rows.withColumn("ratio", ratios.select("ratio").scalar())
-    return rows.withColumn("score", total / F.greatest(F.size("found"), F.lit(1))).drop("codes", "found", "ratio")
+            rows = rows.withColumn("s", F.substring("g", 2, k - 1)).join(below.select(F.col("g").alias("s"), *[F.col(f"p{n}").alias(f"b{n}") for n in names]), "s")
+        smooth = lambda n, both: F.when(both < LEAST, F.col(f"b{n}")).otherwise((F.col(n) + F.col(f"d{n}") * F.col(f"b{n}")) / (F.col(f"t{n}") + F.col(f"d{n}")))
+        p = {n: smooth(n, F.col(f"t{n[0]}0") + F.col(f"t{n[0]}1")) for n in names}
+        below = checkpoint(rows.select("g", "h0", "h1", *[c.alias(f"p{n}") for n, c in p.items()]))
+        out.append(below.select("g", F.log(F.col("pn0") / F.col("pn1")).alias("r"), F.when(F.col("h0") + F.col("h1") > 0, F.log(F.col("ph0") / F.col("ph1"))).alias("h")))
+    return out
+
+
+def with_score(urls: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(uid, score, held): log-likelihood differences per character of (uid, url), accepted over rejected, by ``r`` and by ``h``."""
+    each = grams(urls, "uid")
+    found = each.select("g").distinct()
+    for k, level in zip(range(ORDER, 0, -1), reversed(levels), strict=True):
+        found = found.withColumn("s", F.substring("g", ORDER - k + 1, k)).join(level.select(F.col("g").alias("s"), F.col("r").alias(f"r{k}"), F.col("h").alias(f"h{k}")), "s", "left").drop("s")
+    best = lambda c: F.coalesce(*[F.col(f"{c}{k}") for k in range(ORDER, 0, -1)], F.lit(0.0)).alias(c)
+    return each.join(found.select("g", best("r"), best("h")), "g").groupBy("uid").agg(F.avg("r").alias("score"), F.avg("h").alias("held"))
 
 
 def threshold(scored: DataFrame) -> float | None:
-    """The score that best parts (score, rejected): the mean of both classes' hit rates is highest.
+    """The score that best parts (score, n0, n1): the mean of both classes' hit rates is highest.
 
     Scores are counted on a fixed grid, so one row a bin is all that is ordered. None without both classes.
     """
     at = F.floor((F.least(F.greatest(F.col("score"), F.lit(-REACH)), F.lit(REACH - 1e-9)) + REACH) / (2 * REACH) * BINS)
-    rows = scored.groupBy(at.alias("bin")).agg(F.count_if("rejected").alias("n1"), F.count_if(~F.col("rejected")).alias("n0")).orderBy("bin").limit(BINS).collect()
+    rows = scored.groupBy(at.alias("bin")).agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).orderBy("bin").collect()  # BINS rows at most
     all1, all0 = sum(r["n1"] for r in rows), sum(r["n0"] for r in rows)
     if not all1 or not all0:
         return None
@@ -153,9 +149,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame |
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("action", action)
     known = labelled if labelled is not None else rows.where(F.col("action").isNotNull()).select("url", (F.col("action") == "block").alias("rejected"))
-    known = known.where(F.col("url").isNotNull() & F.col("rejected").isNotNull()).select("url", "rejected", F.pmod(F.xxhash64("url"), F.lit(HOLD)).alias("fold"))
-    ratios = checkpoint(model(known.where(F.col("fold") > 0).withColumn("codes", symbols(F.col("url"))).select(grams(F.col("codes")).alias("grams"), "rejected")))
-    cut = threshold(with_score(known.where(F.col("fold") == 0), ratios))
-    rows = with_score(rows, ratios)
-    learned = F.lit("allow") if cut is None else F.when(F.col("score") < cut, F.lit("block")).otherwise(F.lit("allow"))
-    return rows.select("page_id", "host", "path", "rule", F.coalesce("action", learned).alias("verdict"), "score")
+    known = known.where(F.col("url").isNotNull() & F.col("rejected").isNotNull()).groupBy("url").agg(F.count_if(~F.col("rejected")).alias("n0"), F.count_if("rejected").alias("n1"))
+    known = write_shared(known.withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(HOLD)).cast("int")), "known")
+    levels = model(checkpoint(counts(known)))
+    urls = rows.select("url").unionByName(known.select("url")).where(F.length("url") > 0).distinct()
+    urls = write_shared(urls.withColumn("uid", F.monotonically_increasing_id()), "urls")  # written, so the numbers stay
+    scored = write_shared(urls.join(with_score(urls, levels), "uid").select("url", "score", "held"), "scores")
+    told = known.join(scored, "url").select("fold", "n0", "n1", F.col("held").alias("score"))
+    cut = threshold(told.where("fold = 0"))
+    cut = threshold(told) if cut is None else cut
+    value = F.coalesce("score", F.lit(0.0))
+    learned = F.lit("allow") if cut is None else F.when(value < cut, F.lit("block")).otherwise(F.lit("allow"))
+    return rows.join(scored.select("url", "score"), "url", "left").select("page_id", "host", "path", "rule", F.coalesce("action", learned).alias("verdict"), value.alias("score"))

@@ -62,36 +62,58 @@ def test_url_model_parts_two_kinds(spark):
 
 
 def test_url_model_against_a_plain_count(spark):
-    known = [("ab", False), ("abc", False), ("abab", False), ("ba", True), ("bab", True)] * 3
-    rows = spark.createDataFrame(known, "url string, rejected boolean").withColumn("codes", urls.symbols(F.col("url"))).select(urls.grams(F.col("codes")).alias("grams"), "rejected")
-    ratio = urls.model(rows).collect()[0]["ratio"]
-
-    def codes(u):
-        return [urls.START] * (urls.ORDER - 1) + [urls.LETTERS.index(c) for c in u]
-
-    counts = [{}, {}]
-    for u, bad in known:
-        c = codes(u)
-        for i in range(urls.ORDER - 1, len(c)):
-            for k in range(1, urls.ORDER + 1):
-                g = tuple(c[i - k + 1 : i + 1])
-                counts[bad][g] = counts[bad].get(g, 0) + 1
-
-    def p(bad, g):
-        if not g:
-            return 1 / urls.SYMBOLS
-        same = lambda b: {h: n for h, n in counts[b].items() if len(h) == len(g) and h[:-1] == g[:-1]}
-        if sum(same(0).values()) + sum(same(1).values()) < urls.LEAST:
-            return p(bad, g[1:])
-        d = max(1, len(same(bad)))
-        return (counts[bad].get(g, 0) + d * p(bad, g[1:])) / (sum(same(bad).values()) + d)
-
-    for u in ("ab", "bab"):
-        c = codes(u)
-        for i in range(urls.ORDER - 1, len(c)):
-            g = tuple(c[i - urls.ORDER + 1 : i + 1])
-            number = sum(x * urls.SYMBOLS ** (urls.ORDER - 1 - j) for j, x in enumerate(g))
-            assert ratio[number // urls.ROW][number % urls.ROW] == pytest.approx(np.log(p(0, g) / p(1, g)))
+    known = {"ab": (3, 0, 1), "abc": (3, 0, 0), "abab": (2, 1, 1), "ba": (0, 3, 2), "bab": (0, 3, 0), "a" * 2500: (1, 0, 1)}
+    rows = spark.createDataFrame([(u, *x) for u, x in known.items()], "url string, n0 long, n1 long, fold int")
+    levels = urls.model(urls.counts(rows))
+    got = {r["g"]: (r["r"], r["h"]) for level in levels for r in level.collect()}
+
+    def plain(folds):
+        counts = [{}, {}]
+        for u, (n0, n1, fold) in known.items():
+            if fold in folds:
+                text = urls.START * (urls.ORDER - 1) + u
+                for i in range(urls.ORDER - 1, len(text)):
+                    for k in range(1, urls.ORDER + 1):
+                        g = text[i - k + 1 : i + 1]
+                        counts[0][g] = counts[0].get(g, 0) + n0
+                        counts[1][g] = counts[1].get(g, 0) + n1
+
+        def p(bad, g):
+            if not g:
+                return 1 / urls.SYMBOLS
+            same = lambda b: [n for h, n in counts[b].items() if len(h) == len(g) and h[:-1] == g[:-1]]
+            if sum(same(0)) + sum(same(1)) < urls.LEAST:
+                return p(bad, g[1:])
+            d = max(1, sum(n > 0 for n in same(bad)))
+            return (counts[bad].get(g, 0) + d * p(bad, g[1:])) / (sum(same(bad)) + d)
+
+        return {g: np.log(p(0, g) / p(1, g)) for g in counts[0]}
+
+    every, outside = plain({0, 1, 2}), plain({1, 2})
+    assert set(got) == set(every)
+    for g, (r, h) in got.items():
+        assert r == pytest.approx(every[g]) and (h is None) == (g not in outside) and (h is None or h == pytest.approx(outside[g]))
+
+    asked = ["abba", "xyz", "bab", "ba" * 1500]
+    scores = {r["uid"]: r for r in urls.with_score(spark.createDataFrame(list(enumerate(asked)), "uid long, url string"), levels).collect()}
+    for i, u in enumerate(asked):
+        text = urls.START * (urls.ORDER - 1) + u
+        longest = lambda table, e: next((table[text[e - k + 1 : e + 1]] for k in range(urls.ORDER, 0, -1) if text[e - k + 1 : e + 1] in table), 0.0)  # noqa: E731, B023
+        for name, table in (("score", every), ("held", outside)):
+            assert scores[i][name] == pytest.approx(np.mean([longest(table, e) for e in range(urls.ORDER - 1, len(text))]))
+
+
+def test_url_threshold_where_the_fold_lacks_a_class(spark):
+    folds = {r["url"]: r["f"] for r in spark.createDataFrame([(f"x://h/{c}{i}",) for c in "ab" for i in range(60)], "url string").select("url", F.pmod(F.xxhash64("url"), F.lit(urls.HOLD)).alias("f")).collect()}
+    known = [(u, "b" in u) for u, f in folds.items() if f > 0 or "a" in u]  # no rejected URL in the fold
+    pages = spark.createDataFrame([(1, "x://h/a777"), (2, "x://h/b777"), (3, None)], "page_id int, url string")
+    got = {r["page_id"]: (r["verdict"], r["score"]) for r in urls.judge(pages, [], spark.createDataFrame(known, "url string, rejected boolean")).collect()}
+    assert (got[1][0], got[2][0]) == ("allow", "block") and got[3][1] == 0.0
+
+
+def test_url_filter_runs_without_python(spark):
+    plan = queries.op2_url_filter(spark, DATA)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
 # -- searches -------------------------------------------------------------------------------
