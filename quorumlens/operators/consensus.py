@@ -64,8 +64,8 @@ def first_k(rows: DataFrame, group: Sequence[str], order: Sequence[str | Column]
 
 def first_siblings(rows: DataFrame, group: Sequence[str], member: str, value: str, k: int = EVIDENCE) -> DataFrame:
     """(group, siblings): the first ``k`` members of each group by member and value, as url and value."""
-    once = rows.select(*group, member, value).distinct()
-    top = first_k(once, group, [member, value], k)
+    place = F.dense_rank().over(Window.partitionBy(*group).orderBy(member, value))  # each task keeps its first k before the shuffle
+    top = rows.select(*group, member, value).withColumn("rank", place).where(F.col("rank") <= k).distinct()
     pair = F.transform(F.array_sort(F.collect_list(F.struct("rank", member, value))), lambda x: F.struct(x[member].cast("string").alias("url"), x[value].cast("string").alias("value")))
     return top.groupBy(*group).agg(pair.alias("siblings"))
 

@@ -187,7 +187,7 @@ def renamed_steps(missing: DataFrame, loose: DataFrame, least: float = RENAMED_S
             out.append(best)
         return pd.DataFrame(out, columns=page.columns).rename(columns={"loose": "renamed_key", "loose_title": "renamed_title"})[["family", "url", "key", "title", "renamed_key", "renamed_title", "ratio"]]
 
-    return scored.groupBy("family", "url").applyInPandas(assign, "family string, url string, key string, title string, renamed_key string, renamed_title string, ratio double")
+    return scored.groupBy("family", "url").applyInPandas(assign, f"family string, url {dict(missing.dtypes)['url']}, key string, title string, renamed_key string, renamed_title string, ratio double")
 
 
 @registry.register("steps")

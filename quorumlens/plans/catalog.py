@@ -794,7 +794,7 @@ def html_title(spark, sf_dir):
 _PLAIN = """
 cut AS (SELECT *, regexp_extract(regexp_replace(html, '(?is)<(script|style|nav|footer)[^>]*>.*?</(script|style|nav|footer)>', '', 'g'), '(?is)<article[^>]*>(.*)</article>', 1) AS body FROM pages),
 lines AS (SELECT page_id, url, body, list_transform(list_filter(string_split(regexp_replace(body, '<[^>]*>', chr(10), 'g'), chr(10)), lambda x: trim(x) <> ''),
-  lambda x: trim(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'))) AS l FROM cut)
+  lambda x: trim(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'))) AS l FROM cut)
 """
 
 
