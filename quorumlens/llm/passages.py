@@ -11,8 +11,8 @@ whose words also start earlier (smaller doc_id, or earlier in the same document)
    hands these over one by one and leaves a mark at the key, which makes its other windows
    follow; they are matched in a second step, dealt out by the windows themselves.
 2. Confirm: neighbouring repeated windows with the same distance to an earlier sighting are
-   one passage; its words are read once from that earlier document and joined to the shards
-   that need them.
+   one passage; its words are read from that earlier document, once for every ``TOGETHER`` of the
+   shards that need them.
 3. Locate: documents are dealt into shards; the confirmed passages that a shard needs are
    compiled into one Aho-Corasick automaton over words, and all of the shard's documents are
    streamed through it. What it finds is removed, so hash collisions cannot remove a word.
@@ -32,6 +32,7 @@ empty input gives no row; columns other than those asked for are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,8 @@ ONE, MARK = -2, -1
 #: Characters of text that are settled together in a task, and bytes of text in a shard.
 BLOCK = 6 << 20
 SHARD = 4 << 20
+#: Shards that a passage is read for at a time.
+TOGETHER = 1000
 
 _FOUND_NAMES = ["doc", "start", "size", "src_doc", "src_start"]
 _FOUND = "key long, doc long, start int, size int, hashes binary, src_doc long, src_start int"
@@ -155,8 +158,8 @@ def _runs(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, i
 def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """From rows sorted by (key, doc, start): which windows were sighted before, and where.
 
-    Windows of marked keys come out one by one (size ``ONE``), with the number ``w`` they are
-    matched by in the next step.
+    Windows of marked keys come out one by one (size ``ONE``), with the number they are matched
+    by in the next step for ``src_doc``.
     """
     seen: dict[int, tuple[int, int]] = {}
     last: int | None = None
@@ -164,10 +167,10 @@ def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         settled = b[b["hashes"].isna()]
         if len(settled):
-            yield settled[_FOUND_NAMES].assign(w=0)
+            yield settled[_FOUND_NAMES]
         ones = b[b["size"] == ONE]
         if len(ones):
-            yield ones[_FOUND_NAMES].assign(w=ones["key"])
+            yield ones[_FOUND_NAMES].assign(src_doc=ones["key"])
         b = b[b["hashes"].notna() & (b["size"] != ONE)]
         if b.empty:
             continue
@@ -188,7 +191,7 @@ def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 part = np.zeros((n, 8), np.uint8)
                 part[:, :PACKED] = np.frombuffer(r, np.uint8).reshape(n, PACKED)
                 w = _single(np.full(n, k, np.int64).view(np.uint64), part.view(np.uint64).ravel())
-                later.append(pd.DataFrame({"doc": d, "start": np.arange(s, s + n), "size": ONE, "src_doc": 0, "src_start": 0, "w": w.view(np.int64)}))
+                later.append(pd.DataFrame({"doc": d, "start": np.arange(s, s + n), "size": ONE, "src_doc": w.view(np.int64), "src_start": 0}))
                 continue
             for i in range(0, len(r), PACKED):
                 here = d, s
@@ -200,20 +203,18 @@ def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if k != last:
             seen, last, marked = {}, k, False
         if out:
-            yield pd.DataFrame(_runs(out), columns=_FOUND_NAMES).assign(w=0)
+            yield pd.DataFrame(_runs(out), columns=_FOUND_NAMES)
         if later:
             yield pd.concat(later)
 
 
 def _match_singles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From rows sorted by (w, doc, start): windows sighted before; what is matched already passes through."""
+    """From windows handed over one by one, sorted by (number, doc, start): which were sighted before, and where."""
     last, source = None, (0, 0)
     for b in batches:
-        yield b.loc[b["size"] != ONE, _FOUND_NAMES]
-        b = b[b["size"] == ONE]
         if b.empty:
             continue
-        w, doc, start = (b[c].to_numpy(np.int64) for c in ("w", "doc", "start"))
+        w, doc, start = (b[c].to_numpy(np.int64) for c in ("src_doc", "doc", "start"))
         first = np.concatenate([[w[0] != last], w[1:] != w[:-1]])
         at = np.maximum.accumulate(np.where(first, np.arange(len(w)), -1))
         src_doc, src_start = (np.where(at >= 0, x[at], y) for x, y in zip((doc, start), source, strict=True))
@@ -222,6 +223,22 @@ def _match_singles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc": doc, "start": start, "size": 1, "src_doc": src_doc, "src_start": src_start})[again]
 
 
+def _settle_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What is matched, by (doc, start), is joined to stretches; then come the windows that are not, by number."""
+    batches, ones = iter(batches), []
+
+    def matched() -> Iterator[pd.DataFrame]:
+        for b in batches:
+            single = b["size"] == ONE
+            yield b[~single]
+            if single.any():
+                ones.append(b[single])
+                return
+
+    yield from _merge(matched())
+    yield from _match_singles(chain(ones, batches))
+
+
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Join touching stretches of a document, from rows sorted by (doc, start)."""
     x: list[int] | None = None
@@ -244,23 +261,25 @@ def passages(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame
     """(doc, start, size, src_doc, src_start): ``size`` windows from ``start`` on are those from ``src_start`` on in ``src_doc``."""
     found = docs.where("doc is not null and text is not null").select("doc", "text").mapInPandas(_find(window, run), _FOUND)
     schema = "doc long, start int, size int, src_doc long, src_start int"
-    matched = found.repartition("key").sortWithinPartitions("key", "doc", "start").mapInPandas(_match, f"{schema}, w long")
-    matched = matched.repartition(F.when(F.col("size") == ONE, F.col("w")).otherwise(F.xxhash64("doc", "start"))).sortWithinPartitions("w", "doc", "start").mapInPandas(_match_singles, schema)
-    return matched.repartition("doc").sortWithinPartitions("doc", "start").mapInPandas(_merge, schema)
+    matched = found.repartition("key").sortWithinPartitions("key", "doc", "start").mapInPandas(_match, schema)
+    single = F.col("size") == ONE
+    by = F.when(single, F.col("src_doc")).otherwise(F.col("doc"))
+    rest = matched.repartition(single, by).sortWithinPartitions(single, by, "doc", "start").mapInPandas(_settle_rest, schema)
+    return rest.repartition("doc").sortWithinPartitions("doc", "start").mapInPandas(_merge, schema)
 
 
 def _read(window: int):
     def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """The words of the passages asked for, once each, from their earlier documents."""
+        """The words of the passages asked for, from their earlier documents, once for so many shards."""
         out = []
         if len(right):
             wanted = {int(d): g for d, g in right.groupby("src_doc")}
             for doc, text in zip(left["doc"], left["text"], strict=True):
                 if isinstance(text, str) and not pd.isna(doc) and (g := wanted.get(int(doc))) is not None:
                     words = text.encode("utf-8", "surrogatepass").split()
-                    for start, size in zip(g["src_start"], g["size"], strict=True):
-                        out.append((int(doc), start, size, b" ".join(words[start : start + size + window - 1])))
-        return pd.DataFrame(out, columns=["src_doc", "src_start", "size", "words"])
+                    for start, size, to in zip(g["src_start"], g["size"], g["to"], strict=True):
+                        out.append((to, int(doc), start, b" ".join(words[start : start + size + window - 1])))
+        return pd.DataFrame(out, columns=["to", "src_doc", "src_start", "words"])
 
     return task
 
@@ -334,14 +353,14 @@ def strip_repeats(docs: DataFrame, keep: Sequence[str] = (), window: int = WINDO
     shards = max(1, -(-size // SHARD))
     shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")
     found = passages(rows, window, run)
-    asked = found.select(shard(F.col("src_doc")).alias("shard"), "src_doc", "src_start", "size", shard(F.col("doc")).alias("to")).distinct()
+    # A passage is read once for every ``TOGETHER`` shards that need it, and multiplied by Spark.
+    asked = found.select(shard(F.col("src_doc")).alias("s"), "src_doc", "src_start", "size", shard(F.col("doc")).alias("to"))
+    asked = asked.groupBy("s", "src_doc", "src_start", "size", F.floor(F.col("to") / TOGETHER).alias("part")).agg(F.collect_set("to").alias("to")).drop("part")
     # Both passes below deal documents out in the same way, so Spark shuffles the texts once.
     loose = F.pmod(F.xxhash64("text", *carried), F.lit(shards)).cast("int")
     dealt = rows.withColumn("shard", F.when(F.col("doc").isNull(), loose).otherwise(shard(F.col("doc"))))
-    source = ["src_doc", "src_start", "size"]
-    once = asked.select(F.col("shard").alias("s"), *source).distinct()
-    read = dealt.groupBy("shard").cogroup(once.groupBy("s")).applyInPandas(_read(window), "src_doc long, src_start int, size int, words binary")
-    text = asked.select("to", *source).join(read, source).select("to", "src_doc", "src_start", "words")
+    read = dealt.groupBy("shard").cogroup(asked.groupBy("s")).applyInPandas(_read(window), "to array<int>, src_doc long, src_start int, words binary")
+    text = read.select(F.explode("to").alias("to"), "src_doc", "src_start", "words")
     kinds = dict(docs.dtypes)
     schema = ", ".join(["doc_id string", *[f"{k} {kinds[c]}" for c, k in zip(keep, carried, strict=True)], "text string", "n_words long", "n_removed long"])
     out = dealt.groupBy("shard").cogroup(text.groupBy("to")).applyInPandas(_locate(window, ["doc_id", *carried]), schema)
