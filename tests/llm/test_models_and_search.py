@@ -189,6 +189,20 @@ def test_one_huge_vector_does_not_blind_its_shard():
     assert len(pd.concat(neighbours._search(6, neighbours.DEGREE, neighbours.BEAM, neighbours.ALPHA)(iter([others, points[points["id"] == 17].assign(ids=None)])))) == 6
 
 
+def test_recall_at_the_largest_shard():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(neighbours.SHARD[1], 64)).astype(np.float32)
+    graph, entry = neighbours.build(x, neighbours.DEGREE, neighbours.BUILD_BEAM, neighbours.ALPHA)
+    asked = rng.choice(len(x), 100, replace=False)
+    found, _ = neighbours.beam_search(x, graph, entry, x[asked], neighbours.BEAM)
+    hits = 0
+    for q, nodes in zip(asked, found):
+        nodes = nodes[nodes >= 0]
+        mine = nodes[np.argsort(((x[nodes] - x[q]) ** 2).sum(axis=1))[:11]]
+        hits += len(set(mine) & set(np.argsort(((x - x[q]) ** 2).sum(axis=1))[:11]))
+    assert hits / 1100 >= 0.9
+
+
 def test_hamming_search(spark):
     x, rows = vectors(2)
     frame = spark.createDataFrame(rows, SCHEMA)
