@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text as T
@@ -815,6 +815,37 @@ def html_headings(spark, sf_dir):
     return html.headings(pages).select("url", "ord", "level", "text")
 
 
+@query("""
+WITH c AS (SELECT conv_id AS url, turn, role, 'said ' || length(text) AS said FROM conversations),
+heads AS (SELECT url, turn, CASE role WHEN 'system' THEN 'step' ELSE 'opener' END AS what, said, row_number() OVER (PARTITION BY url ORDER BY turn) AS number FROM c WHERE role <> 'assistant'),
+steps AS (SELECT * FROM heads WHERE what = 'step'), openers AS (SELECT * FROM heads WHERE what = 'opener'),
+sections AS (
+  SELECT url, 0 AS ord, '' AS step, '' AS title, 0 AS level FROM (SELECT DISTINCT url FROM c)
+  UNION ALL SELECT url, number, said, '', 0 FROM steps
+  UNION ALL SELECT o.url, o.number, coalesce((SELECT arg_max(s.said, s.turn) FROM steps s WHERE s.url = o.url AND s.turn < o.turn), ''), 'open ' || o.said, CASE o.turn % 4 WHEN 0 THEN 0 ELSE 3 END FROM openers o),
+outside AS (SELECT o.url, o.turn, coalesce((SELECT arg_max(s.number, s.turn) FROM steps s WHERE s.url = o.url AND s.turn < o.turn), 0) AS ord, 'around ' || o.said AS line FROM openers o),
+inside AS (SELECT c.url, c.turn, coalesce(
+    (SELECT arg_max(o.number, o.turn) FROM openers o WHERE o.url = c.url AND o.turn < c.turn AND o.turn % 3 = c.turn % 2),
+    (SELECT arg_max(o.number, o.turn) FROM openers o WHERE o.url = c.url AND o.turn < c.turn)) AS ord, said AS line, turn % 5 = 1 AS bold FROM c WHERE role = 'assistant'),
+lines AS (SELECT url, ord, turn, line, false AS bold FROM outside UNION ALL SELECT url, ord, turn, line, bold FROM inside WHERE ord IS NOT NULL),
+texts AS (SELECT url, ord, string_agg(line, chr(10) ORDER BY turn) AS text, string_agg('note ' || turn, '; ' ORDER BY turn) FILTER (bold) AS headings FROM lines GROUP BY ALL)
+SELECT url, ord::INTEGER AS ord, step, title, level::INTEGER AS level, coalesce(text, '') AS text, coalesce(headings, '') AS headings FROM sections LEFT JOIN texts USING (url, ord) WHERE step <> '' OR title <> '' OR text IS NOT NULL""")
+def page_outline(spark, sf_dir):
+    """Conversations as pages: what the system says begins a step, what a user says opens an accordion, and answers stand in panels."""
+    c = _table(spark, sf_dir, "conversations").select(F.lit("chats").alias("family"), F.col("conv_id").alias("url"), "turn", "role", F.concat(F.lit("said "), F.length("text")).alias("said"))
+    no = F.lit(None).cast("string")
+    event = lambda kind, level, text, ref=no, label=no: F.struct(F.lit(kind).alias("kind"), (level if isinstance(level, Column) else F.lit(level)).alias("level"), text.alias("text"), ref.alias("ref"), label.alias("label"))
+    line = lambda text: event("text", 0, F.concat(F.lit(" \n"), text, F.lit("\n")))
+    name = lambda n: F.concat(F.lit("p"), n)
+    label = F.concat(F.lit("open "), "said")
+    opener = F.when(F.col("turn") % 4 == 0, event("button", 0, F.lit(""), name(F.col("turn") % 3), label)).otherwise(event("heading", 3, F.lit("x"), name(F.col("turn") % 3), label))
+    bold = F.when(F.col("turn") % 5 == 1, event("bold", 0, F.concat(F.lit("note "), "turn")))
+    listed = (F.when(F.col("role") == "system", F.array(event("heading", 2, F.col("said")))).when(F.col("role") == "user", F.array(opener, line(F.concat(F.lit("around "), "said"))))
+              .otherwise(F.array_compact(F.array(event("panel", 0, F.lit(""), name(F.col("turn") % 2)), bold, line(F.col("said")), event("close", 0, F.lit(""))))))
+    events = c.select("family", "url", "turn", F.posexplode(listed).alias("i", "e")).select("family", "url", (F.col("turn") * 10 + F.col("i")).alias("ord"), "e.*")
+    return html.outline(events).select("url", "ord", "step", "title", "level", "text", F.array_join(F.transform("headings", lambda h: h["text"]), "; ").alias("headings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
