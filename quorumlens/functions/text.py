@@ -31,23 +31,28 @@ def casefold(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "ß", "ss")
 
 
-def _written(body: str) -> str:
-    return rf"^{SPACE}*(?:€{SPACE}*)?(?:{body}){SPACE}*$"
+# An amount: whole, with groups of three digits, with two decimals, or both, after a euro sign or without one.
+_AMOUNT = (
+    rf"^{SPACE}*(?:€{SPACE}*)?("
+    r"[0-9]{1,3}(?:\.[0-9]{3})+(?:,[0-9]{2})?|[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]{2})?|[0-9]+(?:[.,][0-9]{2})?"
+    rf"){SPACE}*$"
+)
 
 
-# An amount's last mark decides: two digits after it are decimals, three are a group.
-_WHOLE = _written("[0-9]+")
-_GROUPS = {"nl": _written(r"[0-9]{1,3}(?:\.[0-9]{3})+"), "en": _written(r"[0-9]{1,3}(?:,[0-9]{3})+")}
-_CENTS = {"nl": _written(r"(?:[0-9]+|[0-9]{1,3}(?:\.[0-9]{3})+),[0-9]{2}"), "en": _written(r"(?:[0-9]+|[0-9]{1,3}(?:,[0-9]{3})+)\.[0-9]{2}")}
+def _amount_body(raw: Column) -> tuple[Column, Column, Column]:
+    """The figures of an amount, '' if there is none, and its last mark: before two decimals, or before a group of three."""
+    body = F.regexp_extract(raw, _AMOUNT, 1)
+    mark = lambda place: F.when(F.substring(body, place, 1).isin(".", ","), F.substring(body, place, 1))
+    return body, mark(-3), mark(-4)
 
 
 def amount_text(raw: Column) -> Column:
     """The amount as text with the decimals it was written with: '139' and '139.00' differ; null if none."""
-    digits = F.regexp_replace(F.regexp_replace(raw, "[^0-9]", ""), "^0+(?=[0-9])", "")
-    # 5 cents, written 0,05, keep their leading zero.
-    cents = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, "[^0-9]", ""), "([0-9]{2})$", ".$1"), "^0+(?=[0-9])", "")
-    is_cents, is_groups = (raw.rlike(p["nl"]) | raw.rlike(p["en"]) for p in (_CENTS, _GROUPS))
-    return F.when(is_cents, cents).when(is_groups, F.concat(digits, F.lit(".00"))).when(raw.rlike(_WHOLE), digits)
+    body, cents, group = _amount_body(raw)
+    digits = F.translate(body, ".,", "")
+    plain = lambda x: F.coalesce(F.nullif(F.ltrim(x, F.lit("0")), F.lit("")), F.lit("0"))
+    with_cents = F.concat(plain(F.substring(digits, F.lit(1), F.length(digits) - 2)), F.lit("."), F.substring(digits, -2, 2))
+    return F.when(body == "", None).when(cents.isNotNull(), with_cents).when(group.isNotNull(), F.concat(plain(digits), F.lit(".00"))).otherwise(plain(digits))
 
 
 def amount(raw: Column) -> Column:
@@ -56,7 +61,9 @@ def amount(raw: Column) -> Column:
 
 def notation(raw: Column) -> Column:
     """'nl' (1.234,56) or 'en' (1,234.56); whole numbers count as 'nl'; null if no amount."""
-    return F.when(raw.rlike(_WHOLE) | raw.rlike(_GROUPS["nl"]) | raw.rlike(_CENTS["nl"]), "nl").when(raw.rlike(_GROUPS["en"]) | raw.rlike(_CENTS["en"]), "en")
+    body, cents, group = _amount_body(raw)
+    en = (cents == ".") | (cents.isNull() & (group == ","))
+    return F.when(body == "", None).when(F.coalesce(en, F.lit(False)), "en").when(body != "", "nl")
 
 
 def value_key(raw: Column) -> Column:

@@ -3,6 +3,7 @@
 All counting is hash aggregation with partial sums before the shuffle, in two levels
 (group and value, then group), so a group that holds a third of all rows is summed up where
 it lies. Who deviates is an equi-join on the group, which Spark splits where it is skewed.
+Thresholds are numbers, or columns of a table of families, so one plan serves all families.
 """
 
 from __future__ import annotations
@@ -25,13 +26,37 @@ def mode(rows: DataFrame, group: Sequence[str], value: str, order: Sequence[str]
     return each.groupBy(*group).agg(F.sum("c").alias("n"), best.alias("best")).select(*group, "n", "best.norm", "best.agree")
 
 
-def thresholds(norms: DataFrame, min_members: int = MIN_MEMBERS, min_share: float = MIN_SHARE, unanimous: bool = False) -> DataFrame:
-    """Groups that are large and agreed enough; unanimous ones only if asked for. Shares are doubles."""
-    enough = (F.col("n") >= min_members) & (F.col("agree").cast("double") / F.col("n") >= F.lit(float(min_share)))
-    return norms.where(enough if unanimous else enough & (F.col("agree") < F.col("n")))
+def limited(rows: DataFrame, min_members: int | DataFrame, min_share: float) -> tuple[DataFrame, Column, Column]:
+    """Rows with the least number and the least share that hold for them, as columns.
+
+    These are two numbers for all, or, where the first is a table (family, min_members, min_share),
+    those of each row's family; rows of families that are not in it are left out.
+    """
+    if isinstance(min_members, DataFrame):
+        own = min_members.select("family", F.col("min_members").alias("__members"), F.col("min_share").cast("double").alias("__share"))
+        return rows.join(own, "family"), F.col("__members"), F.col("__share")
+    return rows, F.lit(min_members), F.lit(float(min_share))
+
+
+def enough(rows: DataFrame, n: str, agree: str, min_members: int | DataFrame = MIN_MEMBERS, min_share: float = MIN_SHARE) -> DataFrame:
+    """Rows whose ``n`` is large enough and of which ``agree`` is a large enough share. Shares are doubles."""
+    found, members, share = limited(rows, min_members, min_share)
+    return found.where((F.col(n) >= members) & (F.col(agree).cast("double") / F.col(n) >= share)).select(*rows.columns)
+
+
+def large(rows: DataFrame, n: str, min_members: int | DataFrame = MIN_MEMBERS) -> DataFrame:
+    """Rows whose ``n`` is large enough."""
+    found, members, _ = limited(rows, min_members, 0.0)
+    return found.where(F.col(n) >= members).select(*rows.columns)
+
+
+def thresholds(norms: DataFrame, min_members: int | DataFrame = MIN_MEMBERS, min_share: float = MIN_SHARE, unanimous: bool = False) -> DataFrame:
+    """Groups that are large and agreed enough; unanimous ones only if asked for."""
+    kept = enough(norms, "n", "agree", min_members, min_share)
+    return kept if unanimous else kept.where("agree < n")
 
 
-def consensus(rows: DataFrame, group: Sequence[str], value: str, order: Sequence[str], min_members: int = MIN_MEMBERS, min_share: float = MIN_SHARE) -> DataFrame:
+def consensus(rows: DataFrame, group: Sequence[str], value: str, order: Sequence[str], min_members: int | DataFrame = MIN_MEMBERS, min_share: float = MIN_SHARE) -> DataFrame:
     """(group, n, norm, agree) of each group that has a norm and someone who deviates from it."""
     return thresholds(mode(rows, group, value, order), min_members, min_share)
 
@@ -42,7 +67,7 @@ def last_votes(rows: DataFrame, group: Sequence[str], member: str, value: str, o
     return rows.groupBy(*group, member).agg(F.count("*").alias("mentions"), last.alias("x")).select(*group, member, "mentions", "x.*")
 
 
-def member_consensus(votes: DataFrame, group: Sequence[str], value: str, order: Sequence[str], min_members: int = MIN_MEMBERS, min_share: float = MIN_SHARE) -> DataFrame:
+def member_consensus(votes: DataFrame, group: Sequence[str], value: str, order: Sequence[str], min_members: int | DataFrame = MIN_MEMBERS, min_share: float = MIN_SHARE) -> DataFrame:
     """Like ``consensus`` over ``last_votes``: members vote once, but n counts all mentions.
 
     Labels that repeat within pages thereby lower the share and keep the detector silent.

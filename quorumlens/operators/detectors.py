@@ -5,7 +5,8 @@ Tables (all keyed by family and url): ``table_row`` (label, value_raw, ord), ``s
 ord, level, text, is_toggle), ``page`` (title, variant). Every detector returns deviations:
 family, detector, kind, place (what the norm is about), url, value (observed), norm, n, agree,
 siblings (the first pages that agree, with their values).
-Norms are small aggregates; pages meet them by equi-joins on family and step.
+Norms are small aggregates; pages meet them by equi-joins on family and step. ``min_members`` and
+``min_share`` are numbers, or a table (family, min_members, min_share) stands for the first.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..functions.similar import similarity
+from ..functions.similar import similar, similarity
 from ..sources.shared import checkpoint
-from .consensus import MIN_MEMBERS, MIN_SHARE, consensus, deviators, evidence, first_siblings, last_votes, member_consensus, mode, thresholds
+from .consensus import MIN_MEMBERS, MIN_SHARE, consensus, deviators, enough, evidence, first_siblings, large, last_votes, limited, member_consensus, mode, thresholds
 from .findings import KIND_CONTENT, KIND_STRUCTURE, KIND_STYLE, registry
 from .terms import ClaimRule
 
@@ -45,6 +46,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _share_of(min_members: int | DataFrame, min_share: float) -> float | DataFrame:
+    return min_members if isinstance(min_members, DataFrame) else min_share
+
+
 def _pages(rows: DataFrame) -> DataFrame:
     return rows.groupBy("family").agg(F.countDistinct("url").alias("pages"))
 
@@ -58,7 +63,7 @@ def _joined(rows: DataFrame, by: list[str], order: list[str], text: Column, mark
 
 
 @registry.register("table_values")
-def table_values(tables: dict[str, DataFrame], min_members: int = MIN_MEMBERS, min_share: float = MIN_SHARE, **_) -> DataFrame:
+def table_values(tables: dict[str, DataFrame], min_members: int | DataFrame = MIN_MEMBERS, min_share: float = MIN_SHARE, **_) -> DataFrame:
     """One label, one value: pages whose last mention differs from the norm."""
     rows = tables["table_row"].select("family", "url", "ord", "value_raw", T.label_key(F.col("label")).alias("key"), T.value_key(F.col("value_raw")).alias("vote")).where("key <> ''")
     votes = last_votes(rows, ["family", "key"], "url", "vote", ["ord"], "value_raw")
@@ -70,22 +75,26 @@ def table_values(tables: dict[str, DataFrame], min_members: int = MIN_MEMBERS, m
 
 
 @registry.register("notation")
-def notation(tables: dict[str, DataFrame], min_members: int = MIN_MEMBERS, min_share: float = MIN_SHARE, **_) -> DataFrame:
+def notation(tables: dict[str, DataFrame], min_members: int | DataFrame = MIN_MEMBERS, min_share: float = MIN_SHARE, **_) -> DataFrame:
     """Pages that write amounts in another notation than most pages do; n and agree count their amounts.
 
-    One scan counts each page's notations; all else works on that small table.
+    One scan counts both notations of each page, and all but the examples works on that small
+    table; a second scan fetches the first amounts of the pages that deviate.
     """
-    rows = tables["table_row"].select("family", "url", "ord", "value_raw", T.notation(F.col("value_raw")).alias("notation")).where("notation is not null")
-    first = F.min(F.struct("ord", "value_raw"))
-    each = checkpoint(rows.groupBy("family", "url", "notation").agg(F.count("*").alias("c"), first.alias("first")))
-    best = F.min_by("notation", F.struct((-F.col("c")).alias("c"), F.col("first.ord").alias("ord")))
-    pages = each.groupBy("family", "url").agg(F.sum("c").alias("n"), best.alias("own"))
-    norms = thresholds(mode(pages, ["family"], "own", ["url"]), min_members, min_share, unanimous=True).select("family", "norm")
-    both = each.join(norms, "family")
-    proof = first_siblings(both.where("notation = norm").withColumn("example", F.col("first.value_raw")), ["family"], "url", "example")
-    other = F.col("notation") != F.col("norm")
-    away = both.groupBy("family", "url", "norm").agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(~other, F.col("c"))), F.lit(0)).alias("agree"), F.min(F.when(other, F.col("first"))).alias("first")).where("agree < n")
-    shown = first_siblings(rows.join(away.select("family", "url", "norm"), ["family", "url"]).where("notation <> norm"), ["family", "url"], "ord", "value_raw", SHOWN)
+    rows = tables["table_row"].select("family", "url", "ord", "value_raw")
+    written = T.notation(F.col("value_raw"))
+    count = lambda v: F.count(F.when(F.col("__w") == v, 1)).alias(v)
+    first = lambda v: F.min(F.when(F.col("__w") == v, F.struct("ord", "value_raw"))).alias(f"{v}_first")
+    pages = checkpoint(rows.withColumn("__w", written).groupBy("family", "url").agg(count("nl"), count("en"), first("nl"), first("en")).where("nl + en > 0"))
+    # Ties go to the notation that comes first on the page.
+    dutch = (F.col("nl") > F.col("en")) | ((F.col("nl") == F.col("en")) & (F.col("nl_first.ord") < F.col("en_first.ord")))
+    norms = thresholds(mode(pages.withColumn("own", F.when(dutch, "nl").otherwise("en")), ["family"], "own", ["url"]), min_members, min_share, unanimous=True).select("family", "norm")
+    both = pages.join(norms, "family").withColumn("agree", F.when(F.col("norm") == "nl", F.col("nl")).otherwise(F.col("en"))).withColumn("n", F.col("nl") + F.col("en"))
+    example = F.when(F.col("norm") == "nl", F.col("nl_first.value_raw")).otherwise(F.col("en_first.value_raw"))
+    proof = first_siblings(both.where("agree > 0").withColumn("example", example), ["family"], "url", "example")
+    away = both.where("agree < n").select("family", "url", "norm", "n", "agree")
+    odd = rows.join(away.select("family", "url", "norm"), ["family", "url"]).where(written != F.col("norm"))
+    shown = first_siblings(odd, ["family", "url"], "ord", "value_raw", SHOWN)
     away = away.join(proof, "family", "left").join(shown.select("family", "url", F.transform("siblings", lambda x: x["value"]).alias("examples")), ["family", "url"])
     return _out(away, "notation", KIND_STYLE, F.col("url").cast("string"), F.array_join("examples", "; "), F.col("norm"), F.col("n"), F.col("agree"), F.col("siblings"))
 
@@ -112,12 +121,12 @@ def steps(section: DataFrame, page: DataFrame | None = None) -> DataFrame:
     return first.withColumn("pos", F.row_number().over(Window.partitionBy("family", "url").orderBy("ord")) - 1).drop("ord")
 
 
-def step_norm(found: DataFrame, pages: DataFrame, min_members: int = MIN_MEMBERS, min_share: float = MIN_SHARE) -> DataFrame:
+def step_norm(found: DataFrame, pages: DataFrame, min_members: int | DataFrame = MIN_MEMBERS, min_share: float = MIN_SHARE) -> DataFrame:
     """(family, key, title, on_pages, pages, place): steps that enough of all pages have, in mean order."""
     each = found.groupBy("family", "key").agg(
         F.count("*").alias("on_pages"), F.avg("pos").alias("mean"), F.min_by("title", F.struct("url", "pos")).alias("title"), F.min(F.struct("url", "pos")).alias("first"))
-    enough = each.join(pages, "family").where((F.col("pages") >= min_members) & (F.col("on_pages").cast("double") / F.col("pages") >= F.lit(float(min_share))))
-    return enough.withColumn("place", F.row_number().over(Window.partitionBy("family").orderBy("mean", "first")) - 1).select("family", "key", "title", "on_pages", "pages", "place")
+    common = enough(each.join(pages, "family"), "pages", "on_pages", min_members, min_share)
+    return common.withColumn("place", F.row_number().over(Window.partitionBy("family").orderBy("mean", "first")) - 1).select("family", "key", "title", "on_pages", "pages", "place")
 
 
 def with_plan(found: DataFrame, norm: DataFrame) -> DataFrame:
@@ -125,13 +134,17 @@ def with_plan(found: DataFrame, norm: DataFrame) -> DataFrame:
     return found.join(norm.select("family", "key"), ["family", "key"], "left_semi").select("family", "url").distinct()
 
 
-def planned_names(tables: dict[str, DataFrame], min_share: float = MIN_SHARE) -> DataFrame:
-    """``names`` of the pages with a plan (all, if sections are not known); the other detectors of steps leave the rest out."""
+def planned_names(tables: dict[str, DataFrame], min_share: float | DataFrame = MIN_SHARE) -> DataFrame:
+    """``names`` of the pages with a plan (all, if sections are not known); the other detectors of steps leave the rest out.
+
+    ``min_share`` may be a table of families too; however few pages there are, they can have a plan.
+    """
     if "section" not in tables:
         return names(tables)
     found = steps(tables["section"], tables.get("page"))
     pages = _pages(tables["page"] if "page" in tables else tables["section"])
-    return checkpoint(names(tables).join(with_plan(found, step_norm(found, pages, 1, min_share)), ["family", "url"], "left_semi"))
+    share = (min_share.withColumn("min_members", F.lit(1)), 0.0) if isinstance(min_share, DataFrame) else (1, min_share)
+    return checkpoint(names(tables).join(with_plan(found, step_norm(found, pages, *share)), ["family", "url"], "left_semi"))
 
 
 def missing_steps(found: DataFrame, norm: DataFrame, planned: DataFrame) -> DataFrame:
@@ -140,10 +153,11 @@ def missing_steps(found: DataFrame, norm: DataFrame, planned: DataFrame) -> Data
     return due.join(found.select("family", "url", "key"), ["family", "url", "key"], "left_anti")
 
 
-def extra_steps(found: DataFrame, norm: DataFrame, planned: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
-    """Steps outside the norm whose share of pages is at most 1 - ``min_share`` (in doubles)."""
+def extra_steps(found: DataFrame, norm: DataFrame, planned: DataFrame, min_share: float | DataFrame = MIN_SHARE) -> DataFrame:
+    """Steps outside the norm whose share of pages is at most 1 - ``min_share`` (in doubles; a number or a table of families)."""
     share = found.groupBy("family", "key").agg(F.count("*").alias("on_pages")).join(planned.groupBy("family").agg(F.count("*").alias("planned")), "family")
-    rare = share.where(F.col("on_pages").cast("double") / F.col("planned") <= F.lit(1 - float(min_share)))
+    known, _, least = limited(share, min_share, 0.0) if isinstance(min_share, DataFrame) else limited(share, 0, min_share)
+    rare = known.where(F.col("on_pages").cast("double") / F.col("planned") <= 1 - least).select(*share.columns)
     loose = found.join(norm.select("family", "key"), ["family", "key"], "left_anti").join(planned, ["family", "url"], "left_semi")
     return loose.join(rare, ["family", "key"])
 
@@ -165,11 +179,7 @@ def renamed_steps(missing: DataFrame, loose: DataFrame, least: float = RENAMED_S
     taken reach a page's group: the similar ones and those of one place.
     """
     pairs = missing.select("family", "url", "key", "title", "place").join(loose.select("family", "url", F.col("key").alias("loose"), F.col("title").alias("loose_title"), "pos"), ["family", "url"])
-    # What matches is at most the shorter of two texts.
-    size, other = F.length("key"), F.length("loose")
-    near = 2 * F.least(size, other) >= least * (size + other) - 1e-9
-    pairs = pairs.where(near | (F.col("pos") == F.col("place")))
-    scored = pairs.withColumn("ratio", similarity(F.col("loose"), F.col("key"))).where((F.col("ratio") >= least) | (F.col("pos") == F.col("place")))
+    scored = similar(pairs, "loose", "key", least, also=F.col("pos") == F.col("place"))
 
     def assign(page: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []
@@ -191,8 +201,12 @@ def renamed_steps(missing: DataFrame, loose: DataFrame, least: float = RENAMED_S
 
 
 @registry.register("steps")
-def step_plan(tables: dict[str, DataFrame], min_members: int = MIN_MEMBERS, min_share: float = MIN_SHARE, **_) -> DataFrame:
-    """Pages without a plan, and missing, renamed, extra and swapped steps of the others."""
+def step_plan(tables: dict[str, DataFrame], min_members: int | DataFrame = MIN_MEMBERS, min_share: float = MIN_SHARE, **_) -> DataFrame:
+    """Pages without a plan, and missing, renamed, extra and swapped steps of the others.
+
+    Where the pages of a family have no step in common, none of them has a plan. A page that lacks
+    a step is shown with the steps it has, so its evidence changes when they do.
+    """
     found = checkpoint(steps(tables["section"], tables.get("page")))
     everyone = (tables["page"] if "page" in tables else tables["section"]).select("family", "url").distinct()
     pages = everyone.groupBy("family").agg(F.count("*").alias("pages"))
@@ -206,19 +220,21 @@ def step_plan(tables: dict[str, DataFrame], min_members: int = MIN_MEMBERS, min_
     sizes = norm.select("family", "key", "on_pages").join(size, "family").join(having, ["family", "key"])
     key, none = ["family", "url", "key"], F.lit(None).cast("string")
 
-    without = everyone.join(planned, ["family", "url"], "left_anti").join(pages, "family").join(size, "family").where(F.col("pages") >= min_members)
+    without = large(everyone.join(planned, ["family", "url"], "left_anti").join(pages, "family"), "pages", min_members)
+    having_plan = _joined(found.join(planned, ["family", "url"], "left_semi"), ["family", "url"], ["pos"], F.col("title"), " · ")
+    without = without.join(size, "family", "left").na.fill(0, ["planned"]).join(first_siblings(having_plan, ["family"], "url", "value"), "family", "left")
     only = _joined(found, ["family", "url"], ["pos"], F.col("title"), " · ")
     without = without.join(only, ["family", "url"], "left")
-    gone = missing.select(*key, "title").join(renamed.select(*key), key, "left_anti").join(sizes, ["family", "key"])
+    gone = missing.select(*key, "title").join(renamed.select(*key), key, "left_anti").join(sizes, ["family", "key"]).join(only, ["family", "url"])
     near = similarity(F.col("key"), F.col("renamed_key")) >= RENAMED_STEP
     other = renamed.join(sizes, ["family", "key"]).withColumn("kind", F.when(near, KIND_STYLE).otherwise(KIND_STRUCTURE))
-    more = checkpoint(extra_steps(found, norm, planned, min_share).drop("planned").join(renamed.select("family", "url", F.col("renamed_key").alias("key")), key, "left_anti"))
+    more = checkpoint(extra_steps(found, norm, planned, _share_of(min_members, min_share)).drop("planned").join(renamed.select("family", "url", F.col("renamed_key").alias("key")), key, "left_anti"))
     more = more.join(more.groupBy("family", "key").agg(F.count("*").alias("c")), ["family", "key"]).join(size, "family")
     swapped = swapped_steps(found, norm).join(planned, ["family", "url"], "left_semi")
     swapped = swapped.join(swapped.groupBy("family").agg(F.count("*").alias("c")), "family").join(size, "family")
     return _union([
-        _out(without, "steps_none", KIND_STRUCTURE, F.lit(""), F.col("value"), none, F.col("pages"), F.col("planned")),
-        _out(gone, "steps_missing", KIND_STRUCTURE, F.col("key"), none, F.col("title"), F.col("planned"), F.col("on_pages"), F.col("siblings")),
+        _out(without, "steps_none", KIND_STRUCTURE, F.lit(""), F.col("value"), none, F.col("pages"), F.col("planned"), F.col("siblings")),
+        _out(gone, "steps_missing", KIND_STRUCTURE, F.col("key"), F.col("value"), F.col("title"), F.col("planned"), F.col("on_pages"), F.col("siblings")),
         _out(other, "steps_renamed", F.col("kind"), F.concat_ws(" / ", "key", "renamed_key"), F.col("renamed_title"), F.col("title"), F.col("planned"), F.col("on_pages"), F.col("siblings")),
         _out(more, "steps_extra", KIND_STRUCTURE, F.col("key"), F.col("title"), none, F.col("planned"), F.col("planned") - F.col("c")),
         _out(swapped, "steps_order", KIND_STRUCTURE, F.lit(""), F.col("order"), none, F.col("planned"), F.col("planned") - F.col("c")),
@@ -244,27 +260,27 @@ def toggles(section: DataFrame, named: DataFrame | None = None) -> DataFrame:
     return rows.groupBy("family", "url", "step_key", "title_key").agg(last.alias("x"), F.min("ord").alias("ord")).select("family", "url", "step_key", "title_key", "x.*", "ord")
 
 
-def missing_toggles(found: DataFrame, on_step: DataFrame, min_members: int = MIN_MEMBERS, min_share: float = MIN_SHARE) -> DataFrame:
+def missing_toggles(found: DataFrame, on_step: DataFrame, min_members: int | DataFrame = MIN_MEMBERS, min_share: float = MIN_SHARE) -> DataFrame:
     """(family, step_key, title_key, title, url, has, pages): pages with the step that lack a common accordion."""
     size = on_step.groupBy("family", "step_key").agg(F.countDistinct("url").alias("pages"))
     each = found.groupBy("family", "step_key", "title_key").agg(F.count("*").alias("has"), F.min_by("title", "url").alias("title")).join(size, ["family", "step_key"])
-    common = each.where((F.col("pages") >= min_members) & (F.col("has").cast("double") / F.col("pages") >= F.lit(float(min_share))) & (F.col("has") < F.col("pages")))
+    common = enough(each, "pages", "has", min_members, min_share).where("has < pages")
     due = on_step.select("family", "step_key", "url").distinct().join(common, ["family", "step_key"])
     return due.join(found.select("family", "step_key", "title_key", "url"), ["family", "step_key", "title_key", "url"], "left_anti")
 
 
 @registry.register("toggles")
-def toggle_titles(tables: dict[str, DataFrame], min_members: int = MIN_MEMBERS, min_share: float = MIN_SHARE, **_) -> DataFrame:
+def toggle_titles(tables: dict[str, DataFrame], min_members: int | DataFrame = MIN_MEMBERS, min_share: float = MIN_SHARE, **_) -> DataFrame:
     """Accordions that a page lacks: renamed within the step, moved to another step, or missing.
 
     One that stands there as an ordinary heading is the heading detector's matter.
     """
-    named = planned_names(tables, min_share)
+    named = planned_names(tables, _share_of(min_members, min_share))
     found = checkpoint(toggles(tables["section"], named))
     on_step = _keyed(tables["section"].where("step <> ''"), named).select("family", "url", "step_key").distinct()
     gone = checkpoint(missing_toggles(found, on_step, min_members, min_share))
     near = gone.join(found.select("family", "url", "step_key", F.col("title_key").alias("other"), F.col("title").alias("other_title"), F.col("ord").alias("other_ord")), ["family", "url", "step_key"])
-    near = near.withColumn("ratio", similarity(F.col("other"), F.col("title_key"))).where(F.col("ratio") >= RENAMED_TOGGLE)
+    near = similar(near, "other", "title_key", RENAMED_TOGGLE)
     renamed = near.groupBy("family", "url", "step_key", "title_key").agg(F.max_by("other_title", F.struct("ratio", (-F.col("other_ord")).alias("o"))).alias("renamed"))
     moved = found.groupBy("family", "url", "title_key").agg(F.min_by("step", "ord").alias("moved"))
     rows = gone.join(renamed, ["family", "url", "step_key", "title_key"], "left").join(moved, ["family", "url", "title_key"], "left")
@@ -288,7 +304,7 @@ def level_jumps(heading: DataFrame) -> DataFrame:
     return heading.withColumn("before", F.lag("level", 1, 0).over(w)).where((F.col("before") > 0) & (F.col("level") - F.col("before") > 1))
 
 
-def heading_levels(heading: DataFrame, min_members: int = MIN_MEMBERS, min_share: float = MIN_SHARE) -> DataFrame:
+def heading_levels(heading: DataFrame, min_members: int | DataFrame = MIN_MEMBERS, min_share: float = MIN_SHARE) -> DataFrame:
     """(family, key, n, norm, agree, url, level): headings whose level differs from most of the same text.
 
     ``heading`` may bring its ``key``; without one the country is not known.
@@ -298,12 +314,13 @@ def heading_levels(heading: DataFrame, min_members: int = MIN_MEMBERS, min_share
     return deviators(rows, norms, ["family", "key"], "level")
 
 
-def _wrong_levels(rows: DataFrame, label: str, none: str, min_share: float) -> tuple[DataFrame, DataFrame]:
+def _wrong_levels(rows: DataFrame, label: str, none: str, min_share: float | DataFrame) -> tuple[DataFrame, DataFrame]:
     """Deviations of (family, url, at, level, text, key) from the family's commonest level, unless that is 0.
 
     Returns (family, url, place, value, norm), a row for each page and level, and the (family, url, key) reported.
     """
-    norms = consensus(rows, ["family"], "level", ["url", "at"], 1, min_share).where("norm > 0")
+    share = (min_share.withColumn("min_members", F.lit(1)), 0.0) if isinstance(min_share, DataFrame) else (1, min_share)
+    norms = consensus(rows, ["family"], "level", ["url", "at"], *share).where("norm > 0")
     away = deviators(rows, norms, ["family"], "level").withColumn("place", F.concat(F.lit(f"{label}:h"), "level"))
     shown = F.concat(F.when(F.col("level") == 0, none).otherwise(F.concat(F.lit("h"), "level")), F.lit(" “"), T.shorten(F.col("text"), 40), F.lit("”"))
     pages = _joined(away, ["family", "url", "place", "norm"], ["at"], shown).withColumn("norm", F.concat(F.lit("h"), "norm"))
@@ -311,31 +328,38 @@ def _wrong_levels(rows: DataFrame, label: str, none: str, min_share: float) -> t
     return pages.join(proof, "family", "left"), away.select("family", "url", "key")
 
 
+def _with_key(rows: DataFrame) -> DataFrame:
+    """Rows (text, name, ...) with the ``key`` of each text, worked out once for equal texts."""
+    keys = rows.select("text", "name").distinct().withColumn("key", T.title_key(F.col("text"), F.col("name")))
+    same = lambda c: F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}"))
+    return rows.alias("r").join(keys.alias("k"), same("text") & same("name")).select("r.*", "k.key")
+
+
 @registry.register("headings")
-def heading_structure(tables: dict[str, DataFrame], min_members: int = MIN_MEMBERS, min_share: float = MIN_SHARE, **_) -> DataFrame:
+def heading_structure(tables: dict[str, DataFrame], min_members: int | DataFrame = MIN_MEMBERS, min_share: float = MIN_SHARE, **_) -> DataFrame:
     """Levels of headings inside accordions and of accordion titles, jumps, several h1, levels of equal texts.
 
     n is the number of pages with a plan (none is reported below ``min_members``), agree those of
     them that do not deviate.
     """
-    named = planned_names(tables, min_share)
-    size = named.groupBy("family").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_members)
+    named = planned_names(tables, _share_of(min_members, min_share))
+    size = large(named.groupBy("family").agg(F.count("*").alias("pages")), "pages", min_members)
     named = named.join(size.select("family"), "family", "left_semi")
-    keyed = lambda rows: rows.join(named, ["family", "url"]).withColumn("key", T.title_key(F.col("text"), F.col("name"))).drop("name")
+    keyed = lambda rows: _with_key(rows.join(named, ["family", "url"])).drop("name")
     heading = checkpoint(keyed(tables["heading"]))
     parts, told = [], []
     titled = tables["section"].where("title <> ''") if "section" in tables else None
     if titled is not None and "section_heading" in tables:
         inner = keyed(tables["section_heading"].where("NOT is_toggle").join(titled.select("family", "url", F.col("ord").alias("sec_ord")), ["family", "url", "sec_ord"], "left_semi"))
         # A bold paragraph is a heading only if the same text is a real one often enough.
-        real = heading.groupBy("family", "key").agg(F.count("*").alias("c")).where(F.col("c") >= min_members).select("family", "key")
+        real = large(heading.groupBy("family", "key").agg(F.count("*").alias("c")), "c", min_members).select("family", "key")
         rows = inner.where("level > 0").unionByName(inner.where("level = 0").join(real, ["family", "key"], "left_semi"))
-        pages, seen = _wrong_levels(rows.withColumn("at", F.struct("sec_ord", "ord")), "inside", "bold", min_share)
+        pages, seen = _wrong_levels(rows.withColumn("at", F.struct("sec_ord", "ord")), "inside", "bold", _share_of(min_members, min_share))
         parts.append(pages.withColumn("detector", F.lit("headings_inside")))
         told.append(seen)
     if titled is not None:
         rows = keyed(titled.select("family", "url", F.col("ord").alias("at"), "level", F.col("title").alias("text")))
-        pages, seen = _wrong_levels(rows, "toggle", "no heading", min_share)
+        pages, seen = _wrong_levels(rows, "toggle", "no heading", _share_of(min_members, min_share))
         parts.append(pages.withColumn("detector", F.lit("headings_toggle")))
         told.append(seen)
     plain = lambda rows, detector, place, norm: rows.select("family", "url", place.alias("place"), "value", F.lit(norm).cast("string").alias("norm"), F.lit(None).cast(SIBLINGS).alias("siblings"), F.lit(detector).alias("detector"))
@@ -360,13 +384,15 @@ def heading_structure(tables: dict[str, DataFrame], min_members: int = MIN_MEMBE
 # -- sentences and claims -------------------------------------------------------------------
 
 
-def standard_set(lines: DataFrame, members: DataFrame, min_members: int = MIN_MEMBERS, min_share: float = MIN_SHARE) -> DataFrame:
+def standard_set(lines: DataFrame, members: DataFrame, min_members: int | DataFrame = MIN_MEMBERS, min_share: float = MIN_SHARE) -> DataFrame:
     """(group, key, members, with_key, shown): keys that enough members of a group have.
 
     ``lines``: (group, member, key, text, ord); ``members``: (group, members).
     """
     each = lines.groupBy("group", "key").agg(F.countDistinct("member").alias("with_key"), F.max_by("text", F.struct("member", "ord")).alias("shown"))
-    return each.join(members, "group").where((F.col("members") >= min_members) & (F.col("with_key").cast("double") / F.col("members") >= F.lit(float(min_share))))
+    rows = each.join(members, "group")
+    family = [F.col("group.family").alias("family")] if isinstance(min_members, DataFrame) else []
+    return enough(rows.select("*", *family), "members", "with_key", min_members, min_share).select(*rows.columns)
 
 
 def lacking(lines: DataFrame, everyone: DataFrame, standard: DataFrame) -> DataFrame:
@@ -375,18 +401,19 @@ def lacking(lines: DataFrame, everyone: DataFrame, standard: DataFrame) -> DataF
 
 
 @registry.register("sentences")
-def standard_sentences(tables: dict[str, DataFrame], min_members: int = MIN_MEMBERS, min_share: float = MIN_SHARE, **_) -> DataFrame:
+def standard_sentences(tables: dict[str, DataFrame], min_members: int | DataFrame = MIN_MEMBERS, min_share: float = MIN_SHARE, **_) -> DataFrame:
     """Accordions that lack standard sentences of that accordion, with the closest sentences they have instead.
 
     A member is one section; a page's row tells how many sentences it lacks and shows the most
     frequent ``SHOWN`` of them (ties by key).
     """
-    named = planned_names(tables, min_share)
+    named = planned_names(tables, _share_of(min_members, min_share))
     on_step = _keyed(tables["section"].where("step <> ''"), named).groupBy("family", "step_key").agg(F.countDistinct("url").alias("on_step"))
     found = _keyed(tables["section"].where("title <> ''"), named).withColumn("member", F.struct("url", "ord"))
     place = ["family", "step_key", "title_key"]
     size = found.groupBy(*place).agg(F.count("*").alias("members")).join(on_step, ["family", "step_key"], "left")
-    size = size.where((F.col("members") >= min_members) & (F.col("members").cast("double") / F.greatest(F.coalesce("on_step", F.lit(0)), F.lit(1)) >= F.lit(float(min_share))))
+    known, members, share = limited(size, min_members, min_share)
+    size = known.where((F.col("members") >= members) & (F.col("members").cast("double") / F.greatest(F.coalesce("on_step", F.lit(0)), F.lit(1)) >= share)).select(*size.columns)
     group = F.struct(*place).alias("group")
     rows = found.join(size.select(*place), place)
     lines = checkpoint(rows.select(group, "member", F.posexplode(T.sentences(F.col("text"), F.col("name"))).alias("ord", "s")).select("group", "member", "ord", "s.key", "s.text"))
@@ -394,7 +421,7 @@ def standard_sentences(tables: dict[str, DataFrame], min_members: int = MIN_MEMB
     gone = checkpoint(lacking(lines, rows.select(group, "member"), standard))
     own = lines.join(standard.select("group", "key"), ["group", "key"], "left_anti").join(gone.select("group", "member").distinct(), ["group", "member"], "left_semi")
     own = own.groupBy("group", "member", F.col("key").alias("other")).agg(F.min_by("text", "ord").alias("other_text"))
-    near = gone.join(own, ["group", "member"]).withColumn("ratio", similarity(F.col("other"), F.col("key"))).where(F.col("ratio") >= CLOSE_SENTENCE)
+    near = similar(gone.join(own, ["group", "member"]), "other", "key", CLOSE_SENTENCE)
     best = near.groupBy("group", "member", "key").agg(F.max_by("other_text", F.struct("ratio", "other")).alias("instead"))
     text = F.concat(F.when(F.col("instead").isNull(), "missing: “").otherwise(F.concat(F.lit("“"), T.shorten(F.col("instead"), 90), F.lit("” for “"))), T.shorten(F.col("shown"), 90), F.lit("”"))
     each = gone.join(best, ["group", "member", "key"], "left").select("group", "member", "members", F.struct((-F.col("with_key")).alias("c"), "key", text.alias("t")).alias("x"))
@@ -436,9 +463,9 @@ def claim_answers(texts: DataFrame, rules: list[ClaimRule]) -> DataFrame:
     return texts.select("family", "url", F.explode(F.array(*said)).alias("x")).select("family", "url", "x.*").where("answer is not null")
 
 
-def claims(tables: dict[str, DataFrame], rules: list[ClaimRule], min_members: int = MIN_MEMBERS, min_share: float = MIN_SHARE) -> DataFrame:
+def claims(tables: dict[str, DataFrame], rules: list[ClaimRule], min_members: int | DataFrame = MIN_MEMBERS, min_share: float = MIN_SHARE) -> DataFrame:
     """Pages with a plan whose answer to a claim differs from most of their siblings'."""
-    named = planned_names(tables, min_share)
+    named = planned_names(tables, _share_of(min_members, min_share))
     page = tables["page"].select("family", "url", "text").join(named.select("family", "url"), ["family", "url"], "left_semi")
     said = checkpoint(claim_answers(scope_texts(_keyed(tables["section"], named), page, rules), rules))
     norms = consensus(said, ["family", "rule"], "answer", ["url"], min_members, min_share)

@@ -308,15 +308,39 @@ def step_order(spark, sf_dir):
     return D.swapped_steps(found, D.step_norm(found, D._pages(rows))).select("url")
 
 
-@query()
+#: The longest block of two texts (first by place in either) in a range of both, as (length, -place, -place).
+_BLOCK = """list_sort(flatten(list_transform(range(i1, i2), lambda i: list_transform(range(j1, j2), lambda j:
+  {'k': coalesce(list_max(list_filter(range(1, least(i2 - i, j2 - j) + 1), lambda k: substr(a, i, k) = substr(b, j, k))), 0), 'i': -i, 'j': -j}))), 'DESC')[1]"""
+
+_BEST = f"""
+p AS (SELECT p_brand || '|' || p_type || '|' || (p_partkey // 1000) AS url, lower(p_name) AS key, p_name AS title, p_size AS size FROM part),
+pairs AS (SELECT DISTINCT m.url, m.size AS place, m.key, m.title, l.size - 25 AS pos, l.key AS loose, l.title AS loose_title FROM p m JOIN p l USING (url) WHERE m.size <= 25 AND l.size > 25),
+blocks AS (
+  SELECT a, b, i1, i2, j1, j2, {_BLOCK} AS x FROM (SELECT DISTINCT loose AS a, key AS b, 1::BIGINT AS i1, length(loose) + 1 AS i2, 1::BIGINT AS j1, length(key) + 1 AS j2 FROM pairs)
+  UNION ALL SELECT a, b, i1, i2, j1, j2, {_BLOCK} FROM (
+    SELECT a, b, i1, -x.i AS i2, j1, -x.j AS j2 FROM blocks WHERE x.k > 0
+    UNION ALL SELECT a, b, x.k - x.i, i2, x.k - x.j, j2 FROM blocks WHERE x.k > 0) WHERE i1 < i2 AND j1 < j2),
+ratios AS (SELECT a AS loose, b AS key, 2.0::DOUBLE * sum(x.k) / (length(a) + length(b)) AS ratio FROM blocks GROUP BY a, b),
+taken_from AS (
+  SELECT url, place, key, any_value(title) AS title, list({{'far': ratio < 0.75, 'by': CASE WHEN ratio < 0.75 THEN 0 ELSE -ratio END, 'pos': pos, 'loose': loose, 'title': loose_title, 'ratio': ratio}}) AS found
+  FROM pairs JOIN ratios USING (loose, key) WHERE ratio >= 0.75 OR pos = place GROUP BY ALL),
+turns AS (SELECT url, key, title, list_sort(list_filter(found, lambda x: NOT x.far OR x.pos = place)) AS found, row_number() OVER (PARTITION BY url ORDER BY place, key) AS n FROM taken_from),
+chosen AS (
+  SELECT url, 0::BIGINT AS n, []::VARCHAR[] AS taken, NULL::VARCHAR AS key, NULL::VARCHAR AS title, NULL::STRUCT(far BOOLEAN, "by" DOUBLE, pos INTEGER, loose VARCHAR, title VARCHAR, ratio DOUBLE) AS pick FROM (SELECT DISTINCT url FROM turns)
+  UNION ALL SELECT url, n, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick.loose) END, key, title, pick FROM (
+    SELECT t.url, t.n, c.taken, t.key, t.title, list_filter(t.found, lambda x: NOT list_contains(c.taken, x.loose))[1] AS pick FROM chosen c JOIN turns t ON t.url = c.url AND t.n = c.n + 1))
+"""
+
+
+@query("WITH RECURSIVE " + _BEST + "SELECT url AS page, key, title, pick.loose AS renamed_key, pick.title AS renamed_title, pick.ratio AS ratio FROM chosen WHERE pick IS NOT NULL")
 def step_rename(spark, sf_dir):
     """Part names as steps of a page (brand, type, a thousand keys): those of the smaller sizes are missing, the others loose."""
-    page = F.to_json(F.struct("p_brand", "p_type", F.floor(F.col("p_partkey") / 1000).alias("block")))
+    page = F.concat_ws("|", "p_brand", "p_type", F.floor(F.col("p_partkey") / 1000))
     small = F.coalesce(F.col("p_size"), F.lit(0)) <= 25
     p = _table(spark, sf_dir, "part").select(F.lit("parts").alias("family"), page.alias("url"), F.lower("p_name").alias("key"), F.col("p_name").alias("title"), F.col("p_size").alias("place"), (F.col("p_size") - 25).alias("pos"), small.alias("small"))
     missing = p.where("small").drop("pos", "small")
     loose = p.where("NOT small").drop("place", "small")
-    return D.renamed_steps(missing, loose)
+    return D.renamed_steps(missing, loose).drop("family").withColumnRenamed("url", "page")
 
 
 # -- headings -------------------------------------------------------------------------------
@@ -391,9 +415,11 @@ def _word(i):
 
 
 def _chats(spark, sf_dir):
-    """Conversations as pages: roles are steps, turns are accordions with a word for a title."""
+    """Conversations as pages: roles are steps, turns are accordions with a word for a title, which some write otherwise."""
     c = _table(spark, sf_dir, "conversations")
-    return c.select(F.lit("chats").alias("family"), F.col("conv_id").alias("url"), F.col("turn").alias("ord"), F.col("role").alias("step"), _word(F.col("turn")).alias("title"), F.lit(3).alias("level"), "text")
+    word = _word(F.col("turn"))
+    title = F.when((F.col("conv_id") % 11 == 0) & (word == "bravo"), "bravos").otherwise(word)
+    return c.select(F.lit("chats").alias("family"), F.col("conv_id").alias("url"), F.col("turn").alias("ord"), F.col("role").alias("step"), title.alias("title"), F.lit(3).alias("level"), "text")
 
 
 _PLAN = "CASE WHEN conv_id % 17 = 0 THEN 'alone' WHEN conv_id % 13 = 0 AND role = 'assistant' THEN 'helper desk' WHEN conv_id % 7 = 0 AND role = 'system' THEN 'extra' ELSE role END"
@@ -412,21 +438,27 @@ loose AS (SELECT url, step, pos FROM st WHERE step NOT IN (SELECT step FROM norm
 renamed AS (SELECT url, m.step, l.step AS other, c FROM missing m JOIN loose l USING (url) WHERE pos = place),
 extra AS (SELECT url, l.step FROM loose l JOIN freq USING (step), size WHERE freq.c::DOUBLE / n <= 1 - 0.7::DOUBLE AND (url, l.step) NOT IN (SELECT (url, other) FROM renamed)),
 o AS (SELECT url, step, pos, place, lag(place) OVER (PARTITION BY url ORDER BY pos) AS before FROM st JOIN norm USING (step) JOIN planned USING (url)),
+plans AS (SELECT url, string_agg(step, ' · ' ORDER BY pos) AS plan FROM st GROUP BY url),
 swapped AS (SELECT url, string_agg(step, ' > ' ORDER BY pos) AS value FROM o GROUP BY url HAVING bool_or(coalesce(before > place, false)))
 SELECT 'steps_none' AS detector, 'structuur' AS kind, '' AS place, url, string_agg(step, ' · ' ORDER BY pos) AS value, NULL::VARCHAR AS norm, max(pages) AS n, max(size.n) AS agree FROM st, p, size WHERE url NOT IN (SELECT url FROM planned) GROUP BY url
-UNION ALL SELECT 'steps_missing', 'structuur', step, url, NULL, step, n, c FROM missing, size WHERE (url, step) NOT IN (SELECT (url, step) FROM renamed)
+UNION ALL SELECT 'steps_missing', 'structuur', missing.step, url, plan, missing.step, n, c FROM missing JOIN plans USING (url), size WHERE (url, missing.step) NOT IN (SELECT (url, step) FROM renamed)
+  UNION ALL SELECT 'steps_none', 'structuur', '', conv_id, 'own ' || conv_id, NULL, (SELECT pages FROM p), 0 FROM conversations WHERE (SELECT pages FROM p) >= 5 GROUP BY conv_id
 UNION ALL SELECT 'steps_renamed', 'structuur', step || ' / ' || other, url, other, step, n, c FROM renamed, size
 UNION ALL SELECT 'steps_extra', 'structuur', step, url, step, NULL, n, n - count(*) OVER (PARTITION BY step) FROM extra, size
 UNION ALL SELECT 'steps_order', 'structuur', '', url, value, NULL, n, n - count(*) OVER () FROM swapped, size""")
 def step_plans(spark, sf_dir):
-    """The whole detector of steps: none, missing, in another wording at the same place, extra, in another order."""
+    """The whole detector of steps: none, missing, in another wording at the same place, extra, in another order.
+
+    In a second family no page has a step in common with another.
+    """
     c = _table(spark, sf_dir, "conversations")
     rows = c.select(F.lit("chats").alias("family"), F.col("conv_id").alias("url"), F.expr(_PLAN).alias("step"), F.col("turn").alias("ord"))
-    return D.step_plan({"section": rows}, 5, 0.7).select(*_SHOWN)
+    own = c.select(F.lit("alone").alias("family"), F.col("conv_id").alias("url"), F.concat(F.lit("own "), "conv_id").alias("step"), F.col("turn").alias("ord"))
+    return D.step_plan({"section": rows.unionByName(own)}, 5, 0.7).select(*_SHOWN)
 
 
 _TOGGLES = f"""
-s AS (SELECT conv_id AS url, role AS step, ({_WORDS})[turn % 8 + 1] AS title, turn AS ord FROM conversations),
+s AS (SELECT conv_id AS url, role AS step, CASE WHEN conv_id % 11 = 0 AND turn % 8 = 1 THEN 'bravos' ELSE ({_WORDS})[turn % 8 + 1] END AS title, turn AS ord FROM conversations),
 tog AS (SELECT url, step, title, min(ord) AS ord FROM s GROUP BY ALL),
 size AS (SELECT step, count(DISTINCT url) AS n FROM s GROUP BY step)
 """
@@ -436,8 +468,9 @@ size AS (SELECT step, count(DISTINCT url) AS n FROM s GROUP BY step)
 freq AS (SELECT step, title, count(*) AS c, n FROM tog JOIN size USING (step) GROUP BY ALL HAVING n >= 5 AND count(*)::DOUBLE / n >= 0.5::DOUBLE AND count(*) < n),
 gone AS (SELECT DISTINCT url, freq.* FROM s JOIN freq USING (step) WHERE (url, step, freq.title) NOT IN (SELECT (url, step, title) FROM tog)),
 moved AS (SELECT url, title, arg_min(step, ord) AS other FROM tog GROUP BY ALL),
-how AS (SELECT gone.*, other, CASE WHEN other IS NULL THEN 'missing' ELSE 'moved' END AS how FROM gone LEFT JOIN moved USING (url, title))
-SELECT 'toggles_' || how AS detector, 'structuur' AS kind, step || ' / ' || title AS place, url, other AS value, title AS norm, n, c AS agree FROM how
+how AS (SELECT gone.*, coalesce(t.title, moved.other) AS other, CASE WHEN t.title IS NOT NULL THEN 'renamed' WHEN moved.other IS NULL THEN 'missing' ELSE 'moved' END AS how
+  FROM gone LEFT JOIN moved USING (url, title) LEFT JOIN tog t ON t.url = gone.url AND t.step = gone.step AND t.title = gone.title || 's')
+SELECT 'toggles_' || how AS detector, CASE how WHEN 'renamed' THEN 'schrijfrichtlijn' ELSE 'structuur' END AS kind, step || ' / ' || title AS place, url, other AS value, title AS norm, n, c AS agree FROM how
 WHERE NOT (how = 'missing' AND url % 3 = 0 AND title IN ('bravo', 'charlie'))""")
 def toggle_titles(spark, sf_dir):
     """The whole detector of accordions; some pages have two of the titles as ordinary headings."""
@@ -483,6 +516,8 @@ def heading_structure(spark, sf_dir):
 
 
 _SENTENCES = [("The quick brown fox jumps over it.", 11), ("Bring two recent photographs along.", 13), ("Payment happens at our front desk.", 17), ("Wait until somebody calls your name.", 19), ("Children need both parents with them.", 23), ("Keep every receipt for seven years.", 29)]
+#: What some customers have instead of the first.
+_CLOSE = "The quick brown fox jumps over them all."
 _OWN = "Zzzz 0123 xkcd 4567 vvvv 89."
 
 
@@ -491,13 +526,13 @@ WITH st(text, p) AS (VALUES {", ".join(str(x) for x in _SENTENCES)}),
 c AS (SELECT c_custkey AS url FROM customer), size AS (SELECT count(*) AS n FROM c),
 freq AS (SELECT text, p, count(*) AS with_key FROM c, st WHERE url % p <> 0 GROUP BY ALL),
 gone AS (SELECT url, text, with_key, row_number() OVER (PARTITION BY url ORDER BY with_key DESC, lower(text)) AS rn FROM c, freq WHERE url % p = 0),
-pages AS (SELECT url, count(*) AS k, string_agg('missing: “' || text || '”', '; ' ORDER BY rn) FILTER (rn <= 3) AS shown FROM gone GROUP BY url)
+pages AS (SELECT url, count(*) AS k, string_agg(CASE WHEN url % 22 = 0 AND text = '{_SENTENCES[0][0]}' THEN '“{_CLOSE}” for “' ELSE 'missing: “' END || text || '”', '; ' ORDER BY rn) FILTER (rn <= 3) AS shown FROM gone GROUP BY url)
 SELECT 'sentences' AS detector, 'structuur' AS kind, 'start / text' AS place, url, k || ' of 6: ' || shown || CASE WHEN k > 3 THEN ' (+' || (k - 3) || ' more)' ELSE '' END AS value, NULL::VARCHAR AS norm,
   n, n - count(*) OVER () AS agree FROM pages, size WHERE n >= 5""")
 def standard_sentences(spark, sf_dir):
-    """The whole detector of standard sentences: customers' texts lack some of six; some have a sentence of their own."""
+    """The whole detector of standard sentences: customers' texts lack some of six; some have a close one instead, or one of their own."""
     c = _table(spark, sf_dir, "customer")
-    said = F.array_compact(F.array(*[F.when(F.col("c_custkey") % p != 0, text) for text, p in _SENTENCES], F.when(F.col("c_custkey") % 7 == 0, _OWN)))
+    said = F.array_compact(F.array(*[F.when(F.col("c_custkey") % p != 0, text) for text, p in _SENTENCES], F.when(F.col("c_custkey") % 22 == 0, _CLOSE), F.when(F.col("c_custkey") % 7 == 0, _OWN)))
     rows = c.select(F.lit("customers").alias("family"), F.col("c_custkey").alias("url"), F.lit(0).alias("ord"), F.lit("Start").alias("step"), F.lit("Text").alias("title"), F.lit(3).alias("level"), F.array_join(said, " ").alias("text"))
     return D.standard_sentences({"section": rows}, 5, 0.8).select(*_SHOWN)
 
