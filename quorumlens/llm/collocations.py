@@ -25,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +39,8 @@ LEAST = 10
 INSIDE = 50
 TOP = 2000
 SALTS = 64
-#: Hashes that are broadcast (32 MB), and bits of the table that stands in for more (16 MB).
-MOST = 4_000_000
+#: Hashes that are broadcast (16 MB), and bits of the table that stands in for more (16 MB).
+MOST = 2_000_000
 BITS = 1 << 27
 #: Bytes of text that a task counts together.
 BLOCK = 4 << 20
@@ -48,7 +48,6 @@ BLOCK = 4 << 20
 #: Never part of a UTF-8 text, so it stands for the end of a piece.
 _END = b"\xff"
 _FOLD = bytes(0xFF if chr(i) in ".,;:!?\n\v\f\r" else i + 32 if 65 <= i <= 90 else i for i in range(256))
-_MASK = (1 << 64) - 1
 
 
 class Frequent:
@@ -77,12 +76,12 @@ def frequent(level: DataFrame, most: int = MOST, bits: int = BITS) -> Frequent:
     """What is broadcast of a level: a hash for each phrase, or bits of a fixed number beyond ``most``."""
     hashes = level.select(F.xxhash64("lang", "phrase").alias("h"))
     if level.count() <= most:
-        return Frequent(np.sort(hashes.toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
+        return Frequent(np.sort(hashes.toArrow()["h"].to_numpy().view(np.uint64)))
     at = F.col("h").bitwiseAND(F.lit(bits - 1))
     words = hashes.select((at / 64).cast("long").alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("b"))
-    rows = words.groupBy("i").agg(F.expr("bit_or(b)").alias("b")).toPandas()  # at most bits / 64 rows
+    rows = words.groupBy("i").agg(F.expr("bit_or(b)").alias("b")).toArrow()  # at most bits / 64 rows
     table = np.zeros(bits // 64, np.uint64)
-    table[rows["i"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).view(np.uint64)
+    table[rows["i"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
     return Frequent(None, table)
 
 
@@ -128,25 +127,30 @@ def _grams(texts: list[bytes], lang: bytes, k: int, below: Frequent | None) -> t
 
 
 def _level(k: int, shared):
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
         size = 0
 
-        def count() -> Iterator[pd.DataFrame]:
+        def rows(lang: str, phrases: list[bytes | None], counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "f"])
+
+        def count() -> Iterator[pa.RecordBatch]:
             for lang, texts in held.items():
-                names, n = _grams(texts, lang.encode("utf-8", "surrogatepass"), k, shared.value if shared else None)
+                names, n = _grams(texts, lang.encode(), k, shared.value if shared else None)
                 if k == 1 and names:
-                    yield pd.DataFrame({"lang": lang, "phrase": [None], "f": [int(n.sum())]})
-                for at in range(0, len(names), 100_000):
-                    yield pd.DataFrame({"lang": lang, "phrase": [p.decode("utf-8", "surrogatepass") for p in names[at : at + 100_000]], "f": n[at : at + 100_000]})
+                    yield rows(lang, [None], n.sum(keepdims=True))
+                for at in range(0, len(names), 50_000):
+                    yield rows(lang, names[at : at + 50_000], n[at : at + 50_000])
 
         for b in batches:
-            for lang, text in zip(b["lang"], b["text"], strict=True):
-                held.setdefault(lang, []).append(text)
-                size += len(text)
-                if size >= BLOCK:
-                    yield from count()
-                    held, size = {}, 0
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    held.setdefault(lang, []).append(text)
+                    size += len(text)
+                    if size >= BLOCK:
+                        yield from count()
+                        held, size = {}, 0
         yield from count()
 
     return task
@@ -158,7 +162,7 @@ def levels(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, most: in
     out: list[DataFrame] = []
     shared = None
     for k in range(1, longest + 1):
-        found = rows.mapInPandas(_level(k, shared), "lang string, phrase string, f long")
+        found = rows.mapInArrow(_level(k, shared), "lang string, phrase string, f long")
         counted = found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | F.col("phrase").isNull())
         out.append(write_shared(counted, f"phrases-{k}"))
         if k < longest:
