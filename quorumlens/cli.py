@@ -21,20 +21,11 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("quorumlens").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def check(spark: SparkSession, family: rules.Family, tables: dict[str, DataFrame], claims: Sequence = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(findings, finding pages, warnings) of one family: its detectors in their order, capped each."""
-    named = [n for n in family.detectors if n != "claims"]
-    found = findings.registry.run(named, tables, min_members=family.min_members, min_share=family.min_share)
-    parts = []
-    for place, name in enumerate(family.detectors):
-        rows = detectors.claims(tables, list(claims), family.min_members, family.min_share) if name == "claims" else found[name]
-        some, pages = findings.assemble(rows.withColumn("value", F.coalesce("value", F.lit(""))), name, None, ["family", "detector", "place"])
-        parts.append((some.withColumn("place", F.lit(place)), pages))
-    all_, pages = parts[0]
-    for f, p in parts[1:]:
-        all_, pages = all_.unionByName(f), pages.unionByName(p)
-    kept, warnings = findings.cap(all_, order=["location", "finding_id"])
-    return kept, pages.join(kept.select("finding_id"), "finding_id", "left_semi"), warnings
+def check(spark: SparkSession, families: Sequence[rules.Family], tables: dict[str, DataFrame], claims: Sequence = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(findings, finding pages, warnings) of families: their detectors in their order, capped each."""
+    table = spark.createDataFrame([(f.id, f.min_members, float(f.min_share), list(f.detectors)) for f in families], "family string, min_members int, min_share double, detectors array<string>")
+    more = {"claims": lambda own, min_members, min_share: detectors.claims(own, list(claims), min_members, min_share)}
+    return findings.check_families(table, tables, more)
 
 
 def _controleer(spark: SparkSession, a: argparse.Namespace, transport: web.Transport = web.over_http) -> int:
@@ -60,10 +51,10 @@ def _controleer(spark: SparkSession, a: argparse.Namespace, transport: web.Trans
     if not seen["n"]:
         print("the snapshot has no pages", file=sys.stderr)
         return 1
-    kept, of, warnings = check(spark, family, io.snapshot_tables(pages), rules.load_claims(a.claims) if a.claims else ())
+    kept, of, warnings = check(spark, [family], io.snapshot_tables(pages), rules.load_claims(a.claims) if a.claims else ())
     io.write_findings(kept.withColumn("family", F.lit(family.id)), f"{a.naar}/findings", a.date)
     io.write_findings(of.withColumn("family", F.lit(family.id)), f"{a.naar}/pages", a.date)
-    told = [f"{w['rule']}: {w['found']} findings, {findings.CAP} kept" for w in warnings.orderBy("rule").collect()]
+    told = [f"{w['rule']}: {w['found']} findings, {findings.CAP} kept" for w in warnings.orderBy("place").collect()]
     io.write_run(spark, f"{a.naar}/runs", family.id, a.date, seen["n"], seen["at"], told + problems)
     print("\n".join(told + problems))
     return _write_report(spark, listed, a.naar, f"{a.naar}/report.html")

@@ -21,7 +21,11 @@ EVIDENCE = 3
 
 def mode(rows: DataFrame, group: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
     """(group, n, norm, agree): the commonest value; ties go to the value seen first by ``order``."""
-    each = rows.groupBy(*group, value).agg(F.count("*").alias("c"), F.min(F.struct(*order)).alias("first"))
+    return winners(rows.groupBy(*group, value).agg(F.count("*").alias("c"), F.min(F.struct(*order)).alias("first")), group, value)
+
+
+def winners(each: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """(group, n, norm, agree) of counted values (group, value, c, first)."""
     best = F.min_by(F.struct(F.col(value).alias("norm"), F.col("c").alias("agree")), F.struct((-F.col("c")).alias("c"), F.col("first")))
     return each.groupBy(*group).agg(F.sum("c").alias("n"), best.alias("best")).select(*group, "n", "best.norm", "best.agree")
 

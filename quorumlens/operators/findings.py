@@ -76,11 +76,12 @@ def paired(urls: Column, variants: Column) -> Column:
     return F.when(F.size(urls) == F.size(variants), alone).otherwise(F.transform(urls, lambda u: F.struct(u.alias("url"), variants.alias("values"))))
 
 
-def cap(findings: DataFrame, detector: str = "rule", order: Sequence[str] = ("finding_id",), most: int = CAP) -> tuple[DataFrame, DataFrame]:
+def cap(findings: DataFrame, detector: str | Sequence[str] = "rule", order: Sequence[str] = ("finding_id",), most: int = CAP) -> tuple[DataFrame, DataFrame]:
     """The first ``most`` findings of each detector, and a warning (detector, found) where there were more."""
-    rn = F.row_number().over(Window.partitionBy(detector).orderBy(*order))
+    by = [detector] if isinstance(detector, str) else list(detector)
+    rn = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     kept = findings.withColumn("__rn", rn).where(F.col("__rn") <= most).drop("__rn")
-    return kept, findings.groupBy(detector).agg(F.count("*").alias("found")).where(F.col("found") > most)
+    return kept, findings.groupBy(*by).agg(F.count("*").alias("found")).where(F.col("found") > most)
 
 
 class Registry:
@@ -107,6 +108,32 @@ class Registry:
 registry = Registry()
 
 
+def check_families(families: DataFrame, tables: dict[str, DataFrame], more: dict[str, Callable[..., DataFrame]] | None = None, most: int = CAP) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(findings, their pages, warnings) of all families at once.
+
+    ``families`` is a table (family, min_members, min_share, detectors): each family's thresholds and
+    its detectors in their order. A detector runs once, over the pages of all families that want it, so the plan
+    does not grow with their number. ``more`` has detectors beside those registered. Findings
+    carry ``family`` and ``place`` (the detector's number in its family); at most ``most`` of a family and
+    detector are kept, by location, and a warning (family, rule, place, found) tells where there were more.
+    """
+    wanted = families.select("family", "min_members", "min_share", F.posexplode("detectors").alias("place", "rule"))
+    known = registry.detectors | (more or {})
+    names = [r["rule"] for r in wanted.groupBy("rule").agg(F.min("place").alias("p")).orderBy("p", "rule").limit(len(known) + 1).collect()]
+    if unknown := [n for n in names if n not in known]:
+        raise KeyError(f"unknown detectors: {', '.join(unknown)}")
+    found, pages = None, None
+    for name in names:
+        mine = wanted.where(F.col("rule") == name).drop("rule", "place")
+        own = {t: rows.join(mine.select("family"), "family", "left_semi") for t, rows in tables.items()}
+        rows = known[name](own, min_members=mine, min_share=0.0).withColumn("value", F.coalesce("value", F.lit("")))
+        some, of = assemble(rows, name, None, ["family", "detector", "place"])
+        some = some.withColumn("family", F.get_json_object("location", "$.family")).join(wanted.select("family", "rule", "place"), ["family", "rule"])
+        found, pages = (some, of) if found is None else (found.unionByName(some), pages.unionByName(of))
+    kept, over = cap(found, ["family", "rule", "place"], ["location", "finding_id"], most)
+    return kept, pages.join(kept.select("finding_id"), "finding_id", "left_semi"), over
+
+
 def report_groups(findings: DataFrame, categories: Sequence[str] = tuple(CATEGORY_ORDER)) -> DataFrame:
     """(owner, category, findings, owner_rank, category_rank) in report order; unlisted categories come last, by name."""
     rank = lambda c, names: F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(n) for n in names]), c), F.lit(0)), F.lit(99)) if names else F.lit(99)

@@ -13,8 +13,11 @@ from ..operators import detectors as D
 from ..operators import disposition as X
 from ..operators import findings as G
 from ..operators import terms, urls
+from ..operators import votes as V
 from ..operators.terms import ClaimRule, TermRule
-from ..sources import html, io, report
+from ..sources import buckets, html, io, report
+from ..sources.shared import scratch
+from ..streaming import dispositions as S
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
@@ -816,6 +819,93 @@ def report_totals(spark, sf_dir):
     return report.totals(docs, _hits(spark, sf_dir), "source")
 
 
+# -- many families, snapshots, merged tables, streams ----------------------------------------
+
+_FAMILIES = """
+fam AS (SELECT n_name AS family, 4 + n_nationkey % 7 AS members, 0.6 + (n_nationkey % 10) * 0.03 AS share,
+  CASE n_nationkey % 3 WHEN 0 THEN ['table_values', 'notation'] WHEN 1 THEN ['notation'] ELSE ['notation', 'table_values'] END AS detectors, n_nationkey FROM nation),
+rows_ AS (SELECT family, members, share, detectors, c_custkey AS url, lower(c_mktsegment) AS label,
+  CASE WHEN c_custkey % 10 = 0 THEN '€ 26,00' WHEN c_custkey % 13 = 0 THEN '€27.00' ELSE '€ 27,00' END AS raw,
+  CASE WHEN c_custkey % 10 = 0 THEN '26.00' ELSE '27.00' END AS vote, CASE WHEN c_custkey % 10 > 0 AND c_custkey % 13 = 0 THEN 'en' ELSE 'nl' END AS written FROM customer JOIN fam ON c_nationkey = n_nationkey),
+c_ AS (SELECT family, label, vote, count(*) AS c, min(url) AS first FROM rows_ WHERE list_contains(detectors, 'table_values') GROUP BY ALL),
+top_ AS (SELECT family, label, sum(c)::BIGINT AS n, arg_min(vote, (-c, first)) AS norm, max(c) AS agree FROM c_ GROUP BY ALL),
+values_ AS (SELECT t.family, 'table_values' AS rule, t.label AS spot, n, agree, count(*) AS deviating FROM top_ t JOIN rows_ r ON t.family = r.family AND t.label = r.label AND r.vote <> t.norm
+  WHERE n >= r.members AND agree::DOUBLE / n >= r.share::DOUBLE AND agree < n GROUP BY ALL),
+w_ AS (SELECT family, written, count(*) AS c, min(url::VARCHAR) AS first FROM rows_ WHERE list_contains(detectors, 'notation') GROUP BY ALL),
+norm_ AS (SELECT family, sum(c) AS n, arg_min(written, (-c, first)) AS norm, max(c) AS agree FROM w_ GROUP BY ALL),
+written_ AS (SELECT r.family, 'notation' AS rule, url::VARCHAR AS spot, 1::BIGINT AS n, 0::BIGINT AS agree, 1::BIGINT AS deviating FROM rows_ r JOIN norm_ USING (family) WHERE written <> norm AND n >= members AND norm_.agree::DOUBLE / n >= share::DOUBLE),
+ranked AS (SELECT f.*, list_position(detectors, rule) - 1 AS place, row_number() OVER (PARTITION BY family, rule ORDER BY spot) AS rn, count(*) OVER (PARTITION BY family, rule) AS found
+  FROM (SELECT * FROM values_ UNION ALL SELECT * FROM written_) f JOIN fam USING (family))
+"""
+
+
+@query("WITH " + _FAMILIES + "SELECT family, place::INTEGER AS place, rule, spot, n, agree, deviating, CASE WHEN found > 3 THEN found END AS found FROM ranked WHERE rn <= 3")
+def family_findings(spark, sf_dir):
+    """Every nation is a family with thresholds and detectors of its own; three findings of each detector are kept."""
+    n, c = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "customer")
+    detectors = F.when(F.col("n_nationkey") % 3 == 0, F.array(F.lit("table_values"), F.lit("notation"))).when(F.col("n_nationkey") % 3 == 1, F.array(F.lit("notation"))).otherwise(F.array(F.lit("notation"), F.lit("table_values")))
+    families = n.select(F.col("n_name").alias("family"), (4 + F.col("n_nationkey") % 7).alias("min_members"), (F.lit("0.6").cast("decimal(4,2)") + F.col("n_nationkey") % 10 * F.lit("0.03").cast("decimal(4,2)")).cast("double").alias("min_share"), detectors.alias("detectors"))
+    raw = F.when(F.col("c_custkey") % 10 == 0, "€ 26,00").when(F.col("c_custkey") % 13 == 0, "€27.00").otherwise("€ 27,00")
+    rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("family"), F.col("c_custkey").cast("string").alias("url"), F.lit(0).alias("ord"), F.col("c_mktsegment").alias("label"), raw.alias("value_raw"))
+    kept, _, over = G.check_families(families, {"table_row": rows}, most=3)
+    return kept.join(over, ["family", "rule", "place"], "left").select("family", "place", "rule", F.get_json_object("location", "$.place").alias("spot"), "n", "agree", "deviating", "found")
+
+
+def _two_snapshots(spark, sf_dir):
+    """Events of two days' snapshots: some go, some come, and some change their type."""
+    e = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    changed = F.when(F.col("event_id") % 13 == 0, "changed").otherwise(F.col("event_type"))
+    return e.where("event_id % 11 <> 1"), e.where("event_id % 7 <> 2").withColumn("event_type", changed)
+
+
+@query("""
+WITH a AS (SELECT event_id, user_id, CASE WHEN event_id % 13 = 0 THEN 'changed' ELSE event_type END AS event_type FROM events WHERE event_id % 7 <> 2),
+c_ AS (SELECT user_id, event_type, count(*) AS c, min(event_id) AS first FROM a GROUP BY ALL),
+top_ AS (SELECT user_id, sum(c)::BIGINT AS n, arg_min(event_type, (-c, first)) AS norm, max(c) AS agree FROM c_ GROUP BY user_id)
+SELECT * FROM top_ WHERE n >= 5 AND agree::DOUBLE / n >= 0.3::DOUBLE AND agree < n""")
+def snapshot_norms(spark, sf_dir):
+    """Norms of a snapshot from the counts of the one before and what has changed since."""
+    before, after = _two_snapshots(spark, sf_dir)
+    group = ["user_id"]
+    known = V.counts(before, group, "event_type", ["event_id"])
+    gone, come = V.changes(before, after, ["event_id"])
+    return V.norms(V.advance(known, gone, come, after, group, "event_type", ["event_id"]), group, "event_type", 5, 0.3)
+
+
+@query("""WITH r AS (SELECT user_id, event_type, event_id, value, event_id % 4 AS batch FROM events),
+b AS (SELECT user_id, event_type, batch, max(event_id) AS event_id FROM r WHERE batch < 3 GROUP BY ALL),
+l AS (SELECT user_id, event_type, max(event_id) AS event_id, count(*) AS batches FROM b GROUP BY ALL)
+SELECT l.user_id, l.event_type, l.event_id, value FROM l JOIN events USING (event_id)""")
+def bucket_merge(spark, sf_dir):
+    """A table after three batches of upserts: the newest row of each key."""
+    e = _table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    folder = scratch(spark, "buckets")
+    for batch in range(3):
+        buckets.upsert(e.where(F.col("event_id") % 4 == batch), folder, ["user_id", "event_type"], ["event_id"], 8)
+    return buckets.read(spark, folder, "user_id long, event_type string, event_id long, value double")
+
+
+@query("WITH " + _DISPOSITIONS.format(date=CHECK_DATE) + "SELECT finding_id, url, state, state IN ('genegeerd', 'gefixt') AS handled FROM st")
+def state_stream(spark, sf_dir):
+    """The last states of a stream of checks and decisions, which come in two batches and in no order."""
+    updates = _event_updates(spark, sf_dir)
+    decisions = updates.withColumn("kind", F.lit(S.DECISION))
+    none = lambda t: F.lit(None).cast(t)
+    checks = updates.select("finding_id", "url").distinct().select("finding_id", "url", F.lit(S.CHECK).alias("kind"), none("string").alias("status"), F.lit("a").alias("evidence_hash"), F.lit(CHECK_DATE).alias("checked"), F.lit(CHECK_DATE).cast("timestamp").alias("ts"), F.lit(0).cast("long").alias("seq"))
+    names = [c.split()[0] for c in S.EVENTS.split(", ")]
+    folder = scratch(spark, "states")
+    events = decisions.select(*names).unionByName(checks.select(*names))
+    events.repartition(2, F.xxhash64("seq") % 2).write.option("maxRecordsPerFile", 0).parquet(f"{folder}/in")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, S.STORE)
+    try:
+        S.follow(spark.readStream.schema(S.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/mark").awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return S.last_states(spark.read.schema(S.CHANGES).parquet(f"{folder}/out"))
+
+
 # -- html -----------------------------------------------------------------------------------
 
 

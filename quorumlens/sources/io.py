@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.disposition import merge
+from ..operators.disposition import OPEN, stamped
+from . import buckets
 
 # The fields of stored pages and corpora.
 SNAPSHOT = (
@@ -80,45 +81,36 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def versions(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the versions of a table under ``folder``, ascending."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(where):
-        return []
-    names = [f.getPath().getName() for f in files.listStatus(where)]
-    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version=") and files.exists(type_path(spark, f"{folder}/{n}/_SUCCESS")))
-
-
 def type_path(spark: SparkSession, path: str):
     return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
 
-def read_version(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """The newest version of a table under ``folder``; without one an empty table."""
-    found = versions(spark, folder)
-    return spark.read.schema(schema).parquet(f"{folder}/version={found[-1]}") if found else spark.createDataFrame([], schema)
+# Fixed shape of published panels.
+PANELS = "family string, name string, dt string, place int, findings long, html string"
 
 
-def write_version(rows: DataFrame, folder: str, number: int | None = None, keep: int = 2) -> None:
-    """A new version of a table, which may be made from the one before; the last ``keep`` versions stay."""
-    spark = rows.sparkSession
-    found = versions(spark, folder)
-    number = (found[-1] + 1 if found else 0) if number is None else number
-    rows.write.mode("overwrite").parquet(f"{folder}/version={number}")
-    for old in [v for v in versions(spark, folder) if v <= number - keep]:
-        where = type_path(spark, f"{folder}/version={old}")
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def publish_panels(panels: DataFrame, folder: str) -> None:
+    """Upsert panels by family: families not in ``panels`` stay as they are."""
+    buckets.upsert(panels.select("family", "name", "dt", "place", "findings", "html"), folder, ["family"])
 
 
-# Fixed shape of published panels.
-PANELS = "family string, name string, dt string, place int, findings long, html string"
+def read_panels(spark: SparkSession, folder: str) -> DataFrame:
+    return buckets.read(spark, folder, PANELS)
 
 
-def publish_panels(panels: DataFrame, folder: str) -> None:
-    """Upsert panels by family as a new version: families not in ``panels`` stay as they are."""
-    current = read_version(panels.sparkSession, folder, PANELS)
-    write_version(merge(current, panels.select(*current.columns), "family"), folder)
+# Fixed shape of stored dispositions.
+DISPOSITIONS = "finding_id string, url string, status string, evidence_hash string, checked string, ts timestamp, seq long, written_by string, written_at timestamp"
+
+
+def write_dispositions(updates: DataFrame, folder: str, user: str) -> None:
+    """Put decisions (finding_id, url, status, evidence_hash, checked, ts, seq) into the table, with who wrote them and when, whatever they say themselves."""
+    rows = stamped(updates, user)
+    buckets.upsert(rows.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in DISPOSITIONS.split(", ")]), folder, ["finding_id", "url"], ["ts", "seq"])
+
+
+def read_dispositions(spark: SparkSession, folder: str) -> DataFrame:
+    """The decisions that stand: a last write of 'open' takes one back."""
+    return buckets.read(spark, folder, DISPOSITIONS).where(F.col("status") != OPEN)
 
 
 RUNS = "family string, dt string, pages long, fetched string, warnings array<string>"

@@ -1,17 +1,31 @@
-"""Reliable checkpoints in the folder that driver and executors share."""
+"""Reliable checkpoints and scratch folders where driver and executors share them."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut a frame's lineage; the session's ``spark.checkpoint.dir`` is used, our own only where a local session has none."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a folder of our own only where a local session has none."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
         if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quorumlens-"))
+        base = context.getCheckpointDir()
+    return base
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut a frame's lineage."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder."""
+    return f"{shared_dir(spark)}/quorumlens-{name}-{uuid.uuid4().hex}"

@@ -17,8 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.disposition import merge
-from .io import read_version, write_version
+from . import buckets
 from .shared import checkpoint
 
 AGENT = "quorumlens"
@@ -102,16 +101,18 @@ def fetch_cached(urls: DataFrame, folder: str, transport: Transport = over_http,
     """(url, status, html, error) of distinct URLs through a table of earlier answers under ``folder``.
 
     With ``revalidate`` known pages are asked for again with their tags, and an answer of 304 or a
-    failure gives what is known; without it known pages are not asked for at all.
+    failure gives what is known; without it known pages are not asked for at all. Only the table's
+    buckets of these URLs are read, and only those with new answers are written.
     """
-    known = read_version(urls.sparkSession, folder, CACHE)
-    rows = urls.select("url").distinct().join(known, "url", "left")
+    wanted = checkpoint(urls.select("url").distinct())
+    known = buckets.read(urls.sparkSession, folder, CACHE, buckets.touched(wanted, ["url"]))
+    rows = wanted.join(known, "url", "left")
     asked = rows if revalidate else rows.where("html is null")
     got = checkpoint(fetch(asked.select("url", "etag", "modified"), transport, pause))
     old = rows.select("url", F.col("html").alias("old"))
-    out = old.join(got, "url", "left").select("url", "status", F.coalesce("html", "old").alias("html"), "etag", "modified", F.when(F.coalesce("html", "old").isNull(), F.coalesce("error", F.lit("no body"))).alias("error"))
-    write_version(checkpoint(merge(known, got.where("html is not null").select("url", "html", "etag", "modified"), "url")), folder)
-    return checkpoint(out.select("url", "status", "html", "error"))
+    out = checkpoint(old.join(got, "url", "left").select("url", "status", F.coalesce("html", "old").alias("html"), F.when(F.coalesce("html", "old").isNull(), F.coalesce("error", F.lit("no body"))).alias("error")))
+    buckets.upsert(got.where("html is not null").select("url", "html", "etag", "modified"), folder, ["url"])
+    return out
 
 
 def permitted(urls: DataFrame, rules: dict[str, str]) -> DataFrame:

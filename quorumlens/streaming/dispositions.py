@@ -1,13 +1,16 @@
-"""Dispositions as a stream: each batch is reduced to its last writes and merged into a table."""
+"""Dispositions as a stream: merged into a table by key, or followed page by page as state."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators.disposition import merge
-from ..sources.io import write_version
+from ..operators.disposition import FIXED, IGNORED, IN_PROGRESS, OPEN, SHOWN_BACK, SHOWN_IGNORED, SHOWN_PRESENT
+from ..sources import buckets
 
 KEYS = ("finding_id", "url")
 
@@ -18,26 +21,94 @@ def read_updates(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def upsert(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Keep the last write of each key under ``folder``; a restart repeats a batch without harm.
+    """Keep the last write of each key in the table under ``folder``; a restart repeats a batch without harm.
 
-    Every batch writes a new version named by its number, so readers of the version before
-    are not disturbed, and a batch that is run again gives the same version; older ones are removed.
+    A batch rewrites the buckets that it touches and no others.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        last = F.max_by(F.struct(*[c for c in batch.columns if c not in KEYS]), F.struct("ts", "seq"))
-        new = batch.groupBy(*KEYS).agg(last.alias("x")).select(*KEYS, "x.*")
-        if number > 0:
-            old = spark.read.schema(new.schema).parquet(f"{folder}/version={number - 1}")
-            stamp = F.struct("ts", "seq")
-            late = new.join(old.select(*KEYS, stamp.alias("__old")), list(KEYS), "left").where(F.col("__old").isNull() | (stamp >= F.col("__old"))).select(*new.columns)
-            new = merge(old, late, *KEYS)
-        write_version(new, folder, number)
+        buckets.upsert(batch, folder, KEYS, ("ts", "seq"))
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+# What a page's state is made from: its last check (when, evidence) and the last decision about it.
+EVENTS = "finding_id string, url string, kind string, status string, evidence_hash string, checked string, ts timestamp, seq long"
+CHANGES = "finding_id string, url string, change long, state string, handled boolean"
+CHECK, DECISION = "check", "decision"
+#: The store that keeps such state; sessions name it in ``spark.sql.streaming.stateStore.providerClass``.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def page_state(check: tuple[str, str] | None, decision: tuple | None) -> str | None:
+    """The state of a page by its last check (date, evidence) and decision (ts, seq, status, evidence, date); null before a check."""
+    if check is None:
+        return None
+    date, evidence = check
+    if decision is None or decision[2] == OPEN:
+        return OPEN
+    _, _, status, old, checked = decision
+    if status == IN_PROGRESS:
+        return IN_PROGRESS
+    if status == IGNORED:
+        return SHOWN_IGNORED if old == evidence else SHOWN_BACK
+    return SHOWN_PRESENT if checked is not None and date > checked else FIXED
+
+
+class PageStates(StatefulProcessor):
+    """State of one (finding, page): its last check, the last decision, what was told last, and how often it changed."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.check = handle.getValueState("check", "date string, evidence string")
+        self.decision = handle.getValueState("decision", "ts timestamp, seq long, status string, evidence string, checked string")
+        self.told = handle.getValueState("told", "state string, change long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        check = tuple(self.check.get()) if self.check.exists() else None
+        decision = tuple(self.decision.get()) if self.decision.exists() else None
+        state, change = tuple(self.told.get()) if self.told.exists() else (None, 0)
+        events = sorted((r for b in rows for r in b[["ts", "seq", "kind", "status", "evidence_hash", "checked"]].itertuples(index=False, name=None)), key=lambda r: (r[0], r[1]))
+        out = []
+        for ts, seq, kind, status, evidence, checked in events:
+            if kind == CHECK:
+                check = max(check or (checked, evidence), (checked, evidence), key=lambda c: c[0])
+            elif decision is None or (ts, seq) >= (pd.Timestamp(decision[0]), decision[1]):
+                decision = ts, seq, status, evidence, checked
+            now = page_state(check, decision)
+            if now is not None and now != state:
+                state, change = now, change + 1
+                out.append((*key, change, state, state in (SHOWN_IGNORED, FIXED)))
+        if check is not None:
+            self.check.update(check)
+        if decision is not None:
+            self.decision.update((pd.Timestamp(decision[0]).to_pydatetime(), int(decision[1]), *decision[2:]))
+        if change:
+            self.told.update((state, change))
+        yield pd.DataFrame(out, columns=["finding_id", "url", "change", "state", "handled"])
+
+    def close(self) -> None:
+        pass
+
+
+def state_changes(events: DataFrame) -> DataFrame:
+    """(finding_id, url, change, state, handled): each change of a page's state as checks and decisions arrive.
+
+    Events of a page that come in one batch are taken by (ts, seq); a decision older than the
+    last one changes nothing. The session needs the RocksDB state store.
+    """
+    return events.groupBy(*KEYS).transformWithStateInPandas(PageStates(), CHANGES, "Append", "None")
+
+
+def last_states(changes: DataFrame) -> DataFrame:
+    """(finding_id, url, state, handled): where each page has got to."""
+    return changes.groupBy(*KEYS).agg(F.max_by(F.struct("state", "handled"), "change").alias("x")).select(*KEYS, "x.*")
+
+
+def follow(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Write the changes of states to Parquet files under ``folder``."""
+    return state_changes(events).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(folder)
+
+
 def activity(stream: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """(window, status, n): dispositions set per time window, with late updates up to ``late``. An extension."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", width), "status").agg(F.count("*").alias("n"))
