@@ -5,18 +5,20 @@ anywhere else, in any text, goes.
 
 1. Deal. Texts are dealt into shards, and windows into groups by something that equal windows
    share: the least hash among their runs of ``RUN`` bytes. Neighbouring windows with that run
-   in one place are one piece of text. Only keys that are seen twice go on. A key that has more than
-   ``BUSY`` different pieces (a phrase among ever different bytes) is dealt anew, first by what
-   ``CHUNK`` neighbouring windows of it have in common, and then by single windows, so no group
-   grows with what merely surrounds a common phrase. Equal pieces of a shard are one row.
-2. Merge. In a group, the pieces are gathered into shards of ``PART`` bytes, each with a suffix
-   array and its Burrows-Wheeler transform. The transforms are merged without sorting suffixes
-   again: the interleave (which transform the next suffix comes from) is refined step by step
-   from the order by h bytes to the order by h + q bytes, by a stable sort of the q bytes that
-   stand before each suffix. With it goes, at each step, where neighbours part, so after
-   ``WINDOW`` bytes it is known which of them have that prefix in common: an interval of equal
-   windows. q is as large as the different runs of q bytes allow (``CODES``), so that each step
-   sorts 16-bit numbers; suffixes that have become too short for a step leave.
+   in one place are one piece of text. Only keys that are seen twice go on. A key that has more
+   than ``BUSY`` different pieces (a phrase among ever different bytes, thousands of near copies)
+   is dealt anew by the windows themselves, each of which is then a key, so no group grows with
+   what merely surrounds a common phrase. Equal pieces of a shard are one row.
+2. Merge. The pieces of a group's keys are taken together in units of ``UNIT`` bytes, and those
+   gathered into shards of ``PART`` bytes, each with a suffix array and its Burrows-Wheeler
+   transform. The transforms are merged without sorting suffixes again: the interleave (which
+   transform the next suffix comes from) is refined step by step from the order by h bytes to
+   the order by h + q bytes, by a stable sort of the q bytes that stand before each suffix. With
+   it goes, at each step, where neighbours part, so after ``WINDOW`` bytes it is known which of
+   them have that prefix in common: an interval of equal windows. q is as large as the
+   different runs of q bytes allow (``CODES``), so that each step sorts 16-bit numbers;
+   suffixes that have become too short for a step leave. A key that has one piece only has
+   nothing to be merged with: all of its windows stand wherever the piece does.
 3. Remove. Intervals that stand for two places or more go back to the shards of their texts.
 
 Group and shard have bounded size; the driver learns the size of all texts only. Keys are hashes
@@ -35,21 +37,20 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .wordhash import mix, powers
+from .wordhash import powers
 
 WINDOW = 200
 RUN = 64
-#: Windows of a busy key that are dealt together.
-CHUNK = 32
 #: Different pieces of a key, beyond which it is dealt anew.
-BUSY = 2000
-#: Bytes of text in a shard, and in a part of a group that gets its own suffix array.
+BUSY = 4000
+#: Bytes of text in a shard, in what is merged together, and in a part of it that gets its own suffix array.
 SHARD = 4 << 20
-PART = 1 << 18
+UNIT = 60_000
+PART = 1 << 13
 #: Most different runs of q bytes that a step sorts by; 0 stands for the beginning of a piece.
 CODES = (1 << 16) - 1
 
@@ -64,16 +65,25 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Rule:
-    """Sizes of windows, runs and chunks, and the limit of busy keys."""
+    """Sizes of windows, runs, units and parts, and the limit of busy keys."""
 
-    def __init__(self, window: int = WINDOW, run: int = RUN, chunk: int = CHUNK, busy: int = BUSY, part: int = PART):
-        self.window, self.run, self.chunk, self.busy, self.part = window, run, min(chunk, window - 1), busy, part
+    def __init__(self, window: int = WINDOW, run: int = RUN, busy: int = BUSY, unit: int = UNIT, part: int = PART):
+        self.window, self.run, self.busy, self.unit, self.part = window, run, busy, unit, part
 
 
-def _hash_runs(total: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of the ``size`` bytes from each place in ``begin`` on, from running sums of bytes times powers."""
-    _, inverse = powers(_BASE, len(total))
-    return mix((total[begin + size] - total[begin]) * inverse[begin] + np.uint64(size))
+def _stir(x: np.ndarray) -> np.ndarray:
+    """In place: every bit of a number comes to depend on all that are below it, and the upper ones on all."""
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def _hashes(total: np.ndarray, inverse: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the ``size`` bytes from each place on, from running sums of bytes times powers."""
+    out = total[size:] - total[:-size]
+    out *= inverse[: len(out)]
+    return _stir(out)
 
 
 def _sliding_least(x: np.ndarray, span: int) -> np.ndarray:
@@ -103,53 +113,42 @@ def _spans(texts: list[bytes], window: int) -> Iterator[list[tuple[int, int, int
         yield held
 
 
-def pieces(texts: list[bytes], rule: Rule, hot: Sequence[np.ndarray] = ()) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def pieces(texts: list[bytes], rule: Rule, busy: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Pieces of texts, in batches (level, key, text, start, number of windows).
 
-    ``hot[j]`` has the sorted keys of level j that are too busy: their windows come at the next
-    level, in chunks at level 1 and one by one at level 2.
+    Level 0 are windows that share their least run; those of keys in ``busy`` (sorted) come one by one at level 1.
     """
+    power, inverse = powers(_BASE, _SPAN + 1)
     for span in _spans(texts, rule.window):
         data = np.frombuffer(b"".join(texts[i][a:b] for i, a, b in span), np.uint8)
-        sizes = np.array([b - a for _, a, b in span])
-        begin = np.concatenate([[0], np.cumsum(sizes)])
-        power, _ = powers(_BASE, _SPAN + 1)
+        begin = np.cumsum([0, *(b - a for _, a, b in span)])
         total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-        runs = _hash_runs(total, np.arange(len(data) - rule.run + 1), rule.run)
-        least = _sliding_least((runs & ~_PLACE) | np.arange(len(runs), dtype=np.uint64), rule.window - rule.run + 1)
-        anchor = (least & _PLACE).astype(np.int64)
-        fits = np.zeros(len(data) + 1, np.int8)
-        np.add.at(fits, begin[:-1], 1)
-        np.add.at(fits, begin[1:] - rule.window + 1, -1)
-        valid = np.cumsum(fits)[: len(anchor)] > 0
-        at = np.flatnonzero(valid)
-        if not len(at):
-            continue
-        anchor = anchor[at]
-        first = np.concatenate([[0], np.flatnonzero((np.diff(at) != 1) | (np.diff(anchor) != 0)) + 1])
-        count = np.diff(np.append(first, len(at)))
-        start, anchor = at[first], anchor[first]
-        key, level = runs[anchor], 0
-        while True:
-            over = np.isin(key, hot[level]) if level < len(hot) else np.zeros(len(key), bool)
-            which = np.searchsorted(begin, start[~over], "right") - 1
-            text = np.array([i for i, _, _ in span])[which]
-            yield level, key[~over], text, start[~over] - begin[which] + np.array([a for _, a, _ in span])[which], count[~over]
-            if not over.any():
-                break
-            # Windows lie at a distance of 0 to window - run before their anchor; a chunk of distances has bytes in common.
-            level += 1
-            width = rule.chunk if level == 1 else 1
+        np.add(data, np.uint64(1), out=total[1:], dtype=np.uint64)
+        total[1:] *= power[: len(data)]
+        np.cumsum(total[1:], out=total[1:])
+        runs = _hashes(total, inverse, rule.run)
+        anchor = (_sliding_least((runs & ~_PLACE) | np.arange(len(runs), dtype=np.uint64), rule.window - rule.run + 1) & _PLACE).astype(np.int64)
+        # Windows end within their own text, and a piece where the text or the place of the least run changes.
+        new = np.ones(len(anchor) + 1, bool)
+        np.not_equal(anchor[1:], anchor[:-1], out=new[1:-1])
+        last = begin[1:] - rule.window
+        new[begin[:-1][begin[:-1] < len(new)]] = True
+        new[last[last >= 0] + 1] = True
+        first = np.flatnonzero(new)
+        start, count = first[:-1], np.diff(first)
+        which = np.searchsorted(begin, start, "right") - 1
+        fits = start <= last[which]
+        start, count, which = start[fits], count[fits], which[fits]
+        key = runs[anchor[start]]
+        number, offset = (np.array([x[i] for x in span]) for i in (0, 1))
+        over = np.isin(key, busy) if busy is not None and len(busy) else np.zeros(len(key), bool)
+        yield 0, key[~over], number[which[~over]], (start + offset[which] - begin[which])[~over], count[~over]
+        if over.any():
             n = count[over]
             start = np.repeat(start[over], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            anchor = np.repeat(anchor[over], n)
-            chunk = (anchor - start) // width
-            first = np.concatenate([[0], np.flatnonzero((np.diff(start) != 1) | (np.diff(anchor) != 0) | (np.diff(chunk) != 0)) + 1])
-            count = np.diff(np.append(first, len(start)))
-            start, anchor, chunk = start[first], anchor[first], chunk[first]
-            core = anchor - chunk * width
-            key = mix(_hash_runs(total, core, rule.window - width + 1) + np.uint64(level))
+            which = np.repeat(which[over], n)
+            whole = (total[start + rule.window] - total[start]) * inverse[start]
+            yield 1, _stir(whole), number[which], start + offset[which] - begin[which], np.ones(len(start), np.int64)
 
 
 def _once(texts: Sequence) -> tuple[list[bytes], list[int]]:
@@ -161,29 +160,28 @@ def _once(texts: Sequence) -> tuple[list[bytes], list[int]]:
     return list(seen), list(seen.values())
 
 
-def _hot(right: pd.DataFrame, level: int) -> list[np.ndarray]:
-    """Sorted busy keys of the levels below ``level``."""
-    return [np.sort(right.loc[(right["level"] == j) & right["busy"], "key"].to_numpy(np.int64).view(np.uint64)) for j in range(level)]
-
-
 def _piece_hash(texts: list[bytes], text: np.ndarray, start: np.ndarray, count: np.ndarray, rule: Rule) -> np.ndarray:
     """A hash of each piece's bytes."""
     return np.fromiter((xxhash.xxh64_intdigest(texts[i][s : s + n + rule.window - 1]) for i, s, n in zip(text.tolist(), start.tolist(), count.tolist(), strict=True)), np.uint64, len(text))
 
 
+def _sorted_keys(rows: pd.DataFrame) -> np.ndarray:
+    return np.sort(rows["key"].to_numpy(np.int64).view(np.uint64))
+
+
 def _keys(rule: Rule, level: int):
     """How many different pieces a shard has of each key of a level, and in how many places."""
 
     def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        hot = _hot(right, level) if level else []
+        busy = _sorted_keys(right[right["busy"]]) if level else None
         found = []
-        if len(left) and all(map(len, hot)):
+        if len(left) and (not level or len(busy)):
             texts, times = _once(left["text"])
-            found = [(key, text, _piece_hash(texts, text, start, count, rule)) for here, key, text, start, count in pieces(texts, rule, hot) if here == level]
+            found = [(key, text, key if level else _piece_hash(texts, text, start, count, rule)) for here, key, text, start, count in pieces(texts, rule, busy) if here == level]
         if not found:
             return pd.DataFrame(columns=["key", "shard", "level", "kinds", "places"])
         key, text, piece = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((piece, key))
+        order = np.lexsort((piece, key)) if not level else np.argsort(key)
         key, piece, often = key[order], piece[order], np.array(times, np.int64)[text[order]]
         first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
         kind = np.concatenate([[1], (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])])
@@ -201,16 +199,16 @@ def _send(rule: Rule, groups: int):
         if len(left) and len(right):
             texts, times = _once(left["text"])
             ids = [xxhash.xxh64_intdigest(t) for t in texts]
-            wanted = [np.sort(right.loc[(right["level"] == j) & ~right["busy"], "key"].to_numpy(np.int64).view(np.uint64)) for j in range(3)]
-            for level, key, text, start, count in pieces(texts, rule, _hot(right, 2)):
+            wanted = [_sorted_keys(right[(right["level"] == j) & ~right["busy"]]) for j in range(2)]
+            for level, key, text, start, count in pieces(texts, rule, _sorted_keys(right[right["busy"]])):
                 take = np.isin(key, wanted[level])
                 for k, i, s, n in zip(key[take].view(np.int64).tolist(), text[take].tolist(), start[take].tolist(), count[take].tolist(), strict=True):
                     found.setdefault((k, texts[i][s : s + n + rule.window - 1]), []).append((i, s))
             shard = int(left["shard"].iloc[0])
             for (k, piece), places in found.items():
                 packed = np.array([(ids[i], s) for i, s in places], np.uint64).tobytes()
-                rows.append((k % groups, shard, piece, min(2, sum(times[i] for i, _ in places)), packed))
-        return pd.DataFrame(rows, columns=["group", "shard", "piece", "places", "packed"])
+                rows.append((k % groups, k, shard, piece, min(2, sum(times[i] for i, _ in places)), packed))
+        return pd.DataFrame(rows, columns=["group", "key", "shard", "piece", "places", "packed"])
 
     return task
 
@@ -219,23 +217,29 @@ def _send(rule: Rule, groups: int):
 
 
 def _suffix_array(data: np.ndarray, room: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` bytes, by doubling from four on; ``room`` is what is left of each one's text."""
+    """Suffixes in the order of their first ``depth`` bytes, by doubling from eight on; ``room`` is what is left of each one's text."""
     n = len(data)
-    rank = np.zeros(n, np.int64)
-    for i in range(4):
-        nxt = np.zeros(n, np.int64)
-        nxt[: max(n - i, 0)] = data[i:].astype(np.int64) + 1
-        rank = rank * 257 + np.where(room > i, nxt, 0)
-    order, h = np.argsort(rank), 4
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    rank = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n].copy().view(">u8").ravel().astype(np.uint64)
+    # What lies beyond the end of a text does not count; a shorter one comes first where that makes them equal.
+    short = np.flatnonzero(room < 8)
+    rank[short] &= ~((np.uint64(1) << (np.uint64(8) * (np.uint64(8) - room[short].astype(np.uint64)) - np.uint64(1)) << np.uint64(1)) - np.uint64(1))
+    order, h = np.argsort(rank), 8
+    less = np.minimum(room, 8)
+    parted = (rank[order][1:] != rank[order][:-1]) | (less[order][1:] != less[order][:-1])
+    if len(short):
+        order = np.lexsort((less, rank))
+        parted = (rank[order][1:] != rank[order][:-1]) | (less[order][1:] != less[order][:-1])
+    rank = np.empty(n, np.int64)
     while True:
-        parted = rank[order][1:] != rank[order][:-1]
+        rank[order] = np.concatenate([[1], np.cumsum(parted) + 1])
         if h >= depth or parted.all():
             return order
-        rank[order] = np.concatenate([[1], np.cumsum(parted) + 1])
         nxt = np.zeros(n, np.int64)
         nxt[: max(n - h, 0)] = rank[h:]
-        rank = rank * (n + 2) + np.where(room > h, nxt, 0)
-        order, h = np.argsort(rank), 2 * h
+        both = rank * (n + 2) + np.where(room > h, nxt, 0)
+        order, h = np.argsort(both), 2 * h
+        parted = both[order][1:] != both[order][:-1]
 
 
 def transform(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -272,23 +276,22 @@ def merge(shards: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray
             kinds, code = np.unique(np.concatenate([_before(p[0], p[1], q) for p in parts]), return_inverse=True)
             if len(kinds) <= CODES:
                 break
-    code = np.where(at >= q, code + 1, 0).astype(np.uint16)
+    code, left = np.where(at >= q, code + 1, 0).astype(np.uint16), room
     # By source, in the order of its suffix array: what is in play. In merged order: the interleave and the intervals.
-    interleave, interval = source, np.zeros(len(source), np.int32)
+    interleave, interval = source.astype(np.uint8 if len(parts) <= 256 else np.uint16), np.zeros(len(source), np.int64)
     for h in range(0, depth, q):
         merged = np.empty(len(interleave), np.uint16)
         merged[np.argsort(interleave, kind="stable")] = code
-        goes_on = np.flatnonzero(merged)
-        order = goes_on[np.argsort(merged[goes_on], kind="stable")]
-        by, before = merged[order], interval[order]
-        parted = (by[1:] != by[:-1]) | (before[1:] != before[:-1])
-        interleave, interval = interleave[order], np.concatenate([np.zeros(min(1, len(order)), np.int32), np.cumsum(parted, dtype=np.int32)])
-        live = room >= h + q
-        code, room, text, at = code[live], room[live], text[live], at[live]
+        live = left >= h + q
+        code, left = code[live], left[live]
+        order = np.argsort(merged, kind="stable")[len(merged) - len(code) :]  # those with a 0 come first and go
+        both = ((interval << 16) | merged)[order]
+        interleave, interval = interleave[order], np.zeros(len(order), np.int64)
+        np.cumsum(both[1:] != both[:-1], out=interval[1:])
     # The k-th suffix of a source in merged order is the k-th of its suffix array.
-    place = np.argsort(interleave, kind="stable")
-    merged_text, merged_at = np.empty_like(text), np.empty_like(at)
-    merged_text[place], merged_at[place] = text, at
+    whole, place = room >= depth, np.argsort(interleave, kind="stable")
+    merged_text, merged_at = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
+    merged_text[place], merged_at[place] = text[whole], at[whole]
     return interval, merged_text, merged_at
 
 
@@ -310,15 +313,40 @@ def repeated(texts: list[bytes], times: np.ndarray, rule: Rule) -> list[np.ndarr
     return np.split(flat, begin[1:])
 
 
+def _units(sizes: list[int], keys: list[int], most: int) -> Iterator[list[int]]:
+    """Numbers of pieces in units of about ``most`` bytes; ``keys`` are sorted and never divided."""
+    held, size = [], 0
+    for i, (n, k) in enumerate(zip(sizes, keys, strict=True)):
+        if held and size + n > most and k != keys[i - 1]:
+            yield held
+            held, size = [], 0
+        held.append(i)
+        size += n
+    if held:
+        yield held
+
+
 def _merge_groups(rule: Rule):
     def task(rows: pd.DataFrame) -> pd.DataFrame:
         """Back to the shards: the places of pieces, and which of their windows are repeated."""
-        kinds: dict[bytes, int] = {}
-        of = np.array([kinds.setdefault(p, len(kinds)) for p in rows["piece"]])
+        kinds: dict[tuple[int, bytes], int] = {}
+        of = np.array([kinds.setdefault(x, len(kinds)) for x in zip(rows["key"].tolist(), rows["piece"], strict=True)])
         times = np.bincount(of, rows["places"].to_numpy())
-        found = repeated(list(kinds), times, rule)
-        some = np.array([f.any() for f in found])[of]
-        return pd.DataFrame({"shard": rows["shard"][some], "packed": rows["packed"][some], "windows": [np.packbits(found[i]).tobytes() for i in of[some]], "n": [len(found[i]) for i in of[some]]})
+        several: dict[int, int] = {}
+        for k, _ in kinds:
+            several[k] = several.get(k, 0) + 1
+        found: dict[int, np.ndarray] = {}
+        numbered = sorted((k, i, p) for (k, p), i in kinds.items())
+        for k, i, p in numbered:
+            if several[k] == 1:
+                found[i] = np.full(len(p) - rule.window + 1, times[i] > 1)
+        merged = [x for x in numbered if several[x[0]] > 1]
+        for unit in _units([len(p) for _, _, p in merged], [k for k, _, _ in merged], rule.unit):
+            texts, numbers = [merged[j][2] for j in unit], [merged[j][1] for j in unit]
+            found.update(zip(numbers, repeated(texts, times[numbers], rule), strict=True))
+        some = np.array([found[i].any() for i in range(len(kinds))])[of]
+        packed = {i: np.packbits(f).tobytes() for i, f in found.items()}
+        return pd.DataFrame({"shard": rows["shard"][some], "packed": rows["packed"][some], "windows": [packed[i] for i in of[some]], "n": [len(found[i]) for i in of[some]]})
 
     return task
 
@@ -361,15 +389,17 @@ def strip_repeats(docs: DataFrame, keep: Sequence[str] = (), rule: Rule | None =
     shards = max(1, -(-size // shard_bytes))
     # All passes below deal texts out in the same way, so Spark shuffles them once.
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
-    known = None
-    for level in range(3):
-        schema = "key long, shard int, level int, kinds int, places int"
-        kinds = dealt.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(_keys(rule, level), schema) if level else dealt.groupBy("shard").applyInPandas(_keys(rule, 0), schema)
-        by_key = Window.partitionBy("key")  # one row a shard at most
+    schema = "key long, shard int, level int, kinds int, places int"
+    by_key = Window.partitionBy("key")  # one row a shard at most
+
+    def repeated_keys(kinds: DataFrame, busy: Column) -> DataFrame:
         counted = kinds.withColumn("places", F.sum("places").over(by_key)).withColumn("kinds", F.sum("kinds").over(by_key)).where("places > 1")
-        found = counted.select("key", "shard", "level", (F.col("kinds") > rule.busy) & F.lit(level < 2)).toDF("key", "shard", "level", "busy")
-        known = known.unionByName(found) if level else found
-    sent = dealt.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(_send(rule, shards), "group long, shard int, piece binary, places int, packed binary")
+        return counted.select("key", "shard", "level", busy).toDF("key", "shard", "level", "busy")
+
+    by_run = repeated_keys(dealt.groupBy("shard").applyInPandas(_keys(rule, 0), schema), F.col("kinds") > rule.busy)
+    by_window = repeated_keys(dealt.groupBy("shard").cogroup(by_run.groupBy("shard")).applyInPandas(_keys(rule, 1), schema), F.lit(False))
+    known = by_run.unionByName(by_window)
+    sent = dealt.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(_send(rule, shards), "group long, key long, shard int, piece binary, places int, packed binary")
     merged = sent.groupBy("group").applyInPandas(_merge_groups(rule), "shard int, packed binary, windows binary, n int")
     types = dict(docs.dtypes)
     schema = ", ".join(["doc_id string", *[f"{k} {types[c]}" for c, k in zip(keep, carried, strict=True)], "kept binary", "n_bytes long", "n_removed long", "n_spans long"])

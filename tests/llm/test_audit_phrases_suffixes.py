@@ -179,32 +179,31 @@ def odd_texts(rng, n):
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize(("window", "run", "chunk", "busy", "part"), [(40, 8, 8, 5, 700), (40, 12, 6, 10**6, 10**6), (24, 5, 4, 1, 300), (7, 3, 2, 3, 200)])
-def test_repeated_bytes_against_brute_force(spark, seed, window, run, chunk, busy, part):
-    """With keys so busy that they are dealt by chunks and by single windows, and with one or many transforms merged."""
+@pytest.mark.parametrize(("window", "run", "busy", "unit", "part"), [(40, 8, 5, 10**6, 700), (40, 12, 10**6, 2000, 10**6), (24, 5, 1, 900, 300), (7, 3, 3, 500, 200)])
+def test_repeated_bytes_against_brute_force(spark, seed, window, run, busy, unit, part):
+    """With keys so busy that they are dealt by single windows, and with one or many transforms merged."""
     texts = odd_texts(random.Random(seed), 25)
     rows = [(None if i % 11 == 3 else i // 2, t, None) for i, t in enumerate(texts)]
-    got = suffixes.strip_repeats(docs_of(spark, rows).repartition(3), ["phrase"], suffixes.Rule(window, run, chunk, busy, part), shard_bytes=3000).collect()
+    got = suffixes.strip_repeats(docs_of(spark, rows).repartition(3), ["phrase"], suffixes.Rule(window, run, busy, unit, part), shard_bytes=3000).collect()
     want = Counter((i, *x) for (i, _, _), x in zip(rows, strip_plainly([(t or "").encode() for t in texts], window), strict=True))
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == want
     assert {r["phrase"] for r in got} == {"x"}
 
 
-def test_busy_keys_reach_every_level():
+def test_equal_windows_share_a_key():
+    """With few and with all keys busy, every window is in one piece, and equal ones have one key."""
     texts = [t.encode() for t in odd_texts(random.Random(1), 25) if t]
-    rule = suffixes.Rule(40, 8, 8, 1)
-    keys = [np.sort(np.concatenate([k for level, k, *_ in suffixes.pieces(texts, rule) if level == 0]))]
-    keys.append(np.sort(np.concatenate([k for level, k, *_ in suffixes.pieces(texts, rule, keys) if level == 1])))
-    seen = defaultdict(set)
-    for hot in ([], keys[:1], keys):
-        windows = Counter()
-        for level, key, text, start, count in suffixes.pieces(texts, rule, hot):
+    rule = suffixes.Rule(40, 8)
+    keys = np.sort(np.concatenate([k for _, k, *_ in suffixes.pieces(texts, rule)]))
+    for busy, levels in ((None, {0}), (keys[::3], {0, 1}), (keys, {1})):
+        windows, seen = Counter(), defaultdict(set)
+        for level, key, text, start, count in suffixes.pieces(texts, rule, busy):
             for k, i, s, n in zip(key.tolist(), text.tolist(), start.tolist(), count.tolist()):
                 for j in range(s, s + n):
                     windows[i, j] += 1
-                    seen[level, texts[i][j : j + 40]].add(k)
+                    seen[texts[i][j : j + 40]].add((level, k))
         assert windows == Counter((i, j) for i, t in enumerate(texts) for j in range(len(t) - 39))
-    assert {level for level, _ in seen} == {0, 1, 2} and all(len(k) == 1 for k in seen.values())  # equal windows share a key
+        assert {level for k in seen.values() for level, _ in k} == levels and all(len(k) == 1 for k in seen.values())
 
 
 def test_long_text_in_spans(spark):
