@@ -1,8 +1,9 @@
 """Discouraged terms: every hit is counted, the first few of a page and rule are reported.
 
-The rule list is a parameter, so its patterns are part of the plan: pages are scanned once, each
-page is searched with the patterns of its language only, and hits and their offsets come from
-Spark's own functions: no Python worker runs.
+A short list of rules is a parameter, so its patterns are part of the plan: pages are scanned once,
+each page is searched with the patterns of its language only. Many rules are a table, which the
+words of pages are joined with. Hits and their offsets come from Spark's own functions: no
+Python worker runs.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import fragment, sentence_ends
+from ..sources.shared import checkpoint
 
 LANGUAGES = ("nl", "en")
 #: Hits of a page and rule that are reported.
@@ -65,6 +68,76 @@ def hits(pages: DataFrame, rules: Sequence[TermRule], reported: int | None = REP
         "position", "hits_on_page", "r.note", "r.owner")
 
 
+#: Words and what stands between them, in turn.
+PIECES = r"(?U)\w+|\W+"
+
+
+def rule_table(rules: DataFrame) -> DataFrame:
+    """(rule_id, lang, key, words, preferred, note, owner): rules (rule_id, lang, variant, preferred, note, owner) ready to be met by words.
+
+    A variant is found by whole words in any case, so it must begin and end with one.
+    """
+    pieces = F.regexp_extract_all("variant", F.lit(PIECES), F.lit(0))
+    out = rules.select("rule_id", "lang", F.lower("variant").alias("key"), pieces.alias("p"), "preferred", "note", "owner").where("key is not null and rule_id is not null")
+    bad = out.where((F.size("p") == 0) | ~F.element_at("p", 1).rlike(r"(?U)\w") | ~F.element_at("p", -1).rlike(r"(?U)\w")).select("rule_id", "key").limit(3).collect()
+    if bad:
+        raise ValueError("variants that do not begin and end with a word: " + "; ".join(f"{r['rule_id']}: {r['key']!r}" for r in bad))
+    return out.select("rule_id", "lang", "key", ((F.size("p") + 1) / 2).cast("int").alias("words"), "preferred", "note", "owner").dropDuplicates(["rule_id", "lang", "key"])
+
+
+def _first_of_overlapping(found: DataFrame) -> DataFrame:
+    """Of hits (page, rule_id, i, words) that overlap those that a reader from left to right meets, the longest at each place."""
+    page = Window.partitionBy("page", "rule_id").orderBy("i")
+    rows = found.groupBy("page", "rule_id", "i").agg(F.max("words").alias("words")).withColumn("end", F.col("i") + 2 * F.col("words") - 1)
+    before = F.max("end").over(page.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("apart", (before.isNull() | (F.col("i") >= before)).cast("int")).withColumn("cluster", F.sum("apart").over(page))
+    each = rows.groupBy("page", "rule_id", "cluster").agg(F.array_sort(F.collect_list(F.struct("i", "words", "end"))).alias("hits"))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<i: int, words: int, end: int>>").alias("kept"))
+    taken = F.aggregate("hits", start, lambda s, x: F.when(x["i"] >= s["end"], F.struct(x["end"].alias("end"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s))
+    alone = F.when(F.size("hits") == 1, F.col("hits")).otherwise(taken["kept"])
+    return each.select("page", "rule_id", F.explode(alone).alias("x")).select("page", "rule_id", "x.i", "x.words")
+
+
+def hits_of_table(pages: DataFrame, rules: DataFrame, reported: int | None = REPORTED, text: str = "text", url: str = "url", language: str = "lang") -> DataFrame:
+    """``hits`` for rules that are a table (rule_id, lang, variant, preferred, note, owner), however many there are.
+
+    Words and phrases of each page, of the lengths that variants have, meet the variants of its
+    language by an equi-join, so the plan is the same for ten rules and for ten thousand. Texts
+    take no part in that join; positions and fragments are worked out for what is reported.
+    """
+    table = checkpoint(rule_table(rules))
+    lengths = sorted(r["words"] for r in table.select("words").distinct().collect())  # as many as there are lengths of phrases
+    rows = pages.select(F.col(url).alias("url"), F.col(language).alias("lang"), F.col(text).alias("__text"))
+    page = F.xxhash64("url", "lang", "__text").alias("page")
+    pieces = F.regexp_extract_all("__text", F.lit(PIECES), F.lit(0))
+    cut = rows.join(table.select("lang").distinct(), "lang", "left_semi").select(page, "lang", pieces.alias("p")).where(F.size("p") > 0)
+    first = F.when(F.element_at("p", 1).rlike(r"(?U)\w"), 1).otherwise(2)
+
+    def grams(m: int) -> Column:
+        """Every phrase of ``m`` words: where it begins, and the text by which it is met."""
+        places = F.when(F.size("p") >= first + 2 * m - 2, F.sequence(first, F.size("p") - (2 * m - 2), F.lit(2))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(i.alias("i"), F.lit(m).alias("words"), F.lower(F.array_join(F.slice("p", i, 2 * m - 1), "")).alias("key")))
+
+    phrases = F.flatten(F.array(*map(grams, lengths))) if lengths else F.array().cast("array<struct<i: int, words: int, key: string>>")
+    met = cut.select("page", "lang", F.explode(phrases).alias("g")).select("page", "lang", "g.*").join(table.select("rule_id", "lang", "key"), ["lang", "key"])
+    chosen = _first_of_overlapping(met.select("page", "rule_id", "i", "words"))
+    by = Window.partitionBy("page", "rule_id")
+    counted = chosen.withColumn("hits_on_page", F.count("*").over(by).cast("int")).withColumn("__n", F.row_number().over(by.orderBy("i")))
+    counted = counted if reported is None else counted.where(F.col("__n") <= reported)
+    told = counted.groupBy("page").agg(F.collect_list(F.struct("rule_id", "i", "words", "hits_on_page")).alias("hits"))
+    back = rows.withColumn("page", page).join(told, "page").select("url", "lang", "__text", sentence_ends(F.col("__text")).alias("__ends"), pieces.alias("p"), F.explode("hits").alias("h"))
+    back = back.select("url", "lang", "__text", "__ends", "h.*", F.array_join(F.slice("p", F.col("h.i"), 2 * F.col("h.words") - 1), "").alias("term"), F.aggregate(F.slice("p", F.lit(1), F.col("h.i") - 1), F.lit(0), lambda n, x: n + F.length(x)).alias("position"))
+    out = back.withColumn("fragment", fragment(F.col("__text"), F.col("position"), F.length("term"), F.col("__ends"))).drop("__text", "__ends", "i", "words")
+    named = table.groupBy("rule_id").agg(*[F.min(c).alias(c) for c in ("preferred", "note", "owner")])
+    return out.join(named, "rule_id").select("rule_id", "term", "preferred", "url", "lang", "fragment", "position", "hits_on_page", "note", "owner")
+
+
+def as_table(spark: SparkSession, rules: Sequence[TermRule]) -> DataFrame:
+    """Rules as a table, a row for each variant and language."""
+    rows = [(r.id, lang, v, r.preferred, r.note, r.owner) for r in rules for lang in r.languages for v in r.variants]
+    return spark.createDataFrame(rows, "rule_id string, lang string, variant string, preferred string, note string, owner string")
+
+
 def summary(found: DataFrame) -> DataFrame:
     """(rule_id, hits, pages) over all hits, the most frequent first."""
     once = found.select("rule_id", "url", "hits_on_page").distinct()

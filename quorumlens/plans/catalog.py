@@ -221,6 +221,40 @@ def term_phrases(spark, sf_dir):
     return _hits(spark, sf_dir, TERMS, None).groupBy("rule_id", F.lower("term").alias("term")).agg(F.count("*").alias("hits"))
 
 
+@query(_oracles["term_hits"])
+def term_table_hits(spark, sf_dir):
+    """Rules as a table, met by words."""
+    found = terms.hits_of_table(_table(spark, sf_dir, "documents"), terms.as_table(spark, SIMPLE_TERMS), url="doc_id")
+    return found.select("rule_id", F.col("url").alias("doc_id"), "term", "position", "hits_on_page")
+
+
+@query(_oracles["term_phrases"])
+def term_table_phrases(spark, sf_dir):
+    """Rules as a table, with variants of several words: every hit."""
+    found = terms.hits_of_table(_table(spark, sf_dir, "documents"), terms.as_table(spark, TERMS), None, url="doc_id")
+    return found.groupBy("rule_id", F.lower("term").alias("term")).agg(F.count("*").alias("hits"))
+
+
+@query("""
+WITH b AS (SELECT item_id, regexp_extract_all(text, '[\\pL\\pN_]+') AS w FROM benchmark),
+r AS (SELECT DISTINCT item_id, lower(w[i] || ' ' || w[i + 1]) AS key FROM b, unnest(range(1, len(w))) AS t(i)),
+l AS (SELECT doc_id, regexp_extract_all(text, '[\\pL\\pN_]+|[^\\pL\\pN_]+') AS l FROM documents WHERE lang = 'en'),
+p AS (SELECT doc_id, lower(unnest(l)) AS piece, generate_subscripts(l, 1) AS i FROM l),
+g AS (SELECT doc_id, i, lag(piece, 2) OVER w || lag(piece, 1) OVER w || piece AS key FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT item_id, doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY item_id, doc_id ORDER BY i) > 2, true) AS new FROM g JOIN r USING (key)),
+c AS (SELECT item_id, doc_id, i, sum(new::INTEGER) OVER (PARTITION BY item_id, doc_id ORDER BY i) AS run FROM f),
+n AS (SELECT item_id, doc_id, run, count(*) AS k FROM c GROUP BY ALL)
+SELECT 'item ' || item_id AS rule_id, count(DISTINCT doc_id) AS pages, sum((k + 1) // 2)::BIGINT AS hits FROM n GROUP BY item_id""")
+def term_table_many(spark, sf_dir):
+    """Thousands of variants: every two neighbouring words of a benchmark item are a variant of its rule; of overlapping hits every other one counts."""
+    words = F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, 2), " "))
+    rules = _table(spark, sf_dir, "benchmark").select("item_id", words.alias("w")).where("size(w) > 1").select(F.concat(F.lit("item "), "item_id").alias("rule_id"), F.explode(pairs).alias("variant"))
+    rules = rules.withColumns({"lang": F.lit("en"), "preferred": F.lit(""), "note": F.lit(""), "owner": F.lit("")})
+    found = terms.hits_of_table(_table(spark, sf_dir, "documents"), rules, None, url="doc_id")
+    return found.groupBy("rule_id").agg(F.countDistinct("url").alias("pages"), F.count("*").alias("hits"))
+
+
 @query("SELECT doc_id, substr(sha256(text), 1, 16) AS content_hash FROM documents")
 def content_hash(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", hashing.content_hash(F.col("text")).alias("content_hash"))
