@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Words are maximal runs without ASCII white space (space, tab to carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -108,16 +109,26 @@ def bucket_of(column: str, modulus: int) -> Column:
 
 
 def sample_by_class(labelled: DataFrame, label: str, bound: int, counts: dict) -> DataFrame:
-    """About ``bound`` rows of each class (all rows of a class that has fewer), the same on every run.
+    """About ``bound`` documents of each class (all of a class that has fewer), one row each, the same on every run.
 
-    ``counts`` are the classes' row counts over all data. A row is taken if the hash of its
-    doc_id falls below its class's share, so one scan serves all classes, nothing is
-    shuffled, and a hot class costs no more than another. Rows that share a doc_id are taken
-    together: the first rows by label and doc_id, twice ``bound`` a class in all, are kept.
+    ``counts`` are the classes' row counts over all data. A document is taken if the hash of its
+    doc_id falls below its class's share of documents, so one scan serves all classes and only what is taken is
+    shuffled. Rows that share doc_id and class are one document; of their other columns those of least
+    hash are taken. Each class has a bound of its own: at most ``2 * bound`` documents.
     """
-    share = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, min(1.0, bound / max(n, 1)))])
+    found = {r[label]: r["d"] for r in labelled.groupBy(label).agg(F.approx_count_distinct("doc_id").alias("d")).collect()}
+    # Without repeated documents the counts of rows are exact, and better than an estimate.
+    size = {c: n if found.get(c, 0) >= 0.9 * n else found[c] for c, n in counts.items() if found.get(c)}
+    if not size:
+        return labelled.limit(0)
+    share = F.create_map(*[F.lit(x) for c, n in size.items() for x in (c, min(1.0, bound / max(n, 1)))])
     draw = F.xxhash64(F.col("doc_id"), F.lit(17)).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
-    return labelled.where(draw < share[F.col(label)]).orderBy(label, "doc_id").limit(2 * bound * len(counts))
+    rest = [c for c in labelled.columns if c not in ("doc_id", label)]
+    taken = labelled.where(draw < share[F.col(label)]).withColumn("__draw", draw)
+    one = F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("__x") if rest else F.count(F.lit(1)).alias("__x")
+    once = taken.groupBy("doc_id", label, "__draw").agg(one)
+    within = once.withColumn("__n", F.row_number().over(Window.partitionBy(label).orderBy("__draw", "doc_id"))).where(F.col("__n") <= 2 * bound)
+    return within.select("doc_id", label, *[F.col(f"__x.{c}").alias(c) for c in rest]).select(*labelled.columns)
 
 
 def isotonic(positives: list[float], totals: list[float]) -> list[float]:

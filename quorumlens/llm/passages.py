@@ -24,8 +24,8 @@ Two different windows of one key that agree in 48 bits would hide a repeat (they
 nothing); a key that is not busy has few windows, so the chance is about 1 in 10**10 a key.
 
 Defined results: null text has no words and comes back as an empty text; rows with a null
-doc_id neither remove nor lose words; rows that share a doc_id are one document, so equal
-starts in them do not remove each other; words are left unchanged and joined by one space;
+doc_id neither remove nor lose words; rows that share a doc_id are one document, of whose equal
+windows the least start counts, and equal starts in them do not remove each other; words are left unchanged and joined by one space;
 empty input gives no row; columns other than those asked for are ignored.
 """
 
@@ -99,6 +99,9 @@ def _settle(block: list[tuple[int, str]], window: int, run: int) -> pd.DataFrame
     h, k, d, s = map(np.concatenate, (hashes, keys, docs, starts))
     if not len(h):
         return pd.DataFrame(columns=["key", "doc", "start", "size", "hashes", "src_doc", "src_start"])
+    if len({doc for doc, _ in block}) < len(block):  # rows of one document: of equal windows the least start comes first
+        order = np.lexsort((s, d))
+        h, k, d, s = h[order], k[order], d[order], s[order]
     _, first, which = np.unique(h, return_index=True, return_inverse=True)
     source = first[which]
     new = source == np.arange(len(h))
@@ -110,7 +113,7 @@ def _settle(block: list[tuple[int, str]], window: int, run: int) -> pd.DataFrame
         ones, at = at[busy[of]], at[~busy[of]]
         frames.append(pd.DataFrame({"key": _single(k[ones], h[ones]).view(np.int64), "doc": d[ones], "start": s[ones], "size": np.int32(ONE), "hashes": b"", "src_doc": np.int64(0), "src_start": np.int32(0)}))
         frames.append(pd.DataFrame({"key": kinds[busy].view(np.int64), "doc": np.iinfo(np.int64).min, "start": np.int32(-1), "size": np.int32(MARK), "hashes": b"", "src_doc": np.int64(0), "src_start": np.int32(0)}))
-    begin = _bounds(np.diff(at) != 1, np.diff(d[at]) != 0, np.diff(k[at].view(np.int64)) != 0)
+    begin = _bounds(np.diff(at) != 1, np.diff(d[at]) != 0, np.diff(s[at]) != 1, np.diff(k[at].view(np.int64)) != 0)
     end = np.append(begin[1:], len(at))
     raw = h[at].view(np.uint8).reshape(-1, 8)[:, :PACKED].tobytes()
     if len(at):
@@ -120,7 +123,7 @@ def _settle(block: list[tuple[int, str]], window: int, run: int) -> pd.DataFrame
     at = np.flatnonzero(~new)
     if len(at):
         src = source[at]
-        begin = _bounds(np.diff(at) != 1, np.diff(d[at]) != 0, np.diff(src) != 1, np.diff(d[src]) != 0)
+        begin = _bounds(np.diff(at) != 1, np.diff(d[at]) != 0, np.diff(s[at]) != 1, np.diff(src) != 1, np.diff(d[src]) != 0, np.diff(s[src]) != 1)
         end = np.append(begin[1:], len(at))
         i, j = at[begin], src[begin]
         frames.append(pd.DataFrame({"key": d[i], "doc": d[i], "start": s[i], "size": (end - begin).astype(np.int32), "hashes": None, "src_doc": d[j], "src_start": s[j]}))
@@ -195,9 +198,13 @@ def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             for i in range(0, len(r), PACKED):
                 here = d, s
-                before = seen.setdefault(r[i : i + PACKED], here)
-                if before != here:
+                window = r[i : i + PACKED]
+                before = seen.setdefault(window, here)
+                if before < here:
                     out.append((d, s, *before))
+                elif before > here:  # several rows of one document
+                    out.append((*before, d, s))
+                    seen[window] = here
                 s += 1
         k = int(b["key"].iloc[-1])
         if k != last:
@@ -278,7 +285,9 @@ def _read(window: int):
                 if isinstance(text, str) and not pd.isna(doc) and (g := wanted.get(int(doc))) is not None:
                     words = text.encode("utf-8", "surrogatepass").split()
                     for start, size, to in zip(g["src_start"], g["size"], g["to"], strict=True):
-                        out.append((to, int(doc), start, b" ".join(words[start : start + size + window - 1])))
+                        passage = words[start : start + size + window - 1]
+                        if len(passage) >= window:  # another row of the document may be shorter
+                            out.append((to, int(doc), start, b" ".join(passage)))
         return pd.DataFrame(out, columns=["to", "src_doc", "src_start", "words"])
 
     return task

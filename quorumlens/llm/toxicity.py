@@ -245,7 +245,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", docs_per_
         # The sample's bound is proven, so it may be broadcast: documents are not shuffled to find it.
         picked = sample_by_class(marks, "y", docs_per_class, counts)
         half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")
-        sample = docs.where(~held_out()).join(F.broadcast(picked), "doc_id").select("text", "y", half).persist()
+        found = docs.where(~held_out()).join(F.broadcast(picked), "doc_id")
+        # Rows that share a doc_id are one document here, so they cannot outgrow the bound.
+        sample = found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y", half).persist()
         try:
             weights = token_weights(sample)
             models = [(w, *extreme_value(rows, w)) for w, rows in zip(weights, (sample, sample.where("half = 0"), sample.where("half = 1")), strict=True)]

@@ -397,3 +397,17 @@ def test_segments_are_the_maximal_ones():
         assert n == len(words)
         assert [(a, b) for a, b, _ in found] == [(a, b) for a, b, _ in brute_segments(scores)]
         assert [s for _, _, s in found] == pytest.approx([s for _, _, s in brute_segments(scores)])
+
+
+def test_samples_by_class_hold_every_class(spark):
+    """Rows of one document are drawn as one, and no class pushes another out."""
+    from quorumlens.llm.common import sample_by_class
+
+    rows = [(1, 0, f"x{i}") for i in range(60)] + [(100 + i, 1, "y") for i in range(300)] + [(7, 2, None), (7, 2, None), (8, 2, "b")]
+    marks = spark.createDataFrame(rows, "doc_id long, y int, text string").repartition(5)
+    counts = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
+    got = sample_by_class(marks, "y", 5, counts).collect()
+    by = {y: [r for r in got if r["y"] == y] for y in (0, 1, 2)}
+    assert len(by[0]) == 1 and 1 <= len(by[1]) <= 10 and sorted(r["doc_id"] for r in by[2]) == [7, 8]
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, sample_by_class(marks.repartition(2), "y", 5, counts).collect()), key=repr)
+    assert sample_by_class(marks.limit(0), "y", 5, {}).isEmpty()

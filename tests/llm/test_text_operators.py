@@ -195,6 +195,39 @@ def test_substring_dedup_odd_rows(spark, odd):
     assert passages.strip_repeats(odd.limit(0)).isEmpty()
 
 
+def strip_rows_plainly(rows, window=20):
+    """Of rows that may share a doc_id: (words, removed, what is left) of each, by the least (doc_id, start) of equal windows."""
+    split = [(i, (t or "").split()) for i, t in rows]
+    first = {}
+    for i, w in split:
+        for s in range(len(w) - window + 1 if i is not None else 0):
+            k = tuple(w[s : s + window])
+            first[k] = min(first.get(k, (i, s)), (i, s))
+    out = []
+    for i, w in split:
+        gone = set()
+        for s in range(len(w) - window + 1 if i is not None else 0):
+            if first[tuple(w[s : s + window])] < (i, s):
+                gone |= set(range(s, s + window))
+        out.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 7])
+@pytest.mark.parametrize("block", [300, 6 << 20])
+def test_rows_of_one_document_do_not_depend_on_how_they_lie(spark, monkeypatch, partitions, block):
+    monkeypatch.setattr(passages, "BLOCK", block)
+    w, rng = " ".join(f"w{i}" for i in range(25)), random.Random(7)
+    rows = [(5, " ".join(f"p{i}" for i in range(30)) + " " + w, "s"), (5, w, "s"), (5, "short", "s"), (4, "x " + " ".join(f"q{i}" for i in range(22)), "s"), (5, "y z " + " ".join(f"q{i}" for i in range(22)), "s"), (None, w, "s")]
+    for _ in range(60):
+        at = rng.randrange(0, 60)
+        rows.append((rng.randrange(8, 14), " ".join([f"u{rng.random()}"] * rng.randrange(3) + [f"v{i}" for i in range(at, at + rng.randrange(5, 40))]), "s"))
+    rng.shuffle(rows)
+    got = passages.strip_repeats(docs_of(spark, rows).coalesce(1) if partitions == 1 else docs_of(spark, rows).repartition(partitions)).collect()
+    want = Counter(strip_rows_plainly([(i, t) for i, t, _ in rows]))
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in got) == want
+
+
 # -- near duplicates ------------------------------------------------------------------------
 
 
