@@ -15,12 +15,18 @@ from pyspark.sql import functions as F
 
 from .operators import detectors, findings, terms, urls
 from .sources import collect, html, io, report, rules, web
+from .sources.shared import checkpoint
 
 
 def session() -> SparkSession:
     return SparkSession.builder.appName("quorumlens").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+def now() -> str:
+    """The time of fetching, in UTC, to the second."""
+    return datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds")
+
+
 def check(spark: SparkSession, families: Sequence[rules.Family], tables: dict[str, DataFrame], claims: Sequence = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(findings, finding pages, warnings) of families: their detectors in their order, capped each."""
     table = spark.createDataFrame([(f.id, f.min_members, float(f.min_share), list(f.detectors)) for f in families], "family string, min_members int, min_share double, detectors array<string>")
@@ -40,7 +46,7 @@ def _controleer(spark: SparkSession, a: argparse.Namespace, transport: web.Trans
         if a.limiet:
             pages = pages.orderBy("url").limit(a.limiet)
     else:
-        pages, errors = collect.snapshot(spark, family, f"{a.naar}/cache", a.date, a.limiet, transport)
+        pages, errors = collect.snapshot(spark, family, f"{a.naar}/cache", now(), a.limiet, transport)
         io.write_snapshot(pages, f"{a.naar}/snapshots", a.date)
         pages = io.read_snapshot(spark, f"{a.naar}/snapshots/dt={a.date}/family={family.id}")
         failed = errors.orderBy("url").limit(findings.CAP).collect()
@@ -60,22 +66,18 @@ def _controleer(spark: SparkSession, a: argparse.Namespace, transport: web.Trans
     return _write_report(spark, listed, a.naar, f"{a.naar}/report.html")
 
 
-def _panels(spark: SparkSession, families: Sequence[rules.Family], folder: str) -> list[tuple[rules.Family, str, int, str]]:
-    """(family, date, number of findings, panel) of the families that have a run, in the order of the rules."""
-    runs = {r["family"]: r.asDict() for r in io.latest(spark, f"{folder}/runs").collect()}
-    rows, pages = spark.read.parquet(f"{folder}/findings"), spark.read.parquet(f"{folder}/pages")
-    out = []
-    for f in families:
-        if f.id in runs:
-            mine, of = (x.where((F.col("family") == f.id) & (F.col("dt").cast("string") == runs[f.id]["dt"])) for x in (rows, pages))
-            out.append((f, runs[f.id]["dt"], mine.count(), report.panel(mine, f.id, runs[f.id]["dt"], f.name, of.drop("family", "dt"), None, runs[f.id])))
-    return out
+def _panels(spark: SparkSession, families: Sequence[rules.Family], folder: str) -> DataFrame:
+    """The panels of the families that have a run, with what was decided about their pages (``dispositions`` in the folder)."""
+    listed = spark.createDataFrame([(f.id, f.name, i) for i, f in enumerate(families)], "family string, name string, place int")
+    runs = listed.join(io.latest(spark, f"{folder}/runs").select("family", "dt", "pages", "warnings"), "family")
+    dated = lambda name: spark.read.option("partitionColumnTypeInference.enabled", "false").parquet(f"{folder}/{name}").withColumn("dt", F.col("dt").cast("string"))
+    return report.panels(dated("findings").drop("place"), runs, dated("pages"), io.read_dispositions(spark, f"{folder}/dispositions"))
 
 
 def _write_report(spark: SparkSession, families: Sequence[rules.Family], folder: str, path: str) -> int:
-    panels = _panels(spark, families, folder)
+    panels = _panels(spark, families, folder).orderBy("place").collect()  # a bounded panel for each family of the rules
     with open(path, "w", encoding="utf-8") as f:
-        f.write(report.families_report([(x.id, x.name, html_) for x, _, _, html_ in panels]))
+        f.write(report.families_report([(r["family"], r["name"], r["html"]) for r in panels]))
     return 0 if panels else 1
 
 
@@ -87,12 +89,14 @@ def _rapport(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def _publiceer(spark: SparkSession, a: argparse.Namespace) -> int:
-    panels = _panels(spark, rules.load_families(a.rules), a.van) if io.exists(spark, f"{a.van}/runs") else []
-    if not panels:
+    if not io.exists(spark, f"{a.van}/runs"):
+        print("no family has been checked yet", file=sys.stderr)
+        return 1
+    panels = checkpoint(_panels(spark, rules.load_families(a.rules), a.van))
+    if panels.isEmpty():
         print("no family has been checked yet", file=sys.stderr)
         return 1
-    rows = [(f.id, f.name, dt, i, n, html_) for i, (f, dt, n, html_) in enumerate(panels)]
-    io.publish_panels(spark.createDataFrame(rows, io.PANELS), a.naar)
+    io.publish_panels(panels, a.naar)
     return 0
 
 
@@ -118,7 +122,7 @@ def _invarianten(spark: SparkSession, a: argparse.Namespace, transport: web.Tran
 
 def _verken(spark: SparkSession, a: argparse.Namespace, transport: web.Transport = web.over_http) -> int:
     sites, _ = rules.load_sites(a.sites)
-    pages = collect.site_urls(spark, [s.base_url for s in sites], transport).persist()
+    pages = collect.site_urls(spark, [s.base_url for s in sites], transport, cache=a.cache).persist()
     some = False
     for s in sites:
         for r in urls.path_stats(pages.where(F.col("base_url") == s.base_url), a.diepte).orderBy(F.desc("n"), "prefix").limit(a.top).collect():
@@ -133,7 +137,7 @@ def _crawl(spark: SparkSession, a: argparse.Namespace, transport: web.Transport
     if not a.hele_site and any(not s.paths for s in sites):
         print("a site has no paths; use --hele-site to take all of it", file=sys.stderr)
         return 2
-    parts = [collect.corpus(spark, s, a.cache, a.date, a.max_paginas or most, a.hele_site, transport) for s in sites]
+    parts = [collect.corpus(spark, s, a.cache, now(), a.max_paginas or most, a.hele_site, transport) for s in sites]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -176,7 +180,7 @@ def parser() -> argparse.ArgumentParser:
     add("rapport", _rapport, "--rules", "--van", "--naar")
     add("publiceer", _publiceer, "--rules", "--van", "--naar")
     add("invarianten", _invarianten, "--rules", "--familie", "--index")
-    add("verken", _verken, "--sites", diepte={"type": int, "default": 2}, top={"type": int, "default": 25})
+    add("verken", _verken, "--sites", cache={}, diepte={"type": int, "default": 2}, top={"type": int, "default": 25})
     add("crawl", _crawl, "--sites", "--uit", "--cache", max_paginas={"type": int}, hele_site={"action": "store_true"})
     add("check", _check, "--corpus", "--regels", "--uit", sites={}, strict={"action": "store_true"})
     return p

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import casefold, search_key
@@ -19,7 +19,7 @@ def latest(updates: DataFrame) -> DataFrame:
     return rows.where(F.col("status") != OPEN)
 
 
-def page_states(pages: DataFrame, dispositions: DataFrame, check_date: str) -> DataFrame:
+def page_states(pages: DataFrame, dispositions: DataFrame, check_date: str | Column) -> DataFrame:
     """(finding_id, url, state, handled) of each page of a finding.
 
     Ignoring holds while the evidence is the same; a fix holds until a later check still

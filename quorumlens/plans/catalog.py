@@ -653,6 +653,24 @@ def paired_pages(spark, sf_dir):
     return o.select("o_orderkey", F.concat(F.lit("["), F.array_join(F.transform(pairs, one), ", "), F.lit("]")).alias("pairs"))
 
 
+@query("""WITH c AS (SELECT c_nationkey AS n, c_custkey AS k, c_mktsegment AS s FROM customer),
+f AS (SELECT n, count(*) AS size, string_agg(CASE WHEN k % 5 = 0 THEN 'no value' ELSE 'land ' || k || ': ' || s END, ' | ' ORDER BY k) AS told FROM c GROUP BY n),
+v AS (SELECT n, count(*) AS c, string_agg(s, '|~|' ORDER BY k) AS every_, arg_min('land ' || k, k) AS first FROM c WHERE k % 5 <> 0 GROUP BY n)
+SELECT sha1('values|~|' || c.n) AS finding_id, 'page ' || k AS url, CASE WHEN v.c = size THEN 'land ' || k ELSE first END AS variant,
+  sha1('page ' || k || '|~|' || CASE WHEN v.c = size THEN s ELSE every_ END) AS evidence_hash FROM c JOIN f USING (n) JOIN v USING (n)""")
+def stored_pages(spark, sf_dir):
+    """Findings written as JSON, one for each nation, and their pages read back with what each shows."""
+    c = _table(spark, sf_dir, "customer")
+    part = F.when(F.col("c_custkey") % 5 == 0, "no value").otherwise(F.concat(F.lit("land "), "c_custkey", F.lit(": "), "c_mktsegment"))
+    rows = F.array_sort(F.collect_list(F.struct("c_custkey", part.alias("t"))))
+    found = c.groupBy("c_nationkey").agg(rows.alias("x")).select(
+        F.lit("values").alias("regel_id"), F.transform("x", lambda r: F.concat(F.lit("page "), r["c_custkey"])).alias("urls"), F.array_join(F.transform("x", lambda r: r["t"]), " | ").alias("waargenomen"),
+        hashing.joined_hash(F.lit("values"), F.col("c_nationkey").cast("string")).alias("vingerafdruk"))
+    folder = scratch(spark, "json")
+    found.write.json(folder)
+    return io.read_findings_json(spark, folder).select("finding_id", "url", "variant", "evidence_hash")
+
+
 # -- sitemaps and health --------------------------------------------------------------------
 
 _HOST = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
@@ -791,9 +809,10 @@ def finding_handled(spark, sf_dir):
 SELECT event_type, dt, count(*) AS n FROM d JOIN m USING (event_type, dt) GROUP BY ALL""")
 def latest_snapshot(spark, sf_dir):
     """The rows of each family's latest date, dates being compared as text."""
-    e = _table(spark, sf_dir, "events").withColumn("dt", F.date_format("ts", "yyyy-MM-dd"))
-    newest = e.groupBy("event_type").agg(F.max("dt").alias("dt"))
-    return e.join(newest, ["event_type", "dt"]).groupBy("event_type", "dt").agg(F.count("*").alias("n"))
+    e = _table(spark, sf_dir, "events").select(F.col("event_type").alias("family"), F.date_format("ts", "yyyy-MM-dd").alias("dt"), "event_id")
+    folder = scratch(spark, "findings")
+    e.repartition("dt", "family").write.partitionBy("dt", "family").parquet(folder)
+    return io.latest(spark, folder).groupBy(F.col("family").alias("event_type"), "dt").agg(F.count("*").alias("n"))
 
 
 @query("WITH " + _DISPOSITIONS.format(date=CHECK_DATE) + """, f AS (SELECT finding_id, bool_and(state IN ('genegeerd', 'gefixt')) AS handled FROM st GROUP BY finding_id)

@@ -13,10 +13,10 @@ from . import html, web
 from .rules import Family, Site
 
 
-def site_urls(spark: SparkSession, sites: list[str], transport: web.Transport = web.over_http, pause: float = web.PAUSE) -> DataFrame:
-    """(base_url, url) of sites by the first of their candidate sitemaps that gives any URL."""
+def site_urls(spark: SparkSession, sites: list[str], transport: web.Transport = web.over_http, pause: float = web.PAUSE, cache: str | None = None) -> DataFrame:
+    """(base_url, url) of sites by the first of their candidate sitemaps that gives any URL; sitemaps come through a ``cache`` if there is one."""
     base = spark.createDataFrame([(s,) for s in sites], "base_url string")
-    read = lambda rows: web.fetch(rows, transport, pause)
+    read = lambda rows: web.fetch_cached(rows, cache, transport, pause) if cache else web.fetch(rows, transport, pause)
     robots = read(base.select(F.concat(F.regexp_extract("base_url", "^([A-Za-z]+://[^/]+)", 1), F.lit("/robots.txt")).alias("url")).distinct())
     robots = robots.select(F.regexp_extract("url", "^([A-Za-z]+://[^/]+)", 1).alias("host"), F.col("html").alias("robots"))
     tried = urls.candidates(base.withColumn("host", F.regexp_extract("base_url", "^([A-Za-z]+://[^/]+)", 1)).join(robots, "host", "left"))

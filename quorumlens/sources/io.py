@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import joined_hash
 from ..operators.disposition import OPEN, stamped
+from ..operators.findings import paired
 from . import buckets
 
 # The fields of stored pages and corpora.
@@ -76,6 +78,23 @@ def export_json(rows: DataFrame, path: str, *order: str) -> None:
     rows.orderBy(*order).select(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
+# Fixed shape of findings as they are exchanged: what was observed is "variant: value | variant: value".
+FINDINGS_JSON = "regel_id string, soort string, titel string, urls array<string>, waargenomen string, categorie string, vingerafdruk string"
+
+
+def read_findings_json(spark: SparkSession, path: str) -> DataFrame:
+    """(finding_id, rule, url, variant, values, evidence_hash): the pages of findings that were exchanged as JSON, each with what it shows.
+
+    Where there are as many variants as URLs each page has its own; or else every page has all.
+    """
+    rows = spark.read.schema(FINDINGS_JSON).json(path).where("vingerafdruk is not null")
+    parts = F.transform(F.split("waargenomen", r" \| ", -1), lambda x: F.struct(F.regexp_extract(x, "(?s)^(.*?): ", 1).alias("variant"), F.regexp_extract(x, "(?s)^.*?: (.*)$", 1).alias("value")))
+    told = F.filter(F.coalesce(parts, F.array().cast("array<struct<variant: string, value: string>>")), lambda x: x["value"] != "")
+    of = rows.select(F.col("vingerafdruk").alias("finding_id"), F.col("regel_id").alias("rule"), F.explode(paired(F.col("urls"), told)).alias("p"))
+    values = F.transform("p.values", lambda x: x["value"])
+    return of.select("finding_id", "rule", "p.url", F.coalesce(F.get("p.values", F.lit(0))["variant"], "p.url").alias("variant"), values.alias("values"), joined_hash(F.col("p.url"), values).alias("evidence_hash"))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where = type_path(spark, path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

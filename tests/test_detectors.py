@@ -208,6 +208,7 @@ def test_dispositions(spark):
 
 
 def test_disposition_stream(spark, tmp_path):
+    from quorumlens.sources import buckets
     from quorumlens.streaming import dispositions as S
 
     schema = "finding_id string, url string, status string, evidence_hash string, checked string, ts long, seq long"
@@ -215,8 +216,7 @@ def test_disposition_stream(spark, tmp_path):
     for status, ts in (("gefixt", 1), ("negeren", 3), ("open", 2)):
         spark.createDataFrame([("f", "u", status, "h", "d", ts, ts)], schema).coalesce(1).write.mode("append").parquet(src)
         S.upsert(S.read_updates(spark, src, schema), out, mark).awaitTermination()
-    assert [(r["status"], r["ts"]) for r in spark.read.parquet(f"{out}/version=2").collect()] == [("negeren", 3)]
-    assert not (tmp_path / "out" / "version=0").exists()  # only the newest versions stay
+    assert [(r["status"], r["ts"]) for r in buckets.read(spark, out, schema).collect()] == [("negeren", 3)]
 
 
 def test_activity_stream(spark, tmp_path):

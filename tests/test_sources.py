@@ -82,8 +82,7 @@ def test_files(spark, tmp_path):
     assert sorted((r["family"], r["dt"]) for r in io.latest(spark, str(tmp_path / "out")).collect()) == [("f", "2024-01-10"), ("g", "2024-01-02")]
     for made in ([("f", "old"), ("g", "kept")], [("f", "new")], [("h", "more")]):
         io.publish_panels(spark.createDataFrame([(f, f, "2024-01-01", 0, 1, h) for f, h in made], io.PANELS), str(tmp_path / "p"))
-    assert sorted((r["family"], r["html"]) for r in io.read_version(spark, str(tmp_path / "p"), io.PANELS).collect()) == [("f", "new"), ("g", "kept"), ("h", "more")]
-    assert io.versions(spark, str(tmp_path / "p")) == [1, 2]
+    assert sorted((r["family"], r["html"]) for r in io.read_panels(spark, str(tmp_path / "p")).collect()) == [("f", "new"), ("g", "kept"), ("h", "more")]
 
 
 def test_what_is_written_can_be_read_back(spark, tmp_path):
@@ -213,7 +212,7 @@ def test_commands_over_a_site(spark, tmp_path, monkeypatch):
     panel = spark.createDataFrame([("old", "Old", "2020-01-01", 0, 1, "<p>")], io.PANELS)
     io.publish_panels(panel, at("panels"))
     assert cli.main(["publiceer", "--rules", at("f.yaml"), "--van", at("out"), "--naar", at("panels")]) == 0
-    assert {r["family"] for r in io.read_version(spark, at("panels"), io.PANELS).collect()} == {"old", "visum"}
+    assert {r["family"] for r in io.read_panels(spark, at("panels")).collect()} == {"old", "visum"}
     assert cli.main(["verken", "--sites", at("s.yaml")]) == 0
     crawl = ["crawl", "--sites", at("s.yaml"), "--uit", at("corpus"), "--cache", at("cache"), "--max-paginas", "3"]
     assert cli.main(crawl) == 0
