@@ -52,7 +52,7 @@ def amount_text(raw: Column) -> Column:
     digits = F.translate(body, ".,", "")
     plain = lambda x: F.coalesce(F.nullif(F.ltrim(x, F.lit("0")), F.lit("")), F.lit("0"))
     with_cents = F.concat(plain(F.substring(digits, F.lit(1), F.length(digits) - 2)), F.lit("."), F.substring(digits, -2, 2))
-    return F.when(body == "", None).when(cents.isNotNull(), with_cents).when(group.isNotNull(), F.concat(plain(digits), F.lit(".00"))).otherwise(plain(digits))
+    return F.when(body == "", None).when(cents.isNotNull(), with_cents).when(group.isNotNull(), F.concat(plain(digits), F.lit(".00"))).when(body != "", plain(digits))
 
 
 def amount(raw: Column) -> Column:

@@ -1024,6 +1024,22 @@ def page_outline(spark, sf_dir):
     return html.outline(events).select("url", "ord", "step", "title", "level", "text", F.array_join(F.transform("headings", lambda h: h["text"]), "; ").alias("headings"))
 
 
+@query("""WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS family, regexp_extract(rtrim(url, '/'), '([^/]*)$', 1) AS variant,
+  replace(replace(replace(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages),
+s AS (SELECT DISTINCT '2024-01-01' AS dt, family, url, variant, title FROM p UNION ALL SELECT DISTINCT '2024-01-02', family, url, variant, title FROM p WHERE page_id % 3 > 0)
+SELECT dt, family, url, variant, title FROM s WHERE (family, dt) IN (SELECT (family, max(dt)) FROM s GROUP BY family)""")
+def snapshot_copy(spark, sf_dir):
+    """Pages parsed, stored as snapshots of two dates with hosts as families, and the newest of each family read back."""
+    p = _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("family"), "url", "html")
+    folder = scratch(spark, "snapshots")
+    for date, some in (("2024-01-01", p), ("2024-01-02", p.where("page_id % 3 > 0"))):
+        parsed = html.parse(some.dropDuplicates(["url"]), strict=False)
+        io.write_snapshot(html.snapshot_pages(parsed, "source", "en", f"{date}T00:00:00+00:00", F.lit(200)), folder, date)
+    stored = io.read_snapshots(spark, folder)
+    newest = stored.select("family", "dt").distinct().groupBy("family").agg(F.max("dt").alias("dt"))
+    return stored.join(newest, ["family", "dt"], "left_semi").select("dt", "family", "url", F.col("familie_sleutel").alias("variant"), F.col("titel").alias("title"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

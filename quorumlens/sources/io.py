@@ -41,10 +41,22 @@ def snapshot_tables(pages: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+#: Pages of a family that share a file; smaller families are one file, sorted by URL, that can be compared line by line.
+PER_FILE = 20_000
+
+
 def write_snapshot(pages: DataFrame, path: str, date: str) -> None:
-    """A snapshot partitioned by date and family; files are sorted by URL inside."""
-    rows = pages.withColumn("dt", F.lit(date)).withColumn("family", F.col("familie"))
-    rows.repartition("dt", "family", F.pmod(F.xxhash64("url"), F.lit(64))).sortWithinPartitions("family", "url").write.mode("overwrite").partitionBy("dt", "family").json(path)
+    """A snapshot partitioned by date and family; files are sorted by URL inside, and only the families written are replaced."""
+    size = pages.groupBy("familie").agg(F.ceil(F.count("*") / PER_FILE).alias("__files"))
+    rows = pages.join(size, "familie").withColumn("family", F.col("familie")).withColumn("__file", F.pmod(F.xxhash64("url"), F.col("__files")))
+    rows = rows.repartition("family", "__file").drop("__files", "__file").sortWithinPartitions("family", "url")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("family").json(f"{path}/dt={date}")
+
+
+def read_snapshots(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+    """All snapshots under a folder, with ``dt`` and ``family``: a filter on these opens only the files it is about."""
+    rows = spark.read.schema(f"{SNAPSHOT}, dt string, family string").option("mode", mode).json(path).where(F.col("url").isNotNull())
+    return rows.withColumns({c: F.coalesce(F.col(c), F.array().cast(dict(rows.dtypes)[c])) for c in ("koppen", "tabellen", "secties")})
 
 
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
