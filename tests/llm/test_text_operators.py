@@ -1,6 +1,7 @@
 """Packing, substring dedup, near duplicates, mixing and the pipeline, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -413,6 +414,34 @@ def test_mixing_budgets(spark):
     assert sum(goal.values()) == pytest.approx(sum(words.values()))
 
 
+def mix_plainly(spark, rows):
+    """(doc_id, text, source) rows with the words that the mixture takes of each, and the rows of the mixture."""
+    keyed = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", F.xxhash64(F.lit(23), "doc_id", F.xxhash64("text")).alias("key")).collect()
+    by = defaultdict(list)
+    for r in keyed:
+        words = re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")
+        by[r["source"]].append(((r["key"] & (1 << 64) - 1) >> 1, r["key"], r["doc_id"], len(words), words, r["text"]))
+    goal = mixing.targets({s: sum(x[3] for x in found) for s, found in by.items()})
+    taken, mixture = [], []
+    for source, found in by.items():
+        size, budget, ahead = sum(x[3] for x in found), math.floor(goal[source] + 0.5), 0
+        for _, _, i, n, words, text in sorted(found, key=lambda x: x[:4]):
+            own = (budget // size if size else 0) * n + max(0, min(n, budget % size - ahead if size else 0))
+            ahead += n
+            taken.append((i, n, own))
+            for use in range(-(-own // n) if n else 0):
+                left = own - use * n
+                mixture.append((i, text if left >= n else " ".join(words[:left])))
+    return taken, mixture
+
+
+def test_mixing_takes_what_a_plain_count_takes(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "source")
+    taken, mixture = mix_plainly(spark, [tuple(r) for r in docs.collect()])
+    assert sorted((r["doc_id"], r["size"], r["taken"]) for r in mixing.take(docs).collect()) == sorted(taken)
+    assert Counter((r["doc_id"], r["text"]) for r in mixing.mix(docs).collect()) == Counter(mixture)
+
+
 def test_mixing_odd_rows(spark, odd):
     got = mixing.take(odd).collect()
     assert len(got) == odd.count()
@@ -430,6 +459,22 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, DATA).columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def test_the_pipeline_against_plain_stages(spark, tokenizer):
+    """All stages one after another, each worked out plainly from what the one before has left."""
+    from quorumlens.llm import langid
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    said = {r["doc_id"]: r for r in langid.language_id(docs).collect()}
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect() if said[r["doc_id"]]["lang_pred"] != langid.UNDETERMINED and said[r["doc_id"]]["score"] >= corpus_pipeline.LEAST_SCORE]
+    assert 0 < len(rows) <= docs.count()
+    classes = brute_classes([(i, t) for i, t, _ in rows])
+    rows = [r for r in rows if classes[r[0]] == r[0]]
+    source = {i: s for i, _, s in rows}
+    rows = [(i, text, source[i]) for i, _, _, text in strip_rows_plainly([(i, t) for i, t, _ in rows])]
+    _, mixture = mix_plainly(spark, rows)
+    check_packing(corpus_pipeline.run(spark, DATA).collect(), mixture, tokenizer)
+
+
 def test_pipeline_stages(spark, odd, tmp_path):
     docs, sizes = odd, []
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
