@@ -32,7 +32,7 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket_of, isotonic, sample_by_class
@@ -114,40 +114,58 @@ def token_weights(sample: DataFrame) -> list[dict[str, float]]:
     seen = once.groupBy("feature").agg(*sums).persist()
     try:
         total = seen.where(F.col("feature").startswith("=")).agg(*[F.sum(c).alias(c) for c in seen.columns[1:]]).collect()[0]
-        return [_significant(seen.select("feature", F.col(f"a{i}").alias("c1"), F.col(f"b{i}").alias("c0")), float(total[f"a{i}"] or 0), float(total[f"b{i}"] or 0)) for i in range(3)]
+        return _significant(seen, [(float(total[f"a{i}"] or 0), float(total[f"b{i}"] or 0)) for i in range(3)])
     finally:
         seen.unpersist()
 
 
-def _significant(seen: DataFrame, n1: float, n0: float) -> dict[str, float]:
-    """Log-odds of the features of (feature, c1, c0) that tell toxic or other texts significantly."""
-    if not n1 or not n0:
-        return {}
-    share = PRIOR / (n1 + n0)
-    prior = share * (F.col("c1") + F.col("c0"))
-    a, b = F.col("c1") + prior, F.col("c0") + prior
-    odds = F.log(a / (n1 + PRIOR - a)) - F.log(b / (n0 + PRIOR - b))
-    marked = seen.where(F.col("c1") + F.col("c0") >= LEAST_CONTEXTS).withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / a + 1 / b))
-    toxic = (F.col("z") >= SIGNIFICANT) & (F.col("odds") >= LEAST_ODDS) & (F.col("c1") >= LEAST_CONTEXTS)
-    other = (F.col("z") <= -SIGNIFICANT) & F.col("feature").startswith("=")
-    return {r["feature"]: r["odds"] for r in marked.where(toxic | other).select("feature", "odds").collect()}
+def _significant(seen: DataFrame, totals: list[tuple[float, float]]) -> list[dict[str, float]]:
+    """By set of rows, the log-odds of the features of (feature, a0, b0, a1, b1, ...) that tell toxic or other texts significantly."""
+
+    def odds(i: int, n1: float, n0: float) -> Column:
+        """The set's number and the feature's log-odds in it; null if they are not significant."""
+        c1, c0 = F.col(f"a{i}"), F.col(f"b{i}")
+        prior = PRIOR / (n1 + n0) * (c1 + c0)
+        a, b = c1 + prior, c0 + prior
+        found = F.log(a / (n1 + PRIOR - a)) - F.log(b / (n0 + PRIOR - b))
+        z = found / F.sqrt(1 / a + 1 / b)
+        toxic = (z >= SIGNIFICANT) & (found >= LEAST_ODDS) & (c1 >= LEAST_CONTEXTS)
+        other = (z <= -SIGNIFICANT) & F.col("feature").startswith("=")
+        return F.when((c1 + c0 >= LEAST_CONTEXTS) & (toxic | other), F.struct(F.lit(i).alias("set"), found.alias("odds")))
+
+    sets = [odds(i, n1, n0) for i, (n1, n0) in enumerate(totals) if n1 and n0]
+    out: list[dict[str, float]] = [{} for _ in totals]
+    if sets:
+        for r in seen.select("feature", F.explode(F.array_compact(F.array(*sets))).alias("x")).select("feature", "x.*").collect():
+            out[r["set"]][r["feature"]] = r["odds"]
+    return out
+
 
+def extreme_values(sample: DataFrame, models: list[dict[str, float]]) -> list[tuple[float, float, float]]:
+    """By model, the weight of tokens without their own, and lambda and K of the extreme-value distribution.
 
-def extreme_value(sample: DataFrame, model: dict[str, float]) -> tuple[float, float, float]:
-    """The weight of tokens without their own, and lambda and K of the extreme-value distribution."""
+    The first model is judged by all rows of (text, y, half), the others by those of half 0 and 1; one pass serves all.
+    """
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, total = Weights(model), Counter()
+        memos, total = [Weights(m) for m in models], Counter()
         for b in batches:
-            for text, y in zip(b["text"], b["y"], strict=True):
-                total.update((int(y), round(memo[t], 1)) for t in _token.findall((text or "").lower()))
-            memo.bound()
+            for text, y, half in zip(b["text"], b["y"], b["half"], strict=True):
+                tokens = _token.findall((text or "").lower())
+                for i in (0, 1 + half):
+                    total.update((i, int(y), round(w, 1)) for w in map(memos[i].__getitem__, tokens))
+            for memo in memos:
+                memo.bound()
         if total:
-            yield pd.DataFrame([(y, w, n) for (y, w), n in total.items()], columns=["y", "w", "n"])
+            yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["i", "y", "w", "n"])
+
+    rows = sample.mapInPandas(spread, "i int, y int, w double, n long").groupBy("i", "y", "w").agg(F.sum("n").alias("n")).collect()
+    return [_distribution([r for r in rows if r["i"] == i], m) for i, m in enumerate(models)]
+
 
+def _distribution(rows: list, model: dict[str, float]) -> tuple[float, float, float]:
     if not any(w > 0 for w in model.values()):
         return -1e-4, 1.0, 1e-12
-    rows = sample.mapInPandas(spread, "y int, w double, n long").groupBy("y", "w").agg(F.sum("n").alias("n")).collect()
     tokens = [sum(r["n"] for r in rows if r["y"] == y) for y in (0, 1)]
     hits = [sum(r["n"] for r in rows if r["y"] == y and r["w"] > 0) for y in (0, 1)]
     rate0, rate1 = ((hits[y] + 0.5) / (tokens[y] + 1) for y in (0, 1))
@@ -250,7 +268,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", docs_per_
         sample = found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y", half).persist()
         try:
             weights = token_weights(sample)
-            models = [(w, *extreme_value(rows, w)) for w, rows in zip(weights, (sample, sample.where("half = 0"), sample.where("half = 1")), strict=True)]
+            models = [(w, *x) for w, x in zip(weights, extreme_values(sample, weights), strict=True)]
             model, rates = models[0], calibrate(sample, models[1:], counts)
         finally:
             sample.unpersist()
