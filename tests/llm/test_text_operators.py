@@ -104,6 +104,36 @@ def test_balances_carry_over_groups(spark):
     assert sum(p["length"] for p in pieces) == sum(p["doc_tokens"] for p in pieces if p["start"] == 0)
 
 
+def test_a_group_begins_with_what_the_ones_before_owe(spark):
+    """The first window of each group, worked out from the totals of the groups before it."""
+    rng = random.Random(3)
+    rows = [(i, "word " * rng.randint(150, 400), "a" if i < 90 else "b") for i in range(180)]
+    pieces = packing.pack(docs_of(spark, rows), {"a": 0.5, "b": 0.5}, group_tokens=(9000, 9000)).collect()
+    placed, first = defaultdict(Counter), defaultdict(Counter)
+    for p in pieces:
+        group = p["sequence_id"] >> 32
+        placed[group][p["source"]] += p["length"]
+        if p["sequence_id"] & 0xFFFFFFFF == 0:
+            first[group][p["source"]] += p["length"]
+    assert len(placed) > 3
+    before, carried = Counter(), 0
+    for group in sorted(placed):
+        total = sum(before.values())
+        owed = {s: total / 2 - before[s] + 1024 for s in "ab"}  # with a share of the window itself
+        room, want = 2048, Counter()
+        for s in "ab":
+            if int(owed[s]) >= packing.LEAST_PIECE:
+                want[s] = min(int(owed[s]), room)
+                room -= want[s]
+        if room:
+            want[max("ab", key=lambda s: owed[s] - want[s])] += room
+        if all(placed[group][s] >= want[s] for s in "ab"):  # else a queue runs dry
+            assert +want == first[group]
+            carried += want != Counter(a=1024, b=1024)
+        before += placed[group]
+    assert carried > 1
+
+
 # -- substring dedup ------------------------------------------------------------------------
 
 
