@@ -213,7 +213,20 @@ def test_commands_over_a_site(spark, tmp_path, monkeypatch):
     io.publish_panels(panel, at("panels"))
     assert cli.main(["publiceer", "--rules", at("f.yaml"), "--van", at("out"), "--naar", at("panels")]) == 0
     assert {r["family"] for r in io.read_panels(spark, at("panels")).collect()} == {"old", "visum"}
+    # What was decided about a page reaches the next report.
+    decided = spark.read.parquet(at("out/pages")).selectExpr("finding_id", "url", "'negeren' AS status", "evidence_hash", "'2024-01-02' AS checked", "timestamp'2024-01-03 00:00:00' AS ts", "1L AS seq")
+    assert 'data-todo="1" data-handled="0"' in text
+    io.write_dispositions(decided, at("out/dispositions"), "me")
+    assert cli.main(["rapport", "--rules", at("f.yaml"), "--van", at("out"), "--naar", at("again.html")]) == 0
+    again = (tmp_path / "again.html").read_text()
+    assert 'data-todo="0" data-handled="1"' in again and 'data-state="genegeerd"' in again
+    fetched = spark.read.json(at("out/snapshots/dt=2024-01-02/family=visum")).collect()[0]["opgehaald_op"]
+    assert fetched.endswith("+00:00") and len(fetched) == 25
     assert cli.main(["verken", "--sites", at("s.yaml")]) == 0
+    assert cli.main(["verken", "--sites", at("s.yaml"), "--cache", at("maps")]) == 0
+    site["https://a.nl/1.xml"] = None  # gone: what is known stands
+    assert cli.main(["verken", "--sites", at("s.yaml"), "--cache", at("maps")]) == 0
+    site["https://a.nl/1.xml"] = SITE["https://a.nl/1.xml"]
     crawl = ["crawl", "--sites", at("s.yaml"), "--uit", at("corpus"), "--cache", at("cache"), "--max-paginas", "3"]
     assert cli.main(crawl) == 0
     assert sorted(r["url"][-1] for r in io.read_corpus(spark, at("corpus")).collect()) == ["0", "1", "2"]
