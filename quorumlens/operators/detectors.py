@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..functions.similar import similar, similarity
 from ..sources.shared import checkpoint
-from .consensus import MIN_MEMBERS, MIN_SHARE, consensus, deviators, enough, evidence, first_siblings, large, last_votes, limited, member_consensus, mode, thresholds
+from .consensus import MIN_MEMBERS, MIN_SHARE, consensus, deviators, enough, evidence, first_k, first_siblings, large, last_votes, limited, member_consensus, mode, thresholds
 from .findings import KIND_CONTENT, KIND_STRUCTURE, KIND_STYLE, registry
 from .terms import ClaimRule
 
@@ -28,6 +28,8 @@ RENAMED_TOGGLE = 0.8
 CLOSE_SENTENCE = 0.6
 #: Sentences that a finding shows of each page; examples of a page's amounts.
 SHOWN = 3
+#: Pages of a family among which those without a rare step are looked for.
+EARLY = 8
 OUT = ["family", "detector", "kind", "place", "url", "value", "norm", "n", "agree", "siblings"]
 SIBLINGS = "array<struct<url: string, value: string>>"
 
@@ -230,13 +232,17 @@ def step_plan(tables: dict[str, DataFrame], min_members: int | DataFrame = MIN_M
     other = renamed.join(sizes, ["family", "key"]).withColumn("kind", F.when(near, KIND_STYLE).otherwise(KIND_STRUCTURE))
     more = checkpoint(extra_steps(found, norm, planned, _share_of(min_members, min_share)).drop("planned").join(renamed.select("family", "url", F.col("renamed_key").alias("key")), key, "left_anti"))
     more = more.join(more.groupBy("family", "key").agg(F.count("*").alias("c")), ["family", "key"]).join(size, "family")
+    # Up to three of a family's first pages that do not have the step.
+    early = first_k(planned, ["family"], ["url"], EARLY).drop("rank")
+    lack = more.select("family", "key").distinct().join(early, "family").join(found.select(*key), key, "left_anti").withColumn("has", F.lit("–"))
+    more = more.join(first_siblings(lack, ["family", "key"], "url", "has"), ["family", "key"], "left")
     swapped = swapped_steps(found, norm).join(planned, ["family", "url"], "left_semi")
     swapped = swapped.join(swapped.groupBy("family").agg(F.count("*").alias("c")), "family").join(size, "family")
     return _union([
         _out(without, "steps_none", KIND_STRUCTURE, F.lit(""), F.col("value"), none, F.col("pages"), F.col("planned"), F.col("siblings")),
         _out(gone, "steps_missing", KIND_STRUCTURE, F.col("key"), F.col("value"), F.col("title"), F.col("planned"), F.col("on_pages"), F.col("siblings")),
         _out(other, "steps_renamed", F.col("kind"), F.concat_ws(" / ", "key", "renamed_key"), F.col("renamed_title"), F.col("title"), F.col("planned"), F.col("on_pages"), F.col("siblings")),
-        _out(more, "steps_extra", KIND_STRUCTURE, F.col("key"), F.col("title"), none, F.col("planned"), F.col("planned") - F.col("c")),
+        _out(more, "steps_extra", KIND_STRUCTURE, F.col("key"), F.col("title"), none, F.col("planned"), F.col("planned") - F.col("c"), F.col("siblings")),
         _out(swapped, "steps_order", KIND_STRUCTURE, F.lit(""), F.col("order"), none, F.col("planned"), F.col("planned") - F.col("c")),
     ])
 

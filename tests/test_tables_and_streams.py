@@ -143,6 +143,11 @@ def test_siblings_of_pages_without_a_plan(spark):
     assert [(r["url"], r["value"], [x["url"] for x in r["siblings"]]) for r in got] == [("f03", "closed", ["f00", "f01", "f02"])]
 
 
+def test_siblings_of_a_page_with_a_step_more(spark):
+    got = D.step_plan({"section": sections(spark, "f", lambda i: ["one", "two"] + (["more"] if i == 1 else []))}).collect()
+    assert [(r["detector"], r["url"], r["value"], [x["url"] for x in r["siblings"]]) for r in got] == [("steps_extra", "f01", "more", ["f00", "f02", "f03"])]
+
+
 def test_each_family_has_thresholds_and_detectors_of_its_own(spark):
     made = [(f, f"{f}{i}", 0, "Prijs", "€ 26,00" if i == 0 else "€27.00" if i == 1 else "€ 27,00") for f in ("a", "b", "c", "d") for i in range(6)]
     table = spark.createDataFrame(made, "family string, url string, ord int, label string, value_raw string")
