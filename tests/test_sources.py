@@ -1,9 +1,11 @@
 """Parsers, files, configuration, fetching, reports, commands."""
 
+import hashlib
 import inspect
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quorumlens import cli
 from quorumlens.sources import html, io, report, rules, web
@@ -278,3 +280,20 @@ def test_commands(spark, tmp_path, monkeypatch):
     assert "€ 2,00" in (tmp_path / "r.html").read_text()
     assert cli.main(["publiceer", *more, str(tmp_path / "panels")]) == 0
     assert cli.main(["rapport", "--rules", str(tmp_path / "f.yaml"), "--van", str(tmp_path / "nothing"), "--naar", "x"]) == 1
+
+
+def test_pages_of_one_finding_are_dealt_over_tasks(spark, tmp_path):
+    """As many pages as values, less one: every page shows all values, and no single task hashes them."""
+    urls, values = [f"page {i}" for i in range(2000)], [f"value {i}" for i in range(1999)]
+    line = {"regel_id": "r", "urls": urls, "waargenomen": " | ".join(f"land {i}: {v}" for i, v in enumerate(values)), "vingerafdruk": "all"}
+    own = {"regel_id": "r", "urls": ["a", "b"], "waargenomen": "x: 1 | y: 2", "vingerafdruk": "own"}
+    empty = {"regel_id": "r", "urls": ["c"], "waargenomen": None, "vingerafdruk": "empty"}
+    (tmp_path / "f.json").write_text("\n".join(map(json.dumps, (line, own, empty))))
+    found = io.read_findings_json(spark, str(tmp_path / "f.json")).withColumn("task", F.spark_partition_id()).collect()
+    whole = [r for r in found if r["finding_id"] == "all"]
+    assert len({r["task"] for r in whole}) > 1
+    digest = lambda *x: hashlib.sha1("|~|".join(x).encode()).hexdigest()
+    assert {r["url"]: r["evidence_hash"] for r in whole} == {u: digest(u, *values) for u in urls}
+    assert {r["variant"] for r in whole} == {"land 0"} and all(r["values"] == values for r in whole[:3])
+    rest = sorted((r["url"], r["variant"], r["values"], r["evidence_hash"]) for r in found if r["finding_id"] != "all")
+    assert rest == [("a", "x", ["1"], digest("a", "1")), ("b", "y", ["2"], digest("b", "2")), ("c", "c", [], digest("c"))]
