@@ -110,7 +110,7 @@ def shorten(text: Column, most: int = 110) -> Column:
 def sentences(text: Column, name: Column) -> Column:
     """array<struct<key, text>> of a section's sentences of ``LEAST_SENTENCE`` characters or more."""
     cut = F.flatten(F.transform(F.split(text, "\n"), lambda line: F.split(line, r"(?<=[.!?])\s+(?=[A-Z0-9\"“‘(])")))
-    kept = F.filter(F.transform(cut, F.trim), lambda s: F.length(s) >= LEAST_SENTENCE)
+    kept = F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: F.length(s) >= LEAST_SENTENCE)
     return F.transform(kept, lambda s: F.struct(title_key(s, name).alias("key"), mask_country(s, name).alias("text")))
 
 

@@ -76,3 +76,10 @@ def test_urls(spark):
 def test_similarity(spark, a, b, want):
     rows = spark.createDataFrame([(a, b)], "a string, b string")
     assert rows.select(similarity(F.col("a"), F.col("b"))).collect()[0][0] == pytest.approx(want)
+
+
+def test_figures_at_the_ends_of_sentences_stay(spark):
+    """A sentence that begins or ends with its own number in the list, and blanks at its ends."""
+    text = "0 is where it all begins 0\n128 streets are on this map 1\n   Two more are not on it   \n3 of them have no name yet 33"
+    got = column(spark, [text], lambda c: T.sentences(c, F.lit("")))[0]
+    assert [s["text"] for s in got] == ["0 is where it all begins 0", "128 streets are on this map 1", "Two more are not on it", "3 of them have no name yet 33"]
