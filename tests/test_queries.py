@@ -38,3 +38,20 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 5
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def sql(name, folder, *tables):
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    return con.execute(catalog.oracle_sql()[name]).df()
+
+
+@pytest.mark.parametrize("name", ["html_headings", "html_text", "snapshot_copy"])
+def test_references_are_read_as_the_sql_reads_them(spark, tmp_path, name):
+    """Cut off before the semicolon, or of a name that the SQL does not know: they stay as they are written."""
+    titles = ["Cut off &amp", "All of it &amp; &lt;b&gt; &amp;lt;", "Quoted &quot;word&quot;", "Plain & &copy; &amp;quot; &am"]
+    page = "<html><body><nav>menu</nav><article><h1>{0}</h1><p>{0} text &middot; &copy; &quot;x&quot;</p></article></body></html>"
+    spark.createDataFrame([(i, f"https://a.example.org/en/{i}", page.format(t)) for i, t in zip((1, 2, 4, 5), titles, strict=True)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got, want = catalog.queries()[name](spark, str(tmp_path)).toPandas(), sql(name, tmp_path, "pages")
+    assert len(got) == len(titles) and rows(got) == rows(want)
