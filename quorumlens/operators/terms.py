@@ -86,49 +86,71 @@ def rule_table(rules: DataFrame) -> DataFrame:
 
 
 def _first_of_overlapping(found: DataFrame) -> DataFrame:
-    """Of hits (page, rule_id, i, words) that overlap those that a reader from left to right meets, the longest at each place."""
+    """Of hits (page, rule_id, i, words, term) that overlap those that a reader from left to right meets, the longest at each place."""
     page = Window.partitionBy("page", "rule_id").orderBy("i")
-    rows = found.groupBy("page", "rule_id", "i").agg(F.max("words").alias("words")).withColumn("end", F.col("i") + 2 * F.col("words") - 1)
+    rows = found.groupBy("page", "rule_id", "i").agg(F.max(F.struct("words", "term")).alias("x")).select("page", "rule_id", "i", "x.*").withColumn("end", F.col("i") + 2 * F.col("words") - 1)
     before = F.max("end").over(page.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("apart", (before.isNull() | (F.col("i") >= before)).cast("int")).withColumn("cluster", F.sum("apart").over(page))
-    each = rows.groupBy("page", "rule_id", "cluster").agg(F.array_sort(F.collect_list(F.struct("i", "words", "end"))).alias("hits"))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<i: int, words: int, end: int>>").alias("kept"))
+    each = rows.groupBy("page", "rule_id", "cluster").agg(F.array_sort(F.collect_list(F.struct("i", "words", "end", "term"))).alias("hits"))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<i: int, words: int, end: int, term: string>>").alias("kept"))
     taken = F.aggregate("hits", start, lambda s, x: F.when(x["i"] >= s["end"], F.struct(x["end"].alias("end"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s))
     alone = F.when(F.size("hits") == 1, F.col("hits")).otherwise(taken["kept"])
-    return each.select("page", "rule_id", F.explode(alone).alias("x")).select("page", "rule_id", "x.i", "x.words")
+    return each.select("page", "rule_id", F.explode(alone).alias("x")).select("page", "rule_id", "x.i", "x.words", "x.term")
 
 
-def hits_of_table(pages: DataFrame, rules: DataFrame, reported: int | None = REPORTED, text: str = "text", url: str = "url", language: str = "lang") -> DataFrame:
+#: Variants that every task may have a copy of; beyond that words are dealt out to meet them.
+BROADCAST = 200_000
+
+
+def hits_of_table(pages: DataFrame, rules: DataFrame, reported: int | None = REPORTED, text: str = "text", url: str = "url", language: str = "lang", places: bool = True) -> DataFrame:
     """``hits`` for rules that are a table (rule_id, lang, variant, preferred, note, owner), however many there are.
 
     Words and phrases of each page, of the lengths that variants have, meet the variants of its
     language by an equi-join, so the plan is the same for ten rules and for ten thousand. Texts
     take no part in that join; positions and fragments are worked out for what is reported.
+    Without ``places`` these two are left out, and texts are read once.
     """
     table = checkpoint(rule_table(rules))
-    lengths = sorted(r["words"] for r in table.select("words").distinct().collect())  # as many as there are lengths of phrases
+    sizes = table.groupBy("words").count().collect()  # as many rows as there are lengths of phrases
+    lengths, small = sorted(r["words"] for r in sizes), sum(r["count"] for r in sizes) <= BROADCAST
     rows = pages.select(F.col(url).alias("url"), F.col(language).alias("lang"), F.col(text).alias("__text"))
     page = F.xxhash64("url", "lang", "__text").alias("page")
     pieces = F.regexp_extract_all("__text", F.lit(PIECES), F.lit(0))
-    cut = rows.join(table.select("lang").distinct(), "lang", "left_semi").select(page, "lang", pieces.alias("p")).where(F.size("p") > 0)
-    first = F.when(F.element_at("p", 1).rlike(r"(?U)\w"), 1).otherwise(2)
+    near = rows.join(F.broadcast(table.select("lang").distinct()), "lang", "left_semi") if small else rows
+    cut = near.select(page, "lang", pieces.alias("p"))  # a filter on the pieces would cut every text twice
+    first = F.when(F.get("p", F.lit(0)).rlike(r"(?U)\w"), 1).otherwise(2)
 
     def grams(m: int) -> Column:
-        """Every phrase of ``m`` words: where it begins, and the text by which it is met."""
-        places = F.when(F.size("p") >= first + 2 * m - 2, F.sequence(first, F.size("p") - (2 * m - 2), F.lit(2))).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.struct(i.alias("i"), F.lit(m).alias("words"), F.lower(F.array_join(F.slice("p", i, 2 * m - 1), "")).alias("key")))
-
-    phrases = F.flatten(F.array(*map(grams, lengths))) if lengths else F.array().cast("array<struct<i: int, words: int, key: string>>")
-    met = cut.select("page", "lang", F.explode(phrases).alias("g")).select("page", "lang", "g.*").join(table.select("rule_id", "lang", "key"), ["lang", "key"])
-    chosen = _first_of_overlapping(met.select("page", "rule_id", "i", "words"))
+        """Every phrase of ``m`` words and where it begins."""
+        begins = F.when(F.size("p") >= first + 2 * m - 2, F.sequence(first, F.size("p") - (2 * m - 2), F.lit(2))).otherwise(F.array().cast("array<int>"))
+        term = (lambda i: F.element_at("p", i)) if m == 1 else lambda i: F.array_join(F.slice("p", i, 2 * m - 1), "")
+        return F.transform(begins, lambda i: F.struct(i.alias("i"), F.lit(m).alias("words"), term(i).alias("term")))
+
+    phrases = F.flatten(F.array(*map(grams, lengths))) if lengths else F.array().cast("array<struct<i: int, words: int, term: string>>")
+    said = cut.select("page", "lang", F.explode(phrases).alias("g")).select("page", "lang", "g.*", F.lower("g.term").alias("key"))
+    keys = table.select("rule_id", "lang", "key")
+    met = said.join(F.broadcast(keys) if small else keys, ["lang", "key"])
+    chosen = _first_of_overlapping(met.select("page", "rule_id", "i", "words", "term"))
     by = Window.partitionBy("page", "rule_id")
     counted = chosen.withColumn("hits_on_page", F.count("*").over(by).cast("int")).withColumn("__n", F.row_number().over(by.orderBy("i")))
     counted = counted if reported is None else counted.where(F.col("__n") <= reported)
-    told = counted.groupBy("page").agg(F.collect_list(F.struct("rule_id", "i", "words", "hits_on_page")).alias("hits"))
-    back = rows.withColumn("page", page).join(told, "page").select("url", "lang", "__text", sentence_ends(F.col("__text")).alias("__ends"), pieces.alias("p"), F.explode("hits").alias("h"))
-    back = back.select("url", "lang", "__text", "__ends", "h.*", F.array_join(F.slice("p", F.col("h.i"), 2 * F.col("h.words") - 1), "").alias("term"), F.aggregate(F.slice("p", F.lit(1), F.col("h.i") - 1), F.lit(0), lambda n, x: n + F.length(x)).alias("position"))
-    out = back.withColumn("fragment", fragment(F.col("__text"), F.col("position"), F.length("term"), F.col("__ends"))).drop("__text", "__ends", "i", "words")
     named = table.groupBy("rule_id").agg(*[F.min(c).alias(c) for c in ("preferred", "note", "owner")])
+    named = F.broadcast(named) if small else named
+    told = counted.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("i", "rule_id", "term", "hits_on_page"))).alias("hits"))
+    back = rows.withColumn("page", page).join(told, "page")
+    if not places:
+        out = back.select("url", "lang", F.explode("hits").alias("h")).select("url", "lang", "h.*").drop("i")
+        return out.join(named, "rule_id").select("rule_id", "term", "preferred", "url", "lang", "hits_on_page", "note", "owner")
+    # A page's hits are in order, so each position goes on from the one before; pieces stay in the page's row.
+    start = F.struct(F.lit(1).alias("i"), F.lit(0).alias("position"), F.array().cast("array<int>").alias("all"))
+
+    def go_on(s: Column, x: Column) -> Column:
+        position = s["position"] + F.length(F.array_join(F.slice("p", s["i"], x["i"] - s["i"]), ""))
+        return F.struct(x["i"].alias("i"), position.alias("position"), F.concat(s["all"], F.array(position)).alias("all"))
+
+    back = back.select("url", "lang", "__text", "hits", pieces.alias("p")).withColumn("position", F.aggregate("hits", start, go_on)["all"])
+    back = back.select("url", "lang", "__text", sentence_ends(F.col("__text")).alias("__ends"), F.explode(F.arrays_zip("hits", "position")).alias("h")).select("url", "lang", "__text", "__ends", "h.hits.*", "h.position")
+    out = back.withColumn("fragment", fragment(F.col("__text"), F.col("position"), F.length("term"), F.col("__ends"))).drop("__text", "__ends", "i")
     return out.join(named, "rule_id").select("rule_id", "term", "preferred", "url", "lang", "fragment", "position", "hits_on_page", "note", "owner")
 
 

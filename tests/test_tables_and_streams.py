@@ -269,3 +269,17 @@ def test_one_plan_makes_the_panels_of_all_families(spark):
     got = {r["family"]: r for r in report.panels(found, runs, dated).collect()}
     assert [got[f]["findings"] for f in "abc"] == [3, 3, 0] and "Nothing deviates" in got["c"]["html"] and "w &amp; w" in got["a"]["html"]
     assert got["a"]["html"].count("<h3>") == 1 and got["a"]["html"].count("<article") == 3 and "&lt;x&gt;" in got["b"]["html"]
+
+
+def test_a_small_table_of_rules_goes_to_the_texts(spark):
+    """Texts are not dealt out by language or word, pieces stay in the page's row, and positions go on from hit to hit."""
+    listed = [terms.TermRule("a", "a", ("the", "of the"), ("en",)), terms.TermRule("b", "b", ("the",), ("en",)), terms.TermRule("c", "c", ("le",), ("fr",))]
+    texts = [(1, "en", "Of the one, THE other.\nthe " * 40), (1, "en", "the same url"), (2, "fr", "le the"), (3, "fr", None), (4, "en", ""), (5, None, "the")]
+    pages = spark.createDataFrame(texts, "url int, lang string, text string")
+    columns = ["rule_id", "term", "url", "lang", "hits_on_page"]
+    found, want = terms.hits_of_table(pages, terms.as_table(spark, listed), None), terms.hits(pages, listed, None)
+    assert rows(found.select(*columns, "position", "fragment")) == rows(want.select(*columns, "position", "fragment"))
+    short = terms.hits_of_table(pages, terms.as_table(spark, listed), None, places=False)
+    assert rows(short.select(*columns)) == rows(want.select(*columns))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") >= 2 and "Join LeftSemi, (lang" in plan and "Filter ((size(regexp_extract_all" not in plan
