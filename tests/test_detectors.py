@@ -254,3 +254,12 @@ def test_only_pairs_that_can_be_taken_are_grouped(spark):
     loose = spark.createDataFrame([("f", "u", "abcdefgx", "A2", 5), ("f", "u", "zzzzzzzzzzzzzzzzzzzz", "Z", 1), ("f", "u", "y", "Y", 7)], "family string, url string, key string, title string, pos int")
     got = D.renamed_steps(missing, loose).collect()
     assert {(r["key"], r["renamed_key"]) for r in got} == {("abcdefgh", "abcdefgx"), ("qqqq", "zzzzzzzzzzzzzzzzzzzz")}
+
+
+def test_renamed_steps_take_many_pages_at_once(spark):
+    """Python is called for batches of pages, not for each page; a step without a place takes none."""
+    missing = spark.createDataFrame([("f", 1, "apply now", "Apply now", 0), ("f", 1, "pay", "Pay", 1), ("f", 2, "pay", "Pay", None), ("f", 3, "pay", "Pay", 2)], "family string, url int, key string, title string, place int")
+    loose = spark.createDataFrame([("f", 1, "apply nou", "Apply nou", 4), ("f", 1, "xyz", "Xyz", 1), ("f", 2, "pay", "Pay", 1), ("f", 3, "zzz", "Zzz", 1)], "family string, url int, key string, title string, pos int")
+    found = D.renamed_steps(missing, loose)
+    assert sorted((r["url"], r["key"], r["renamed_key"], r["renamed_title"]) for r in found.collect()) == [(1, "apply now", "apply nou", "Apply nou"), (1, "pay", "xyz", "Xyz")]
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
