@@ -263,3 +263,14 @@ def test_renamed_steps_take_many_pages_at_once(spark):
     found = D.renamed_steps(missing, loose)
     assert sorted((r["url"], r["key"], r["renamed_key"], r["renamed_title"]) for r in found.collect()) == [(1, "apply now", "apply nou", "Apply nou"), (1, "pay", "xyz", "Xyz")]
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_one_heading_are_dealt_out(spark):
+    """A text that most rows have meets its key in many parts, and a family's norm goes to the rows."""
+    texts = spark.range(400).select(F.lit("f").alias("family"), F.col("id").alias("url"), F.lit("Contact!").alias("text"), F.lit("").alias("name"), F.when(F.col("id") % 10 == 0, 4).otherwise(3).alias("level"), F.col("id").alias("at"))
+    keyed = D._with_key(texts)
+    assert keyed.columns == [*texts.columns, "key"] and keyed.where("key = 'contact'").count() == 400
+    assert "part" in keyed._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].split("\n")[0]
+    pages, away = D._wrong_levels(keyed, "x", "none", 0.8)
+    assert pages.count() == away.count() == 40
+    assert "strategy=broadcast" in away._jdf.queryExecution().optimizedPlan().toString()
