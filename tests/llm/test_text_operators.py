@@ -519,3 +519,16 @@ def test_pipeline_stages(spark, odd, tmp_path):
     assert corpus_pipeline.language(spark, known, DATA).count() == 7  # those with a letter
     assert corpus_pipeline.near_duplicates(spark, odd, DATA).count() == 9
     assert corpus_pipeline.substrings(spark, odd, DATA).count() == odd.count()
+
+
+def test_stages_hand_python_small_batches(spark):
+    assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit(5000).cast("long").alias("n_chars"))
+    sizes = lambda: [r[0] for r in docs.select("text").mapInPandas(lambda batches: (b.assign(n=b["text"].str.len().sum())[["n"]].head(1) for b in batches), "n long").collect()]
+    before = spark.conf.get(corpus_pipeline.BATCH)
+    assert max(sizes()) == 20_000_000
+    try:
+        corpus_pipeline.mix(spark, docs, DATA)
+        assert max(sizes()) < 5_000_000 and sum(sizes()) == 20_000_000
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH, before)
