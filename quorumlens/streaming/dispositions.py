@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -56,35 +55,33 @@ def page_state(check: tuple[str, str] | None, decision: tuple | None) -> str | N
 
 
 class PageStates(StatefulProcessor):
-    """State of one (finding, page): its last check, the last decision, what was told last, and how often it changed."""
+    """State of one (finding, page): its last check, the last decision, what was told last, and how often it changed.
+
+    All of it is one value, so a page takes one read and one write of the store a batch.
+    """
+
+    VALUE = "has_check boolean, date string, evidence string, has_decision boolean, at long, seq long, status string, old string, checked string, state string, change long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.check = handle.getValueState("check", "date string, evidence string")
-        self.decision = handle.getValueState("decision", "ts timestamp, seq long, status string, evidence string, checked string")
-        self.told = handle.getValueState("told", "state string, change long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        check = tuple(self.check.get()) if self.check.exists() else None
-        decision = tuple(self.decision.get()) if self.decision.exists() else None
-        state, change = tuple(self.told.get()) if self.told.exists() else (None, 0)
-        events = sorted((r for b in rows for r in b[["ts", "seq", "kind", "status", "evidence_hash", "checked"]].itertuples(index=False, name=None)), key=lambda r: (r[0], r[1]))
-        out = []
-        for ts, seq, kind, status, evidence, checked in events:
+        self.page = handle.getValueState("page", self.VALUE)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        known = self.page.get()
+        check = decision = state = None
+        change = 0
+        if known is not None:
+            check, decision = tuple(known[1:3]) if known[0] else None, tuple(known[4:9]) if known[3] else None
+            state, change = known[9:]
+        for at, seq, kind, status, evidence, checked in sorted(((r["at"], r["seq"], r["kind"], r["status"], r["evidence_hash"], r["checked"]) for r in rows), key=lambda r: r[:2]):
             if kind == CHECK:
                 check = max(check or (checked, evidence), (checked, evidence), key=lambda c: c[0])
-            elif decision is None or (ts, seq) >= (pd.Timestamp(decision[0]), decision[1]):
-                decision = ts, seq, status, evidence, checked
+            elif decision is None or (at, seq) >= decision[:2]:
+                decision = at, seq, status, evidence, checked
             now = page_state(check, decision)
             if now is not None and now != state:
                 state, change = now, change + 1
-                out.append((*key, change, state, state in (SHOWN_IGNORED, FIXED)))
-        if check is not None:
-            self.check.update(check)
-        if decision is not None:
-            self.decision.update((pd.Timestamp(decision[0]).to_pydatetime(), int(decision[1]), *decision[2:]))
-        if change:
-            self.told.update((state, change))
-        yield pd.DataFrame(out, columns=["finding_id", "url", "change", "state", "handled"])
+                yield Row(finding_id=key[0], url=key[1], change=change, state=state, handled=state in (SHOWN_IGNORED, FIXED))
+        self.page.update((check is not None, *(check or (None,) * 2), decision is not None, *(decision or (None,) * 5), state, change))
 
     def close(self) -> None:
         pass
@@ -93,10 +90,12 @@ class PageStates(StatefulProcessor):
 def state_changes(events: DataFrame) -> DataFrame:
     """(finding_id, url, change, state, handled): each change of a page's state as checks and decisions arrive.
 
-    Events of a page that come in one batch are taken by (ts, seq); a decision older than the
-    last one changes nothing. The session needs the RocksDB state store.
+    Events of a page that come in one batch are taken by (ts, seq), those without a time first; a
+    decision older than the last one changes nothing. The session needs the RocksDB state store.
     """
-    return events.groupBy(*KEYS).transformWithStateInPandas(PageStates(), CHANGES, "Append", "None")
+    at = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-(1 << 63)))  # a number, which no time zone shifts
+    rows = events.select(*KEYS, "kind", "status", "evidence_hash", "checked", at.alias("at"), "seq")
+    return rows.groupBy(*KEYS).transformWithState(PageStates(), CHANGES, "Append", "None")
 
 
 def last_states(changes: DataFrame) -> DataFrame:

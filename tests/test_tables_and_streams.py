@@ -6,6 +6,7 @@ import os
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quorumlens.functions import similar, text as T
@@ -111,6 +112,33 @@ def test_states_change_as_checks_and_decisions_arrive(spark, tmp_path):
     assert rows(S.last_states(told)) == [("f", "a", "open", False)]
 
 
+def test_a_page_takes_one_read_and_one_write_of_its_state():
+    calls = []
+
+    class Store:
+        kept = None
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self
+
+        def get(self):
+            calls.append("get")
+            return self.kept
+
+        def update(self, value):
+            calls.append("update")
+            self.kept = value
+
+    page = S.PageStates()
+    page.init(Store())
+    event = lambda kind, at, status=None: Row(at=at, seq=at, kind=kind, status=status, evidence_hash="h", checked=f"2024-01-{at:02}")
+    told = lambda *events: [(r["change"], r["state"], r["handled"]) for r in page.handleInputRows(("f", "a"), iter(events), None)]
+    assert told(event(S.DECISION, 3, X.IGNORED)) == []
+    assert told(event(S.DECISION, 4, X.OPEN), event(S.CHECK, 2)) == [(1, "genegeerd", True), (2, "open", False)]
+    assert told(event(S.DECISION, 3, X.IN_PROGRESS)) == []
+    assert calls == ["get", "update"] * 3
+
+
 # -- families -------------------------------------------------------------------------------
 
 
