@@ -274,3 +274,21 @@ def test_rows_of_one_heading_are_dealt_out(spark):
     pages, away = D._wrong_levels(keyed, "x", "none", 0.8)
     assert pages.count() == away.count() == 40
     assert "strategy=broadcast" in away._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_one_group_meet_it_in_several_parts(spark):
+    rows = spark.range(200).select(F.lit("g").alias("group"), F.col("id").alias("member"))
+    few = spark.createDataFrame([("g", 1), ("other", 2)], "group string, x int")
+    met = D.meet(rows, few, ["group"], "member")
+    assert met.columns == ["group", "member", "x"] and {(r["member"], r["x"]) for r in met.collect()} == {(i, 1) for i in range(200)} and met.count() == 200
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert len({r[0] for r in D.meet(rows, few, ["group"], "member").select(F.spark_partition_id()).collect()}) > 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert D.meet(rows, few, ["group"], "member", "left_anti").isEmpty()
+    assert D.meet(rows, few.where("x = 2"), ["group"], "member", "left").where("x IS NULL").count() == 200
