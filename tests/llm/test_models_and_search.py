@@ -1,6 +1,7 @@
 """URL filter, searches and the three classifiers: brute force and held-out accuracy."""
 
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -116,6 +117,25 @@ def test_url_filter_runs_without_python(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_url_filter_broadcasts_no_ngrams_or_urls(spark):
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    listed = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    before = {x.executionId() for x in listed(store.executionsList())}
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("10")  # MB: more than the files of these URLs
+    got = queries.op2_url_filter(spark, DATA)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().sparkPlan().toString() and got.count() > 0
+    bus.waitUntilEmpty(30_000)
+    ran = [x for x in listed(store.executionsList()) if x.executionId() not in before]
+    assert len(ran) > urls.ORDER
+    for x in ran:  # only the model's levels, by which the n-grams look up their ratio, and if they are small
+        assert set(re.findall(r"BroadcastHashJoin[^\n]*\n(?:[^\n]+\n)*?Join type: (\w+)", x.physicalPlanDescription())) <= {"LeftOuter"}
+        values = store.executionMetrics(x.executionId())
+        sent = [values.get(m.accumulatorId()) for n in listed(store.planGraph(x.executionId()).allNodes()) if n.name() == "BroadcastExchange" for m in listed(n.metrics()) if m.name() == "number of output rows"]
+        rows = [int(v.get().replace(",", "")) for v in sent if v.isDefined()]
+        assert max(rows, default=0) < spark.read.parquet(f"{DATA}/pages.parquet").select("url").distinct().agg(F.sum(F.length("url"))).first()[0]
+
+
 # -- searches -------------------------------------------------------------------------------
 
 
